@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from tessera.llm.bpe import op1_byte_bpe
+from tessera.llm.mixing import op6_mix
+from tessera.llm.simhash import op10_simhash
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op6_mix": op6_mix, "op10_simhash": op10_simhash}
 ORACLES: dict[str, str] = {}
