@@ -5,7 +5,8 @@ from __future__ import annotations
 from tessera.llm.bpe import op1_byte_bpe
 from tessera.llm.egojoin import op2_ego_join
 from tessera.llm.mixing import op6_mix
+from tessera.llm.secrets import op7_secrets
 from tessera.llm.simhash import op10_simhash
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_ego_join": op2_ego_join, "op6_mix": op6_mix, "op10_simhash": op10_simhash}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_ego_join": op2_ego_join, "op6_mix": op6_mix, "op7_secrets": op7_secrets, "op10_simhash": op10_simhash}
 ORACLES: dict[str, str] = {}
