@@ -82,13 +82,13 @@ def fold(id_col: str, modulus: int):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(modulus), F.lit(0))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, keep, bound: int) -> DataFrame:
+def labelled_sample(labels: DataFrame, id_col: str, label_col: str, keep, bound: int) -> DataFrame:
     """At most ``bound`` labelled ids (lowest salted hash first) with their label.
 
     ``keep``: a predicate on the id column for rows that may be learnt from.
     Only ids and labels travel here; texts are fetched later by a join.
     """
-    seen = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
+    seen = labels.select(F.col(id_col).cast("bigint").alias("_id"), F.col(label_col).alias("_y"))
     seen = seen.where(F.col("_id").isNotNull() & F.col("_y").isNotNull() & keep).groupBy("_id").agg(F.max("_y").alias("_y"))
     return seen.orderBy(F.xxhash64(F.col("_id"), F.lit("sample")), "_id").limit(bound)
 
