@@ -242,6 +242,26 @@ def round_trip(df: DataFrame, bpe: ByteBPE, id_col: str = "doc_id", text_col: st
     return _mapped(df, [id_col, text_col], bpe, "n_tokens bigint,ids_sha256 string,decoded_sha256 string", lambda enc, texts: map(enc.digests, enc.batch(texts)))
 
 
+def tokenised(df: DataFrame, bpe: ByteBPE, text_col: str = "text") -> DataFrame:
+    """The other columns of ``df`` with ids array<int>, n_tokens and exact (the ids decode to the text's bytes)."""
+    shared = df.sparkSession.sparkContext.broadcast((bpe.ranks, bpe.pattern, bpe.model))
+    place, others = df.columns.index(text_col), [c for c in df.columns if c != text_col]
+
+    def work(batches):
+        enc = Encoder(*shared.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS // 4):
+                part = batch.slice(at, _ROWS // 4)
+                texts = part.column(place).to_pylist()
+                ids = list(enc.ids(texts))
+                exact = [enc.decode(i) == (t or "").encode() for i, t in zip(ids, texts, strict=True)]
+                columns = [part.column(i) for i in range(part.num_columns) if i != place]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array(exact)], names=[*others, "ids", "n_tokens", "exact"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != text_col)
+    return df.mapInArrow(work, f"{kinds}, ids array<int>, n_tokens bigint, exact boolean")
+
+
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

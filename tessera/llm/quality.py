@@ -276,6 +276,20 @@ def score(docs: DataFrame, model: Quality, id_col: str = "doc_id", text_col: str
     return target.mapInArrow(work, f"`{id_col}` {target.schema[0].dataType.simpleString()}, score double")
 
 
+def kept(docs: DataFrame, model: Quality, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose whole text scores at least ``least``."""
+    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def work(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                scores = [shared.value.score(g) for g in groups(part.column(place).to_pylist())]
+                yield part.filter(pa.array(np.concatenate(scores) >= least if scores else np.zeros(0, dtype=bool)))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = train(docs, labels, keep=fold("_id", 4) != 2)

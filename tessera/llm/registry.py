@@ -10,6 +10,7 @@ from tessera.llm.mixing import op6_mix
 from tessera.llm.quality import op3_quality
 from tessera.llm.secrets import op7_secrets
 from tessera.llm.simhash import op10_simhash
+from tessera.llm.toxicity import op9_toxicity
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_ego_join": op2_ego_join, "op3_quality": op3_quality, "op5_langid": op5_langid, "op6_mix": op6_mix, "op7_secrets": op7_secrets, "op8_chat": op8_chat, "op10_simhash": op10_simhash}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_ego_join": op2_ego_join, "op3_quality": op3_quality, "op5_langid": op5_langid, "op6_mix": op6_mix, "op7_secrets": op7_secrets, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash}
 ORACLES: dict[str, str] = {"op8_chat": OP8_SQL}
