@@ -170,7 +170,6 @@ def parse_source(text: str) -> dict:
     return state.result()
 
 
-@F.pandas_udf(PARSED)
 def _parse(path: pd.Series, content: pd.Series) -> pd.DataFrame:
     empty = dict.fromkeys(_State().result())
     rows = [parse_source(c) if isinstance(p, str) and p.endswith(".java") and isinstance(c, str) else empty for p, c in zip(path, content, strict=True)]
@@ -179,7 +178,7 @@ def _parse(path: pd.Series, content: pd.Series) -> pd.DataFrame:
 
 def parsed(path: Column, content: Column) -> Column:
     """The parsed struct of one file; all null for files that are not Java source."""
-    return _parse(path, content)
+    return F.pandas_udf(_parse, PARSED)(path, content)
 
 
 def parse_files(files: DataFrame) -> DataFrame:

@@ -1,6 +1,538 @@
-"""Registered queries of the engine's own operators and their DuckDB equivalents."""
+"""Registered queries of the engine's own operators over the driver's tables, with DuckDB equivalents.
+
+Each query reads whole tables. ``_query`` takes the SQL beside the function it checks.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tessera.functions import codetext as X
+from tessera.functions import predicates as P
+from tessera.functions import text as T
+from tessera.operators import audit, chunking, lifecycle, prompts, publish, routing
+from tessera.sources import files as source_files
+from tessera.sources import tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Usage rows in SQL, as sources.tables.token_usage makes them.
+_USAGE = """usage AS (SELECT event_id AS id, user_id AS system_id, event_id % 50 AS task_id, event_type AS model_name, CAST(floor(value * 10) AS BIGINT) AS input_tokens,
+  CAST(floor(value * 3) AS BIGINT) AS output_tokens, CAST(floor(value * 10) AS BIGINT) + CAST(floor(value * 3) AS BIGINT) AS total_tokens,
+  CAST(CAST(floor(value * 10) * 2e-6 + floor(value * 3) * 6e-6 AS DECIMAL(18,6)) AS DECIMAL(10,4)) AS cost, ts AS created_at FROM events)"""
+_STATES = "['" + "','".join(lifecycle.STATES) + "']"
+_EDGES = ", ".join(f"('{a}','{b}')" for a, targets in lifecycle.EDGES.items() for b in targets)
+_RED = [(p.replace("\\/", "/").replace("\\&", "&").replace("'", "''"), r.replace("$1", "\\1")) for p, r in T.REDACTIONS]
+
+
+def _sql_redact(c: str) -> str:
+    for pattern, with_ in _RED:
+        c = f"regexp_replace({c}, '{pattern}', '{with_}', 'g')"
+    return c
+
+
+# --- audit ---------------------------------------------------------------------
+
+
+@_query(f"""WITH {_USAGE} SELECT CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(total_tokens) AS BIGINT) AS total_tokens,
+  CAST(sum(cost) AS DECIMAL(18,4)) AS total_cost FROM usage""")
+def usage_totals(spark, sf):
+    return audit.totals(tables.token_usage(spark, sf))
+
+
+@_query(f"WITH {_USAGE} SELECT model_name, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM usage GROUP BY 1")
+def usage_by_model(spark, sf):
+    return audit.by_model(tables.token_usage(spark, sf))
+
+
+@_query(f"WITH {_USAGE} SELECT id, cost FROM usage")
+def usage_cost(spark, sf):
+    return tables.token_usage(spark, sf).select("id", "cost")
+
+
+@_query(f"""WITH {_USAGE}, t AS (SELECT system_id, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM usage GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)
+  SELECT system_id, coalesce(s_name, '系统ID: ' || system_id) AS system_name, tokens FROM t LEFT JOIN supplier ON s_suppkey = system_id""")
+def system_ranking_top10(spark, sf):
+    return audit.system_ranking(tables.token_usage(spark, sf), tables.systems(spark, sf), 10)
+
+
+@_query(f"""WITH {_USAGE}, a AS (SELECT CAST(max(created_at) AS DATE) AS d FROM usage), spine AS (SELECT d - CAST(k AS INTEGER) AS day FROM a, range(7) r(k))
+  SELECT strftime(day, '%Y-%m-%d') AS day, CAST(coalesce(sum(total_tokens), 0) AS BIGINT) AS tokens FROM spine LEFT JOIN usage ON CAST(created_at AS DATE) = day GROUP BY 1""")
+def daily_trend_7d(spark, sf):
+    u = tables.token_usage(spark, sf)
+    as_of = u.agg(F.max("created_at")).first()[0]  # one value
+    return audit.daily_trend(u, F.lit(as_of))
+
+
+@_query(f"WITH {_USAGE} SELECT task_id, CAST(sum(total_tokens) AS BIGINT) AS used FROM usage GROUP BY 1")
+def task_cumulative(spark, sf):
+    return audit.task_cumulative(tables.token_usage(spark, sf))
+
+
+@_query(f"""WITH {_USAGE} SELECT system_id, CAST(sum(total_tokens) AS BIGINT) AS used FROM usage
+  WHERE created_at >= (SELECT date_trunc('month', max(created_at)) FROM usage) GROUP BY 1""")
+def system_month_to_date(spark, sf):
+    u = tables.token_usage(spark, sf)
+    return audit.month_to_date(u, F.lit(u.agg(F.max("created_at")).first()[0]))
+
+
+def _gate_sql(keys: str, limit: int) -> str:
+    return f"""WITH {_USAGE}, g AS (SELECT id, CAST(coalesce(sum(total_tokens) OVER (PARTITION BY {keys} ORDER BY created_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS used,
+      input_tokens AS estimate FROM usage)
+      SELECT id, used, used + estimate > {limit} AS blocked FROM g"""
+
+
+@_query(_gate_sql("task_id", 100_000))
+def task_quota_gate(spark, sf):
+    u = tables.token_usage(spark, sf).withColumn("estimate", F.col("input_tokens"))
+    return audit.quota_gate(u, ["task_id"], audit.TASK_QUOTA).select("id", "used", "blocked")
+
+
+@_query(_gate_sql("system_id, date_trunc('month', created_at)", 1_000_000))
+def system_month_quota_gate(spark, sf):
+    u = tables.token_usage(spark, sf).withColumn("estimate", F.col("input_tokens")).withColumn("month", F.date_trunc("month", "created_at"))
+    return audit.quota_gate(u, ["system_id", "month"], audit.MONTH_QUOTA).select("id", "used", "blocked")
+
+
+# --- predicates, pages, lookups -------------------------------------------------
+
+
+@_query("""SELECT o_orderkey, o_orderstatus, o_orderdate FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20 OFFSET 20""")
+def task_page_filtered(spark, sf):
+    o = P.where_given(tables.read(spark, sf, "orders"), {"o_orderstatus": "O", "o_custkey": None})
+    return P.page(o, [F.desc("o_orderdate"), F.desc("o_orderkey")], 2, 20).select("o_orderkey", "o_orderstatus", "o_orderdate")
+
+
+@_query("SELECT count(*) AS total, CAST(20 AS BIGINT) AS size, CAST(2 AS BIGINT) AS current FROM orders WHERE o_orderstatus = 'O'")
+def page_total(spark, sf):
+    return P.page_envelope(P.where_given(tables.read(spark, sf, "orders"), {"o_orderstatus": "O"}), 2, 20)
+
+
+@_query("SELECT p_partkey, p_name FROM part WHERE contains(p_name, 'a') AND p_brand <> 'Brand#11' AND p_size >= 10 AND p_type IN (SELECT DISTINCT p_type FROM part WHERE p_type LIKE '%E%')")
+def optional_filters(spark, sf):
+    p = tables.read(spark, sf, "part")
+    types = p.where(F.col("p_type").like("%E%")).select("p_type").distinct()
+    out = P.where_given(p, {"p_brand": ""}, contains={"p_name": "a"}, at_least={"p_size": 10}, other_than={"p_brand": "Brand#11"})
+    return out.join(types, "p_type", "left_semi").select("p_partkey", "p_name")
+
+
+@_query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+def in_list(spark, sf):
+    return P.where_given(tables.read(spark, sf, "customer"), within={"c_mktsegment": ["BUILDING", "MACHINERY"]}).select("c_custkey", "c_mktsegment")
+
+
+@_query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def systems_with_repos(spark, sf):
+    return tables.read(spark, sf, "customer").join(tables.read(spark, sf, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey", "c_name")
+
+
+_SRC = "', '".join(lifecycle.T.SOURCE_ERRORS)
+
+
+@_query(f"""WITH q AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_custkey END AS system_id, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey + 1 ELSE o_custkey END * 10 AS repository_id FROM orders),
+  e AS (SELECT ['{_SRC}'] AS m)
+  SELECT q.id, CASE WHEN q.system_id IS NULL OR q.repository_id IS NULL THEN m[1] WHEN s.c_custkey IS NULL THEN m[2] WHEN s.c_nationkey % 5 = 0 THEN m[3] WHEN r.c_custkey IS NULL THEN m[4]
+    WHEN r.c_custkey <> q.system_id THEN m[5] END AS error
+  FROM q CROSS JOIN e LEFT JOIN customer s ON s.c_custkey = q.system_id LEFT JOIN customer r ON r.c_custkey * 10 = q.repository_id""")
+def validate_source(spark, sf):
+    o, c = tables.read(spark, sf, "orders"), tables.read(spark, sf, "customer")
+    key = F.col("o_custkey")
+    q = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 11 != 0, key).alias("system_id"), (F.when(F.col("o_orderkey") % 3 == 0, key + 1).otherwise(key) * 10).alias("repository_id"))
+    systems = c.select(F.col("c_custkey").alias("id"), F.when(F.col("c_nationkey") % 5 == 0, 0).otherwise(1).alias("status"))
+    repos = c.select((F.col("c_custkey") * 10).alias("id"), F.col("c_custkey").alias("system_id"))
+    return lifecycle.source_error(q, systems, repos).select("id", "error")
+
+
+@_query("SELECT c_custkey, CASE WHEN trim(c_mktsegment) <> '' THEN '******' ELSE c_mktsegment END AS shown, c_name AS stored FROM customer")
+def mask_secret(spark, sf):
+    c = tables.read(spark, sf, "customer")
+    return c.select("c_custkey", T.masked(F.col("c_mktsegment")).alias("shown"), T.unmasked(T.masked(F.col("c_name")), F.col("c_name")).alias("stored"))
+
+
+@_query("""SELECT o_orderkey AS id, coalesce(substr(CAST(o_orderkey * 1000003 AS VARCHAR), 1, 8), '-') AS short, CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS SMALLINT) AS flag FROM orders""")
+def short_commit(spark, sf):
+    o = tables.read(spark, sf, "orders")
+    return o.select(F.col("o_orderkey").alias("id"), T.short_commit((F.col("o_orderkey") * 1000003).cast("string")).alias("short"), (F.col("o_orderstatus") == "F").cast("smallint").alias("flag"))
+
+
+@_query("""SELECT count(*) FILTER (WHERE status IN ('PENDING','PULLING_CODE','PARSING_CODE','SPLITTING_TASK','AI_ANALYZING','GENERATING_DOC')) AS running, count(*) FILTER (WHERE status = 'PENDING_REVIEW') AS pending
+  FROM (SELECT %s[CAST(o_orderkey %% 15 AS INTEGER) + 1] AS status FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 6)""" % _STATES)
+def dashboard_counts(spark, sf):
+    latest = P.page(tables.tasks(spark, sf), [F.desc("created_at"), F.desc("id")], 1, 6)
+    return latest.agg(F.count_if(F.col("status").isin(lifecycle.RUNNING)).alias("running"), F.count_if(F.col("status") == "PENDING_REVIEW").alias("pending"))
+
+
+# --- scan, chunks, text ----------------------------------------------------------
+
+
+@_query("""SELECT doc_id, md5(text) AS file_hash, 'txt' AS file_type, CAST(CASE WHEN text = '' THEN 0 ELSE len(string_split(CASE WHEN text LIKE '%' || chr(10) THEN text[:-2] ELSE text END, chr(10))) END AS BIGINT) AS line_count FROM documents""")
+def snapshot_profile(spark, sf):
+    f = tables.files(spark, sf)
+    s = source_files.snapshots(f)
+    return s.select(F.regexp_extract("path", r"doc_(-?\d+)", 1).cast("bigint").alias("doc_id"), "file_hash", "file_type", "line_count")
+
+
+@_query("""SELECT doc_id FROM (SELECT doc_id, source || '/' || lang || '/doc_' || doc_id || '.txt' AS path, source || '/' || lang AS dir FROM documents)
+  WHERE NOT (contains(lower(dir), 'src1') OR contains(lower(dir), 'fr'))""")
+def path_exclusion(spark, sf):
+    f = P.scanned(tables.files(spark, sf), " SRC1 , fr,", ".java,.md")
+    return f.select("doc_id")
+
+
+@_query("""SELECT doc_id, greatest(5, CAST(ceil(CASE WHEN regexp_matches(text, '\\S') THEN length(text) ELSE 0 END / 3.0) AS BIGINT)) AS chunk, CAST(floor(length(text) / 3) AS BIGINT) AS request, CAST(floor(length(text) / 4) AS BIGINT) AS trial FROM documents""")
+def estimator_compare(spark, sf):
+    t = F.col("text")
+    return tables.read(spark, sf, "documents").select("doc_id", T.token_estimate(t).alias("chunk"), T.request_estimate(t).alias("request"), T.trial_estimate(t).alias("trial"))
+
+
+@_query("""WITH d AS (SELECT doc_id, text, len(string_split(text, chr(10))) AS n FROM documents)
+  SELECT doc_id, greatest(1, n) > 80 OR greatest(5, ceil(length(text) / 3.0)) > 1200 AS large FROM d""")
+def size_gate(spark, sf):
+    d = tables.read(spark, sf, "documents")
+    return d.select("doc_id", chunking.too_large(F.col("text"), F.lit(1), F.size(T.lines(F.col("text")))).alias("large"))
+
+
+@_query()
+def chunk_parts(spark, sf):
+    d = tables.read(spark, sf, "documents").where("text is not null")
+    return d.select("doc_id", F.posexplode(chunking.split_parts(F.col("text"))).alias("part", "p")).select("doc_id", "part", "p.*")
+
+
+_SECRET_TEXT = "my password='%s' and bearer abc.def and jdbc:pg://h/d?user=u&password=%s and http://192.168.1.7/api secret=%s api-key: k%s"
+
+
+@_query("""SELECT doc_id, %s AS clean FROM (SELECT doc_id, replace('%s', '%%s', source || doc_id) || ' ' || text AS t FROM documents)""" % (_sql_redact("t"), _SECRET_TEXT.replace("'", "''")))
+def redact_text(spark, sf):
+    d = tables.read(spark, sf, "documents")
+    planted = F.replace(F.lit(_SECRET_TEXT), F.lit("%s"), F.concat("source", F.col("doc_id").cast("string")))
+    return d.select("doc_id", T.redact(F.concat(planted, F.lit(" "), F.col("text"))).alias("clean"))
+
+
+@_query("""SELECT l_orderkey, l_linenumber, CAST(length(t) - length(replace(t, '{', '')) - (length(t) - length(replace(t, '}', ''))) AS BIGINT) AS balance
+  FROM (SELECT l_orderkey, l_linenumber, repeat('{', CAST(l_quantity AS INTEGER)) || repeat('}', l_linenumber) AS t FROM lineitem)""")
+def brace_balance(spark, sf):
+    li = tables.read(spark, sf, "lineitem").withColumn("t", F.concat(F.repeat(F.lit("{"), F.col("l_quantity").cast("int")), F.repeat(F.lit("}"), F.col("l_linenumber"))))
+    return li.select("l_orderkey", "l_linenumber", T.brace_balance(F.col("t")).alias("balance"))
+
+
+# --- routing ---------------------------------------------------------------------
+
+_PATHS = "'src/main/java/com/demo/' || CASE p_size % 4 WHEN 0 THEN 'modules/' WHEN 1 THEN 'Module/' WHEN 2 THEN 'a/' ELSE '' END || lower(replace(p_brand, '#', '')) || '/X' || p_partkey || CASE WHEN p_size % 7 = 0 THEN '.md' ELSE '.java' END"
+
+
+def _part_paths(spark, sf):
+    k = F.col("p_size") % 4
+    middle = F.when(k == 0, "modules/").when(k == 1, "Module/").when(k == 2, "a/").otherwise("")
+    path = F.concat(F.lit("src/main/java/com/demo/"), middle, F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), F.lit("/X"), F.col("p_partkey").cast("string"), F.when(F.col("p_size") % 7 == 0, ".md").otherwise(".java"))
+    return tables.read(spark, sf, "part").withColumn("path", path)
+
+
+@_query(f"""SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN NULL WHEN p_size % 4 = 3 THEN 'DemoModule' WHEN p_size % 4 = 2 THEN 'AModule'
+  ELSE upper(b[1]) || b[2:] || 'Module' END AS module FROM (SELECT p_partkey, p_size, lower(replace(p_brand, '#', '')) AS b, {_PATHS} AS path FROM part)""")
+def route_package_rule(spark, sf):
+    return _part_paths(spark, sf).select("p_partkey", routing.package_rule(F.col("path")).alias("module"))
+
+
+@_query(r"""WITH s AS (SELECT page_id, string_split(regexp_replace(regexp_replace(url, '^https?://[^/]*', ''), '^/+', ''), '/') AS s FROM pages),
+  k AS (SELECT page_id, CASE WHEN lower(s[1]) IN ('api','v1','v2') AND len(s) > 1 THEN s[2] ELSE s[1] END AS name, s[1] AS first FROM s)
+  SELECT page_id, CASE WHEN regexp_matches(coalesce(first, ''), '\S') AND regexp_matches(coalesce(name, ''), '\S') THEN upper(name[1]) || name[2:] || 'Module' END AS module FROM k""")
+def route_first_segment(spark, sf):
+    p = tables.read(spark, sf, "pages")
+    return p.select("page_id", routing.route_rule(F.regexp_replace("url", "^https?://[^/]*", "")).alias("module"))
+
+
+_MAP = "# map\nLatin:\n  - 'src1/fr'\n  - src1/es\nNordic: # x\n  - \"de/doc_1\"\nAll:\n  - src1\n"
+
+
+@_query("""WITH m AS (SELECT * FROM (VALUES (0,0,'Latin','src1/fr'),(0,1,'Latin','src1/es'),(1,0,'Nordic','de/doc_1'),(2,0,'All','src1')) v(a,b,module,pattern)),
+  f AS (SELECT source || '/' || lang || '/doc_' || doc_id || '.txt' AS path FROM documents), h AS (SELECT path, module, row_number() OVER (PARTITION BY path ORDER BY a, b) AS k FROM f JOIN m ON contains(path, pattern))
+  SELECT DISTINCT path, module FROM h WHERE k = 1""")
+def route_pattern_join(spark, sf):
+    p = source_files.patterns(spark, source_files.module_map_yaml(_MAP))
+    return routing.by_pattern(tables.files(spark, sf), F.broadcast(p))  # four rows of a literal
+
+
+@_query("SELECT p_partkey, CASE WHEN contains(p_name, 'controller') THEN '接口访问层 (Controller)' WHEN contains(p_name, 'service') THEN '业务逻辑层 (Service)' WHEN contains(p_name, 'mapper') THEN '数据访问层 (Mapper)' WHEN contains(p_name, 'entity') OR contains(p_name, 'dto') THEN '数据实体定义 (Entity)' ELSE 'CoreModule' END AS module FROM (SELECT p_partkey, p_name || CASE p_size % 6 WHEN 0 THEN 'controller' WHEN 1 THEN 'service' WHEN 2 THEN 'mapper' WHEN 3 THEN 'dto' WHEN 4 THEN 'entity' ELSE '' END AS p_name FROM part)")
+def module_fallback(spark, sf):
+    k = F.col("p_size") % 6
+    name = F.concat("p_name", F.when(k == 0, "controller").when(k == 1, "service").when(k == 2, "mapper").when(k == 3, "dto").when(k == 4, "entity").otherwise(""))
+    return tables.read(spark, sf, "part").select("p_partkey", routing.fallback(name).alias("module"))
+
+
+def _knowledge(spark, sf):
+    ws = tables.read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("bigint").alias("system_id"))
+    drafts = tables.read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("workspace_id"), F.col("o_orderpriority").alias("module_name"), F.col("o_orderstatus").alias("status"))
+    refs = tables.read(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("draft_id"), F.concat(F.lit("src/P"), F.col("l_partkey").cast("string")).alias("file_path"))
+    return ws, drafts, refs
+
+
+def _knowledge_sql(where: str) -> str:
+    return f"""SELECT CAST(c_nationkey AS BIGINT) AS system_id, 'src/P' || l_partkey AS path, arg_min(o_orderpriority, l_orderkey * 10 + l_linenumber) AS module
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey {where} GROUP BY 1, 2"""
+
+
+@_query(_knowledge_sql("WHERE o_orderstatus IN ('F', 'P')"))
+def first_module_confirmed(spark, sf):
+    ws, drafts, refs = _knowledge(spark, sf)
+    return routing.by_knowledge(refs.select(F.col("file_path").alias("path")), ws, drafts, refs, ["F", "P"])
+
+
+@_query(_knowledge_sql(""))
+def first_module_any(spark, sf):
+    ws, drafts, refs = _knowledge(spark, sf)
+    return routing.by_knowledge(refs.select(F.col("file_path").alias("path")), ws, drafts, refs)
+
+
+# --- source text -----------------------------------------------------------------
+
+_LINES = """'@RestController @RequestMapping("/api/' || p_partkey || '") public class ' || upper(substr(p_brand, 1, 1)) || replace(substr(p_brand, 2), '#', '') || CASE p_size % 5 WHEN 0 THEN 'Controller' WHEN 1 THEN 'ServiceImpl' WHEN 2 THEN 'Dao' WHEN 3 THEN 'VO' ELSE 'Thing' END"""
+
+
+def _class_lines(spark, sf):
+    k = F.col("p_size") % 5
+    end = F.when(k == 0, "Controller").when(k == 1, "ServiceImpl").when(k == 2, "Dao").when(k == 3, "VO").otherwise("Thing")
+    name = F.concat(F.upper(F.substring("p_brand", 1, 1)), F.replace(F.substr("p_brand", F.lit(2)), F.lit("#"), F.lit("")), end)
+    return tables.read(spark, sf, "part").select("p_partkey", F.concat(F.lit('@RestController @RequestMapping("/api/'), F.col("p_partkey").cast("string"), F.lit('") public class '), name).alias("line"))
+
+
+@_query(f"""WITH l AS (SELECT p_partkey, {_LINES} AS line FROM part), n AS (SELECT p_partkey, line, regexp_extract(line, 'class\\s+(\\w+)', 1) AS name FROM l)
+  SELECT p_partkey, ['RestController', 'RequestMapping'] AS annotations, 'CONTROLLER' AS by_annotation, name, CASE WHEN lower(name) LIKE '%controller' THEN 'CONTROLLER' WHEN lower(name) LIKE '%serviceimpl' THEN 'SERVICE'
+    WHEN lower(name) LIKE '%dao' THEN 'MAPPER' WHEN lower(name) LIKE '%vo' THEN 'VO' ELSE 'UNKNOWN' END AS by_name, 'class' AS kind, '/api/' || p_partkey AS url FROM n""")
+def class_extract(spark, sf):
+    c = F.col("line")
+    return _class_lines(spark, sf).select("p_partkey", X.annotations(c).alias("annotations"), X.type_by_annotation(c).alias("by_annotation"), X.declared_name(c).alias("name"), X.type_by_name(X.declared_name(c)).alias("by_name"), X.declaration_kind(c).alias("kind"), X.mapping_url(c, "RequestMapping").alias("url"))
+
+
+def _sql_lines(spark, sf):
+    k, key = F.col("s_suppkey") % 4, F.col("s_suppkey").cast("string")
+    line = (
+        F.when(k == 0, F.concat(F.lit("SELECT u.id, u.name AS n, r.role_"), key, F.lit(" FROM app.user_"), key, F.lit(" u JOIN role r ON u.rid = r.id WHERE u.enabled = 1 AND r.k >= 2 ORDER BY u.id")))
+        .when(k == 1, F.concat(F.lit("insert into `log_"), key, F.lit("` (a, b.c, `d`) values (1, 2, 3)")))
+        .when(k == 2, F.concat(F.lit("UPDATE t_"), key, F.lit(" SET a = 1, x.b = ${v} WHERE id = 7")))
+        .otherwise(F.concat(F.lit("DELETE FROM t_"), key, F.lit(" WHERE created < 3 AND kind LIKE 'x'")))
+    )
+    return tables.read(spark, sf, "supplier").select("s_suppkey", line.alias("line"))
+
+
+@_query("""SELECT s_suppkey, ['SELECT','INSERT','UPDATE','DELETE'][CAST(s_suppkey % 4 AS INTEGER) + 1] AS operation,
+  CASE s_suppkey % 4 WHEN 0 THEN ['user_' || s_suppkey, 'role'] WHEN 1 THEN ['log_' || s_suppkey] ELSE ['t_' || s_suppkey] END AS tables,
+  CASE s_suppkey % 4 WHEN 0 THEN ['role'] ELSE [] END AS joined,
+  CASE s_suppkey % 4 WHEN 0 THEN ['id', 'name', 'role_' || s_suppkey] ELSE [] END AS selected,
+  CASE s_suppkey % 4 WHEN 1 THEN ['a', 'c', 'd'] ELSE [] END AS inserted,
+  CASE s_suppkey % 4 WHEN 2 THEN ['a', 'b'] ELSE [] END AS updated,
+  CASE s_suppkey % 4 WHEN 0 THEN ['enabled', 'k'] WHEN 2 THEN ['id'] WHEN 3 THEN ['created', 'kind'] ELSE [] END AS conditions FROM supplier""")
+def sql_references(spark, sf):
+    c, n = F.col("line"), X.normal_sql(F.col("line"))
+    op = X.sql_operation(c)
+    none = F.array().cast("array<string>")
+    return _sql_lines(spark, sf).where(X.is_sql(c)).select(
+        "s_suppkey", op.alias("operation"), X.sql_tables(c).alias("tables"), X.joined_tables(c).alias("joined"), F.when(op == "SELECT", X.selected_fields(n)).otherwise(none).alias("selected"),
+        F.when(op == "INSERT", X.inserted_fields(n)).otherwise(none).alias("inserted"), F.when(op == "UPDATE", X.updated_fields(n)).otherwise(none).alias("updated"),
+        F.when(op != "INSERT", X.condition_fields(n)).otherwise(none).alias("conditions"),
+    )
+
+
+@_query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'f' || p_partkey || ':List' WHEN 1 THEN NULL ELSE 'f' || p_partkey || ':Repo' END AS dependency,
+  CASE WHEN p_size % 3 = 2 THEN NULL ELSE 'go' || p_partkey END AS method, ['svc.run' || p_partkey, 'b.c'] AS calls FROM part""")
+def member_extract(spark, sf):
+    k, key = F.col("p_size") % 3, F.col("p_partkey").cast("string")
+    field = F.concat(F.when(k == 0, "private final List<A> f").when(k == 1, "private String f").otherwise("protected Repo f"), key, F.lit(";"))
+    head = F.when(k == 2, F.lit("private void while (x) {")).otherwise(F.concat(F.lit("public static Map<String, X> go"), key, F.lit("(int a, B b) {")))
+    body = F.concat(F.lit("x = svc.run"), key, F.lit("(1) + b.c (2);"))
+    calls = F.transform(X.call_sites(body), lambda c: F.concat(c["variable"], F.lit("."), c["method"]))
+    return tables.read(spark, sf, "part").select("p_partkey", X.field_dependency(field).alias("dependency"), X.method_signature(head)["name"].alias("method"), calls.alias("calls"))
+
+
+# --- drafts, review, publication ----------------------------------------------------
+
+
+@_query("""WITH v AS (SELECT conv_id, turn, text AS new, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS old FROM conversations),
+  s AS (SELECT conv_id, turn, string_split(rtrim(coalesce(old, ''), chr(10)), chr(10)) AS a, string_split(rtrim(coalesce(new, ''), chr(10)), chr(10)) AS b FROM v)
+  SELECT conv_id, turn, CAST(len(list_filter(b, lambda x: NOT list_contains(a, x))) AS BIGINT) AS added, CAST(len(list_filter(a, lambda x: NOT list_contains(b, x))) AS BIGINT) AS deleted FROM s""")
+def diff_line_counts(spark, sf):
+    c = tables.read(spark, sf, "conversations").withColumn("old", F.lag("text").over(W.partitionBy("conv_id").orderBy("turn")))
+    return c.select("conv_id", "turn", lifecycle.diff_counts(F.col("old"), F.col("text")).alias("d")).select("conv_id", "turn", "d.*")
+
+
+@_query("""SELECT doc_id, source || '?' AS item, len(string_split(text, chr(10))) + 1 AS line_no FROM documents WHERE doc_id % 3 = 0""")
+def pending_items(spark, sf):
+    d = tables.read(spark, sf, "documents")
+    body = F.concat("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\n  - [ ] "), "source", F.lit("?  "))).otherwise(""))
+    return publish.pending_items(d.select(F.col("doc_id").alias("module_name"), body.alias("content"))).select(F.col("module_name").alias("doc_id"), "item", F.col("line_no").cast("bigint").alias("line_no"))
+
+
+@_query("""SELECT doc_id, source AS item, len(string_split(text, chr(10))) + 1 AS line_no FROM documents WHERE doc_id % 3 = 0""")
+def pending_items_loose(spark, sf):
+    d = tables.read(spark, sf, "documents")
+    body = F.concat("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\n * [  ] "), "source")).otherwise(""))
+    return publish.pending_items_loose(d.select(F.col("doc_id").alias("module_name"), body.alias("content"))).select(F.col("module_name").alias("doc_id"), "item", F.col("line_no").cast("bigint").alias("line_no"))
+
+
+@_query("""SELECT o_custkey AS version_id, CAST(CASE WHEN bool_or(o_orderstatus <> 'F') THEN 1 WHEN bool_or(o_orderkey % 7 = 0) THEN 2 WHEN bool_or(o_orderkey % 11 = 0) THEN 3 ELSE 0 END AS INTEGER) AS gate FROM orders GROUP BY 1""")
+def push_gates(spark, sf):
+    k = F.col("o_orderkey")
+    d = tables.read(spark, sf, "orders").select(F.col("o_custkey").alias("version_id"), F.when(F.col("o_orderstatus") == "F", "CONFIRMED").otherwise("REVISED").alias("status"), F.when(k % 7 == 0, "a\n- [ ] x").otherwise("a").alias("content"), F.when(k % 11 == 0, "a/b").otherwise("ab").alias("module_name"))
+    return publish.push_gate(d)
+
+
+@_query("""WITH f AS (SELECT l_orderkey AS module, 'C' || l_suppkey AS class_name, min(l_linenumber) AS k FROM lineitem GROUP BY 1, 2),
+  o AS (SELECT module, class_name AS source, row_number() OVER (PARTITION BY module ORDER BY k, class_name) AS place, lead(class_name) OVER (PARTITION BY module ORDER BY k, class_name) AS target FROM f)
+  SELECT module, CAST(place AS INTEGER) AS place, source, target FROM o WHERE target IS NOT NULL""")
+def flow_edges(spark, sf):
+    c = tables.read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("module"), F.concat(F.lit("C"), F.col("l_suppkey").cast("string")).alias("class_name"), F.lit("p").alias("path"), F.col("l_linenumber").alias("id"))
+    return publish.flow_edges(publish.class_list(c))
+
+
+@_query("SELECT o_custkey AS workspace_id, bool_and(o_orderstatus = 'F') AS completed FROM orders GROUP BY 1")
+def all_confirmed(spark, sf):
+    return lifecycle.all_confirmed(tables.read(spark, sf, "orders").select(F.col("o_custkey").alias("workspace_id"), F.when(F.col("o_orderstatus") == "F", "CONFIRMED").otherwise("REVISED").alias("status")))
+
+
+@_query("""WITH s AS (SELECT c_custkey AS draft_id, c_name AS name, c_nationkey AS k FROM customer)
+  SELECT draft_id, CASE WHEN k % 4 = 0 THEN 'saved ' || name WHEN k % 4 = 1 THEN 'local ' || name WHEN k % 4 = 2 THEN 'file ' || name ELSE '# 空文档' END AS content FROM s""")
+def draft_overlay(spark, sf):
+    c = tables.read(spark, sf, "customer").select(F.col("c_custkey").alias("draft_id"), F.col("c_name").alias("name"), (F.col("c_nationkey") % 4).alias("k"), F.col("c_acctbal").alias("at"))
+    saved = c.select("draft_id", F.when(F.col("k") == 0, F.concat(F.lit("saved "), "name")).otherwise("  ").alias("content"), "at")
+    local = c.where("k < 2").select("draft_id", F.concat(F.lit("local "), "name").alias("content"), "at")
+    files = c.where("k < 3").select("draft_id", F.concat(F.lit("file "), "name").alias("content"))
+    return lifecycle.draft_content(c.select("draft_id"), saved, local, files)
+
+
+@_query("""WITH o AS (SELECT o_custkey AS workspace_id, o_orderkey AS file, o_orderstatus AS hash, o_orderpriority AS created FROM orders WHERE o_orderkey % 3 <> 0), n AS (SELECT o_custkey AS workspace_id, o_orderkey AS file, o_orderstatus || '2' AS hash, 'new' AS created FROM orders WHERE o_orderkey % 2 = 0)
+  SELECT workspace_id, file, coalesce(o.created, n.created) AS created, coalesce(n.hash, o.hash) AS hash FROM o FULL JOIN n USING (workspace_id, file)""")
+def draft_upsert(spark, sf):
+    o = tables.read(spark, sf, "orders").select(F.col("o_custkey").alias("workspace_id"), F.col("o_orderkey").alias("file"), F.col("o_orderstatus").alias("hash"), F.col("o_orderpriority").alias("created"))
+    new = o.where("file % 2 = 0").withColumn("hash", F.concat("hash", F.lit("2"))).withColumn("created", F.lit("new"))
+    return lifecycle.upsert(o.where("file % 3 <> 0"), new, ["workspace_id", "file"], ["created"], ["hash"])
+
+
+def _index_inputs(spark, sf):
+    """Drafts are parts, references lineitems' parts, parsed classes made from supplier keys."""
+    drafts = tables.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("module_name"))
+    refs = tables.read(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("draft_id"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string"), F.lit(".java")).alias("file_path"))
+    key = F.col("s_suppkey").cast("string")
+    method = lambda n, url, verb: F.struct(F.lit(n).alias("name"), url.alias("request_mapping"), verb.alias("http_method"))
+    parsed = F.struct(
+        F.concat(F.lit("C"), key).alias("class_name"), F.lit("CONTROLLER").alias("type"), F.array(F.concat(F.lit("t"), key)).alias("tables"),
+        F.when(F.col("s_suppkey") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("a:A"), key), F.lit("b:B"))).alias("dependencies"),
+        F.array(method("list", F.concat(F.lit("/x/"), key), F.lit(None).cast("string")), method("none", F.lit(None).cast("string"), F.lit("GET")), method("save", F.lit("/s"), F.lit("POST"))).alias("methods"),
+    )
+    return publish.referenced(drafts, refs, tables.read(spark, sf, "supplier").select(F.concat(F.lit("S"), key, F.lit(".java")).alias("path"), parsed.alias("parsed")))
+
+
+@_query("""SELECT l_partkey AS draft_id, l_orderkey * 10 + l_linenumber AS reference_id, p_brand AS module_name, m.url, m.http_method, m.method
+  FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey, LATERAL (SELECT '/x/' || s_suppkey AS url, 'GET' AS http_method, 'list' AS method UNION ALL SELECT '/s', 'POST', 'save') m""")
+def api_index(spark, sf):
+    return publish.api_index(_index_inputs(spark, sf)).drop("place")
+
+
+@_query("""SELECT l_partkey AS draft_id, l_orderkey * 10 + l_linenumber AS reference_id, 't' || s_suppkey AS "table", p_brand AS module_name, 'CONTROLLER' AS class_type
+  FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey""")
+def database_index(spark, sf):
+    return publish.database_index(_index_inputs(spark, sf)).drop("place")
+
+
+@_query("""SELECT l_partkey AS draft_id, l_orderkey * 10 + l_linenumber AS reference_id, p_brand AS module_name, 'C' || s_suppkey AS class_name, 'a:A' || s_suppkey || ', b:B' AS dependencies
+  FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE s_suppkey % 3 <> 0""")
+def dependency_index(spark, sf):
+    return publish.dependency_index(_index_inputs(spark, sf))
+
+
+@_query("""SELECT o_custkey AS workspace_id, list(o_orderkey ORDER BY o_orderkey) AS drafts FROM orders GROUP BY 1""")
+def workspace_drafts(spark, sf):
+    o = tables.read(spark, sf, "orders")
+    return o.groupBy(F.col("o_custkey").alias("workspace_id")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("drafts"))
+
+
+# --- lifecycle -----------------------------------------------------------------------
+
+_TASKS = f"tasks AS (SELECT o_orderkey AS id, o_custkey AS system_id, {_STATES}[CAST(o_orderkey % 15 AS INTEGER) + 1] AS status, o_orderdate AS created FROM orders)"
+
+
+@_query(f"""WITH {_TASKS}, e AS (SELECT * FROM (VALUES {_EDGES}) v(a, b)), s AS (SELECT id, status, lead(status) OVER (PARTITION BY system_id ORDER BY created, id) AS target FROM tasks)
+  SELECT id, status AS current, target, status = target OR EXISTS (SELECT 1 FROM e WHERE a = status AND b = target) AS valid FROM s WHERE target IS NOT NULL""")
+def transition_check(spark, sf):
+    t = tables.tasks(spark, sf)
+    s = t.select("id", F.col("status").alias("current"), F.lead("status").over(W.partitionBy("system_id").orderBy("created_at", "id")).alias("target")).where("target is not null")
+    return lifecycle.checked(s).select("id", "current", "target", "valid")
+
+
+_PROGRESS_SQL = " ".join(f"WHEN '{k}' THEN {v}" for k, v in lifecycle.PROGRESS.items())
+_STEPS_SQL = " ".join(f"WHEN '{k}' THEN {v}" for k, v in lifecycle.STEPS.items())
+
+
+@_query(f"""WITH {_TASKS} SELECT id, CAST(CASE status {_PROGRESS_SQL} ELSE 42 END AS INTEGER) AS progress, CAST(CASE status {_STEPS_SQL} ELSE -1 END AS INTEGER) AS step FROM tasks""")
+def progress_and_step(spark, sf):
+    return tables.tasks(spark, sf).select("id", lifecycle.progress(F.col("status"), F.lit(42)).alias("progress"), lifecycle.step_index(F.col("status")).alias("step"))
+
+
+@_query(f"""WITH t AS (SELECT o_custkey AS task_id, {_STATES}[CAST(o_orderkey % 15 AS INTEGER) + 1] AS status, o_orderdate + to_seconds(CAST(o_orderkey AS BIGINT)) AS "at" FROM orders),
+  h AS (SELECT *, min(CASE WHEN status IN ('PENDING','PULLING_CODE') THEN "at" END) OVER w AS started, max(CASE WHEN status IN ('FAILED','PUSHED','CANCELLED','ARCHIVED') THEN "at" END) OVER w AS ended FROM t
+    WINDOW w AS (PARTITION BY task_id ORDER BY "at", status ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+  SELECT task_id, "at", status, CAST(date_diff('millisecond', started, ended) AS BIGINT) AS duration_ms FROM h""")
+def durations(spark, sf):
+    t = tables.tasks(spark, sf)
+    at = F.timestamp_add("SECOND", F.col("id"), F.col("created_at"))
+    return lifecycle.history(t.select(F.col("system_id").alias("task_id"), "status", at.alias("at"))).select("task_id", "at", "status", "duration_ms")
+
+
+@_query(f"""WITH {_TASKS} SELECT id, '任务状态变更: ' || status || ' -> FAILED' || CASE WHEN id % 2 = 0 THEN '，原因: e' || id ELSE '' END AS text FROM tasks""")
+def transition_log(spark, sf):
+    why = F.when(F.col("id") % 2 == 0, F.concat(F.lit("e"), F.col("id").cast("string")))
+    return tables.tasks(spark, sf).select("id", lifecycle.transition_text(F.col("status"), F.lit("FAILED"), why).alias("text"))
+
+
+@_query("""SELECT c_custkey AS id, CASE WHEN c_custkey = 7 THEN 'true' ELSE 'false' END AS is_default FROM customer""")
+def exclusive_default(spark, sf):
+    return prompts.exclusive_default(tables.read(spark, sf, "customer").select(F.col("c_custkey").alias("id")), 7)
+
+
+@_query("""WITH r AS (SELECT n_nationkey AS id, n_regionkey * 10 AS old, CAST(row_number() OVER (ORDER BY n_regionkey, n_nationkey DESC) * 10 AS INTEGER) AS new FROM nation) SELECT * FROM r WHERE old <> new""")
+def reorder_weights(spark, sf):
+    n = tables.read(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), (F.col("n_regionkey") * 10).alias("sort_order"))
+    return lifecycle.reordered(n, [F.col("sort_order"), F.desc("id")])
+
+
+@_query("""SELECT p_partkey, 'class ' || p_name || ' size ' || p_size || ' ' || '' || '${other}' AS text FROM part""")
+def template_render(spark, sf):
+    t = F.lit("class ${class_name} size ${size} ${missing}${other}")
+    return tables.read(spark, sf, "part").select("p_partkey", T.fill_template(t, {"class_name": F.col("p_name"), "size": F.col("p_size"), "missing": F.lit(None)}).alias("text"))
+
+
+@_query()
+def mock_summaries(spark, sf):
+    k = F.col("p_size") % 4
+    kind = F.when(k == 0, "CLASS").when(k == 1, "FILE").otherwise("METHOD")
+    name = F.concat("p_brand", F.when(F.col("p_partkey") % 2 == 0, "Controller").otherwise("Service"))
+    return tables.read(spark, sf, "part").select("p_partkey", prompts.mock_summary(kind, name, F.when(k == 2, F.lit("getX")).otherwise("saveY")).alias("summary"))
+
+
+@_query()
+def demo_chunks(spark, sf):
+    return chunking.chunks(source_files.demo(spark)).drop("content")
+
+
+@_query()
+def demo_drafts(spark, sf):
+    from tessera.operators import parser
+
+    f = source_files.demo(spark)
+    c = chunking.chunks(f).withColumn("module", routing.package_rule(F.col("path")))
+    c = c.withColumn("id", F.row_number().over(W.orderBy("path", "start_line", "chunk_type")))  # the demo tree's few chunks
+    return publish.drafts(c, parser.parse_files(f), 1)
