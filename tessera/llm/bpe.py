@@ -205,7 +205,7 @@ class Encoder:
         return n, a.hexdigest(), b.hexdigest()
 
 
-def _mapped(df: DataFrame, columns: list[str], bpe: ByteBPE, schema: str, rows) -> DataFrame:
+def _mapped(df: DataFrame, columns: list[str], bpe: ByteBPE, schema: str, rows, kinds: list[pa.DataType]) -> DataFrame:
     """``rows(encoder, values)`` of each batch's second column; the vocabulary goes out as one broadcast."""
     shared = df.sparkSession.sparkContext.broadcast((bpe.ranks, bpe.pattern, bpe.model))
     names = [columns[0], *[x.split()[0] for x in schema.split(",")]]
@@ -216,7 +216,8 @@ def _mapped(df: DataFrame, columns: list[str], bpe: ByteBPE, schema: str, rows)
             for at in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(at, _ROWS)
                 out = list(rows(enc, part.column(1).to_pylist()))
-                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, zip(*out, strict=True))], names=names)
+                values = zip(*out, strict=True) if out else [[]] * len(kinds)
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, values, kinds)], names=names)
 
     target = df.select(*columns)
     kind = target.schema[0].dataType.simpleString()
@@ -229,21 +230,23 @@ def _encoded(enc: Encoder, texts: list[str | None]):
 
 def encode(df: DataFrame, bpe: ByteBPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>, n_tokens) of each whole text."""
-    return _mapped(df, [id_col, text_col], bpe, "ids array<int>,n_tokens bigint", _encoded)
+    return _mapped(df, [id_col, text_col], bpe, "ids array<int>,n_tokens bigint", _encoded, [pa.list_(pa.int32()), pa.int64()])
 
 
 def decode(df: DataFrame, bpe: ByteBPE, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, decoded binary): the inverse of ``encode``; null ids decode to no bytes."""
-    return _mapped(df, [id_col, ids_col], bpe, "decoded binary", lambda enc, all_ids: ((enc.decode(ids or []),) for ids in all_ids))
+    return _mapped(df, [id_col, ids_col], bpe, "decoded binary", lambda enc, all_ids: ((enc.decode(ids or []),) for ids in all_ids), [pa.binary()])
 
 
 def round_trip(df: DataFrame, bpe: ByteBPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): encodes and decodes each whole text in one pass."""
-    return _mapped(df, [id_col, text_col], bpe, "n_tokens bigint,ids_sha256 string,decoded_sha256 string", lambda enc, texts: map(enc.digests, enc.batch(texts)))
+    return _mapped(df, [id_col, text_col], bpe, "n_tokens bigint,ids_sha256 string,decoded_sha256 string", lambda enc, texts: map(enc.digests, enc.batch(texts)), [pa.int64(), pa.string(), pa.string()])
 
 
 def tokenised(df: DataFrame, bpe: ByteBPE, text_col: str = "text") -> DataFrame:
-    """The other columns of ``df`` with ids array<int>, n_tokens and exact (the ids decode to the text's bytes)."""
+    """The other columns of ``df`` with ids array<int>, n_tokens and exact (the ids decode to the text's bytes);
+    columns that have these names already give way."""
+    df = df.drop("ids", "n_tokens", "exact")
     shared = df.sparkSession.sparkContext.broadcast((bpe.ranks, bpe.pattern, bpe.model))
     place, others = df.columns.index(text_col), [c for c in df.columns if c != text_col]
 

@@ -55,9 +55,9 @@ def ranked(sources: DataFrame, scratch: Scratch) -> DataFrame:
     dealt = sources.repartitionByRange(n, F.col("source").asc_nulls_last())
     parts = scratch.put("dealt", dealt.withColumn("part", F.spark_partition_id()))
     counts = sorted(map(tuple, parts.groupBy("part").count().collect()))  # one row a partition
-    before = dict(zip([p for p, _ in counts], np.cumsum([0, *[c for _, c in counts][:-1]]).tolist(), strict=True))
-    if not before:
+    if not counts:
         return parts.withColumn("rank", F.lit(0).cast("bigint")).drop("part")
+    before = dict(zip([p for p, _ in counts], np.cumsum([0, *[c for _, c in counts][:-1]]).tolist(), strict=True))
     shift = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("part"))
     from pyspark.sql import Window as W
 
