@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tessera.llm.bpe import op1_byte_bpe
 from tessera.llm.chat import OP8_SQL, op8_chat
-from tessera.llm.egojoin import op2_ego_join
+from tessera.llm.egojoin import OP2_SQL, op2_ego_join
 from tessera.llm.hilbert import op4_hilbert_ann
 from tessera.llm.langid import op5_langid
 from tessera.llm.mixing import op6_mix
@@ -14,4 +14,4 @@ from tessera.llm.simhash import op10_simhash
 from tessera.llm.toxicity import op9_toxicity
 
 QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_ego_join": op2_ego_join, "op3_quality": op3_quality, "op4_hilbert_ann": op4_hilbert_ann, "op5_langid": op5_langid, "op6_mix": op6_mix, "op7_secrets": op7_secrets, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash}
-ORACLES: dict[str, str] = {"op8_chat": OP8_SQL}
+ORACLES: dict[str, str] = {"op2_ego_join": OP2_SQL, "op8_chat": OP8_SQL}
