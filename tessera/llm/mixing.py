@@ -12,8 +12,10 @@ direction that keeps each one's expected copies, until one's copies are whole.
 So the source's total hardly moves. Documents are dealt into buckets of bounded
 size, each bucket leaves at most one fractional document, and these meet in
 further levels of a reduction tree until a source has one left, which is
-rounded to the nearer side. The larger documents are settled first, so what is
-left is small. All random numbers are hashes of ids, so reruns agree.
+rounded to the nearer side; then at most ``SWAPS`` documents of the root group
+change sides where that brings the source's total nearer to its target. The
+larger documents are settled first, so what is left is small. All random
+numbers are hashes of ids, so reruns agree.
 
 Defined results: a null text has size 0; documents of size 0 take 0 words;
 null sources form one source; repeated rows are rounded as rows of their own
@@ -35,6 +37,8 @@ from tessera.llm.common import Scratch, table
 
 #: Documents of a bucket, and residuals that meet in one group of the tree.
 FAN = 400
+#: Documents of a source's root group that may change sides to close the last gap.
+SWAPS = 3
 WEIGHTS = (5, 2, 1)
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -137,6 +141,28 @@ def _group(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.drop(columns="_i")
 
 
+def close_gap(sizes: np.ndarray, free: np.ndarray, p: np.ndarray, goal: float) -> np.ndarray:
+    """Rounds what is fractional, then flips up to SWAPS ``free`` entries, each the one that brings sum(p * sizes) nearest to ``goal``."""
+    p = np.where(p < 0.5, 0.0, 1.0)
+    for _ in range(SWAPS):
+        gap = goal - float((p * sizes).sum())
+        after = np.abs(gap - np.where(p == 0, sizes, -sizes))
+        after[~free] = np.inf
+        best = int(after.argmin()) if len(after) else 0
+        if not len(after) or after[best] >= abs(gap):
+            break
+        p[best] = 1 - p[best]
+    return p
+
+
+def _root(pdf: pd.DataFrame) -> pd.DataFrame:
+    start = pdf["p"].to_numpy(dtype=float)
+    goal, free = float((start * pdf["size"].to_numpy()).sum()), dict(zip(pdf.index, (start > 0) & (start < 1), strict=True))
+    out = _group(pdf)
+    out["p"] = close_gap(out["size"].to_numpy(dtype=float), np.array([free[i] for i in out.index], dtype=bool), out["p"].to_numpy(), goal)
+    return out
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) of each row."""
     scratch = Scratch(docs.sparkSession, "mix")
@@ -154,11 +180,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     most_buckets = math.ceil((goal.agg(F.max("docs")).first()[0] or 0) / FAN)
     settled, k = [], 0
     while True:
-        done = scratch.put(f"level{k}", level.groupBy("source", "bucket").applyInPandas(_group, _ROW))
+        root = most_buckets <= 1
+        done = scratch.put(f"level{k}", level.groupBy("source", "bucket").applyInPandas(_root if root else _group, _ROW))
         open_ = (F.col("p") > 0) & (F.col("p") < 1)
         settled.append(done.where(~open_))
-        if most_buckets <= 1:
-            settled.append(done.where(open_).withColumn("p", F.round("p")))
+        if root:
             break
         level = done.where(open_).withColumn("bucket", F.floor(F.col("bucket") / FAN).cast("bigint"))
         most_buckets, k = math.ceil(most_buckets / FAN), k + 1
