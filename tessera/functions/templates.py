@@ -75,8 +75,8 @@ graph TD
 ## 十七、 代码来源依据
 {sources}"""
 NO_URLS, NO_TABLES, NO_FLOW = "- 暂无路由接口映射\n", "- 暂无关联数据表操作\n", "  Start --> Process --> End\n"
-# Publication pages.
-MAIN_INDEX = """# 代码洞察平台知识索引
+# Publication pages; {product} is a parameter.
+MAIN_INDEX = """# {product}知识索引
 
 本目录包含系统代码解析生成的完整架构和模块说明文档。
 
@@ -88,7 +88,7 @@ MAIN_INDEX = """# 代码洞察平台知识索引
 - [依赖与调用链路](dependency-index.md)
 - [待确认事项清单](pending-confirmation.md)
 """
-MODULE_INDEX = "# 模块知识归纳索引\n\n本知识库由代码洞察平台基于大模型及静态解析自动归纳生成。\n\n## 系统模块列表\n"
+MODULE_INDEX = "# 模块知识归纳索引\n\n本知识库由{product}基于大模型及静态解析自动归纳生成。\n\n## 系统模块列表\n"
 DATABASE_INDEX = "# 数据库操作与表关联索引 (Database Index)\n\n| 涉及数据表 | 模块名称 | 操作方法 |\n| --- | --- | --- |\n"
 DEPENDENCY_INDEX = "# 模块调用与类依赖链路 (Dependency Index)\n\n| 涉及类名 | 模块名称 | 依赖的其他类 |\n| --- | --- | --- |\n"
 PENDING_INDEX = "# 待确认事项汇总清单\n\n"

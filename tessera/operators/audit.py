@@ -52,7 +52,7 @@ def daily_trend(usage: DataFrame, as_of: Column | str, days: int = 7) -> DataFra
     spine = usage.sparkSession.range(1).select(F.explode(F.sequence(F.date_sub(F.to_date(as_of), days - 1), F.to_date(as_of))).alias("day"))
     recent = usage.where((F.to_date("created_at") > F.date_sub(F.to_date(as_of), days)) & (F.to_date("created_at") <= F.to_date(as_of)))
     sums = recent.groupBy(F.to_date("created_at").alias("day")).agg(F.sum("total_tokens").alias("t"))
-    return F.broadcast(spine).join(sums, "day", "left").select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.coalesce("t", F.lit(0)).cast("bigint").alias("tokens"))
+    return spine.join(sums, "day", "left").select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.coalesce("t", F.lit(0)).cast("bigint").alias("tokens"))
 
 
 def task_cumulative(usage: DataFrame) -> DataFrame:

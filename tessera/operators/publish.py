@@ -115,8 +115,9 @@ def push_gate(documents: DataFrame, version_col: str = "version_id") -> DataFram
     return g.select(version_col, F.when(F.col("a"), 1).when(F.col("b"), 2).when(F.col("c"), 3).otherwise(0).alias("gate"))
 
 
-def publication(drafts_: DataFrame, ref: DataFrame) -> DataFrame:
-    """(path, content) of the index files and modules of ``drafts_`` (id, module_name, file_path, content)."""
+def publication(drafts_: DataFrame, ref: DataFrame, product: str = "平台", folder: str = "docs/knowledge") -> DataFrame:
+    """(path, content) of the index files and modules of ``drafts_`` (id, module_name, file_path, content).
+    ``product`` is named in the pages, ``folder`` in the module map."""
     spark, one = drafts_.sparkSession, F.lit(1)
     name = file_name(F.col("module_name"))
     d = drafts_.withColumn("_file", F.concat(name, F.lit(".md"))).withColumn("_k", one)
@@ -128,10 +129,10 @@ def publication(drafts_: DataFrame, ref: DataFrame) -> DataFrame:
 
     cells = lambda *c: F.concat(F.lit("| "), F.concat_ws(" | ", *c), F.lit(" |\n"))
     tick = lambda c: F.concat(F.lit("`"), F.col(c), F.lit("`"))
-    out = spark.createDataFrame([("index.md", T.MAIN_INDEX)], "path string, content string")
+    out = spark.createDataFrame([("index.md", T.MAIN_INDEX.replace("{product}", product))], "path string, content string")
     parts = [
-        document("module-index.md", T.MODULE_INDEX, d, ["id"], F.concat(F.lit("- ["), "module_name", F.lit("](modules/"), "_file", F.lit(")\n"))),
-        document("meta/module-map.yaml", "modules:\n", d, ["id"], F.concat(F.lit('  - name: "'), "module_name", F.lit('"\n    path: "docs/code-insight/modules/'), "_file", F.lit('"\n'))),
+        document("module-index.md", T.MODULE_INDEX.replace("{product}", product), d, ["id"], F.concat(F.lit("- ["), "module_name", F.lit("](modules/"), "_file", F.lit(")\n"))),
+        document("meta/module-map.yaml", "modules:\n", d, ["id"], F.concat(F.lit('  - name: "'), "module_name", F.lit(f'"\n    path: "{folder}/modules/'), "_file", F.lit('"\n'))),
         document("api-index.md", "# 系统接口路由索引 (API Index)\n\n", api_index(ref), ["draft_id", "reference_id", "place"], cells("module_name", tick("url"), tick("http_method"), tick("method")), T.NO_API),
         document("database-index.md", T.DATABASE_INDEX, database_index(ref), ["draft_id", "reference_id", "place"], cells(tick("table"), "module_name", F.concat("class_type", F.lit(" 类操作"))), T.NO_ROWS),
         document("dependency-index.md", T.DEPENDENCY_INDEX, dependency_index(ref), ["draft_id", "reference_id"], cells(tick("class_name"), "module_name", tick("dependencies")), T.NO_ROWS),

@@ -40,7 +40,7 @@ def write_documents(documents: DataFrame, root: str) -> None:
     documents.select("path", "content").foreachPartition(work)
 
 
-def zip_documents(documents: DataFrame, prefix: str = "code-insight/") -> bytes:
+def zip_documents(documents: DataFrame, prefix: str = "knowledge/") -> bytes:
     """An archive of one publication: its rows come to the driver one partition at a time."""
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
