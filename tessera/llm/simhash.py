@@ -17,6 +17,12 @@ size; each block is verified by itself, and blocks that share a bucket meet
 pairwise, so that neither a bucket nor its pairs have to fit a task: a block
 gives at most one link for each row. Components come from those links.
 
+Verification may ask for more than the fingerprint's distance: with ``verify``
+= (shingle, bits) each text also carries a signature of 256 bits, the
+fingerprint's rule over shingles of that many words with four hashes made from
+each, and two texts link only if their signatures differ in at most ``bits``
+bits as well. Short shingles find candidates whose long shingles then decide.
+
 Defined results: repeated rows each get their row; rows whose id is null get
 the component of the other rows with their fingerprint's component (null if
 there is none); an empty table gives an empty result; other columns, whatever
@@ -44,33 +50,59 @@ PROBE_COST = 500.0
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
     """The fingerprint as an unsigned integer."""
+    return int(signature(text, shingle, 1)[0])
+
+
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Further hashes of hashes: for k = 0 themselves, else the finaliser of splitmix64 after a step of k."""
+    if not k:
+        return h
+    z = h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def signature(text: str | None, shingle: int, words64: int) -> np.ndarray:
+    """``words64`` words of 64 bits by the fingerprint's rule; the first is the fingerprint."""
     import xxhash
 
     words = (text or "").encode("utf-8").lower().split()
     if not words:
-        return 0
+        return np.zeros(words64, dtype=np.uint64)
     h = partial(xxhash.xxh64_intdigest, seed=SEED)
     if len(words) < shingle:
-        return h(b" ".join(words))
-    # The same words shifted by 0..shingle-1 give the shingles.
-    hashes = map(h, map(b" ".join, zip(*(islice(words, k, None) for k in range(shingle)), strict=False)))
-    counts, n = np.zeros(BITS, dtype=np.int64), len(words) - shingle + 1
+        hashes = iter([h(b" ".join(words))])
+    else:  # the same words shifted by 0..shingle-1 give the shingles
+        hashes = map(h, map(b" ".join, zip(*(islice(words, k, None) for k in range(shingle)), strict=False)))
+    counts, n = np.zeros((words64, BITS), dtype=np.int64), max(1, len(words) - shingle + 1)
     while len(part := np.fromiter(islice(hashes, AT_ONCE), dtype="<u8")):
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+        for k in range(words64):
+            bits = np.unpackbits(_mixed(part, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts[k] += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > n, axis=1, bitorder="little").view("<u8").ravel()
+
 
+#: Columns of a signature used for verification.
+SIGNATURE = ["s0", "s1", "s2", "s3"]
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): fp holds the fingerprint's 64 bits as a signed bigint."""
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, verify: int | None = None) -> DataFrame:
+    """(doc_id, fp, ...): fp holds the fingerprint's 64 bits as a signed bigint; with ``verify``, the words of its
+    shingle, s0..s3 hold the signature."""
+    more = SIGNATURE if verify else []
 
     def work(batches):
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in part.column(1)), dtype=np.uint64, count=part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+                texts = part.column(1).to_pylist()
+                fp = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64)
+                sig = np.stack([signature(t, verify, len(more)) for t in texts]) if more else np.zeros((len(texts), 0), np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64)), *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in sig.T]], names=["doc_id", "fp", *more])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, "doc_id bigint, fp bigint")
+    schema = "".join(f", {c} bigint" for c in more)
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, f"doc_id bigint, fp bigint{schema}")
 
 
 # --- partitions and thresholds -------------------------------------------------
@@ -167,44 +199,60 @@ def _extract(fp: np.ndarray, bits: list[int]) -> np.ndarray:
 
 
 def entries(nodes: DataFrame, searched: list[tuple[list[int], int]]) -> DataFrame:
-    """(part, bits, fp, rep, home): each node's own bucket in every partition, and its probes."""
+    """(part, bits, fp, rep, home, signature): each node's own bucket in every partition, and its probes."""
     balls = [np.array(ball(len(bits), t), dtype=np.int64) for bits, t in searched]
+    more = [c for c in SIGNATURE if c in nodes.columns]
 
     def work(batches):
         for b in batches:
-            fps, reps = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            for at in range(0, len(fps), 1 << 14):
-                fp, rep = fps[at : at + (1 << 14)], reps[at : at + (1 << 14)]
+            data = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
+            for at in range(0, b.num_rows, 1 << 13):
+                fp, rep, *sig = (c[at : at + (1 << 13)] for c in data)
                 for k, (bits, _) in enumerate(searched):
                     own, masks = _extract(fp.view(np.uint64), bits), balls[k]
                     m = len(masks)
-                    cols = [np.full(len(fp) * m, k, dtype=np.int32), (own[:, None] ^ masks).ravel(), fp.repeat(m), rep.repeat(m), np.tile(masks == 0, len(fp))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["part", "bits", "fp", "rep", "home"])
+                    cols = [np.full(len(fp) * m, k, dtype=np.int32), (own[:, None] ^ masks).ravel(), fp.repeat(m), rep.repeat(m), np.tile(masks == 0, len(fp)), *[c.repeat(m) for c in sig]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["part", "bits", "fp", "rep", "home", *more])
+
+    return nodes.select("fp", "rep", *more).mapInArrow(work, "part int, bits bigint, fp bigint, rep bigint, home boolean" + "".join(f", {c} bigint" for c in more))
+
+
+class Rule:
+    """When two entries link: distance of fingerprints, and of signatures where there are any."""
+
+    def __init__(self, distance: int, bits: int | None = None):
+        self.distance, self.bits = distance, bits
 
-    return nodes.select("fp", "rep").mapInArrow(work, "part int, bits bigint, fp bigint, rep bigint, home boolean")
+    def also(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64) <= self.bits
 
 
-def _links_of_small(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, home: np.ndarray, size: np.ndarray, distance: int) -> list[np.ndarray]:
+def _links_of_small(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, home: np.ndarray, sig: np.ndarray, size: np.ndarray, rule: Rule) -> list[np.ndarray]:
     """Links within runs of equal keys of at most SMALL rows: each row against those 1, 2, ... behind."""
     out = []
     for d in range(1, SMALL):
         keep = size > d
         if not keep.any():
             break
-        key, fp, rep, home, size = (x[keep] for x in (key, fp, rep, home, size))
-        near = (key[d:] == key[:-d]) & (home[d:] | home[:-d]) & (np.bitwise_count(fp[d:] ^ fp[:-d]) <= distance)
+        key, fp, rep, home, sig, size = (x[keep] for x in (key, fp, rep, home, sig, size))
+        near = (key[d:] == key[:-d]) & (home[d:] | home[:-d]) & (np.bitwise_count(fp[d:] ^ fp[:-d]) <= rule.distance)
         i = np.flatnonzero(near)
+        if rule.bits is not None:
+            i = i[rule.also(sig[i], sig[i + d])]
         if len(i):
             out.append(np.stack([rep[i], rep[i + d]]))
     return out
 
 
-def spanning(fp: np.ndarray, rep: np.ndarray, home: np.ndarray, distance: int) -> list[np.ndarray]:
+def spanning(fp: np.ndarray, rep: np.ndarray, home: np.ndarray, sig: np.ndarray, rule: Rule) -> list[np.ndarray]:
     """Links that join every two rows linked within this block, at most one for each row:
     a home row is compared with all, and links inside a group already joined are not repeated."""
     mark, out = np.arange(len(fp)), []
     for i in np.flatnonzero(home):
-        other = np.flatnonzero((np.bitwise_count(fp ^ fp[i]) <= distance) & (mark != mark[i]))
+        other = np.flatnonzero(np.bitwise_count(fp ^ fp[i]) <= rule.distance)
+        other = other[mark[other] != mark[i]]
+        if rule.bits is not None and len(other):
+            other = other[rule.also(sig[other], sig[i])]
         if len(other):
             marks, first = np.unique(mark[other], return_index=True)
             to = other[first]
@@ -215,12 +263,12 @@ def spanning(fp: np.ndarray, rep: np.ndarray, home: np.ndarray, distance: int) -
     return out
 
 
-def _pack(part: int, bits: int, block: int, fp: np.ndarray, rep: np.ndarray, home: np.ndarray) -> dict:
-    return {"part": part, "bits": bits, "block": block, "u": None, "v": None, "fps": fp.astype("<u8").tobytes(), "reps": rep.astype("<i8").tobytes(), "homes": np.packbits(home).tobytes()}
+def _pack(part: int, bits: int, block: int, fp: np.ndarray, rep: np.ndarray, home: np.ndarray, sig: np.ndarray) -> dict:
+    return {"part": part, "bits": bits, "block": block, "u": None, "v": None, "fps": fp.astype("<u8").tobytes(), "reps": rep.astype("<i8").tobytes(), "homes": np.packbits(home).tobytes(), "sigs": np.ascontiguousarray(sig).astype("<u8").tobytes()}
 
 
-_FOUND = pa.schema([("part", pa.int32()), ("bits", pa.int64()), ("block", pa.int64()), ("u", pa.int64()), ("v", pa.int64()), ("fps", pa.binary()), ("reps", pa.binary()), ("homes", pa.binary())])
-_FOUND_SQL = "part int, bits bigint, block bigint, u bigint, v bigint, fps binary, reps binary, homes binary"
+_FOUND = pa.schema([("part", pa.int32()), ("bits", pa.int64()), ("block", pa.int64()), ("u", pa.int64()), ("v", pa.int64()), ("fps", pa.binary()), ("reps", pa.binary()), ("homes", pa.binary()), ("sigs", pa.binary())])
+_FOUND_SQL = "part int, bits bigint, block bigint, u bigint, v bigint, fps binary, reps binary, homes binary, sigs binary"
 
 
 def _links_batch(links: list[np.ndarray]):
@@ -232,7 +280,7 @@ def _links_batch(links: list[np.ndarray]):
         yield pa.RecordBatch.from_arrays(none, schema=_FOUND)
 
 
-def _first_pass(distance: int):
+def _first_pass(rule: Rule):
     """Over rows sorted by bucket: links inside blocks, and the blocks of buckets that may go on elsewhere."""
 
     def work(batches):
@@ -245,15 +293,16 @@ def _first_pass(distance: int):
         def block(cols, open_bucket: bool):
             """One block of one bucket: its links, and itself if the bucket has other blocks."""
             nonlocal serial
-            part, bits, fp, rep, home = cols
+            part, bits, fp, rep, home, sig = cols
             serial += 1
-            yield from _links_batch(spanning(fp, rep, home, distance))
+            yield from _links_batch(spanning(fp, rep, home, sig, rule))
             if open_bucket:
-                yield pa.RecordBatch.from_pylist([_pack(int(part[0]), int(bits[0]), (task << 32) + serial, fp, rep, home)], schema=_FOUND)
+                yield pa.RecordBatch.from_pylist([_pack(int(part[0]), int(bits[0]), (task << 32) + serial, fp, rep, home, sig)], schema=_FOUND)
 
         for b in batches:
-            cols = tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            cols = (cols[0], cols[1], cols[2].view(np.uint64), cols[3], cols[4].astype(bool))
+            data = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
+            sig = np.stack([c.view(np.uint64) for c in data[5:]], axis=1) if len(data) > 5 else np.zeros((len(data[0]), 0), np.uint64)
+            cols = (data[0], data[1], data[2].view(np.uint64), data[3], data[4].astype(bool), sig)
             if not len(cols[0]):
                 continue
             if held is not None:
@@ -269,7 +318,7 @@ def _first_pass(distance: int):
             if small.any():
                 take = np.flatnonzero(small.repeat(sizes))
                 gid = np.arange(len(starts)).repeat(sizes)[take]
-                yield from _links_batch(_links_of_small(gid, cols[2][take], cols[3][take], cols[4][take], sizes[gid], distance))
+                yield from _links_batch(_links_of_small(gid, cols[2][take], cols[3][take], cols[4][take], cols[5][take], sizes[gid], rule))
             large = sizes > SMALL
             large[0] |= at_start
             for g in np.flatnonzero(large[:last]):
@@ -290,7 +339,7 @@ def _first_pass(distance: int):
     return work
 
 
-def _second_pass(distance: int):
+def _second_pass(rule: Rule):
     """Pairs of blocks of one bucket."""
 
     def work(batches):
@@ -299,7 +348,8 @@ def _second_pass(distance: int):
                 fp = np.concatenate([np.frombuffer(row[k], dtype="<u8") for k in ("fps", "fps2")])
                 rep = np.concatenate([np.frombuffer(row[k], dtype="<i8") for k in ("reps", "reps2")])
                 home = np.concatenate([np.unpackbits(np.frombuffer(row[k], dtype=np.uint8))[: len(row[f]) // 8].astype(bool) for k, f in (("homes", "fps"), ("homes2", "fps2"))])
-                links = spanning(fp, rep, home, distance)
+                sig = np.concatenate([np.frombuffer(row[k], dtype="<u8").reshape(len(row[f]) // 8, -1) for k, f in (("sigs", "fps"), ("sigs2", "fps2"))])
+                links = spanning(fp, rep, home, sig, rule)
                 if links:
                     u, v = np.concatenate(links, axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
@@ -307,35 +357,36 @@ def _second_pass(distance: int):
     return work
 
 
-def links(nodes: DataFrame, distance: int, scratch: Scratch) -> DataFrame:
-    """(u, v): links between nodes (fp, rep) that join all within ``distance``, not every pair of them."""
+def links(nodes: DataFrame, distance: int, scratch: Scratch, bits: int | None = None) -> DataFrame:
+    """(u, v): links between nodes (fp, rep) that join all within ``distance``, not every pair of them; with ``bits``,
+    nodes also have a signature, and linked ones differ in at most so many of its bits."""
     spark = nodes.sparkSession
     n, both = bit_statistics(nodes)
     if n < 2:
         return spark.createDataFrame([], "u bigint, v bigint")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = entries(nodes, plan(n, both, distance)).repartitionByRange(parts, "part", "bits", "fp", "home").sortWithinPartitions("part", "bits", "fp", "home")
-    found = scratch.put("found", rows.mapInArrow(_first_pass(distance), _FOUND_SQL))
-    blocks = found.where("block is not null").select("part", "bits", "block", "fps", "reps", "homes")
+    found = scratch.put("found", rows.mapInArrow(_first_pass(Rule(distance, bits)), _FOUND_SQL))
+    blocks = found.where("block is not null").select("part", "bits", "block", "fps", "reps", "homes", "sigs")
     heads = blocks.select("part", "bits", "block")
     pairs = heads.join(heads.withColumnRenamed("block", "block2"), ["part", "bits"]).where("block < block2").select("block", "block2")
-    payload = blocks.select("block", "fps", "reps", "homes")
-    both_blocks = pairs.join(payload, "block").join(payload.toDF("block2", "fps2", "reps2", "homes2"), "block2")
-    met = both_blocks.mapInArrow(_second_pass(distance), "u bigint, v bigint")
+    payload = blocks.select("block", "fps", "reps", "homes", "sigs")
+    both_blocks = pairs.join(payload, "block").join(payload.toDF("block2", "fps2", "reps2", "homes2", "sigs2"), "block2")
+    met = both_blocks.mapInArrow(_second_pass(Rule(distance, bits)), "u bigint, v bigint")
     return found.where("u is not null").select("u", "v").unionAll(met)
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, verify: tuple[int, int] | None = None) -> DataFrame:
     """(doc_id, fp, component_id) of each row; component_id is the smallest id reachable by links."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    rows = scratch.put("rows", fingerprints(docs, id_col, text_col, shingle))
-    nodes = scratch.put("nodes", rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
-    found = connected_components(links(nodes.where("rep is not null"), distance, scratch), scratch)
-    # Only fingerprints of several rows, or with links, change an id; both inputs of the join are scans.
-    told = nodes.join(found, nodes.rep == found.node, "left").select("fp", "n", "rep", F.coalesce("component", "rep").alias("c")).where("n > 1 or c <> rep or rep is null")
-    told = scratch.put("told", told.select(F.col("fp").alias("fp2"), "c"))
-    out = rows.join(told, rows.fp == told.fp2, "left")
-    return out.select("doc_id", "fp", F.coalesce("c", "doc_id").alias("component_id"))
+    rows = scratch.put("rows", fingerprints(docs, id_col, text_col, shingle, verify[0] if verify else None))
+    key = [c for c in rows.columns if c != "doc_id"]
+    nodes = scratch.put("nodes", rows.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    found = connected_components(links(nodes.where("rep is not null"), distance, scratch, verify[1] if verify else None), scratch)
+    # Only nodes of several rows, or with links, change an id; both inputs of the join are scans.
+    told = nodes.join(found, nodes.rep == found.node, "left").select(*key, "n", "rep", F.coalesce("component", "rep").alias("c")).where("n > 1 or c <> rep or rep is null")
+    told = scratch.put("told", told.select(*key, "c"))
+    return rows.join(told, key, "left").select("doc_id", "fp", F.coalesce("c", "doc_id").alias("component_id"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

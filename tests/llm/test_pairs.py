@@ -72,6 +72,27 @@ def test_thresholds_cover_every_pair():
             assert sum(t + 1 for _, t in chosen) == distance + 1  # general pigeonhole
 
 
+@pytest.mark.parametrize("block", [4096, 16])
+def test_verified_links(spark, monkeypatch, block):
+    """Fingerprints of short shingles find, signatures of long ones decide: as all pairs do."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    r = np.random.default_rng(7)
+    base = [[f"w{int(k)}" for k in r.integers(0, 3000, 120)] for _ in range(8)]
+    texts = []
+    for i in range(240):
+        t = list(base[i % 8])
+        for k in r.choice(120, int(r.integers(0, 9)), replace=False):
+            t[int(k)] = f"x{int(r.integers(9000))}"
+        texts.append(" ".join(t))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(900, ""), (901, None)], "doc_id bigint, text string")
+    got = {x.doc_id: x.component_id for x in simhash.components(df, shingle=2, distance=8, verify=(5, 46)).collect()}
+    sigs, fps = np.stack([simhash.signature(t, 5, 4) for t in texts]), np.array([simhash.fingerprint(t, 2) for t in texts], dtype=np.uint64)
+    near = (np.bitwise_count(fps[:, None] ^ fps[None]) <= 8) & (np.bitwise_count(sigs[:, None] ^ sigs[None]).sum(axis=2, dtype=int) <= 46)
+    want = groups(list(range(240)), [(int(a), int(b)) for a, b in np.argwhere(near)])
+    assert {i: got[i] for i in range(240)} == want and got[901] == got[900] == 900
+    assert 8 <= len(set(want.values())) < 240 and int(sigs[0][0]) == simhash.fingerprint(texts[0], 5)
+
+
 def test_simhash_of_documents(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(5, text, 1), (3, text, 1), (9, text + " x", 1), (4, None, 1), (8, "", 1), (2, "one two", 1), (2, "one two", 1), (None, text, 1)]

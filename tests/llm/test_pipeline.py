@@ -34,11 +34,30 @@ def test_quality(spark, stages):
 def test_near_duplicates(stages):
     docs, out = stages["near_duplicates"]
     groups = {}
-    for r in simhash.components(docs, shingle=5).collect():
+    for r in simhash.components(docs, shingle=pipeline.SHINGLE, distance=pipeline.DISTANCE, verify=pipeline.VERIFY).collect():
         groups.setdefault(r.component_id, []).append(r.doc_id)
     assert sorted(r.doc_id for r in out.collect()) == sorted(groups)
 
 
+def test_edited_copies_go_and_clean_documents_stay(spark):
+    """Copies with a shingle similarity of 0.85 and more leave one; unlike texts all stay."""
+    import random
+
+    r = random.Random(5)
+    texts, kinds = [], []
+    for k in range(12):
+        base = [f"w{r.randrange(4000)}" for _ in range(150)]
+        for c in range(4):
+            t = list(base)
+            for _ in range(c):
+                t[r.randrange(150)] = f"x{r.randrange(10**6)}"
+            texts.append(" ".join(t))
+            kinds.append(k)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = [kinds[x.doc_id] for x in pipeline.near_duplicate_stage(spark, docs, SF).collect()]
+    assert sorted(set(kept)) == list(range(12)) and len(kept) <= 14
+
+
 def test_secrets(spark, stages):
     docs, out = stages["secrets"]
     assert out.count() == docs.count()
