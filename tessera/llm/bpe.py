@@ -21,7 +21,7 @@ import base64
 import codecs
 import hashlib
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -153,9 +153,12 @@ class Encoder:
             yield text[at:end].split(" ")
             at = end
 
-    def batch(self, texts: list[str | None]) -> Iterator[list[str]]:
+    def batch(self, texts: list[str | None]) -> Iterator[Iterable[str]]:
         """For each text its ids as decimal digits, in one or more comma-joined runs."""
         for group in self._groups(texts):
+            if len(group[0]) > _CHARS_AT_ONCE:  # alone in its group: run by run, as the caller reads on
+                yield self._whole(group[0])
+                continue
             cut = [list(self._cut(t)) if self.cuts else [] for t in group]
             self._learn(self.words, {w for runs in cut for run in runs for w in run[1:]})
             self._learn(self.pieces, {p for runs in cut for run in runs for p in self.find.findall(run[0])})
@@ -192,7 +195,7 @@ class Encoder:
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, map(str, ids)))
 
-    def digests(self, runs: list[str]) -> tuple[int, str, str]:
+    def digests(self, runs: Iterable[str]) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the joined decimal ids, SHA-256 of the decoded ids."""
         n, a, b = 0, hashlib.sha256(), hashlib.sha256()
         for run in filter(None, runs):

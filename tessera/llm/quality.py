@@ -32,7 +32,7 @@ from tessera.llm.common import fold, labelled_sample, table
 
 #: Labelled documents to fit on, and lines of each of them.
 SAMPLE, TRAIN_LINES = 3000, 100
-#: Bytes worked on at once; longer texts are walked line by line in pieces of about this size.
+#: Characters worked on at once; longer texts are walked in pieces of whole lines of at most this size.
 AT_ONCE = 2_000_000
 #: Weight of a good document against a bad one in the curve: losing a good one is the worse error.
 KEEP = 8.0
@@ -47,6 +47,7 @@ _CLASS[4, [9, 11, 12, 13, 32]] = 1  # blanks
 _CLASS[5, [33, 124]] = 1  # ! and |
 _MIX = np.random.default_rng(7).integers(1, 1 << 62, 256, dtype=np.int64)
 STEPS = (0.02, 0.1, 0.3, 0.6)
+AGAIN = 4  # place of the feature of repeated lines
 
 
 def _lines(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,8 +56,31 @@ def _lines(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.r_[0, ends[:-1] + 1], ends
 
 
+def _pieces(text: str | None) -> Iterator[str]:
+    """The text in pieces of at most AT_ONCE characters that end at line feeds; a longer line counts as several."""
+    text, at = text or "", 0
+    while len(text) - at > AT_ONCE:
+        end = text.rfind("\n", at, at + AT_ONCE)
+        yield text[at : end if end >= at else at + AT_ONCE]
+        at = end + 1 if end >= at else at + AT_ONCE
+    yield text[at:]
+
+
 def line_statistics(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(own features of each line, its length in bytes, lines of each text)."""
+    pieces = [(k, p) for k, t in enumerate(texts) for p in _pieces(t)]
+    got = [_statistics(g) for g in groups([p for _, p in pieces])]
+    own, length, lines, words, line_hash = (np.concatenate(x) for x in zip(*got, strict=True))
+    per_text = np.bincount([k for k, _ in pieces], weights=lines, minlength=len(texts)).astype(np.int64)
+    # Lines that repeat an earlier line of their text.
+    doc = np.repeat(np.arange(len(texts)), per_text)
+    order = np.lexsort((np.arange(len(doc)), line_hash, doc))
+    own[order[1:], AGAIN] = (doc[order[1:]] == doc[order[:-1]]) & (line_hash[order[1:]] == line_hash[order[:-1]]) & (words[order[1:]] > 1)
+    return own, length, per_text
+
+
+def _statistics(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """(features but for AGAIN, lengths, lines of each text, words of each line, hash of each line)."""
     raw = [(t or "").encode("utf-8", "replace") for t in texts]
     data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
     starts, ends = _lines(data)
@@ -82,16 +106,11 @@ def line_statistics(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np
         line_hash = np.bincount(line, weights=(h % 1000003) * (1.0 + (np.arange(len(h)) - np.searchsorted(line, line)) % 97), minlength=len(starts))
     else:
         line_hash = np.zeros(len(starts))
-    # Lines that repeat an earlier line of their text.
-    doc = np.repeat(np.arange(len(raw)), per_text)
-    order = np.lexsort((np.arange(len(doc)), line_hash, doc))
-    again = np.zeros(len(doc))
-    again[order[1:]] = (doc[order[1:]] == doc[order[:-1]]) & (line_hash[order[1:]] == line_hash[order[:-1]]) & (words[order[1:]] > 1)
     w = np.maximum(words, 1)
-    columns = [np.ones(len(n)), np.log1p(length) / 6, np.log1p(words) / 4, np.minimum(length / w, 30) / 10, again, words == 0]
+    columns = [np.ones(len(n)), np.log1p(length) / 6, np.log1p(words) / 4, np.minimum(length / w, 30) / 10, np.zeros(len(n)), words == 0]
     for s in [*share, repeats / w, share[5] * length / w]:
         columns += [s, *[(s > k).astype(float) for k in STEPS]]
-    return np.stack([np.asarray(c, dtype=np.float32) for c in columns], axis=1), length, per_text
+    return np.stack([np.asarray(c, dtype=np.float32) for c in columns], axis=1), length, per_text, words, line_hash
 
 
 def with_neighbours(own: np.ndarray, per_text: np.ndarray) -> np.ndarray:

@@ -31,8 +31,9 @@ their names, are not read. Texts of any length take bounded memory.
 
 from __future__ import annotations
 
+import re
 from functools import partial
-from itertools import islice
+from itertools import islice, tee
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,9 @@ from tessera.llm.common import Scratch, connected_components, table
 BITS, SEED = 64, 42
 #: Rows of a block; groups up to SMALL rows are compared by shifted arrays; shingles hashed at once.
 BLOCK, SMALL, AT_ONCE = 4096, 24, 1 << 15
+#: Bytes above which a text's words are found one after the other instead of all at once.
+LONG = 1 << 22
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Cost of a probe row against that of one comparison.
 PROBE_COST = 500.0
 
@@ -63,20 +67,27 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+def _words(data: bytes):
+    return (m[0] for m in _WORD.finditer(data))
+
+
 def signature(text: str | None, shingle: int, words64: int) -> np.ndarray:
     """``words64`` words of 64 bits by the fingerprint's rule; the first is the fingerprint."""
     import xxhash
 
-    words = (text or "").encode("utf-8").lower().split()
-    if not words:
+    data = (text or "").encode("utf-8").lower()
+    first = list(islice(_words(data), shingle))
+    if not first:
         return np.zeros(words64, dtype=np.uint64)
     h = partial(xxhash.xxh64_intdigest, seed=SEED)
-    if len(words) < shingle:
-        hashes = iter([h(b" ".join(words))])
+    if len(first) < shingle:
+        hashes = iter([h(b" ".join(first))])
     else:  # the same words shifted by 0..shingle-1 give the shingles
-        hashes = map(h, map(b" ".join, zip(*(islice(words, k, None) for k in range(shingle)), strict=False)))
-    counts, n = np.zeros((words64, BITS), dtype=np.int64), max(1, len(words) - shingle + 1)
+        streams = [data.split()] * shingle if len(data) <= LONG else tee(_words(data), shingle)
+        hashes = map(h, map(b" ".join, zip(*(islice(words, k, None) for k, words in enumerate(streams)), strict=False)))
+    counts, n = np.zeros((words64, BITS), dtype=np.int64), 0
     while len(part := np.fromiter(islice(hashes, AT_ONCE), dtype="<u8")):
+        n += len(part)
         for k in range(words64):
             bits = np.unpackbits(_mixed(part, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             counts[k] += bits.sum(axis=0, dtype=np.int64)

@@ -44,6 +44,7 @@ def test_random_texts(encoder, reference, text):
 def test_memory_is_bounded_and_harmless(coder, reference, monkeypatch):
     monkeypatch.setattr(bpe, "_MEMORY", 20)
     monkeypatch.setattr(bpe, "_RUN", 5)
+    monkeypatch.setattr(bpe, "_CHARS_AT_ONCE", 900)
     e = coder.worker()
     text = " ".join(f"word{i} x" for i in range(300)) + "  end"
     assert e.encode(text) == reference.encode_ordinary(text) and e.encode(text[:-5]) == reference.encode_ordinary(text[:-5])

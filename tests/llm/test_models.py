@@ -52,6 +52,23 @@ def test_line_statistics_do_not_depend_on_the_batch():
         at += n
 
 
+def test_long_texts_are_scored_in_pieces_as_wholes(monkeypatch):
+    lines = [f"line {k % 7} of it | x" * (k % 3 + 1) for k in range(90)]
+    text = "\n".join(lines)
+    whole = quality.line_statistics([text, "a"])
+    monkeypatch.setattr(quality, "AT_ONCE", 100)
+    for x, y in zip(quality.line_statistics([text, "a"]), whole, strict=True):
+        assert np.allclose(x, y)
+    net = toxicity.fit([["a", "bad"], ["a"], ["b", "bad"], ["b"]] * 5, [1, 0, 1, 0] * 5, epochs=2)
+    for n in (31, 32, 33, 100, 104, 105, 128, 200, 201, 500):
+        t = " ".join(f"w{k % 13}" if k % 71 else "bad" for k in range(n))
+        monkeypatch.setattr(toxicity, "PIECE", 10**6)
+        one = toxicity.Scorer(net).score([t])
+        monkeypatch.setattr(toxicity, "PIECE", 10)
+        monkeypatch.setattr(toxicity, "CHUNK", 2)
+        assert np.allclose(one, toxicity.Scorer(net).score([t]), atol=1e-6), n
+
+
 def test_quality_held_out(docs, labels):
     model = quality.train(docs, labels, keep=fold("_id", 4) != 2)
     held = labels.where(fold("doc_id", 4) == 2).where("quality is not null")

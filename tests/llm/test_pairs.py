@@ -30,7 +30,10 @@ def naive_fingerprint(text, k):
 
 
 @pytest.mark.parametrize("text", ["", None, "a", "A b c", "a b c d", "a b c d e \n\t f" * 30, "É x y z w v"])
-def test_fingerprints(spark, text):
+def test_fingerprints(spark, monkeypatch, text):
+    assert simhash.fingerprint(text, 4) == naive_fingerprint(text, 4)
+    monkeypatch.setattr(simhash, "LONG", 3)
+    monkeypatch.setattr(simhash, "AT_ONCE", 2)
     assert simhash.fingerprint(text, 4) == naive_fingerprint(text, 4)
     if text:
         assert spark.range(1).select(F.xxhash64(F.lit(text)).alias("h")).first().h % 2**64 == xxhash.xxh64_intdigest(text.encode(), seed=42)
