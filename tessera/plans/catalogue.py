@@ -536,3 +536,102 @@ def demo_drafts(spark, sf):
     c = chunking.chunks(f).withColumn("module", routing.package_rule(F.col("path")))
     c = c.withColumn("id", F.row_number().over(W.orderBy("path", "start_line", "chunk_type")))  # the demo tree's few chunks
     return publish.drafts(c, parser.parse_files(f), 1)
+
+
+# --- further lookups, defaults and texts ------------------------------------------------
+
+
+@_query("""SELECT CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS system_id, CAST(event_id % 50 AS BIGINT) AS task_id, CASE WHEN event_id % 4 = 0 THEN 'default' ELSE event_type END AS model_name, CAST(1 AS INTEGER) AS prompt_version,
+  CAST(floor(value * 10) AS BIGINT) AS input_tokens, CAST(floor(value * 3) AS BIGINT) AS output_tokens, CAST(floor(value * 10) AS BIGINT) + CAST(floor(value * 3) AS BIGINT) AS total_tokens,
+  CAST(CAST(floor(value * 10) * 2e-6 + floor(value * 3) * 6e-6 AS DECIMAL(18,6)) AS DECIMAL(10,4)) AS cost, CAST(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END AS SMALLINT) AS status FROM events""")
+def usage_records(spark, sf):
+    e = tables.read(spark, sf, "events")
+    k = F.col("event_id")
+    return audit.usage_record(e.select(
+        F.when(k % 3 != 0, F.col("user_id")).alias("system_id"), (k % 50).alias("task_id"), F.when(k % 4 != 0, F.col("event_type")).alias("model_name"), F.lit(None).cast("int").alias("prompt_version"),
+        F.floor(F.col("value") * 10).cast("bigint").alias("input_tokens"), F.floor(F.col("value") * 3).cast("bigint").alias("output_tokens"), (F.col("event_type") != "error").alias("ok"),
+    ))
+
+
+@_query("""WITH l AS (SELECT doc_id, string_split(CASE WHEN text LIKE '%' || chr(10) THEN text[:-2] ELSE text END, chr(10)) AS s FROM documents)
+  SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'class C' || doc_id || ' { /* code stub */ }' ELSE array_to_string(s[2:least(len(s), 4)], chr(10)) || CASE WHEN len(s) >= 2 THEN chr(10) ELSE '' END END AS code FROM l""")
+def chunk_code(spark, sf):
+    f = tables.files(spark, sf)
+    c = f.select("doc_id", "path", F.concat(F.lit("C"), F.col("doc_id").cast("string")).alias("class_name"), F.lit(2).alias("start_line"), F.lit(4).alias("end_line"))
+    return chunking.chunk_content(c, f.where("doc_id % 5 <> 0").select("path", "content")).select("doc_id", "code")
+
+
+@_query("""SELECT o_orderkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'http://own/' || s_suppkey ELSE 'http://base' END AS active_url, CASE WHEN s_suppkey % 2 = 0 THEN 'k' || s_suppkey ELSE 'test-key' END AS active_key,
+  NOT coalesce(s_suppkey % 2 = 0, false) AS mock FROM orders LEFT JOIN supplier ON s_suppkey = o_custkey""")
+def model_config(spark, sf):
+    s = tables.read(spark, sf, "supplier")
+    key = F.col("s_suppkey")
+    models = s.select(key.alias("id"), key.cast("string").alias("identifier"), F.when(key % 3 == 0, F.concat(F.lit("http://own/"), key.cast("string"))).otherwise(" ").alias("base_url"), F.when(key % 2 == 0, F.concat(F.lit("k"), key.cast("string"))).alias("api_key"))
+    t = tables.read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("model_name"))
+    out = prompts.with_model(t, models, "http://base", "test-key")
+    return out.select("id", "active_url", "active_key", prompts.should_mock(F.lit(False), F.col("active_key")).alias("mock"))
+
+
+@_query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 IN (1, 2, 4) THEN 'p' || (o_orderkey % 7) ELSE 'p1' END AS prompt FROM orders""")
+def prompt_choice(spark, sf):
+    rows = [(1, "p1", 1, 1, 1), (2, "p2", 2, 1, 0), (3, "off", 3, 0, 0), (4, "p4", 4, 1, 0), (5, "late", 4, 1, 0)]
+    p = spark.createDataFrame(rows, "id int, content string, version int, status int, is_default int")
+    t = tables.read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 7).cast("int").alias("prompt_version"))
+    return prompts.resolve_prompt(t, p).select("id", "prompt")
+
+
+@_query(f"""WITH {_TASKS} SELECT id, list_filter(['[task:' || id || '] type=T status=' || status, '[system:' || system_id || '] ' || CASE WHEN id % 2 = 0 THEN 'S' ELSE '正在加载系统元数据' END, '[progress] 已完成 5%',
+  CASE WHEN status = 'DRAFT' THEN '[next] 启动任务后将进入执行队列' WHEN status IN ('PENDING','PULLING_CODE','PARSING_CODE','SPLITTING_TASK','AI_ANALYZING','GENERATING_DOC') THEN '[worker] 执行管道运行中，进度正在刷新'
+    WHEN status = 'FAILED' THEN '[error] 未知失败' WHEN status IN ('PENDING_REVIEW','REVIEWING','CONFIRMED','PUSHED') THEN '[result] Markdown 草稿已生成，可进入复核或版本推送' END], lambda x: x IS NOT NULL) AS lines FROM tasks""")
+def status_log_lines(spark, sf):
+    t = tables.tasks(spark, sf).select("id", F.lit("T").alias("type"), "status", "system_id", F.when(F.col("id") % 2 == 0, "S").alias("system_name"), F.lit(5).alias("progress"), F.lit("").alias("error_reason"))
+    return lifecycle.log_lines(t).select("id", "lines")
+
+
+@_query("""SELECT c_custkey AS draft_id, max(CASE WHEN o_orderkey % 4 = 0 THEN 'n' || o_orderkey END) IS NOT NULL AS has, arg_max('t' || o_orderkey, o_orderkey) AS content FROM customer JOIN orders ON o_custkey = c_custkey
+  WHERE o_orderdate > (SELECT max(o_orderdate) FROM orders) - INTERVAL 700 DAY GROUP BY 1""")
+def autosave_latest(spark, sf):
+    o = tables.read(spark, sf, "orders")
+    as_of = F.lit(o.agg(F.max("o_orderdate")).first()[0])
+    w = o.select(F.col("o_custkey").alias("draft_id"), F.col("o_orderkey").alias("k"), F.concat(F.lit("t"), F.col("o_orderkey").cast("string")).alias("content"), F.col("o_orderdate").alias("at"))
+    live = w.where(F.col("at") > as_of - F.expr("INTERVAL 700 DAYS"))
+    has = live.groupBy("draft_id").agg(F.bool_or(F.col("k") % 4 == 0).alias("has"))
+    return lifecycle.autosaves(w.select("draft_id", "content", "at"), as_of, 700).select("draft_id").join(has, "draft_id").join(live.groupBy("draft_id").agg(F.max_by("content", "k").alias("content")), "draft_id")
+
+
+@_query("""SELECT p_partkey, CASE WHEN p_size > 0 THEN printf('%.1fs', p_size * 100 / 1000) ELSE '-' END AS shown, p_size IN (0, 1) AS ok FROM part""")
+def duration_and_domain(spark, sf):
+    p = tables.read(spark, sf, "part")
+    good, bad = lifecycle.status_domain(p, "p_size")
+    both = good.withColumn("ok", F.lit(True)).unionByName(bad.withColumn("ok", F.lit(False)))
+    return both.select("p_partkey", T.duration_text((F.col("p_size") * 100).cast("bigint")).alias("shown"), "ok")
+
+
+@_query("""SELECT s_suppkey, 'Order' || s_suppkey || 'Service' AS class_name, 'count' || s_suppkey AS method_name, ['`repo` (Repo)', '`m` (Map<A, B>)'] AS dependencies FROM supplier""")
+def trial_parse(spark, sf):
+    key = F.col("s_suppkey").cast("string")
+    code = F.concat(F.lit("public class Order"), key, F.lit("Service {\n private final Repo repo;\n protected Map<A, B> m = x;\n public int count"), key, F.lit("(int a) { return 1; }\n}"))
+    return tables.read(spark, sf, "supplier").select("s_suppkey", prompts.trial_report(code, F.lit("m")).alias("r")).select("s_suppkey", "r.class_name", "r.method_name", "r.dependencies")
+
+
+@_query("""SELECT p_partkey, regexp_replace(p_name || ' (A/B)', '[\\s/()]', '_', 'g') AS file, upper(p_brand[1]) || p_brand[2:] AS name FROM part""")
+def file_names(spark, sf):
+    p = tables.read(spark, sf, "part")
+    return p.select("p_partkey", T.file_name(F.concat("p_name", F.lit(" (A/B)"))).alias("file"), T.capitalised(F.col("p_brand")).alias("name"))
+
+
+@_query("""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'a' ELSE 'MODIFIED' END AS change FROM pages WHERE page_id % 3 = 1 AND page_id % 2 <> 0 UNION ALL SELECT page_id, 'ADDED' FROM pages WHERE page_id % 3 = 0 AND page_id % 2 <> 0
+  UNION ALL SELECT page_id, 'DELETED' FROM pages WHERE page_id % 3 = 2""")
+def changed_files(spark, sf):
+    p = tables.read(spark, sf, "pages").select("page_id", F.col("page_id").cast("string").alias("path"), F.md5("html").alias("file_hash"))
+    new = p.where("page_id % 3 <> 2 and (page_id % 3 <> 0 or page_id % 2 <> 0)")
+    old = p.where("page_id % 3 <> 0").withColumn("file_hash", F.when((F.col("page_id") % 3 == 1) & (F.col("page_id") % 2 != 0), F.lit("old")).otherwise(F.col("file_hash")))
+    return source_files.changed_files(new, old).select(F.col("path").cast("bigint").alias("page_id"), "change")
+
+
+@_query("""SELECT s_suppkey AS id, s_name AS name, CAST(s_suppkey % 5 AS INTEGER) AS sort_order FROM supplier ORDER BY sort_order, id DESC LIMIT 10""")
+def model_order(spark, sf):
+    from tessera import api
+
+    m = tables.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 5).cast("int").alias("sort_order"))
+    return api.models(m).limit(10)
