@@ -22,11 +22,17 @@ Verification may ask for more than the fingerprint's distance: with ``verify``
 fingerprint's rule over shingles of that many words with four hashes made from
 each, and two texts link only if their signatures differ in at most ``bits``
 bits as well. Short shingles find candidates whose long shingles then decide.
+With ``verify`` = (shingle, bits, least) the signature, taken over the distinct
+shingles, only rules out pairs that are far apart, and what remains is decided
+by the exact Jaccard similarity of the sets of shingles (as 64-bit hashes):
+two texts link only if it is at least ``least``. Here every candidate pair is
+kept once, by the first partition that finds it, and texts with the same set
+are one node, so pairs grow with the square of a group of differing texts.
 
 Defined results: repeated rows each get their row; rows whose id is null get
 the component of the other rows with their fingerprint's component (null if
 there is none); an empty table gives an empty result; other columns, whatever
-their names, are not read. Texts of any length take bounded memory.
+their names, are not read. Texts of any length take bounded memory, but for the sets, which hold eight bytes a word.
 """
 
 from __future__ import annotations
@@ -45,6 +51,8 @@ from tessera.llm.common import Scratch, connected_components, table
 BITS, SEED = 64, 42
 #: Rows of a block; groups up to SMALL rows are compared by shifted arrays; shingles hashed at once.
 BLOCK, SMALL, AT_ONCE = 4096, 24, 1 << 15
+#: Rows of a block where every pair is wanted: distances are wide and buckets large, and blocks that meet travel once a pair.
+WIDE = 1 << 16
 #: Bytes above which a text's words are found one after the other instead of all at once.
 LONG = 1 << 22
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -73,20 +81,33 @@ def _words(data: bytes):
 
 def signature(text: str | None, shingle: int, words64: int) -> np.ndarray:
     """``words64`` words of 64 bits by the fingerprint's rule; the first is the fingerprint."""
+    return _majority(_parts(_hashes(text, shingle)), words64)
+
+
+def _hashes(text: str | None, shingle: int):
+    """The hash of each shingle, in order; none if there are no words."""
     import xxhash
 
     data = (text or "").encode("utf-8").lower()
     first = list(islice(_words(data), shingle))
     if not first:
-        return np.zeros(words64, dtype=np.uint64)
+        return iter(())
     h = partial(xxhash.xxh64_intdigest, seed=SEED)
     if len(first) < shingle:
-        hashes = iter([h(b" ".join(first))])
-    else:  # the same words shifted by 0..shingle-1 give the shingles
-        streams = [data.split()] * shingle if len(data) <= LONG else tee(_words(data), shingle)
-        hashes = map(h, map(b" ".join, zip(*(islice(words, k, None) for k, words in enumerate(streams)), strict=False)))
-    counts, n = np.zeros((words64, BITS), dtype=np.int64), 0
+        return iter([h(b" ".join(first))])
+    # the same words shifted by 0..shingle-1 give the shingles
+    streams = [data.split()] * shingle if len(data) <= LONG else tee(_words(data), shingle)
+    return map(h, map(b" ".join, zip(*(islice(words, k, None) for k, words in enumerate(streams)), strict=False)))
+
+
+def _parts(hashes):
     while len(part := np.fromiter(islice(hashes, AT_ONCE), dtype="<u8")):
+        yield part
+
+
+def _majority(parts, words64: int) -> np.ndarray:
+    counts, n = np.zeros((words64, BITS), dtype=np.int64), 0
+    for part in parts:
         n += len(part)
         for k in range(words64):
             bits = np.unpackbits(_mixed(part, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -116,6 +137,47 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, f"doc_id bigint, fp bigint{schema}")
 
 
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    return np.unique(np.fromiter(_hashes(text, shingle), dtype="<u8"))
+
+
+def _set_key(found: np.ndarray) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(found.tobytes(), seed=SEED)
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str, shingle: int, long: int) -> DataFrame:
+    """(doc_id, fp, key, s0..s3): key stands for the set of ``long``-word shingles, and the signature is over that set."""
+
+    def work(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                out = np.zeros((part.num_rows, 2 + len(SIGNATURE)), dtype=np.uint64)
+                for i, t in enumerate(part.column(1).to_pylist()):
+                    found = shingle_set(t, long)
+                    out[i, 0], out[i, 1], out[i, 2:] = fingerprint(t, shingle), _set_key(found), _majority((found[k : k + AT_ONCE] for k in range(0, len(found), AT_ONCE)), len(SIGNATURE))
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in out.T]], names=["doc_id", "fp", "key", *SIGNATURE])
+
+    schema = "".join(f", {c} bigint" for c in SIGNATURE)
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, f"doc_id bigint, fp bigint, key bigint{schema}")
+
+
+def shingle_sets(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """(key, shingles) of each row."""
+
+    def work(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                sets = [shingle_set(t, shingle) for t in b.slice(at, 1000).column(0).to_pylist()]
+                keys = np.array([_set_key(x) for x in sets], dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["key", "shingles"])
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(work, "key bigint, shingles array<bigint>")
+
+
 # --- partitions and thresholds -------------------------------------------------
 
 
@@ -231,30 +293,60 @@ def entries(nodes: DataFrame, searched: list[tuple[list[int], int]]) -> DataFram
 class Rule:
     """When two entries link: distance of fingerprints, and of signatures where there are any."""
 
-    def __init__(self, distance: int, bits: int | None = None):
+    def __init__(self, distance: int, bits: int | None = None, searched: list | None = None):
         self.distance, self.bits = distance, bits
+        #: With the partitions searched: all pairs are wanted, not links that join them.
+        self.searched = searched and [(np.uint64(sum(1 << b for b in bits)), t) for bits, t in searched]
+
+    def first(self, part: np.ndarray | int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether ``part`` is the first partition that brings these fingerprints together."""
+        new = np.ones(len(a), dtype=bool)
+        for k, (mask, t) in enumerate(self.searched):
+            new &= (k >= part) | (np.bitwise_count((a ^ b) & mask) > t)
+        return new
 
     def also(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64) <= self.bits
 
 
-def _links_of_small(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, home: np.ndarray, sig: np.ndarray, size: np.ndarray, rule: Rule) -> list[np.ndarray]:
+def _links_of_small(key: np.ndarray, part: np.ndarray, fp: np.ndarray, rep: np.ndarray, home: np.ndarray, sig: np.ndarray, size: np.ndarray, rule: Rule) -> list[np.ndarray]:
     """Links within runs of equal keys of at most SMALL rows: each row against those 1, 2, ... behind."""
     out = []
     for d in range(1, SMALL):
         keep = size > d
         if not keep.any():
             break
-        key, fp, rep, home, sig, size = (x[keep] for x in (key, fp, rep, home, sig, size))
+        key, part, fp, rep, home, sig, size = (x[keep] for x in (key, part, fp, rep, home, sig, size))
         near = (key[d:] == key[:-d]) & (home[d:] | home[:-d]) & (np.bitwise_count(fp[d:] ^ fp[:-d]) <= rule.distance)
         i = np.flatnonzero(near)
         if rule.bits is not None:
             i = i[rule.also(sig[i], sig[i + d])]
+        if rule.searched and len(i):
+            i = i[rule.first(part[i], fp[i], fp[i + d])]
         if len(i):
             out.append(np.stack([rep[i], rep[i + d]]))
     return out
 
 
+def all_pairs(part: int, fp: np.ndarray, rep: np.ndarray, home: np.ndarray, sig: np.ndarray, rule: Rule, cut: int = 0):
+    """Every pair of a home row and another within the rule, once over all partitions; with ``cut`` only pairs across it."""
+    for at in range(0, len(fp), 16):
+        i = at + np.flatnonzero(home[at : at + 16])
+        if not len(i):
+            continue
+        a, b = np.nonzero(np.bitwise_count(fp[i][:, None] ^ fp[None]) <= rule.distance)
+        a = i[a]
+        keep = (b > a) | ~home[b]
+        if cut:
+            keep &= (a < cut) != (b < cut)
+        a, b = a[keep], b[keep]
+        keep = rule.also(sig[a], sig[b]) if len(a) else np.zeros(0, dtype=bool)
+        a, b = a[keep], b[keep]
+        keep = rule.first(part, fp[a], fp[b])
+        if keep.any():
+            yield np.stack([rep[a[keep]], rep[b[keep]]])
+
+
 def spanning(fp: np.ndarray, rep: np.ndarray, home: np.ndarray, sig: np.ndarray, rule: Rule) -> list[np.ndarray]:
     """Links that join every two rows linked within this block, at most one for each row:
     a home row is compared with all, and links inside a group already joined are not repeated."""
@@ -300,13 +392,18 @@ def _first_pass(rule: Rule):
         task, serial = TaskContext.get().partitionId(), 0
         held: tuple | None = None  # rows of the last bucket seen, which may go on in the next batch
         at_start, spilled = True, None
+        size = WIDE if rule.searched else BLOCK
 
         def block(cols, open_bucket: bool):
             """One block of one bucket: its links, and itself if the bucket has other blocks."""
             nonlocal serial
             part, bits, fp, rep, home, sig = cols
             serial += 1
-            yield from _links_batch(spanning(fp, rep, home, sig, rule))
+            if rule.searched:
+                for pairs in all_pairs(int(part[0]), fp, rep, home, sig, rule):
+                    yield from _links_batch([pairs])
+            else:
+                yield from _links_batch(spanning(fp, rep, home, sig, rule))
             if open_bucket:
                 yield pa.RecordBatch.from_pylist([_pack(int(part[0]), int(bits[0]), (task << 32) + serial, fp, rep, home, sig)], schema=_FOUND)
 
@@ -329,23 +426,23 @@ def _first_pass(rule: Rule):
             if small.any():
                 take = np.flatnonzero(small.repeat(sizes))
                 gid = np.arange(len(starts)).repeat(sizes)[take]
-                yield from _links_batch(_links_of_small(gid, cols[2][take], cols[3][take], cols[4][take], cols[5][take], sizes[gid], rule))
+                yield from _links_batch(_links_of_small(gid, cols[0][take], cols[2][take], cols[3][take], cols[4][take], cols[5][take], sizes[gid], rule))
             large = sizes > SMALL
             large[0] |= at_start
             for g in np.flatnonzero(large[:last]):
                 one = tuple(x[starts[g] : ends[g]] for x in cols)
-                many = (g == 0 and at_start) or spilled == (int(one[0][0]), int(one[1][0])) or sizes[g] > BLOCK
-                for k in range(0, sizes[g], BLOCK):
-                    yield from block(tuple(x[k : k + BLOCK] for x in one), many)
+                many = (g == 0 and at_start) or spilled == (int(one[0][0]), int(one[1][0])) or sizes[g] > size
+                for k in range(0, sizes[g], size):
+                    yield from block(tuple(x[k : k + size] for x in one), many)
             at_start &= last == 0
             held = tuple(x[starts[-1] :].copy() for x in cols)
-            while len(held[0]) > 2 * BLOCK:  # a bucket larger than memory should hold goes out block by block
+            while len(held[0]) > 2 * size:  # a bucket larger than memory should hold goes out block by block
                 spilled = (int(held[0][0]), int(held[1][0]))
-                yield from block(tuple(x[:BLOCK] for x in held), True)
-                held = tuple(x[BLOCK:].copy() for x in held)
+                yield from block(tuple(x[:size] for x in held), True)
+                held = tuple(x[size:].copy() for x in held)
         if held is not None and len(held[0]):
-            for k in range(0, len(held[0]), BLOCK):
-                yield from block(tuple(x[k : k + BLOCK] for x in held), True)
+            for k in range(0, len(held[0]), size):
+                yield from block(tuple(x[k : k + size] for x in held), True)
 
     return work
 
@@ -360,6 +457,10 @@ def _second_pass(rule: Rule):
                 rep = np.concatenate([np.frombuffer(row[k], dtype="<i8") for k in ("reps", "reps2")])
                 home = np.concatenate([np.unpackbits(np.frombuffer(row[k], dtype=np.uint8))[: len(row[f]) // 8].astype(bool) for k, f in (("homes", "fps"), ("homes2", "fps2"))])
                 sig = np.concatenate([np.frombuffer(row[k], dtype="<u8").reshape(len(row[f]) // 8, -1) for k, f in (("sigs", "fps"), ("sigs2", "fps2"))])
+                if rule.searched:
+                    for u, v in all_pairs(row["part"], fp, rep, home, sig, rule, len(row["fps"]) // 8):
+                        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+                    continue
                 links = spanning(fp, rep, home, sig, rule)
                 if links:
                     u, v = np.concatenate(links, axis=1)
@@ -368,32 +469,60 @@ def _second_pass(rule: Rule):
     return work
 
 
-def links(nodes: DataFrame, distance: int, scratch: Scratch, bits: int | None = None) -> DataFrame:
-    """(u, v): links between nodes (fp, rep) that join all within ``distance``, not every pair of them; with ``bits``,
-    nodes also have a signature, and linked ones differ in at most so many of its bits."""
+def links(nodes: DataFrame, distance: int, scratch: Scratch, bits: int | None = None, every: bool = False) -> DataFrame:
+    """(u, v): links between nodes (fp, rep) that join all within ``distance``, not every pair of them unless ``every``;
+    with ``bits``, nodes also have a signature, and linked ones differ in at most so many of its bits."""
     spark = nodes.sparkSession
     n, both = bit_statistics(nodes)
     if n < 2:
         return spark.createDataFrame([], "u bigint, v bigint")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = entries(nodes, plan(n, both, distance)).repartitionByRange(parts, "part", "bits", "fp", "home").sortWithinPartitions("part", "bits", "fp", "home")
-    found = scratch.put("found", rows.mapInArrow(_first_pass(Rule(distance, bits)), _FOUND_SQL))
+    searched = plan(n, both, distance)
+    rule = Rule(distance, bits, searched if every else None)
+    rows = entries(nodes, searched).repartitionByRange(parts, "part", "bits", "fp", "home").sortWithinPartitions("part", "bits", "fp", "home")
+    found = scratch.put("found", rows.mapInArrow(_first_pass(rule), _FOUND_SQL))
     blocks = found.where("block is not null").select("part", "bits", "block", "fps", "reps", "homes", "sigs")
     heads = blocks.select("part", "bits", "block")
-    pairs = heads.join(heads.withColumnRenamed("block", "block2"), ["part", "bits"]).where("block < block2").select("block", "block2")
+    pairs = heads.join(heads.withColumnRenamed("block", "block2"), ["part", "bits"]).where("block < block2").select("part", "block", "block2")
     payload = blocks.select("block", "fps", "reps", "homes", "sigs")
     both_blocks = pairs.join(payload, "block").join(payload.toDF("block2", "fps2", "reps2", "homes2", "sigs2"), "block2")
-    met = both_blocks.mapInArrow(_second_pass(Rule(distance, bits)), "u bigint, v bigint")
+    met = both_blocks.mapInArrow(_second_pass(rule), "u bigint, v bigint")
     return found.where("u is not null").select("u", "v").unionAll(met)
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, verify: tuple[int, int] | None = None) -> DataFrame:
+def similar(docs: DataFrame, text_col: str, nodes: DataFrame, distance: int, verify: tuple[int, int, float], scratch: Scratch) -> DataFrame:
+    """(u, v): links between nodes (fp, key, rep, signature) whose sets of shingles have a Jaccard similarity of verify[2]."""
+    shingle, bits, least = verify
+    found = links(nodes.select("fp", F.col("key").alias("rep"), *SIGNATURE), distance, scratch, bits, every=True)
+    pairs = scratch.put("pairs", found)
+    needed = scratch.put("needed", pairs.select(F.col("u").alias("key")).unionAll(pairs.select("v")).distinct())
+    # Sets travel only for texts that have a candidate.
+    sets = shingle_sets(docs, text_col, shingle).join(needed, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
+    sets = scratch.put("sets", sets.join(nodes.select("key", "rep"), "key"))
+    a, b = (sets.select(F.col("key").alias(k), F.col("rep").alias(f"{k}_rep"), F.col("shingles").alias(f"{k}_set")) for k in "uv")
+    both = F.size(F.array_intersect("u_set", "v_set"))
+    near = pairs.join(a, "u").join(b, "v").where(both + 1e-9 >= least * (F.size("u_set") + F.size("v_set") - both))
+    near = scratch.put("near", near.select(F.col("u_rep").alias("u"), F.col("v_rep").alias("v")))
+    scratch.drop("pairs", "needed", "sets", "found")
+    return near
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, verify: tuple | None = None) -> DataFrame:
     """(doc_id, fp, component_id) of each row; component_id is the smallest id reachable by links."""
     scratch = Scratch(docs.sparkSession, "simhash")
+    if verify and len(verify) == 3:
+        rows = scratch.put("rows", keyed(docs, id_col, text_col, shingle, verify[0]))
+        # A node is a set of shingles; rows that share it may differ in their fingerprints.
+        nodes = scratch.put("nodes", rows.groupBy("key", *SIGNATURE).agg(F.min("fp").alias("fp"), F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+        return _told(rows, nodes, ["key"], similar(docs, text_col, nodes.where("rep is not null"), distance, verify, scratch), scratch)
     rows = scratch.put("rows", fingerprints(docs, id_col, text_col, shingle, verify[0] if verify else None))
     key = [c for c in rows.columns if c != "doc_id"]
     nodes = scratch.put("nodes", rows.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
-    found = connected_components(links(nodes.where("rep is not null"), distance, scratch, verify[1] if verify else None), scratch)
+    return _told(rows, nodes, key, links(nodes.where("rep is not null"), distance, scratch, verify[1] if verify else None), scratch)
+
+
+def _told(rows: DataFrame, nodes: DataFrame, key: list[str], linked: DataFrame, scratch: Scratch) -> DataFrame:
+    found = connected_components(linked, scratch)
     # Only nodes of several rows, or with links, change an id; both inputs of the join are scans.
     told = nodes.join(found, nodes.rep == found.node, "left").select(*key, "n", "rep", F.coalesce("component", "rep").alias("c")).where("n > 1 or c <> rep or rep is null")
     told = scratch.put("told", told.select(*key, "c"))

@@ -170,3 +170,48 @@ def test_curve_windows_recall(spark):
     for x in hilbert.search(spark.createDataFrame(list(zip(ids, v)), "vec_id bigint, embedding array<double>"), complete=False).collect():
         got.setdefault(x.query_id, set()).add(x.vec_id)
     assert np.mean([len(got[q] & {i for i, _ in n}) / len(n) for q, n in want.items()]) >= 0.9
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_exact_similarity_decides(spark, monkeypatch, block):
+    """Block and scattered edits: what has 0.8 of the five-word shingles links, what has less does not."""
+    monkeypatch.setattr(simhash, "WIDE", block)
+    r = np.random.default_rng(11)
+    texts = []
+    for i in range(160):
+        t = [f"w{int(k)}" for k in r.integers(0, 10**6, 250)]
+        at, n = int(r.integers(220)), int(r.integers(18, 25))
+        places = range(at, at + n) if i % 2 else r.choice(250, int(r.integers(4, 9)), replace=False)
+        texts.append(" ".join(t))
+        for k in places:
+            t[int(k)] = f"x{int(r.integers(10**6))}"
+        texts.append(" ".join(t))
+    odd = "same " * 300  # one shingle outweighs all others: equal signatures, unlike sets
+    texts += [odd + " ".join(f"p{i}" for i in range(20)), odd + " ".join(f"q{i}" for i in range(20))]
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    near = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert 80 < len(near) < 150
+    df = spark.createDataFrame([*enumerate(texts), (900, ""), (901, None), (902, texts[0]), (None, texts[0])], "doc_id bigint, text string")
+    got = {x.doc_id: x.component_id for x in simhash.components(df, shingle=2, distance=16, verify=(5, 80, 0.8)).collect()}
+    want = groups(list(range(len(texts))), near)
+    wrong = {i for i in want if got[i] != want[i]}
+    assert len(wrong) <= 2 and all(got[i] == i for i in wrong)  # a candidate in a hundred may be past the distance
+    assert got[901] == got[900] == 900 and got[902] == got[None] == 0
+
+
+def test_pipeline_rule_is_the_exact_one(spark):
+    """A block replaced at 0.82 goes, eight scattered words at under 0.75 stay."""
+    import corpus_pipeline as pipeline
+
+    r = np.random.default_rng(12)
+    texts = []
+    for i in range(60):
+        t = [f"w{int(k)}" for k in r.integers(0, 10**6, 250)]
+        texts.append(" ".join(t))
+        at = int(r.integers(220))
+        for k in range(at, at + 20) if i % 2 else range(5, 250, 32):
+            t[k] = f"x{int(r.integers(10**6))}"
+        texts.append(" ".join(t))
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {x.doc_id for x in pipeline.near_duplicate_stage(spark, df, "").collect()}
+    assert {i for i in range(120) if i % 4 != 3} <= kept and len(kept) <= 91
