@@ -131,6 +131,7 @@ def pivot(ids: np.ndarray, sizes: np.ndarray, p: np.ndarray, seed: int = 0) -> n
 _ROW = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("source", T.StringType()), T.StructField("size", T.LongType()),
     T.StructField("base", T.LongType()), T.StructField("p", T.DoubleType()), T.StructField("bucket", T.LongType()),
+    T.StructField("buckets", T.LongType()),
 ])
 
 
@@ -163,6 +164,11 @@ def _root(pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
+def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A source's last group is closed at the level where that source has one bucket, whatever the others have."""
+    return _root(pdf) if pdf["buckets"].iloc[0] <= 1 else _group(pdf)
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) of each row."""
     scratch = Scratch(docs.sparkSession, "mix")
@@ -172,21 +178,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     with_goal = rows.join(goal.withColumnRenamed("source", "source2"), F.col("source").eqNullSafe(F.col("source2"))).drop("source2")
     fractional = with_goal.withColumn("ratio", ratio).withColumn("base", F.floor("ratio").cast("bigint"))
-    buckets = F.greatest(F.lit(1), F.ceil(F.col("docs") / FAN))
+    buckets = F.greatest(F.lit(1), F.ceil(F.col("docs") / FAN)).cast("bigint")
     level = fractional.select(
         "doc_id", "source", "size", "base", F.when(F.col("size") > 0, F.col("ratio") - F.col("base")).otherwise(0.0).alias("p"),
-        F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("bucket")), buckets).cast("bigint").alias("bucket"),
+        F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("bucket")), buckets).cast("bigint").alias("bucket"), buckets.alias("buckets"),
     )
     most_buckets = math.ceil((goal.agg(F.max("docs")).first()[0] or 0) / FAN)
     settled, k = [], 0
     while True:
         root = most_buckets <= 1
-        done = scratch.put(f"level{k}", level.groupBy("source", "bucket").applyInPandas(_root if root else _group, _ROW))
+        done = scratch.put(f"level{k}", level.groupBy("source", "bucket").applyInPandas(_settle, _ROW))
         open_ = (F.col("p") > 0) & (F.col("p") < 1)
         settled.append(done.where(~open_))
         if root:
             break
-        level = done.where(open_).withColumn("bucket", F.floor(F.col("bucket") / FAN).cast("bigint"))
+        level = done.where(open_).withColumn("bucket", F.floor(F.col("bucket") / FAN).cast("bigint")).withColumn("buckets", F.ceil(F.col("buckets") / FAN).cast("bigint"))
         most_buckets, k = math.ceil(most_buckets / FAN), k + 1
     out = settled[0]
     for more in settled[1:]:

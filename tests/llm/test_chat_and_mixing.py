@@ -95,3 +95,18 @@ def test_mixture(spark, monkeypatch):
     key = lambda x: (x.doc_id, x.taken)
     assert sorted(map(key, got)) == sorted(map(key, again))
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_small_sources_are_closed_beside_a_hot_one(spark, monkeypatch):
+    """A source of one bucket is closed over all its documents, not over the one row that a larger source's levels leave."""
+    monkeypatch.setattr(mixing, "FAN", 20)
+    r = np.random.default_rng(8)
+    rows = [(i, "w " * int(r.integers(1, 60)), "hot") for i in range(500)]
+    for k in range(25):
+        rows += [(1000 * (k + 1) + i, "w " * int(r.lognormal(4, 1)), f"s{k:02d}") for i in range(int(r.integers(4, 12)))]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), most=3.0).toPandas()
+    assert len(got) == len(rows)
+    for name, g in got[got.source != "hot"].groupby("source"):
+        ratio = g.target / g.source_size
+        want = mixing._root(g.assign(base=np.floor(ratio).astype(int), p=np.where(g["size"] > 0, ratio - np.floor(ratio), 0.0)))
+        assert dict(zip(want.doc_id, want.base + want.p.astype(int))) == dict(zip(g.doc_id, g.copies)), name
