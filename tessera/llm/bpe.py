@@ -161,11 +161,13 @@ class Encoder:
                 continue
             cut = [list(self._cut(t)) if self.cuts else [] for t in group]
             self._learn(self.words, {w for runs in cut for run in runs for w in run[1:]})
-            self._learn(self.pieces, {p for runs in cut for run in runs for p in self.find.findall(run[0])})
-            for text, runs in zip(group, cut, strict=True):
+            found = [[self.find.findall(run[0]) for run in runs] for runs in cut]
+            self._learn(self.pieces, {p for runs in found for pieces in runs for p in pieces})
+            # Looked up at once: a text encoded as a whole may clear this memory.
+            heads = [[[self.pieces[p] for p in pieces] for pieces in runs] for runs in found]
+            for text, runs, own in zip(group, cut, heads, strict=True):
                 out: list[str] = []
-                for first, *rest in runs:
-                    head = [self.pieces[p] for p in self.find.findall(first)]
+                for (first, *rest), head in zip(runs, own, strict=True):
                     tail = list(map(self.words.__getitem__, rest))
                     if None in tail or first and first[-1].isspace():
                         out = []

@@ -51,6 +51,13 @@ def test_memory_is_bounded_and_harmless(coder, reference, monkeypatch):
     assert len(e.words) <= 600
 
 
+def test_memory_cleared_inside_a_batch(coder, reference, monkeypatch):
+    """Texts encoded as a whole fill the memory before the heads of later texts of their group are used."""
+    monkeypatch.setattr(bpe, "_MEMORY", 20)
+    texts = [t for i in range(30) for t in (f"head{i} of a text", f"double  blanks{i} " + " ".join(f"d{i}x{k}" for k in range(12)))]
+    assert list(coder.worker().ids(texts)) == [reference.encode_ordinary(t) for t in texts]
+
+
 def test_tables(spark, coder, reference):
     rows = [(1, "hello world", "z"), (2, None, "z"), (2, None, "z"), (None, "", "z")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, n_tokens string")
