@@ -58,3 +58,10 @@ def test_entry(spark):
 
     assert 0 < __spark_entry__.entry(spark).count() <= 10
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_all_models_in_order(spark, duck):
+    """Every row, in the SQL's order; model_order's given SQL stops at 10."""
+    got = [tuple(r[c] for c in ("id", "name", "sort_order")) for r in catalogue.QUERIES["model_list"](spark, SF).collect()]
+    assert len(got) == spark.read.parquet(f"{SF}/supplier.parquet").count()
+    assert got == duck.execute(catalogue.ORACLES["model_list"]).fetchall()
