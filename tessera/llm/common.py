@@ -3,17 +3,19 @@ assignment, bounded training samples and connected components.
 
 Scratch tables live below ``spark.checkpoint.dir``, the folder that the driver
 and all executors share, so a lost executor costs a re-run of a task and never
-a table. Where the setting is absent (tests on one machine) a temporary folder
-is used and recorded in the session.
+a table. Where the setting is absent, a session on one machine (tests) gets a
+temporary folder, recorded in the session; on a cluster that is an error.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _ROOTS: dict[str, str] = {}
@@ -25,6 +27,8 @@ def scratch_root(spark: SparkSession) -> str:
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir is not set: it names the folder that driver and executors share, for intermediate tables")
             base = tempfile.mkdtemp(prefix="tessera-")
             spark.conf.set("spark.checkpoint.dir", base)
         _ROOTS[app] = f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
@@ -83,14 +87,29 @@ def fold(id_col: str, modulus: int):
 
 
 def labelled_sample(labels: DataFrame, id_col: str, label_col: str, keep, bound: int) -> DataFrame:
-    """At most ``bound`` labelled ids (lowest salted hash first) with their label.
+    """At most ``bound`` labelled ids with their label: of each label the ids of lowest salted hash,
+    as many as an equal deal of a quarter of the bound gives (one at least), so that a rare label is
+    there; the rest of the bound by lowest hash over all. Of several labels of an id the greatest counts.
 
     ``keep``: a predicate on the id column for rows that may be learnt from.
     Only ids and labels travel here; texts are fetched later by a join.
     """
     seen = labels.select(F.col(id_col).cast("bigint").alias("_id"), F.col(label_col).alias("_y"))
     seen = seen.where(F.col("_id").isNotNull() & F.col("_y").isNotNull() & keep).groupBy("_id").agg(F.max("_y").alias("_y"))
-    return seen.orderBy(F.xxhash64(F.col("_id"), F.lit("sample")), "_id").limit(bound)
+    seen = seen.withColumn("_h", F.xxhash64(F.col("_id"), F.lit("sample")))
+    classes = seen.select("_y").distinct().count()
+    each = max(1, bound // 4 // max(1, classes))
+    # Tasks keep the first ``each`` of a label before anything moves.
+    first = seen.withColumn("_k", F.row_number().over(W.partitionBy("_y").orderBy("_h", "_id"))).where(F.col("_k") <= each).drop("_k")
+    rest = seen.orderBy("_h", "_id").limit(max(0, bound - each * classes))
+    return first.unionAll(rest).select("_id", "_y").distinct().limit(bound)
+
+
+def labelled_texts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_y, t): the whole text of each id of ``sample``, which is bounded, so it may be broadcast.
+    An id that many rows share gives one text, the least of them; null texts are empty."""
+    few = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).join(F.broadcast(sample), "_id")
+    return few.groupBy("_id").agg(F.min(F.struct("_y", "t")).alias("r")).select("r._y", "r.t")
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
