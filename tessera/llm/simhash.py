@@ -22,16 +22,23 @@ Verification may ask for more than the fingerprint's distance: with ``verify``
 fingerprint's rule over shingles of that many words with four hashes made from
 each, and two texts link only if their signatures differ in at most ``bits``
 bits as well. Short shingles find candidates whose long shingles then decide.
-With ``verify`` = (shingle, bits, least) the signature, taken over the distinct
-shingles, only rules out pairs that are far apart, and what remains is decided
-by the exact Jaccard similarity of the sets of shingles (as 64-bit hashes):
-two texts link only if it is at least ``least``. Here every candidate pair is
-kept once, by the first partition that finds it, and texts with the same set
-are one node, so pairs grow with the square of a group of differing texts.
-
-Defined results: repeated rows each get their row; rows whose id is null get
-the component of the other rows with their fingerprint's component (null if
-there is none); an empty table gives an empty result; other columns, whatever
+
+With ``verify`` = (shingle, bits, least) two texts link only if the exact
+Jaccard similarity of their sets of shingles (as 64-bit hashes) is at least
+``least``. No distance on 64 bits holds nearly all such pairs and few others,
+so the search runs over ``WORDS64`` words of fingerprint bits: the same
+partitions of correlated bits and thresholds by dynamic programming, but the
+thresholds are the cheapest that find a pair of just that similarity with a
+chance of ``FOUND`` or more (nearer pairs nearly always; partitions grow wider
+with the number of texts). In a bucket, rows whose signatures differ in at
+most ``bits`` bits are joined by their forest of least distances, so a group of
+near copies proposes about one pair a text and never all its pairs; each
+proposed pair within the fingerprint's distance is decided by its exact
+similarity. Texts with the same set are one node.
+
+Defined results: repeated rows each get their row; rows whose id is null take
+part like all others and get the smallest id of their component (null if none
+has one); an empty table gives an empty result; other columns, whatever
 their names, are not read. Texts of any length take bounded memory, but for the sets, which hold eight bytes a word.
 """
 
@@ -51,8 +58,8 @@ from tessera.llm.common import Scratch, connected_components, table
 BITS, SEED = 64, 42
 #: Rows of a block; groups up to SMALL rows are compared by shifted arrays; shingles hashed at once.
 BLOCK, SMALL, AT_ONCE = 4096, 24, 1 << 15
-#: Rows of a block where every pair is wanted: distances are wide and buckets large, and blocks that meet travel once a pair.
-WIDE = 1 << 16
+#: Search by exact similarity: rows of a block, words of fingerprint bits, and the chance to find a pair of just the least similarity.
+WIDE, WORDS64, FOUND = 2048, 8, 0.995
 #: Bytes above which a text's words are found one after the other instead of all at once.
 LONG = 1 << 22
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -117,6 +124,8 @@ def _majority(parts, words64: int) -> np.ndarray:
 
 #: Columns of a signature used for verification.
 SIGNATURE = ["s0", "s1", "s2", "s3"]
+#: Columns of the words of fingerprint bits that the search by exact similarity runs over.
+WIDE_BITS = [f"w{k}" for k in range(WORDS64)]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, verify: int | None = None) -> DataFrame:
@@ -149,20 +158,24 @@ def _set_key(found: np.ndarray) -> int:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, shingle: int, long: int) -> DataFrame:
-    """(doc_id, fp, key, s0..s3): key stands for the set of ``long``-word shingles, and the signature is over that set."""
+    """(doc_id, fp, key, s0..s3, w0..): key stands for the set of ``long``-word shingles, s0..s3 are its signature,
+    w0.. the words of fingerprint bits, of which the first is fp."""
+    names = ["key", *SIGNATURE, *WIDE_BITS]
 
     def work(batches):
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                out = np.zeros((part.num_rows, 2 + len(SIGNATURE)), dtype=np.uint64)
+                out = np.zeros((part.num_rows, len(names)), dtype=np.uint64)
                 for i, t in enumerate(part.column(1).to_pylist()):
                     found = shingle_set(t, long)
-                    out[i, 0], out[i, 1], out[i, 2:] = fingerprint(t, shingle), _set_key(found), _majority((found[k : k + AT_ONCE] for k in range(0, len(found), AT_ONCE)), len(SIGNATURE))
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in out.T]], names=["doc_id", "fp", "key", *SIGNATURE])
+                    out[i, 0], out[i, 1 : 1 + len(SIGNATURE)] = _set_key(found), _majority((found[k : k + AT_ONCE] for k in range(0, len(found), AT_ONCE)), len(SIGNATURE))
+                    out[i, 1 + len(SIGNATURE) :] = signature(t, shingle, WORDS64)
+                cols = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in out.T]
+                yield pa.RecordBatch.from_arrays([part.column(0), cols[1 + len(SIGNATURE)], *cols], names=["doc_id", "fp", *names])
 
-    schema = "".join(f", {c} bigint" for c in SIGNATURE)
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, f"doc_id bigint, fp bigint, key bigint{schema}")
+    schema = "".join(f", {c} bigint" for c in names)
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, f"doc_id bigint, fp bigint{schema}")
 
 
 def shingle_sets(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
@@ -181,22 +194,24 @@ def shingle_sets(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
 # --- partitions and thresholds -------------------------------------------------
 
 
-def bit_statistics(nodes: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of fingerprints and, for all pairs of bits, how many have both set."""
+def bit_statistics(nodes: DataFrame, columns: tuple[str, ...] = ("fp",)) -> tuple[int, list[np.ndarray]]:
+    """Number of rows and, for each column and all pairs of its bits, how many rows have both set."""
+    cells = BITS * BITS
 
     def work(batches):
-        total, n = np.zeros((BITS, BITS), dtype=np.int64), 0
+        total, n = np.zeros((len(columns), BITS, BITS), dtype=np.int64), 0
         for b in batches:
-            fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for at in range(0, len(fp), 1 << 16):
-                x = np.unpackbits(fp[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
-                total += np.rint(x.T @ x).astype(np.int64)
-                n += len(x)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, np.arange(BITS * BITS)]), pa.array(np.r_[n, total.ravel()])], names=["cell", "n"])
+            n += b.num_rows
+            for k in range(len(columns)):
+                fp = b.column(k).to_numpy(zero_copy_only=False).view(np.uint64)
+                for at in range(0, len(fp), 1 << 16):
+                    x = np.unpackbits(fp[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
+                    total[k] += np.rint(x.T @ x).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, np.arange(total.size)]), pa.array(np.r_[n, total.ravel()])], names=["cell", "n"])
 
-    got = nodes.select("fp").mapInArrow(work, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # 4,097 rows
-    cells = {r.cell: r.n for r in got}
-    return cells.get(-1, 0), np.array([cells.get(i, 0) for i in range(BITS * BITS)], dtype=float).reshape(BITS, BITS)
+    # 4,097 rows, or 4,096 a word
+    got = {r.cell: r.n for r in nodes.select(*columns).mapInArrow(work, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
+    return got.get(-1, 0), [np.array([got.get(i, 0) for i in range(k * cells, (k + 1) * cells)], dtype=float).reshape(BITS, BITS) for k in range(len(columns))]
 
 
 def group_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
@@ -261,17 +276,61 @@ def plan(n: int, both: np.ndarray, distance: int) -> list[tuple[list[int], int]]
     return best[1]
 
 
+def differing(least: float) -> float:
+    """Chance that a fingerprint bit differs between two texts of this Jaccard similarity: the angle of their sets, in half turns."""
+    return float(np.arccos(min(1.0, 2 * least / (1 + least))) / np.pi)
+
+
+def plan_wide(n: int, both: list[np.ndarray], share: float, found: float = FOUND) -> list[tuple[list[int], int]]:
+    """(bits, threshold) of each partition to search, bits numbered over all words: of least estimated cost such that
+    two texts whose bits differ with chance ``share`` come together in some partition with chance ``found``."""
+    from math import ceil, comb, log, log1p
+
+    need, unit = -log(1 - found), -log(1 - found) / 200
+    best: tuple[float, list] = (np.inf, [])
+    for parts in range(2, 9):
+        groups = [(w, g) for w, m in enumerate(both) for g in group_bits(n, m, parts)]
+        goal = ceil(need / unit)
+        # state: units of -log(chance to miss) so far -> cost, and how it was reached
+        cost = np.full(goal + 1, np.inf)
+        cost[0], chosen = 0.0, []
+        for w, g in groups:
+            p = np.diag(both[w])[g] / max(n, 1)
+            near, new, pick = _near(p, 2), cost.copy(), np.full(goal + 1, -1)
+            for t in range(3):
+                meet = sum(comb(len(g), r) * share**r * (1 - share) ** (len(g) - r) for r in range(t + 1))
+                gain = int(-log1p(-min(meet, 1 - 1e-9)) / unit)
+                c = n * sum(comb(len(g), r) for r in range(t + 1)) * PROBE_COST + n * n * near[t] / 2
+                at = np.minimum(np.arange(goal + 1) + gain, goal)
+                for i in np.flatnonzero(np.isfinite(cost)):
+                    if cost[i] + c < new[at[i]]:
+                        new[at[i]], pick[at[i]] = cost[i] + c, i * 4 + t
+            cost = new
+            chosen.append(pick)
+        if cost[goal] < best[0]:
+            i, out = goal, []
+            for k in range(len(groups) - 1, -1, -1):
+                if chosen[k][i] >= 0:
+                    w, g = groups[k]
+                    out.append(([BITS * w + b for b in g], int(chosen[k][i] % 4)))
+                    i = chosen[k][i] // 4
+            best = (cost[goal], out[::-1])
+    return best[1]
+
+
 # --- probe and verify ----------------------------------------------------------
 
 
-def _extract(fp: np.ndarray, bits: list[int]) -> np.ndarray:
-    out = np.zeros(len(fp), dtype=np.int64)
+def _extract(words: np.ndarray, bits: list[int]) -> np.ndarray:
+    """The given bits of each row, side by side; ``words``: one array, or one for each 64 bits."""
+    words = words[None] if words.ndim == 1 else words
+    out = np.zeros(words.shape[1], dtype=np.int64)
     for k, b in enumerate(bits):
-        out |= ((fp >> np.uint64(b)) & np.uint64(1)).astype(np.int64) << k
+        out |= ((words[b // BITS] >> np.uint64(b % BITS)) & np.uint64(1)).astype(np.int64) << k
     return out
 
 
-def entries(nodes: DataFrame, searched: list[tuple[list[int], int]]) -> DataFrame:
+def entries(nodes: DataFrame, searched: list[tuple[list[int], int]], words: tuple[str, ...] = ("fp",)) -> DataFrame:
     """(part, bits, fp, rep, home, signature): each node's own bucket in every partition, and its probes."""
     balls = [np.array(ball(len(bits), t), dtype=np.int64) for bits, t in searched]
     more = [c for c in SIGNATURE if c in nodes.columns]
@@ -280,76 +339,51 @@ def entries(nodes: DataFrame, searched: list[tuple[list[int], int]]) -> DataFram
         for b in batches:
             data = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
             for at in range(0, b.num_rows, 1 << 13):
-                fp, rep, *sig = (c[at : at + (1 << 13)] for c in data)
+                fp, rep, *rest = (c[at : at + (1 << 13)] for c in data)
+                sig, wide = rest[: len(more)], np.stack([c.view(np.uint64) for c in rest[len(more) :]])
                 for k, (bits, _) in enumerate(searched):
-                    own, masks = _extract(fp.view(np.uint64), bits), balls[k]
+                    own, masks = _extract(wide, bits), balls[k]
                     m = len(masks)
                     cols = [np.full(len(fp) * m, k, dtype=np.int32), (own[:, None] ^ masks).ravel(), fp.repeat(m), rep.repeat(m), np.tile(masks == 0, len(fp)), *[c.repeat(m) for c in sig]]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["part", "bits", "fp", "rep", "home", *more])
 
-    return nodes.select("fp", "rep", *more).mapInArrow(work, "part int, bits bigint, fp bigint, rep bigint, home boolean" + "".join(f", {c} bigint" for c in more))
+    wide = [F.col(c).alias(f"_{c}") for c in words]
+    return nodes.select("fp", "rep", *more, *wide).mapInArrow(work, "part int, bits bigint, fp bigint, rep bigint, home boolean" + "".join(f", {c} bigint" for c in more))
 
 
 class Rule:
-    """When two entries link: distance of fingerprints, and of signatures where there are any."""
-
-    def __init__(self, distance: int, bits: int | None = None, searched: list | None = None):
-        self.distance, self.bits = distance, bits
-        #: With the partitions searched: all pairs are wanted, not links that join them.
-        self.searched = searched and [(np.uint64(sum(1 << b for b in bits)), t) for bits, t in searched]
+    """When two entries may link: distance of fingerprints, and of signatures where there are any;
+    with ``forest``, which of those are proposed: see ``forest``."""
 
-    def first(self, part: np.ndarray | int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether ``part`` is the first partition that brings these fingerprints together."""
-        new = np.ones(len(a), dtype=bool)
-        for k, (mask, t) in enumerate(self.searched):
-            new &= (k >= part) | (np.bitwise_count((a ^ b) & mask) > t)
-        return new
+    def __init__(self, distance: int, bits: int | None = None, forest: bool = False):
+        self.distance, self.bits, self.forest = distance, bits, forest
 
     def also(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64) <= self.bits
 
 
-def _links_of_small(key: np.ndarray, part: np.ndarray, fp: np.ndarray, rep: np.ndarray, home: np.ndarray, sig: np.ndarray, size: np.ndarray, rule: Rule) -> list[np.ndarray]:
+def _links_of_small(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, home: np.ndarray, sig: np.ndarray, size: np.ndarray, rule: Rule) -> list[np.ndarray]:
     """Links within runs of equal keys of at most SMALL rows: each row against those 1, 2, ... behind."""
     out = []
     for d in range(1, SMALL):
         keep = size > d
         if not keep.any():
             break
-        key, part, fp, rep, home, sig, size = (x[keep] for x in (key, part, fp, rep, home, sig, size))
+        key, fp, rep, home, sig, size = (x[keep] for x in (key, fp, rep, home, sig, size))
         near = (key[d:] == key[:-d]) & (home[d:] | home[:-d]) & (np.bitwise_count(fp[d:] ^ fp[:-d]) <= rule.distance)
         i = np.flatnonzero(near)
         if rule.bits is not None:
             i = i[rule.also(sig[i], sig[i + d])]
-        if rule.searched and len(i):
-            i = i[rule.first(part[i], fp[i], fp[i + d])]
         if len(i):
             out.append(np.stack([rep[i], rep[i + d]]))
     return out
 
 
-def all_pairs(part: int, fp: np.ndarray, rep: np.ndarray, home: np.ndarray, sig: np.ndarray, rule: Rule, cut: int = 0):
-    """Every pair of a home row and another within the rule, once over all partitions; with ``cut`` only pairs across it."""
-    for at in range(0, len(fp), 16):
-        i = at + np.flatnonzero(home[at : at + 16])
-        if not len(i):
-            continue
-        a, b = np.nonzero(np.bitwise_count(fp[i][:, None] ^ fp[None]) <= rule.distance)
-        a = i[a]
-        keep = (b > a) | ~home[b]
-        if cut:
-            keep &= (a < cut) != (b < cut)
-        a, b = a[keep], b[keep]
-        keep = rule.also(sig[a], sig[b]) if len(a) else np.zeros(0, dtype=bool)
-        a, b = a[keep], b[keep]
-        keep = rule.first(part, fp[a], fp[b])
-        if keep.any():
-            yield np.stack([rep[a[keep]], rep[b[keep]]])
-
-
 def spanning(fp: np.ndarray, rep: np.ndarray, home: np.ndarray, sig: np.ndarray, rule: Rule) -> list[np.ndarray]:
     """Links that join every two rows linked within this block, at most one for each row:
     a home row is compared with all, and links inside a group already joined are not repeated."""
+    if rule.forest:
+        return forest(fp, rep, sig, rule)
     mark, out = np.arange(len(fp)), []
     for i in np.flatnonzero(home):
         other = np.flatnonzero(np.bitwise_count(fp ^ fp[i]) <= rule.distance)
@@ -366,6 +400,45 @@ def spanning(fp: np.ndarray, rep: np.ndarray, home: np.ndarray, sig: np.ndarray,
     return out
 
 
+def forest(fp: np.ndarray, rep: np.ndarray, sig: np.ndarray, rule: Rule) -> list[np.ndarray]:
+    """The forest of least signature distances over the rows of a block, without edges beyond the rule: at every
+    similarity it joins what all pairs of the block would join, as single linkage does."""
+    n = len(rep)
+    some = np.zeros(n, dtype=bool)  # rows that have a partner at all
+    step = max(1, (1 << 18) // n)
+    for at in range(0, n - 1, step):
+        near = np.bitwise_count(fp[at : at + step, None] ^ fp[None, at + 1 :]) <= rule.distance
+        i, j = np.nonzero(near)
+        keep = j >= i
+        i, j = i[keep] + at, j[keep] + at + 1
+        for k in range(0, len(i), 1 << 20):
+            a, b = i[k : k + (1 << 20)], j[k : k + (1 << 20)]
+            ok = rule.also(sig[a], sig[b])
+            some[a[ok]], some[b[ok]] = True, True
+    rows = np.flatnonzero(some)
+    m = len(rows)
+    if m < 2:
+        return []
+    fp, rep, s = fp[rows], rep[rows], np.ascontiguousarray(sig[rows].T)
+    far = np.int64(1 << 20)
+    best, parent, todo = np.full(m, far), np.zeros(m, dtype=np.int64), np.ones(m, dtype=bool)
+    at, u, v = 0, [], []
+    todo[0] = False
+    for _ in range(m - 1):
+        d = np.bitwise_count(s[0] ^ s[0, at]).astype(np.int64)
+        for w in s[1:]:
+            d += np.bitwise_count(w ^ w[at])
+        d[np.bitwise_count(fp ^ fp[at]) > rule.distance] = far
+        closer = todo & (d < best)
+        best[closer], parent[closer] = d[closer], at
+        at = int(np.where(todo, best, far + 1).argmin())
+        todo[at] = False
+        if best[at] <= rule.bits:
+            u.append(parent[at])
+            v.append(at)
+    return [np.stack([rep[u], rep[v]])] if u else []
+
+
 def _pack(part: int, bits: int, block: int, fp: np.ndarray, rep: np.ndarray, home: np.ndarray, sig: np.ndarray) -> dict:
     return {"part": part, "bits": bits, "block": block, "u": None, "v": None, "fps": fp.astype("<u8").tobytes(), "reps": rep.astype("<i8").tobytes(), "homes": np.packbits(home).tobytes(), "sigs": np.ascontiguousarray(sig).astype("<u8").tobytes()}
 
@@ -392,18 +465,14 @@ def _first_pass(rule: Rule):
         task, serial = TaskContext.get().partitionId(), 0
         held: tuple | None = None  # rows of the last bucket seen, which may go on in the next batch
         at_start, spilled = True, None
-        size = WIDE if rule.searched else BLOCK
+        size = WIDE if rule.forest else BLOCK
 
         def block(cols, open_bucket: bool):
             """One block of one bucket: its links, and itself if the bucket has other blocks."""
             nonlocal serial
             part, bits, fp, rep, home, sig = cols
             serial += 1
-            if rule.searched:
-                for pairs in all_pairs(int(part[0]), fp, rep, home, sig, rule):
-                    yield from _links_batch([pairs])
-            else:
-                yield from _links_batch(spanning(fp, rep, home, sig, rule))
+            yield from _links_batch(spanning(fp, rep, home, sig, rule))
             if open_bucket:
                 yield pa.RecordBatch.from_pylist([_pack(int(part[0]), int(bits[0]), (task << 32) + serial, fp, rep, home, sig)], schema=_FOUND)
 
@@ -426,7 +495,7 @@ def _first_pass(rule: Rule):
             if small.any():
                 take = np.flatnonzero(small.repeat(sizes))
                 gid = np.arange(len(starts)).repeat(sizes)[take]
-                yield from _links_batch(_links_of_small(gid, cols[0][take], cols[2][take], cols[3][take], cols[4][take], cols[5][take], sizes[gid], rule))
+                yield from _links_batch(_links_of_small(gid, cols[2][take], cols[3][take], cols[4][take], cols[5][take], sizes[gid], rule))
             large = sizes > SMALL
             large[0] |= at_start
             for g in np.flatnonzero(large[:last]):
@@ -457,10 +526,6 @@ def _second_pass(rule: Rule):
                 rep = np.concatenate([np.frombuffer(row[k], dtype="<i8") for k in ("reps", "reps2")])
                 home = np.concatenate([np.unpackbits(np.frombuffer(row[k], dtype=np.uint8))[: len(row[f]) // 8].astype(bool) for k, f in (("homes", "fps"), ("homes2", "fps2"))])
                 sig = np.concatenate([np.frombuffer(row[k], dtype="<u8").reshape(len(row[f]) // 8, -1) for k, f in (("sigs", "fps"), ("sigs2", "fps2"))])
-                if rule.searched:
-                    for u, v in all_pairs(row["part"], fp, rep, home, sig, rule, len(row["fps"]) // 8):
-                        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-                    continue
                 links = spanning(fp, rep, home, sig, rule)
                 if links:
                     u, v = np.concatenate(links, axis=1)
@@ -469,21 +534,22 @@ def _second_pass(rule: Rule):
     return work
 
 
-def links(nodes: DataFrame, distance: int, scratch: Scratch, bits: int | None = None, every: bool = False) -> DataFrame:
-    """(u, v): links between nodes (fp, rep) that join all within ``distance``, not every pair of them unless ``every``;
-    with ``bits``, nodes also have a signature, and linked ones differ in at most so many of its bits."""
+def links(nodes: DataFrame, distance: int, scratch: Scratch, bits: int | None = None, least: float | None = None) -> DataFrame:
+    """(u, v): links between nodes (fp, rep) that join all within ``distance``; with ``bits``, nodes also have a signature,
+    and linked ones differ in at most so many of its bits; with ``least`` proposals for pairs of at least that similarity."""
     spark = nodes.sparkSession
-    n, both = bit_statistics(nodes)
+    words = tuple(WIDE_BITS) if least else ("fp",)
+    n, both = bit_statistics(nodes, words)
     if n < 2:
         return spark.createDataFrame([], "u bigint, v bigint")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    searched = plan(n, both, distance)
-    rule = Rule(distance, bits, searched if every else None)
-    rows = entries(nodes, searched).repartitionByRange(parts, "part", "bits", "fp", "home").sortWithinPartitions("part", "bits", "fp", "home")
+    searched = plan_wide(n, both, differing(least)) if least else plan(n, both[0], distance)
+    rule = Rule(distance, bits, least is not None)
+    rows = entries(nodes, searched, words).repartitionByRange(parts, "part", "bits", "fp", "home").sortWithinPartitions("part", "bits", "fp", "home")
     found = scratch.put("found", rows.mapInArrow(_first_pass(rule), _FOUND_SQL))
     blocks = found.where("block is not null").select("part", "bits", "block", "fps", "reps", "homes", "sigs")
     heads = blocks.select("part", "bits", "block")
-    pairs = heads.join(heads.withColumnRenamed("block", "block2"), ["part", "bits"]).where("block < block2").select("part", "block", "block2")
+    pairs = heads.join(heads.withColumnRenamed("block", "block2"), ["part", "bits"]).where("block < block2").select("block", "block2")
     payload = blocks.select("block", "fps", "reps", "homes", "sigs")
     both_blocks = pairs.join(payload, "block").join(payload.toDF("block2", "fps2", "reps2", "homes2", "sigs2"), "block2")
     met = both_blocks.mapInArrow(_second_pass(rule), "u bigint, v bigint")
@@ -491,42 +557,51 @@ def links(nodes: DataFrame, distance: int, scratch: Scratch, bits: int | None =
 
 
 def similar(docs: DataFrame, text_col: str, nodes: DataFrame, distance: int, verify: tuple[int, int, float], scratch: Scratch) -> DataFrame:
-    """(u, v): links between nodes (fp, key, rep, signature) whose sets of shingles have a Jaccard similarity of verify[2]."""
+    """(u, v): links between nodes (fp, rep, signature, words), rep being the set's key, of a Jaccard similarity of verify[2]."""
     shingle, bits, least = verify
-    found = links(nodes.select("fp", F.col("key").alias("rep"), *SIGNATURE), distance, scratch, bits, every=True)
-    pairs = scratch.put("pairs", found)
+    found = links(nodes, distance, scratch, bits, least)
+    pairs = scratch.put("pairs", found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    scratch.drop("found")
     needed = scratch.put("needed", pairs.select(F.col("u").alias("key")).unionAll(pairs.select("v")).distinct())
-    # Sets travel only for texts that have a candidate.
+    # Sets travel only for texts that have a candidate; once for each text, not for its copies.
     sets = shingle_sets(docs, text_col, shingle).join(needed, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
-    sets = scratch.put("sets", sets.join(nodes.select("key", "rep"), "key"))
-    a, b = (sets.select(F.col("key").alias(k), F.col("rep").alias(f"{k}_rep"), F.col("shingles").alias(f"{k}_set")) for k in "uv")
+    sets = scratch.put("sets", sets)
+    a, b = (sets.select(F.col("key").alias(k), F.col("shingles").alias(f"{k}_set")) for k in "uv")
     both = F.size(F.array_intersect("u_set", "v_set"))
     near = pairs.join(a, "u").join(b, "v").where(both + 1e-9 >= least * (F.size("u_set") + F.size("v_set") - both))
-    near = scratch.put("near", near.select(F.col("u_rep").alias("u"), F.col("v_rep").alias("v")))
-    scratch.drop("pairs", "needed", "sets", "found")
+    near = scratch.put("near", near.select("u", "v"))
+    scratch.drop("pairs", "needed", "sets")
     return near
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, verify: tuple | None = None) -> DataFrame:
     """(doc_id, fp, component_id) of each row; component_id is the smallest id reachable by links."""
     scratch = Scratch(docs.sparkSession, "simhash")
+    many = [F.min("doc_id").alias("least"), F.count("*").alias("n")]
     if verify and len(verify) == 3:
         rows = scratch.put("rows", keyed(docs, id_col, text_col, shingle, verify[0]))
-        # A node is a set of shingles; rows that share it may differ in their fingerprints.
-        nodes = scratch.put("nodes", rows.groupBy("key", *SIGNATURE).agg(F.min("fp").alias("fp"), F.min("doc_id").alias("rep"), F.count("*").alias("n")))
-        return _told(rows, nodes, ["key"], similar(docs, text_col, nodes.where("rep is not null"), distance, verify, scratch), scratch)
+        # A node is a set of shingles; rows that share it may differ in their fingerprints, of which the least counts.
+        first = F.min(F.struct("fp", *WIDE_BITS)).alias("w")
+        nodes = rows.groupBy("key", *SIGNATURE).agg(first, *many).select(F.col("key").alias("rep"), *SIGNATURE, "w.*", "least", "n")
+        nodes = scratch.put("nodes", nodes)
+        return _told(rows.select("doc_id", "fp", F.col("key").alias("rep")), nodes, similar(docs, text_col, nodes, distance, verify, scratch), scratch)
     rows = scratch.put("rows", fingerprints(docs, id_col, text_col, shingle, verify[0] if verify else None))
-    key = [c for c in rows.columns if c != "doc_id"]
-    nodes = scratch.put("nodes", rows.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
-    return _told(rows, nodes, key, links(nodes.where("rep is not null"), distance, scratch, verify[1] if verify else None), scratch)
-
-
-def _told(rows: DataFrame, nodes: DataFrame, key: list[str], linked: DataFrame, scratch: Scratch) -> DataFrame:
-    found = connected_components(linked, scratch)
+    # A node is a fingerprint, or a fingerprint and a signature.
+    more = [c for c in SIGNATURE if c in rows.columns]
+    rows = rows.withColumn("rep", F.xxhash64("fp", *more) if more else F.col("fp"))
+    nodes = scratch.put("nodes", rows.groupBy("rep", "fp", *more).agg(*many))
+    return _told(rows, nodes, links(nodes, distance, scratch, verify[1] if verify else None), scratch)
+
+
+def _told(rows: DataFrame, nodes: DataFrame, linked: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows (doc_id, fp, rep) with their component's smallest id; nodes without ids join others all the same."""
+    found = scratch.put("components", connected_components(linked, scratch).toDF("rep", "component"))
+    least = found.join(nodes.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("c"))
+    of_node = found.join(least, "component").select("rep", "c")
     # Only nodes of several rows, or with links, change an id; both inputs of the join are scans.
-    told = nodes.join(found, nodes.rep == found.node, "left").select(*key, "n", "rep", F.coalesce("component", "rep").alias("c")).where("n > 1 or c <> rep or rep is null")
-    told = scratch.put("told", told.select(*key, "c"))
-    return rows.join(told, key, "left").select("doc_id", "fp", F.coalesce("c", "doc_id").alias("component_id"))
+    told = nodes.join(of_node, "rep", "left").select("rep", F.when(F.col("c").isNull(), F.col("least")).otherwise(F.col("c")).alias("c"), "n", F.col("c").isNotNull().alias("linked"))
+    told = scratch.put("told", told.where("n > 1 or linked").select("rep", "c"))
+    return rows.join(told, "rep", "left").select("doc_id", "fp", F.coalesce("c", "doc_id").alias("component_id"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
