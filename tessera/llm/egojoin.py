@@ -1,52 +1,60 @@
 """Embedding near-duplicates by an epsilon grid order join.
 
-Vectors are taken to the unit sphere, where cosine >= c means a distance of at
-most eps = sqrt(2 - 2c), and are projected on the leading principal directions
-of all vectors. They are sorted by label and by the cells (of width eps) of
-these projections, the epsilon grid order; the sequence is cut into blocks of
-bounded size. Two blocks of a label are joined only if the boxes around their
-projections come within eps of each other. The join of two sequences halves
+Equal vectors of a label are one node with a count from the start (told apart
+by 128 bits of hash), so a vector that is copied however often is compared
+once. Nodes are taken to the unit sphere, where cosine >= c means a distance of
+at most eps = sqrt(2 - 2c), and are projected on the leading principal
+directions of all vectors. They are sorted by label and by the cells (of width
+eps) of these projections, the epsilon grid order; the sequence is cut into
+blocks of bounded size. Two blocks of a label are joined only if the boxes
+around their projections come within eps of each other, which they find by the
+cells of the leading ``KEYS`` directions. The join of two sequences halves
 the longer one again and again, skips pairs of intervals whose boxes are
 farther apart than eps, and compares what is left by matrix products in double
-precision. Exact copies that meet in a block are one entry with a count, and a
-pair of blocks gives a count for each entry and at most one connecting link
-for each, so a group of copies never becomes all its pairs.
+precision. A pair of blocks gives a count for each node and at most one
+connecting link for each, so a group of near copies never becomes all its pairs.
+
+Vectors are kept in the type they come in and compared in double precision.
 
 Defined results: a vector that is null, empty, zero, or with null or non-finite
 components links with nothing, like any vector whose label is null; vectors of
-different lengths do not link; a null id gets a row, takes part in others'
-counts, and has no component. Repeated rows are vectors of their own. An empty table gives an empty result. Other columns,
-whatever their names, are not read.
+different lengths do not link; a row with a null id links like any other, but
+has no component of its own to name: it gets the smallest id it reaches, or
+null, and is never kept. Repeated rows are vectors of their own. An empty table
+gives an empty result. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, connected_components, table
 
 #: Rows of a block; intervals this short are compared by a matrix product; principal directions.
 BLOCK, LEAF, DIRECTIONS = 1024, 128, 6
+#: Leading directions whose cells bring blocks together.
+KEYS = 3
 #: Room for rounding in bounds, and around the threshold, where a pair is measured again on its own.
 SLACK, CLOSE = 1e-6, 1e-9
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str, label_col: str | None) -> DataFrame:
-    """(vec_id, vec array<double>, label, ok): ok where the vector can be compared.
+    """(vec_id, vec array<float> or array<double>, label, ok): ok where the vector can be compared.
     Vectors of different lengths are never compared, as their label is extended by the length."""
     v = F.col("vec")
+    kind = "array<float>" if df.select(vec_col).schema[0].dataType.simpleString() == "array<float>" else "array<double>"
     ok = F.col("vec").isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     label = F.col(label_col).cast("string") if label_col else F.lit("")
-    cols = df.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"), label.alias("label"))
+    cols = df.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vec_col).cast(kind).alias("vec"), label.alias("label"))
     return cols.withColumn("ok", F.coalesce(ok & F.col("label").isNotNull(), F.lit(False)))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    """Rows of equal length from a list column."""
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    """Rows of equal length from a list column, in double precision."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
@@ -79,55 +87,46 @@ def principal(good: DataFrame, dim: int, directions: int) -> np.ndarray:
 
 # --- blocks --------------------------------------------------------------------
 
-_BLOCK_SQL = "label string, block bigint, n int, dim int, vecs binary, counts binary, members array<array<bigint>>, low array<double>, high array<double>"
+_BLOCK_SQL = "label string, block bigint, dim int, vecs binary, counts binary, nodes binary, low array<double>, high array<double>"
 _BLOCK = pa.schema([
-    ("label", pa.string()), ("block", pa.int64()), ("n", pa.int32()), ("dim", pa.int32()), ("vecs", pa.binary()), ("counts", pa.binary()),
-    ("members", pa.list_(pa.list_(pa.int64()))), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())),
+    ("label", pa.string()), ("block", pa.int64()), ("dim", pa.int32()), ("vecs", pa.binary()), ("counts", pa.binary()), ("nodes", pa.binary()),
+    ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())),
 ])
 
 
-def _cut(basis_of: dict[int, np.ndarray]):
-    """Over rows (label, vec_id, vec) in grid order: blocks of distinct vectors with their ids."""
-
-    def make(label: str, ids: list, x: np.ndarray, block: int) -> dict:
-        _, first, inverse = np.unique(np.ascontiguousarray(x).view([("", x.dtype)] * x.shape[1]).ravel(), return_index=True, return_inverse=True)
-        order = np.argsort(first)  # entries in grid order
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        members: list[list[int]] = [[] for _ in order]
-        for i, e in zip(ids, place[inverse.ravel()], strict=True):
-            members[e].append(i)
-        distinct = x[first[order]]
-        p = unit(distinct) @ basis_of[x.shape[1]]
-        counts = np.array([len(m) for m in members], dtype="<i8")
-        return {
-            "label": label, "block": block, "n": len(distinct), "dim": x.shape[1], "vecs": distinct.astype("<f8").tobytes(), "counts": counts.tobytes(),
-            "members": members, "low": p.min(axis=0).tolist(), "high": p.max(axis=0).tolist(),
+def _cut(basis_of: dict[int, np.ndarray], single: bool):
+    """Over nodes (label, node, n, vec) in grid order: blocks of them."""
+
+    def make(label: str, held: list, block: int) -> pa.RecordBatch:
+        nodes, n, x = (np.concatenate(c) for c in zip(*held, strict=True))
+        p = unit(x) @ basis_of[x.shape[1]]
+        row = {
+            "label": label, "block": block, "dim": x.shape[1], "vecs": x.astype("<f4" if single else "<f8").tobytes(), "counts": n.astype("<i8").tobytes(),
+            "nodes": nodes.astype("<i8").tobytes(), "low": p.min(axis=0).tolist(), "high": p.max(axis=0).tolist(),
         }
+        return pa.RecordBatch.from_pylist([row], schema=_BLOCK)
 
     def work(batches):
         from pyspark import TaskContext
 
         task, serial = TaskContext.get().partitionId(), 0
-        label, ids, vecs = None, [], []
+        label, held, size = None, [], 0
         for b in batches:
-            labels, vec_ids, x = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)
+            labels = b.column(0).to_pylist()
+            nodes, n = (b.column(i).to_numpy() for i in (1, 2))
+            ends = [k for k in range(1, len(labels)) if labels[k] != labels[k - 1]] + [len(labels)]
             at = 0
-            while at < len(labels):
-                end = at
-                room = BLOCK - len(ids)
-                while end < len(labels) and labels[end] == (label if ids else labels[at]) and end - at < room:
-                    end += 1
-                if end > at:
+            for end in ends if labels else []:
+                while at < end:
+                    if size and (labels[at] != label or size >= BLOCK):
+                        yield make(label, held, (task << 32) + serial)
+                        serial, held, size = serial + 1, [], 0
+                    to = min(end, at + BLOCK - size)
                     label = labels[at]
-                    ids += vec_ids[at:end]
-                    vecs.append(matrix(x.slice(at, end - at)))
-                    at = end
-                if ids and (len(ids) >= BLOCK or at < len(labels)):
-                    yield pa.RecordBatch.from_pylist([make(label, ids, np.concatenate(vecs), (task << 32) + serial)], schema=_BLOCK)
-                    serial, ids, vecs = serial + 1, [], []
-        if ids:
-            yield pa.RecordBatch.from_pylist([make(label, ids, np.concatenate(vecs), (task << 32) + serial)], schema=_BLOCK)
+                    held.append((nodes[at:to], n[at:to], matrix(b.column(3).slice(at, to - at))))
+                    size, at = size + to - at, to
+        if size:
+            yield make(label, held, (task << 32) + serial)
 
     return work
 
@@ -206,40 +205,38 @@ def _spanning(n: int, pairs) -> np.ndarray:
     return np.concatenate(out, axis=1) if out else np.zeros((2, 0), dtype=np.int64)
 
 
-_OUT_SQL = "block bigint, entry int, links bigint, block2 bigint, entry2 int"
+_OUT_SQL = "node bigint, links bigint, node2 bigint"
 
 
-def _joined(basis_of: dict[int, np.ndarray], cosine: float):
-    """Over pairs of blocks: links counted for each entry, and connecting links."""
+def _joined(basis_of: dict[int, np.ndarray], cosine: float, single: bool):
+    """Over pairs of blocks: links counted for each node, and connecting links."""
 
-    def load(row: dict, k: str) -> tuple[np.ndarray, np.ndarray]:
-        return unit(np.frombuffer(row["vecs" + k], dtype="<f8").reshape(-1, row["dim"])), np.frombuffer(row["counts" + k], dtype="<i8")
+    def load(row: dict, k: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = np.frombuffer(row["vecs" + k], dtype="<f4" if single else "<f8").astype(np.float64).reshape(-1, row["dim"])
+        return unit(x), np.frombuffer(row["counts" + k], dtype="<i8"), np.frombuffer(row["nodes" + k], dtype="<i8")
 
     def work(batches):
         for b in batches:
             for row in b.to_pylist():
                 same = row["block"] == row["block2"]
-                x, nx = load(row, "")
-                y, ny = (None, nx) if same else load(row, "2")
-                m = len(x)
-                links, pairs = np.zeros(m + (0 if same else len(y)), dtype=np.int64), []
+                x, nx, nodes = load(row, "")
+                y, ny = None, nx
+                if not same:
+                    y, ny, more = load(row, "2")
+                    nodes = np.concatenate([nodes, more])
+                shift = 0 if same else len(x)
+                links, pairs = np.zeros(len(nodes), dtype=np.int64), []
                 for i, j in join_intervals(x, y, basis_of[row["dim"]], cosine):
                     np.add.at(links, i, ny[j])
-                    np.add.at(links, j if same else j + m, nx[i])
-                    pairs.append((i, j if same else j + m))
-                if same:
-                    links += nx - 1  # exact copies of an entry
+                    np.add.at(links, j + shift, nx[i])
+                    pairs.append((i, j + shift))
                 k = np.flatnonzero(links)
                 span = _spanning(len(links), pairs)
-                block = lambda e: np.where(e < m, row["block"], row["block2"])
-                entry = lambda e: np.where(e < m, e, e - m).astype(np.int32)
-                none = lambda n, t: pa.nulls(n, t)
                 cols = [
-                    pa.concat_arrays([pa.array(block(k)), pa.array(block(span[0]))]), pa.concat_arrays([pa.array(entry(k)), pa.array(entry(span[0]))]),
-                    pa.concat_arrays([pa.array(links[k]), none(span.shape[1], pa.int64())]),
-                    pa.concat_arrays([none(len(k), pa.int64()), pa.array(block(span[1]))]), pa.concat_arrays([none(len(k), pa.int32()), pa.array(entry(span[1]))]),
+                    pa.array(np.concatenate([nodes[k], nodes[span[0]]])), pa.concat_arrays([pa.array(links[k]), pa.nulls(span.shape[1], pa.int64())]),
+                    pa.concat_arrays([pa.nulls(len(k), pa.int64()), pa.array(nodes[span[1]])]),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, names=["block", "entry", "links", "block2", "entry2"])
+                yield pa.RecordBatch.from_arrays(cols, names=["node", "links", "node2"])
 
     return work
 
@@ -248,57 +245,74 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     """(vec_id, n_links, component_id, kept) of each row."""
     spark = df.sparkSession
     scratch = Scratch(spark, "ego")
-    rows = scratch.put("rows", usable(df, id_col, vec_col, label_col))
-    good = rows.where("ok")
-    dims = [r.n for r in good.select(F.size("vec").alias("n")).distinct().collect()]
-    basis_of = {d: principal(good.where(F.size("vec") == d), d, min(d, directions)) for d in dims}
+    given = usable(df, id_col, vec_col, label_col).withColumn("label", F.concat_ws(":", F.size("vec").cast("string"), "label"))
+    given = given.select("vec_id", "label", "ok", F.when(F.col("ok"), F.col("vec")).alias("vec"), F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit("second"), "vec").alias("h2"))
+    single = given.schema["vec"].dataType.simpleString() == "array<float>"
+    rows = scratch.put("rows", given.drop("vec"))
+    # Nodes; their numbers are written, so they stay whatever is run again.
+    key = ["label", "h1", "h2"]
+    distinct = given.where("ok").groupBy(*key).agg(F.count("*").alias("n"), F.min("vec_id").alias("least"), F.first("vec").alias("vec"))
+    distinct = scratch.put("distinct", distinct.withColumn("node", F.monotonically_increasing_id()))
+    dims = [r.d for r in distinct.select(F.size("vec").alias("d")).distinct().collect()]
+    basis_of = {d: principal(distinct.where(F.size("vec") == d), d, min(d, directions)) for d in dims}
     eps = float(np.sqrt(max(0.0, 2 - 2 * cosine))) or SLACK
 
     def keyed(batches):
         for b in batches:
-            lengths = np.diff(b.column(2).offsets.to_numpy())
+            lengths = np.diff(b.column(3).offsets.to_numpy())
             for d in np.unique(lengths):
                 part = b.take(pa.array(np.flatnonzero(lengths == d)))
-                x = matrix(part.column(2))
-                cells = np.floor(unit(x) @ basis_of[int(d)] / eps).astype(np.int64)
+                cells = np.floor(unit(matrix(part.column(3))) @ basis_of[int(d)] / eps).astype(np.int64)
                 cells = np.pad(cells, ((0, 0), (0, directions - cells.shape[1])))
-                labels = pa.array([f"{d}:{v}" for v in part.column(0).to_pylist()])
-                yield pa.RecordBatch.from_arrays([labels, part.column(1), part.column(2), *[pa.array(c) for c in cells.T]], names=["label", "vec_id", "vec", *[f"c{i}" for i in range(directions)]])
+                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(c) for c in cells.T]], names=[*part.schema.names, *cell_names])
 
-    order = ["label", *[f"c{i}" for i in range(directions)]]
-    grid = good.select("label", "vec_id", "vec").mapInArrow(keyed, "label string, vec_id bigint, vec array<double>, " + ", ".join(f"c{i} bigint" for i in range(directions)))
-    grid = grid.withColumn("tie", F.xxhash64("vec"))
+    cell_names = [f"c{i}" for i in range(directions)]
+    vec_type = distinct.schema["vec"].dataType.simpleString()
+    grid = distinct.select("label", "node", "n", "vec").mapInArrow(keyed, f"label string, node bigint, n bigint, vec {vec_type}, " + ", ".join(f"{c} bigint" for c in cell_names))
+    order = ["label", *cell_names, "node"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = grid.repartitionByRange(parts, *order, "tie", "vec_id").sortWithinPartitions(*order, "tie", "vec_id")
-    blocks = scratch.put("blocks", dealt.select("label", "vec_id", "vec").mapInArrow(_cut(basis_of), _BLOCK_SQL))
-    # Pairs of blocks whose boxes come within eps: an equi-join on label and the cells of the first
-    # direction that a block spans, widened by one, then the boxes themselves.
-    lo, hi = F.floor(F.element_at("low", 1) / eps).cast("bigint"), F.floor(F.element_at("high", 1) / eps).cast("bigint")
+    dealt = grid.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    blocks = scratch.put("blocks", dealt.select("label", "node", "n", "vec").mapInArrow(_cut(basis_of, single), _BLOCK_SQL))
+    out = scratch.put("out", _met(blocks, basis_of, eps, cosine, single, min([KEYS, directions, *dims])))
+
+    told = distinct.select("node", *key, "n", "least")
+    counts = out.where("links is not null").groupBy("node").agg(F.sum("links").alias("links"))
+    edges = out.where("links is null").select(F.col("node").alias("u"), F.col("node2").alias("v"))
+    comp = scratch.put("components", connected_components(edges, scratch))
+    least = comp.join(told.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("c"))
+    of_node = comp.join(least, "component").select("node", "c")
+    told = told.join(counts, "node", "left").join(of_node, "node", "left").where("n > 1 or links is not null")
+    told = scratch.put("told", told.select(*key, (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.when(F.col("links").isNull(), F.col("least")).otherwise(F.col("c")).alias("c")))
+    scratch.drop("distinct", "blocks", "out")
+    # Only nodes of several rows, or with links, are told; both inputs of the join are scans.
+    out = rows.where("ok").join(told, key, "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), F.when(F.col("links").isNull(), F.col("vec_id")).otherwise(F.col("c")).alias("component_id"))
+    alone = rows.where(~F.col("ok")).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return out.unionAll(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def _met(blocks: DataFrame, basis_of: dict[int, np.ndarray], eps: float, cosine: float, single: bool, keys: int) -> DataFrame:
+    """What pairs of blocks give whose boxes come within eps: an equi-join on label and the cells of the leading
+    directions that a block's box covers, on one side widened by one, then the boxes themselves."""
+
+    def cells(side: str, k: int) -> Column:
+        return F.floor(F.element_at(side, k + 1) / eps).cast("bigint")
+
     heads = blocks.select("label", "block", "low", "high")
-    left = heads.withColumn("cell", F.explode(F.sequence(lo - 1, hi + 1)))
-    right = heads.select("label", F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.explode(F.sequence(lo, hi)).alias("cell"))
+    left, right = heads, heads.select("label", F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    for k in range(keys):
+        left = left.withColumn(f"first{k}", cells("low", k) - 1).withColumn(f"k{k}", F.explode(F.sequence(cells("low", k) - 1, cells("high", k) + 1)))
+        right = right.withColumn(f"other{k}", cells("low2", k)).withColumn(f"k{k}", F.explode(F.sequence(cells("low2", k), cells("high2", k))))
     apart = F.aggregate(
         F.zip_with(F.zip_with("low", "high2", lambda a, b: a - b), F.zip_with("low2", "high", lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0))),
         F.lit(0.0), lambda s, d: s + d * d,
     )
-    pairs = left.join(right, ["label", "cell"]).where((F.col("block") <= F.col("block2")) & (apart <= (eps + SLACK) ** 2)).select("block", "block2").distinct()
-    payload = blocks.select("block", "dim", "vecs", "counts")
-    meet = pairs.join(payload, "block").join(payload.drop("dim").toDF("block2", "vecs2", "counts2"), "block2")
-    out = scratch.put("out", meet.mapInArrow(_joined(basis_of, cosine), _OUT_SQL))
-
-    entries = blocks.select("block", F.posexplode("members").alias("entry", "ids"))
-    counts = out.where("links is not null").groupBy("block", "entry").agg(F.sum("links").alias("links"))
-    entries = entries.withColumn("rep", F.array_min("ids")).join(counts, ["block", "entry"], "left")
-    entries = scratch.put("entries", entries.select("block", "entry", "ids", "rep", F.coalesce("links", F.lit(0)).alias("links")))
-    reps = entries.select("block", "entry", "rep")
-    edges = out.where("links is null").join(reps, ["block", "entry"]).select(F.col("rep").alias("u"), F.col("block2").alias("block"), F.col("entry2").alias("entry"))
-    edges = edges.join(reps, ["block", "entry"]).select("u", F.col("rep").alias("v"))
-    comp = connected_components(edges, scratch)
-    e = entries.join(comp, entries.rep == comp.node, "left").select("ids", "links", F.coalesce("component", "rep").alias("c"))
-    linked = e.select(F.explode("ids").alias("vec_id"), F.col("links").alias("n_links"), F.col("c").alias("component_id"))
-    linked = linked.withColumn("component_id", F.when(F.col("vec_id").isNotNull(), F.col("component_id")))
-    alone = rows.where(~F.col("ok")).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionAll(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    near = left.join(right, ["label", *[f"k{k}" for k in range(keys)]]).where((F.col("block") <= F.col("block2")) & (apart <= (eps + SLACK) ** 2))
+    for k in range(keys):  # two boxes may share many cells: the least of them counts
+        near = near.where(F.col(f"k{k}") == F.greatest(f"first{k}", f"other{k}"))
+    payload = blocks.select("block", "dim", "vecs", "counts", "nodes")
+    pairs = near.select("block", "block2")
+    meet = pairs.join(payload, "block").join(payload.drop("dim").toDF("block2", "vecs2", "counts2", "nodes2"), "block2")
+    return meet.mapInArrow(_joined(basis_of, cosine, single), _OUT_SQL)
 
 
 def op2_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
