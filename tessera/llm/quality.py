@@ -10,17 +10,21 @@ marginals, averaged with line lengths as weights, together with the marginal of
 the worst stretch and the document's length, go through a fitted logistic
 curve: the document's quality.
 
-Fitting takes at most ``SAMPLE`` labelled documents and of each at most
-``TRAIN_LINES`` lines; scoring takes whole texts.
+Fitting takes at most ``SAMPLE`` labelled documents. The chain learns from the
+lines of a text, or where it has more than ``TRAIN_LINES`` from stretches of
+``STRETCH`` lines of it that a hash picks all over the text; the curve learns
+from whole texts. Scoring takes whole texts.
 
 Defined results: a null text is an empty text, which is one empty line; rows
 are scored each, null ids included; with no labelled row, or only one class,
-every score is the share of good labels (1 if none); an empty table gives an
-empty result; other columns are not read.
+every score is the share of good labels (1 if none); a score of just the least
+value asked for is kept; a line of any length is one line; an empty table gives
+an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold, labelled_sample, table
+from tessera.llm.common import Scratch, fold, labelled_sample, labelled_texts, table
 
-#: Labelled documents to fit on, and lines of each of them.
-SAMPLE, TRAIN_LINES = 3000, 100
-#: Characters worked on at once; longer texts are walked in pieces of whole lines of at most this size.
+#: Labelled documents to fit on; lines of each that the chain learns from, in stretches of so many.
+SAMPLE, TRAIN_LINES, STRETCH = 3000, 400, 40
+#: Characters worked on at once; longer texts are walked in pieces of whole lines, longer lines in pieces whose sums are added.
 AT_ONCE = 2_000_000
 #: Weight of a good document against a bad one in the curve: losing a good one is the worse error.
 KEEP = 8.0
@@ -57,19 +61,23 @@ def _lines(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pieces(text: str | None) -> Iterator[str]:
-    """The text in pieces of at most AT_ONCE characters that end at line feeds; a longer line counts as several."""
+    """The text in pieces of at most AT_ONCE characters that end at line feeds, and longer lines on their own."""
     text, at = text or "", 0
     while len(text) - at > AT_ONCE:
         end = text.rfind("\n", at, at + AT_ONCE)
-        yield text[at : end if end >= at else at + AT_ONCE]
-        at = end + 1 if end >= at else at + AT_ONCE
+        if end < at:
+            end = text.find("\n", at + AT_ONCE)
+            if end < 0:
+                break
+        yield text[at:end]
+        at = end + 1
     yield text[at:]
 
 
 def line_statistics(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(own features of each line, its length in bytes, lines of each text)."""
     pieces = [(k, p) for k, t in enumerate(texts) for p in _pieces(t)]
-    got = [_statistics(g) for g in groups([p for _, p in pieces])]
+    got = [_long_line(g[0]) if len(g[0]) > AT_ONCE else _statistics(g) for g in groups([p for _, p in pieces])]
     own, length, lines, words, line_hash = (np.concatenate(x) for x in zip(*got, strict=True))
     per_text = np.bincount([k for k, _ in pieces], weights=lines, minlength=len(texts)).astype(np.int64)
     # Lines that repeat an earlier line of their text.
@@ -85,32 +93,74 @@ def _statistics(texts: list[str]) -> tuple[np.ndarray, ...]:
     data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
     starts, ends = _lines(data)
     per_text = np.array([r.count(b"\n") + 1 for r in raw])
-    length = ends - starts
-    n = np.maximum(length, 1)
-    sums = lambda v: np.add.reduceat(v, starts, dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
-    share = [sums(c[data]) / n for c in _CLASS]
+    sums = np.stack([np.add.reduceat(c[data], starts, dtype=np.int64) for c in _CLASS])
     # Words: hash of each, to see whether it repeats the one before on its line.
-    blank = (_CLASS[4][data] | (data == 10)).astype(bool)
-    at = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
-    words = np.zeros(len(starts), dtype=np.int64)
-    repeats = np.zeros(len(starts), dtype=np.int64)
+    h, at = _word_hashes(data)
+    words, repeats, line_hash = np.zeros(len(starts), dtype=np.int64), np.zeros(len(starts), dtype=np.int64), np.zeros(len(starts))
     if len(at):
-        place = np.arange(len(data)) - np.repeat(at, np.diff(np.r_[at, len(data)])) if at[0] == 0 else np.arange(len(data)) - np.repeat(np.r_[0, at], np.diff(np.r_[0, at, len(data)]))
-        mixed = _MIX[data] * (2 * place.astype(np.int64) + 1)
-        mixed[blank] = 0
-        h = np.add.reduceat(mixed, at)
         line = np.searchsorted(ends, at)
         same = np.r_[False, (h[1:] == h[:-1]) & (line[1:] == line[:-1])]
         words = np.bincount(line, minlength=len(starts))
         repeats = np.bincount(line[same], minlength=len(starts))
-        line_hash = np.bincount(line, weights=(h % 1000003) * (1.0 + (np.arange(len(h)) - np.searchsorted(line, line)) % 97), minlength=len(starts))
-    else:
-        line_hash = np.zeros(len(starts))
-    w = np.maximum(words, 1)
-    columns = [np.ones(len(n)), np.log1p(length) / 6, np.log1p(words) / 4, np.minimum(length / w, 30) / 10, np.zeros(len(n)), words == 0]
+        line_hash = np.bincount(line, weights=_weighed(h, np.arange(len(h)) - np.searchsorted(line, line)), minlength=len(starts))
+    return _features(ends - starts, words, repeats, sums), ends - starts, per_text, words, line_hash
+
+
+def _word_hashes(data: np.ndarray, inside: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of each word: a sum over its bytes and their places. ``inside``: so many bytes of the first word came before."""
+    blank = (_CLASS[4][data] | (data == 10)).astype(bool)
+    at = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
+    if not len(at):
+        return np.zeros(0, dtype=np.int64), at
+    place = np.arange(len(data)) - np.repeat(np.r_[0, at], np.diff(np.r_[0, at, len(data)]))
+    if inside and at[0] == 0:
+        place[: at[1] if len(at) > 1 else len(data)] += inside
+    mixed = _MIX[data] * (2 * place.astype(np.int64) + 1)
+    mixed[blank] = 0
+    return np.add.reduceat(mixed, at), at
+
+
+def _weighed(h: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (h % 1000003) * (1.0 + place % 97)
+
+
+def _long_line(text: str) -> tuple[np.ndarray, ...]:
+    """What ``_statistics`` gives for one line, whose sums are added over pieces of it; a word may go on in the next piece."""
+    raw = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
+    sums, words, repeats, line_hash = np.zeros((len(_CLASS), 1), dtype=np.int64), 0, 0, 0.0
+    last, part, inside = None, np.int64(0), 0  # the last whole word's hash; that of a word that goes on, and its bytes so far
+    for k in range(0, len(raw), AT_ONCE):
+        data = raw[k : k + AT_ONCE]
+        sums[:, 0] += [int(c[data].sum(dtype=np.int64)) for c in _CLASS]
+        h, at = _word_hashes(data, inside)
+        goes_on = inside > 0 and len(at) > 0 and at[0] == 0
+        if goes_on:
+            h[0] += part
+        elif inside:
+            h, at = np.r_[part, h], np.r_[-1, at]
+        part, inside, open_ = np.int64(0), inside if goes_on else 0, _CLASS[4][data[-1]] == 0
+        if open_:
+            part, inside = h[-1], (inside if len(at) == 1 and goes_on else 0) + len(data) - int(at[-1])
+            h = h[:-1]
+        else:
+            inside = 0
+        if len(h):
+            repeats += int((h[1:] == h[:-1]).sum()) + int(last is not None and h[0] == last)
+            line_hash += float(_weighed(h, words + np.arange(len(h))).sum())
+            words, last = words + len(h), h[-1]
+    if inside:
+        repeats += int(last is not None and part == last)
+        line_hash, words = line_hash + float(_weighed(np.array([part]), np.array([words]))[0]), words + 1
+    one = lambda v: np.array([v])
+    return _features(one(len(raw)), one(words), one(repeats), sums), one(len(raw)), one(1), one(words), one(line_hash)
+
+
+def _features(length: np.ndarray, words: np.ndarray, repeats: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    share, w = sums / np.maximum(length, 1), np.maximum(words, 1)
+    columns = [np.ones(len(length)), np.log1p(length) / 6, np.log1p(words) / 4, np.minimum(length / w, 30) / 10, np.zeros(len(length)), words == 0]
     for s in [*share, repeats / w, share[5] * length / w]:
         columns += [s, *[(s > k).astype(float) for k in STEPS]]
-    return np.stack([np.asarray(c, dtype=np.float32) for c in columns], axis=1), length, per_text, words, line_hash
+    return np.stack([np.asarray(c, dtype=np.float32) for c in columns], axis=1)
 
 
 def with_neighbours(own: np.ndarray, per_text: np.ndarray) -> np.ndarray:
@@ -208,40 +258,51 @@ class Quality:
         self.field, self.curve, self.prior = field, curve, prior
 
     @classmethod
-    def fit(cls, own: list[np.ndarray], lengths: list[np.ndarray], labels: list[int]) -> Quality:
+    def fit(cls, x: list[np.ndarray], sizes: list[list[int]], labels: list[int]) -> Quality:
+        """The chain, from the features of each document's lines (with neighbours) in stretches of the given sizes;
+        ``fit_curve`` is to follow. Without two classes there is nothing to fit."""
         if len(set(labels)) < 2:
             return cls(None, None, float(np.mean(labels)) if labels else 1.0)
-        per_text = np.array([len(o) for o in own])
-        x = with_neighbours(np.concatenate(own), per_text).astype(np.float64)
-        y_doc = np.array(labels)
-        y = np.repeat(y_doc, per_text)
-        length = np.concatenate(lengths)
+        y_doc, lines = np.array(labels), np.array([len(v) for v in x])
+        per_text, y = np.array([n for s in sizes for n in s]), np.repeat(y_doc, lines)
         # Each document weighs the same, and so does each class.
         share = np.where(y_doc == 1, 0.5 / max(1, (y_doc == 1).sum()), 0.5 / max(1, (y_doc == 0).sum()))
-        weight = np.repeat(share / per_text, per_text) * len(y)
-        field = Field(x.shape[1])
-        field.fit(x, y, per_text, weight)
-        a = aggregate(field.marginals(x, per_text), length, per_text)
-        curve = _logistic(a, y_doc, np.where(y_doc == 1, KEEP, 1.0))
-        return cls(field, curve, float(y_doc.mean()))
+        field = Field(x[0].shape[1])
+        field.fit(np.concatenate(x).astype(np.float64), y, per_text, np.repeat(share / lines, lines) * len(y))
+        return cls(field, None, float(y_doc.mean()))
+
+    def fit_curve(self, a: np.ndarray, labels: np.ndarray) -> None:
+        """The curve, from ``places`` of labelled documents."""
+        self.curve = _logistic(a, labels, np.where(labels == 1, KEEP, 1.0))
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.field is None:
             return np.full(len(texts), self.prior)
+        return 1 / (1 + np.exp(-np.clip(self.places(texts) @ self.curve, -30, 30)))
+
+    def places(self, texts: list[str | None]) -> np.ndarray:
+        """What the curve takes of each whole text."""
         own, length, per_text = line_statistics(texts)
         # Long documents go through forward-backward in groups, so that the arrays stay small.
-        out = np.zeros(len(texts))
+        out = []
         ends = np.cumsum(per_text)
         at = 0
         while at < len(texts):
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 50_000)))
             a, b = (ends[at - 1] if at else 0), ends[to - 1]
             x = with_neighbours(own[a:b], per_text[at:to])
-            p = self.field.marginals(x, per_text[at:to])
-            z = aggregate(p, length[a:b], per_text[at:to]) @ self.curve
-            out[at:to] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            out.append(aggregate(self.field.marginals(x, per_text[at:to]), length[a:b], per_text[at:to]))
             at = to
-        return out
+        return np.concatenate(out)
+
+
+def stretches(lines: int, key: int) -> list[tuple[int, int]]:
+    """The lines that training takes of a text: all, or TRAIN_LINES in stretches that a hash picks all over it."""
+    if lines <= TRAIN_LINES:
+        return [(0, lines)]
+    starts = range(0, lines - lines % STRETCH, STRETCH)
+    picked = sorted(starts, key=lambda s: zlib.crc32(f"{key} {s}".encode()))[: TRAIN_LINES // STRETCH]
+    return [(s, s + STRETCH) for s in sorted(picked)]
 
 
 def groups(texts: list[str | None], most: int = AT_ONCE) -> Iterator[list[str | None]]:
@@ -257,27 +318,37 @@ def groups(texts: list[str | None], most: int = AT_ONCE) -> Iterator[list[str |
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep=None, bound: int = SAMPLE) -> Quality:
-    """Fits on at most ``bound`` labelled documents; executors turn texts into line statistics, the driver gets those."""
-    keep = F.lit(True) if keep is None else keep
-    sample = labelled_sample(labels, id_col, label_col, keep, bound)
+    """Fits on at most ``bound`` labelled documents; executors turn texts into numbers, of which the driver gets at most
+    TRAIN_LINES rows a document for the chain, then one row a document for the curve."""
+    sample = labelled_sample(labels, id_col, label_col, F.lit(True) if keep is None else keep, bound)
+    scratch = Scratch(docs.sparkSession, "quality")
+    few = scratch.put("few", labelled_texts(docs, sample, id_col, text_col))
 
-    def work(batches):
+    def lines(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 200):
-                part = b.slice(at, 200)
-                got = [line_statistics([t.as_py()])[:2] for t in part.column(1)]
-                own = [o[:TRAIN_LINES].astype("<f4").tobytes() for o, _ in got]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.binary()), pa.array([n[:TRAIN_LINES].astype("<i8").tobytes() for _, n in got], pa.binary())], names=["y", "own", "length"])
-
-    # The sample has at most ``bound`` rows of an id and a label, so it may be broadcast.
-    few = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("t")).join(F.broadcast(sample), "_id")
-    rows = few.select("_y", "t").mapInArrow(work, "y int, own binary, length binary").collect()
-    if not rows:
-        return Quality.fit([], [], [])
-    lengths = [np.frombuffer(r.length, dtype="<i8") for r in rows]
-    own = [np.frombuffer(r.own, dtype="<f4").reshape(len(n), -1) for r, n in zip(rows, lengths, strict=True)]
-    order = sorted(range(len(rows)), key=lambda k: (rows[k].y, rows[k].own))  # whatever order the tasks came in
-    return Quality.fit([own[k] for k in order], [lengths[k] for k in order], [rows[k].y for k in order])
+            for y, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                text = t.as_py()
+                own, _, n = line_statistics([text])
+                x, taken = with_neighbours(own, n), stretches(len(own), zlib.crc32(text.encode("utf-8", "replace")))
+                rows = np.concatenate([x[i:j] for i, j in taken]).astype("<f4")
+                yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([rows.tobytes()], pa.binary()), pa.array([[j - i for i, j in taken]], pa.list_(pa.int32()))], names=["y", "x", "sizes"])
+
+    few = few.select(F.col("_y").cast("int").alias("_y"), "t")
+    rows = few.mapInArrow(lines, "y int, x binary, sizes array<int>").collect()
+    rows.sort(key=lambda r: (r.y, bytes(r.x)))  # whatever order the tasks came in
+    model = Quality.fit([np.frombuffer(r.x, dtype="<f4").reshape(sum(r.sizes), -1) for r in rows], [list(r.sizes) for r in rows], [r.y for r in rows])
+    if model.field is not None:
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+
+        def placed(batches):
+            for b in batches:
+                a = np.concatenate([shared.value.places(g) for g in groups(b.column(1).to_pylist())]) if b.num_rows else np.zeros((0, 0))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(a.tolist(), pa.list_(pa.float64()))], names=["y", "a"])
+
+        got = sorted((r.y, list(r.a)) for r in few.mapInArrow(placed, "y int, a array<double>").collect())
+        model.fit_curve(np.array([a for _, a in got]), np.array([y for y, _ in got]))
+    scratch.drop("few")
+    return model
 
 
 def score(docs: DataFrame, model: Quality, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
