@@ -8,8 +8,9 @@ window. A document's score is that of its worst window, brought to scale by a
 logistic curve with the number of windows. Everything is trained in numpy by
 back-propagation: a labelled document passes its label to its worst window.
 
-Fitting takes at most ``SAMPLE`` labelled documents and of each at most
-``TRAIN_WORDS`` words; scoring reads all windows of whole texts.
+Fitting takes at most ``SAMPLE`` labelled documents, all windows of each, or
+where it has more than ``TRAIN_WINDOWS`` so many that a hash picks all over the
+text; scoring reads all windows of whole texts.
 
 Defined results: a null or empty text is one window of no words; rows are scored
 each, null ids included; with no labelled row, or one class only, every score
@@ -27,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold, labelled_sample, table
+from tessera.llm.common import fold, labelled_sample, labelled_texts, table
 
 WINDOW, STRIDE = 32, 24
 #: Hashed rows of the word and n-gram tables; input and state widths.
 WORDS, GRAMS, INPUT, STATE = 1 << 13, 1 << 13, 12, 8
-#: Labelled documents to fit on and words of each of them; passes over them.
-SAMPLE, TRAIN_WORDS, EPOCHS = 3000, 500, 8
+#: Labelled documents to fit on and windows of each of them; passes over them.
+SAMPLE, TRAIN_WINDOWS, EPOCHS = 3000, 120, 8
 #: Words a worker remembers; windows scored at once; characters of a piece of a long text.
 MEMORY, AT_ONCE, PIECE, BATCH = 300_000, 2048, 1_000_000, 64
 #: Windows of a long text that are worked on together.
@@ -43,7 +44,7 @@ _WORD = re.compile(r"\w+")
 
 def features(word: str) -> list[int]:
     """Row of the word table, then rows of the n-gram table (shifted by WORDS): beginnings, ends and the middle."""
-    w = f"<{word}>"[:40]
+    w = f"<{word}>"
     n = len(w)
     grams = [w[:4], w[:5], w[:6], w[:7], w[-4:], w[-5:], w[n // 2 - 2 : n // 2 + 2]]
     return [zlib.crc32(word.encode()) % WORDS] + [WORDS + zlib.crc32(g.encode()) % GRAMS for g in grams]
@@ -193,23 +194,31 @@ class Network:
         return x
 
 
+def taken(n: int, key: int) -> np.ndarray:
+    """Starts of the windows over n words that training takes: all, or TRAIN_WINDOWS that a hash picks all over the text."""
+    s = windows(n)
+    return s if len(s) <= TRAIN_WINDOWS else np.sort(s[np.argsort([zlib.crc32(f"{key} {a}".encode()) for a in s], kind="stable")[:TRAIN_WINDOWS]])
+
+
 def fit(texts: list[list[str]], labels: list[int], epochs: int = EPOCHS, seed: int = 5) -> Network:
     """``texts``: the words of each document."""
+    return fit_windows([[t[a : a + WINDOW] for a in windows(len(t))] for t in texts], [len(windows(len(t))) for t in texts], labels, epochs, seed)
+
+
+def fit_windows(texts: list[list[list[str]]], counts: list[int], labels: list[int], epochs: int = EPOCHS, seed: int = 5) -> Network:
+    """``texts``: windows of each document, each a list of words; ``counts``: how many windows it has in all."""
     net = Network()
     if len(set(labels)) < 2:
         net.prior = float(np.mean(labels)) if labels else 0.0
         return net
-    vocabulary = sorted({w for t in texts for w in t})
+    vocabulary = sorted({w for t in texts for x in t for w in x})
     index = {w: i for i, w in enumerate(vocabulary)}
     feats = [features(w) for w in vocabulary]
     nothing, y = len(vocabulary), np.array(labels)
-    rows, owner = [], []
-    for k, t in enumerate(texts):
-        ids = np.array([index[w] for w in t] + [nothing] * WINDOW)
-        for a in windows(len(t)):
-            rows.append(ids[a : a + WINDOW])
-            owner.append(k)
-    ids, owner = np.stack(rows), np.array(owner)
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    ids = np.full((len(owner), WINDOW), nothing, dtype=np.int32)
+    for row, x in zip(ids, (x for t in texts for x in t), strict=True):
+        row[: len(x)] = [index[w] for w in x]
     grad2 = {n: np.full_like(getattr(net, n), 1e-6) for n in Network.NAMES}
     rng, weight = np.random.default_rng(seed), np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** 0.5
     for epoch in range(epochs):
@@ -248,9 +257,9 @@ def fit(texts: list[list[str]], labels: list[int], epochs: int = EPOCHS, seed: i
                 value -= rate * d[name] / np.sqrt(s)
     # The curve of documents: the worst logit and the number of windows.
     logit = net.logits(net.project(net.vectors(feats)), ids)
-    top, count = np.full(len(y), -1e9), np.bincount(owner)
+    top = np.full(len(y), -1e9)
     np.maximum.at(top, owner, logit)
-    a = np.stack([np.clip(top, -15, 15), np.log(count), np.ones(len(y))], axis=1)
+    a = np.stack([np.clip(top, -15, 15), np.log(counts), np.ones(len(y))], axis=1)
     c = np.array([1.0, 0.0, 0.0])
     for _ in range(60):
         p = _sigmoid(np.clip(a @ c, -30, 30))
@@ -321,12 +330,21 @@ class Scorer:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep=None, bound: int = SAMPLE) -> Network:
-    """Fits on at most ``bound`` labelled documents, of which the driver gets at most TRAIN_WORDS words each."""
+    """Fits on at most ``bound`` labelled documents, of which the driver gets at most TRAIN_WINDOWS windows each."""
     sample = labelled_sample(labels, id_col, label_col, F.lit(True) if keep is None else keep, bound)
-    few = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("t")).join(F.broadcast(sample), "_id")
-    few = few.select("_y", F.substring("t", 1, 40 * TRAIN_WORDS).alias("t"))
-    rows = sorted((r._y, r.t) for r in few.collect())
-    return fit([_WORD.findall(t)[:TRAIN_WORDS] for _, t in rows], [y for y, _ in rows])
+    few = labelled_texts(docs, sample, id_col, text_col).select(F.col("_y").cast("int").alias("_y"), "t")
+
+    def cut(batches):
+        for b in batches:
+            for y, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                text = t.as_py().lower()
+                words = _WORD.findall(text)
+                # Words hold no blank, so a window travels as one string.
+                found = [" ".join(words[a : a + WINDOW]) for a in taken(len(words), zlib.crc32(text.encode("utf-8", "replace")))]
+                yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([found], pa.list_(pa.string())), pa.array([len(windows(len(words)))], pa.int32())], names=["y", "windows", "n"])
+
+    rows = sorted((r.y, list(r.windows), r.n) for r in few.mapInArrow(cut, "y int, windows array<string>, n int").collect())
+    return fit_windows([[w.split() for w in t] for _, t, _ in rows], [n for *_, n in rows], [y for y, *_ in rows])
 
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
