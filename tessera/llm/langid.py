@@ -10,28 +10,28 @@ into one matrix. Texts are scored by two matrix products a batch.
 Fitting takes at most ``SAMPLE`` documents with a language; scoring takes whole
 texts, a very long text piece by piece into the same presence row.
 
-Defined results: texts that are null or hold no letter are ``und`` with score 0;
-with no row to learn from every text is; rows are scored each, null ids
-included; an empty table gives an empty result; other columns are not read.
+Defined results: texts that are null or hold no letter (``\\p{L}``) are ``und``
+with score 0; of languages with one score the first by name is told; with no row
+to learn from every text is ``und``; rows are scored each, null ids included; an
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold, labelled_sample, table
+from tessera.llm.common import fold, labelled_sample, labelled_texts, table
 
 N, BUCKETS = 3, 1 << 16
 #: Documents to fit on, landmarks, ridge, and how sharply scores become shares.
 SAMPLE, LANDMARKS, RIDGE, SHARP = 2000, 160, 0.1, 8.0
 #: Texts and characters of a batch.
 ROWS, AT_ONCE = 256, 1_000_000
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter: the same test for what is learnt from and what is told.
+_LETTER = r"\p{L}"
 _STEP = [np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D), np.uint32(0x27D4EB2F)]
 
 
@@ -134,7 +134,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 p = presence(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.flatnonzero(r).astype("<u2").tobytes() for r in p], pa.binary())], names=["y", "grams"])
 
-    few = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("t")).where(F.col("t").rlike(r"\p{L}")).join(F.broadcast(sample), "_id")
+    few = labelled_texts(docs.where(F.col(text_col).rlike(_LETTER)), sample, id_col, text_col)
     rows = few.select("_y", "t").mapInArrow(work, "y string, grams binary").collect()
     rows = sorted((r.y, bytes(r.grams)) for r in rows)
     return Language.fit([np.frombuffer(g, dtype="<u2").astype(np.int64) for _, g in rows], [y for y, _ in rows])
@@ -143,7 +143,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def identify(docs: DataFrame, model: Language | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of each whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    target = docs.select(id_col, text_col)
+    target = docs.select(id_col, text_col, F.coalesce(F.col(text_col).rlike(_LETTER), F.lit(False)).alias("_letter"))
 
     def work(batches):
         m = shared.value
@@ -151,7 +151,7 @@ def identify(docs: DataFrame, model: Language | None, id_col: str = "doc_id", te
             for at in range(0, b.num_rows, ROWS):
                 part = b.slice(at, ROWS)
                 texts = part.column(1).to_pylist()
-                known = np.array([m is not None and bool(_LETTER.search(t or "")) for t in texts])
+                known = part.column(2).to_numpy(zero_copy_only=False).astype(bool) & (m is not None)
                 lang, score = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
                 if known.any():
                     s = m.scores([t for t, k in zip(texts, known, strict=True) if k])
