@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.arrays import let, running
 from tessera.llm.common import table
 
 OPEN, CLOSE = "<s>", "</s>\n"
@@ -176,16 +177,14 @@ def format_turns(df: DataFrame) -> DataFrame:
     bodies = F.transform("turns", lambda t: _escape(t["text"], ESCAPES))
     out = df.select("conv_id", "turns", heads.alias("_h"), bodies.alias("_b"))
     formatted = F.array_join(F.zip_with("_h", "_b", lambda h, b: F.concat(h, b, F.lit(CLOSE))), "")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out"))
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    sizes = F.zip_with("_h", "_b", lambda h, b: (F.length(h) + F.length(b) + len(CLOSE)).cast("bigint"))
 
-    def step(st: Column, i: Column) -> Column:
-        a = st["at"] + F.length(F.get("_h", i))
-        b = a + F.length(F.get("_b", i))
-        mine = F.get("turns", i)["role"] == "assistant"
-        return F.struct((b + len(CLOSE)).cast("long").alias("at"), F.when(mine, F.concat(st["out"], F.array(F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"))))).otherwise(st["out"]).alias("out"))
+    def masked(ends: Column) -> Column:
+        own = F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", F.struct((F.get(ends, i) - len(CLOSE) - F.length(F.get("_b", i))).cast("bigint").alias("start"), (F.get(ends, i) - len(CLOSE)).cast("bigint").alias("end"))))
+        return F.filter(own, lambda x: x.isNotNull())
 
-    n = F.size("turns")
-    mask = F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda st: st["out"])).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
+    mask = F.when(F.size("turns") > 0, let(running(sizes), masked)).otherwise(none)
     return out.select("conv_id", formatted.alias("formatted"), mask.alias("loss_mask"))
 
 

@@ -7,9 +7,13 @@ counted from labelled samples, and a token whose mean log-likelihood ratio a
 character is above a threshold, and which touches no base span, is a span of
 kind ``markov``. Offsets are code points, ends exclusive.
 
+Ordinary strings are made-up identifiers and the words of all documents, whole
+texts, in equal parts; random strings are digests in several alphabets.
+
 Positions come from splitting the text at the same matches: the lengths of the
 pieces and of the matches, added up, are the offsets. So the main path has no
-Python and every whole text is one row of work.
+Python and every whole text is one row of work. Sums run in blocks of about the
+root of their number, so a text of many spans takes no quadratic time.
 
 Defined results: a null text is an empty text; no spans give empty digests of
 the empty string; repeated rows are scanned each; null ids stay; other columns
@@ -24,6 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.arrays import let, running
 from tessera.llm.common import table
 
 # Kind, pattern, group that must be long enough, its least length.
@@ -39,8 +44,10 @@ ORDER = [k for k, *_ in KINDS] + ["markov"]
 FIRST, CHARS = 32, 96
 #: Mean log-likelihood ratio a character above which a token counts as random.
 THRESHOLD = 0.35
-#: About the number of documents whose words stand for ordinary text in the default samples, and random strings of each sort.
-SAMPLE_DOCS, SAMPLE_RANDOM = 1000, 3000
+#: Random strings of each sort, and made-up identifiers of each sort, in the default samples.
+SAMPLE_RANDOM = 3000
+#: Pairs of characters that a kind of sample counts for at most, however many it has; kinds of one class count alike.
+MASS = 300_000
 # Parts of ordinary identifiers.
 PARTS = "get set user name list index count value item node file path data type config service handler request response session table column order account update create delete find load save parse format build test default max min time date start end key id is has to from with".split()
 
@@ -48,8 +55,9 @@ PARTS = "get set user name list index count value item node file path data type
 # --- models --------------------------------------------------------------------
 
 
-def default_samples(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(token, random 0/1): digests in several alphabets against identifiers and words of a bounded sample of documents."""
+def default_samples(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(token, random 0/1, kind, weight): digests in several alphabets against identifiers and the words of all
+    documents, each word once with its number."""
     n = F.col("id").cast("string")
     digest = F.sha2(F.concat(F.lit("sample"), n), 256)
     b64 = F.regexp_replace(F.base64(F.unhex(digest)), "=+$", "")
@@ -61,10 +69,10 @@ def default_samples(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         F.concat_ws("_", pick(1), pick(2), pick(3), pick(4)), F.concat(pick(1), F.initcap(pick(2)), F.initcap(pick(3)), F.initcap(pick(4))),
         F.upper(F.concat_ws("_", pick(5), pick(6), pick(7), pick(8))), F.concat_ws("-", pick(5), pick(6), pick(7), pick(8)), F.concat_ws("/", pick(9), pick(10), pick(11), pick(12)),
     )).alias("token")).withColumn("random", F.lit(0))
-    rate = max(1, docs.count() // SAMPLE_DOCS)
-    words = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("words")), F.lit(rate)) == 0).select(F.substring(text_col, 1, 20000).alias("_t"))
-    words = words.select(F.explode(F.regexp_extract_all("_t", F.lit(r"[A-Za-z_-]{4,}"), F.lit(0))).alias("token")).withColumn("random", F.lit(0))
-    return random.unionAll(names).unionAll(words)
+    words = docs.select(F.explode(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(r"[A-Za-z_-]{4,}"), F.lit(0))).alias("token"))
+    words = words.groupBy("token").agg(F.count("*").cast("double").alias("weight"))
+    made = random.unionAll(names).select("token", "random", F.lit("made").alias("kind"), F.lit(1.0).alias("weight"))
+    return made.unionAll(words.select("token", F.lit(0), F.lit("words"), "weight"))
 
 
 def _code(c: Column) -> Column:
@@ -73,13 +81,21 @@ def _code(c: Column) -> Column:
 
 def train(samples: DataFrame) -> list[float]:
     """log P(b | a, random) - log P(b | a, ordinary) for all pairs of characters, row by row of a.
-    At most 2 x 96 x 96 counts reach the driver."""
-    chars = samples.where("token is not null and random is not null").select("random", F.split("token", "").alias("c"))
-    pairs = chars.select("random", F.explode(F.arrays_zip(F.slice("c", 1, F.greatest(F.size("c") - 1, F.lit(0))).alias("a"), F.slice("c", 2, F.greatest(F.size("c") - 1, F.lit(0))).alias("b"))).alias("p"))
-    counted = pairs.groupBy("random", (_code(F.col("p.a")) * CHARS + _code(F.col("p.b"))).alias("cell")).count().collect()
-    n = [[0.5] * (CHARS * CHARS) for _ in range(2)]
+
+    ``samples``: token, random, and if there are several sources of a class their ``kind``, and a ``weight`` where a token
+    stands for several. A kind's counts are scaled down to MASS pairs, so no source drowns another however much it grows.
+    At most 96 x 96 counts of a kind and class reach the driver."""
+    kind = F.col("kind") if "kind" in samples.columns else F.lit("")
+    weight = F.col("weight") if "weight" in samples.columns else F.lit(1.0)
+    chars = samples.where("token is not null and random is not null").select("random", kind.alias("kind"), weight.alias("weight"), F.split("token", "").alias("c"))
+    pairs = chars.select("random", "kind", "weight", F.explode(F.arrays_zip(F.slice("c", 1, F.greatest(F.size("c") - 1, F.lit(0))).alias("a"), F.slice("c", 2, F.greatest(F.size("c") - 1, F.lit(0))).alias("b"))).alias("p"))
+    counted = pairs.groupBy("random", "kind", (_code(F.col("p.a")) * CHARS + _code(F.col("p.b"))).alias("cell")).agg(F.sum("weight").alias("n")).collect()
+    mass: dict[tuple, float] = {}
     for r in counted:
-        n[1 if r["random"] else 0][r["cell"]] += r["count"]
+        mass[r["random"], r["kind"]] = mass.get((r["random"], r["kind"]), 0.0) + r["n"]
+    n = [[0.5] * (CHARS * CHARS) for _ in range(2)]
+    for r in sorted(counted, key=lambda r: (r["random"], r["kind"], r["cell"])):
+        n[1 if r["random"] else 0][r["cell"]] += r["n"] * min(1.0, MASS / mass[r["random"], r["kind"]])
     out = []
     for a in range(CHARS):
         rows = [m[a * CHARS : (a + 1) * CHARS] for m in n]
@@ -102,18 +118,29 @@ def mean_ratio(token: Column, ratios: list[float]) -> Column:
 
 def _placed(pieces: Column, matches: Column, keep, kind: int) -> Column:
     """Spans from the pieces between matches: array<struct<start, kind, end>>."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>").alias("out"))
+    lengths = F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda p, m: (F.length(p) + F.length(m)).cast("long"))
+    spans = let(
+        running(lengths),
+        lambda ends: F.zip_with(matches, ends, lambda m, end: F.struct((end - F.length(m)).cast("long").alias("start"), F.lit(kind).alias("kind"), end.alias("end"))),
+    )
+    return F.filter(spans, lambda x, i: keep(i))
 
-    def step(st: Column, i: Column) -> Column:
-        begin = st["at"] + F.length(F.get(pieces, i))
-        end = begin + F.length(F.get(matches, i))
-        one = F.array(F.struct(begin.cast("long").alias("start"), F.lit(kind).alias("kind"), end.cast("long").alias("end")))
-        return F.struct(end.cast("long").alias("at"), F.when(keep(i), F.concat(st["out"], one)).otherwise(st["out"]).alias("out"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, step, lambda st: st["out"])
+_EMPTY = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
-_EMPTY = "array<struct<start:bigint,kind:int,end:bigint>>"
+def _without(spans: Column, base: Column) -> Column:
+    """The spans, disjoint among themselves, that touch none of ``base``. In order of their starts a span touches an
+    earlier one of ``base`` if the greatest end so far is past its start, and a later one if the next starts before its end."""
+    own = len(KINDS)
+    merged = F.array_sort(F.concat(base, spans))
+
+    def untouched(m: Column) -> Column:
+        reach = running(F.transform(m, lambda x: F.when(x["kind"] < own, x["end"]).otherwise(F.lit(0).cast("long"))), F.greatest)
+        free = lambda r: lambda x, i: (x["kind"] == own) & (F.get(r, i) <= x["start"]) & F.coalesce((F.get(m, i + 1)["start"] >= x["end"]) | (F.get(m, i + 1)["kind"] == own), F.lit(True))
+        return let(reach, lambda r: F.filter(m, free(r)))
+
+    return let(merged, untouched)
 
 
 def with_spans(df: DataFrame, ratios: list[float] | None, text_col: str = "text") -> DataFrame:
@@ -142,7 +169,7 @@ def with_spans(df: DataFrame, ratios: list[float] | None, text_col: str = "text"
     df = df.withColumn("_p_token", F.when(hot, F.split("_text", TOKEN, -1)))
     found = _placed(F.col("_p_token"), F.col("_m_token"), lambda i: F.get(F.col("_r_token"), i) > THRESHOLD, len(KINDS))
     df = df.withColumn("_s_token", F.when(hot, found).otherwise(F.array().cast(_EMPTY)))
-    new = F.filter("_s_token", lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    new = _without(F.col("_s_token"), F.col("_base"))
     df = df.withColumn("_all", F.when(F.size("_s_token") > 0, F.array_sort(F.concat("_base", new))).otherwise(F.col("_base")))
     return df.drop(*names, "_m_token", "_r_token", "_p_token", "_s_token")
 
@@ -164,12 +191,20 @@ def redact(df: DataFrame, ratios: list[float] | None, text_col: str = "text", ma
     columns = df.columns
     hidden = with_spans(df.select(F.struct(*columns).alias("_row"), F.col(text_col).alias("_in")), ratios, "_in")
 
-    def step(st: Column, x: Column) -> Column:
-        gap = F.substr("_text", (st["at"] + 1).cast("int"), (x["start"] - st["at"]).cast("int"))
-        fresh = x["start"] >= st["at"]
-        return F.struct(F.greatest(st["at"], x["end"]).alias("at"), F.when(fresh, F.concat(st["out"], gap, F.lit(mark))).otherwise(st["out"]).alias("out"))
+    def joined(spans: Column) -> Column:
+        """What is between the spans, and a mark for each that starts after all before it have ended."""
+        reach = running(F.transform(spans, lambda x: x["end"]), F.greatest)
+
+        def pieces(r: Column) -> Column:
+            def piece(x: Column, i: Column) -> Column:
+                before = F.when(i == 0, F.lit(0)).otherwise(F.get(r, i - 1))
+                return F.when(x["start"] >= before, F.concat(F.substr("_text", (before + 1).cast("int"), (x["start"] - before).cast("int")), F.lit(mark))).otherwise("")
+
+            return F.concat(F.array_join(F.transform(spans, piece), ""), F.substr("_text", (F.element_at(r, -1) + 1).cast("int")))
+
+        return let(reach, pieces)
 
-    clean = F.aggregate("_all", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, lambda st: F.concat(st["out"], F.substr(F.col("_text"), (st["at"] + 1).cast("int"))))
+    clean = let(F.col("_all"), joined)
     text = F.when(F.col("_in").isNull(), None).when(F.size("_all") > 0, clean).otherwise(F.col("_in"))
     return hidden.select(*[text.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in columns])
 
