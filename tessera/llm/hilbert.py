@@ -10,13 +10,16 @@ exactly against the rows in the key windows around it; the windows of all
 curves merge.
 
 The windows give each query its ``k``-th best score so far, a bound. Completion
-(``complete``, on by default): along the first curve the rows are cut into
-blocks with a centre and a radius; a block of queries meets a block of rows only
-if the greatest product that centres and radii allow can reach the bound of one
-of its queries. Blocks that do meet are ranked by matrix products. So no
-neighbour is missed, on data with structure few blocks meet, and on data
-without any, as uniform directions, all do: blocks of the query set against
-blocks of all rows.
+(``complete``, on by default): along the first curve the query set and all rows
+are cut into blocks with a centre and a radius, and blocks of rows that follow
+each other into groups. A block of queries meets a group, then the group's
+blocks, only where the greatest product that centres and radii allow can reach
+the bound of one of its queries. Blocks that do meet are ranked by matrix
+products. So no neighbour is missed, on data with structure few blocks meet,
+and on data without any, as uniform directions, all do: the query set against
+all rows, in blocks, each row block travelling once a block of ``QUERIES``
+queries. Without completion the result is that of the windows, which end where
+a range partition ends.
 
 Scores are inner products of the original vectors in double precision, summed
 in one fixed order, so equal vectors have equal scores; ties go to smaller ids.
@@ -32,15 +35,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, table
 from tessera.llm.egojoin import matrix, usable
 
 CURVES, DIMS, LEVELS = 4, 8, 7
-#: Rows before and after a query in key order; rows of a block.
-WINDOW, BLOCK = 128, 1024
+#: Rows before and after a query in key order; rows of a block, queries of a block, row blocks of a group, and into how
+#: many slices the groups are dealt when they meet query blocks.
+WINDOW, BLOCK, QUERIES, GROUP, SLICES = 128, 1024, 4096, 64, 64
 SEED, SLACK = 11, 1e-9
 
 
@@ -117,10 +121,11 @@ def top(q: np.ndarray, own: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int,
     out_q, out_i, out_s = [], [], []
     s = q @ x.T
     s[own[:, None] == ids[None, :]] = -np.inf
-    m = min(k + 8, len(ids))
-    floor = np.partition(s, len(ids) - m, axis=1)[:, len(ids) - m] - SLACK * (1 + np.abs(s).max(axis=1, initial=0, where=np.isfinite(s)))
-    if least is not None:
-        floor = np.maximum(floor, least - SLACK * (1 + np.abs(least)))
+    if least is not None and np.isfinite(least).all():
+        floor = least - SLACK * (1 + np.abs(least))
+    else:
+        m = min(k + 8, len(ids))
+        floor = np.partition(s, len(ids) - m, axis=1)[:, len(ids) - m] - SLACK * (1 + np.abs(s).max(axis=1, initial=0, where=np.isfinite(s)))
     rows, cols = np.nonzero(s >= floor[:, None])
     ok = np.isfinite(s[rows, cols])
     rows, cols = rows[ok], cols[ok]
@@ -182,24 +187,28 @@ def _windows(k: int):
 _BLOCK_SQL = "block bigint, query boolean, n int, ids binary, vecs binary, centre array<double>, radius double, norm double, least double, bounds binary"
 
 
-def _blocks(batches):
+def _blocks(single: bool):
     """Over rows (query, vec_id, vec, bound) in key order: packed blocks."""
+    return lambda batches: _packed(batches, "<f4" if single else "<f8")
+
+
+def _packed(batches, kind: str):
     from pyspark import TaskContext
 
-    task, serial, held = TaskContext.get().partitionId(), 0, {True: [], False: []}
+    task, serial, held, size = TaskContext.get().partitionId(), 0, {True: [], False: []}, {True: QUERIES, False: BLOCK}
 
     def pack(query: bool):
         nonlocal serial
         parts = held[query]
         ids, x, bound = (np.concatenate([p[i] for p in parts]) for i in range(3))
         held[query] = []
-        for a in range(0, len(ids), BLOCK):
-            i, v, t = ids[a : a + BLOCK], x[a : a + BLOCK], bound[a : a + BLOCK]
+        for a in range(0, len(ids), size[query]):
+            i, v, t = (c[a : a + size[query]] for c in (ids, x, bound))
             centre = v.mean(axis=0)
             radius = float(np.sqrt(((v - centre) ** 2).sum(axis=1).max()))
             serial += 1
             yield pa.RecordBatch.from_pylist([{
-                "block": (task << 32) + serial, "query": query, "n": len(i), "ids": i.astype("<i8").tobytes(), "vecs": v.astype("<f8").tobytes(), "centre": centre.tolist(),
+                "block": (task << 32) + serial, "query": query, "n": len(i), "ids": i.astype("<i8").tobytes(), "vecs": v.astype(kind).tobytes(), "centre": centre.tolist(),
                 "radius": radius, "norm": float(np.sqrt((v * v).sum(axis=1).max())), "least": float(t.min()), "bounds": t.astype("<f8").tobytes(),
             }], schema=_BLOCK)
 
@@ -209,7 +218,7 @@ def _blocks(batches):
             m = query == side
             if m.any():
                 held[side].append((ids[m], x[m], bound[m]))
-                if sum(len(p[0]) for p in held[side]) >= BLOCK:
+                if sum(len(p[0]) for p in held[side]) >= size[side]:
                     yield from pack(side)
     for side in (True, False):
         if held[side]:
@@ -222,13 +231,14 @@ _BLOCK = pa.schema([
 ])
 
 
-def _meet(k: int):
+def _meet(k: int, single: bool):
     def work(batches):
         for b in batches:
             for row in b.to_pylist():
-                own, ids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["ids2"], "<i8")
-                q, x = (np.frombuffer(row[c], "<f8").reshape(len(i), -1) for c, i in (("vecs", own), ("vecs2", ids)))
-                yield _found(own, top(q, own, ids, x, k, np.frombuffer(row["bounds"], "<f8")))
+                own, ids, bounds = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["ids2"], "<i8"), np.frombuffer(row["bounds"], "<f8")
+                q, x = (np.frombuffer(row[c], "<f4" if single else "<f8").astype(np.float64).reshape(len(i), -1) for c, i in (("vecs", own), ("vecs2", ids)))
+                for a in range(0, len(own), 512):
+                    yield _found(own[a : a + 512], top(q[a : a + 512], own[a : a + 512], ids, x, k, bounds[a : a + 512]))
 
     return work
 
@@ -259,8 +269,20 @@ def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     return hit.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.minus")).alias("score"))
 
 
+def _length(c) -> Column:
+    return F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, v: s + v * v))
+
+
+def _reach() -> Column:
+    """The greatest product that two balls allow; the product of the norms bounds it too."""
+    dot = F.aggregate(F.zip_with("centre", "centre2", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return F.least(dot + F.col("radius") * _length("centre2") + F.col("radius2") * _length("centre") + F.col("radius") * F.col("radius2"), F.col("norm") * F.col("norm2"))
+
+
 def _search_one(scratch: Scratch, rows: DataFrame, dim: int, k: int, every: int, complete: bool, curves: int, parts: int) -> DataFrame:
-    square = F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v)
+    square = F.aggregate("vec", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
+    vec_type = rows.schema["vec"].dataType.simpleString()
+    single = vec_type == "array<float>"
     got = rows.select(square.alias("s")).agg(F.max("s"), F.avg("s")).first()
     places = Curves(dim, float(np.sqrt(got[0])), float(np.sqrt(got[1] / dim)) or 1.0, curves)
 
@@ -276,7 +298,7 @@ def _search_one(scratch: Scratch, rows: DataFrame, dim: int, k: int, every: int,
                     for c in range(curves):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), c, np.int32)), pa.array(keys[c]), pa.array(np.full(len(m), query)), pa.array(ids[m]), part.column(1).take(pa.array(m))], names=["curve", "key", "query", "vec_id", "vec"])
 
-    dealt = rows.select("vec_id", "vec").mapInArrow(keyed, "curve int, key bigint, query boolean, vec_id bigint, vec array<double>")
+    dealt = rows.select("vec_id", "vec").mapInArrow(keyed, f"curve int, key bigint, query boolean, vec_id bigint, vec {vec_type}")
     order = ["curve", "key", "vec_id", "query"]
     sorted_rows = dealt.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     near = scratch.put(f"near{dim}", _merged(sorted_rows.select("curve", "query", "vec_id", "vec").mapInArrow(_windows(k), _FOUND_SQL), k))
@@ -285,24 +307,47 @@ def _search_one(scratch: Scratch, rows: DataFrame, dim: int, k: int, every: int,
     bound = F.when(F.size("hits") >= k, -F.element_at("hits", k)["minus"]).otherwise(F.lit(float("-inf")))
     one = dealt.where("curve = 0").join(near.select(F.col("query_id").alias("vec_id"), bound.alias("bound"), F.lit(True).alias("query")), ["vec_id", "query"], "left")
     one = one.select("key", "query", "vec_id", "vec", F.coalesce("bound", F.lit(float("-inf"))).alias("bound")).repartitionByRange(parts, "key", "vec_id", "query").sortWithinPartitions("key", "vec_id", "query")
-    blocks = scratch.put(f"blocks{dim}", one.select("query", "vec_id", "vec", "bound").mapInArrow(_blocks, _BLOCK_SQL))
-    # Blocks of the query set against blocks of all rows: each row block is copied once for each slice
-    # of query blocks, then an equi-join; what the bounds rule out goes before any vector moves.
+    blocks = scratch.put(f"blocks{dim}", one.select("query", "vec_id", "vec", "bound").mapInArrow(_blocks(single), _BLOCK_SQL))
+    # What the bounds rule out goes before any vector moves. Groups of row blocks come first: a group's head is
+    # copied once a slice of query blocks, then an equi-join.
     heads = blocks.select("block", "query", "centre", "radius", "norm", "least")
-    slices = 8
-    q = heads.where("query").drop("query").withColumn("slice", F.pmod(F.xxhash64("block"), F.lit(slices)))
-    x = heads.where("not query").select(F.col("block").alias("block2"), F.col("centre").alias("centre2"), F.col("radius").alias("radius2"), F.col("norm").alias("norm2")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<bigint>")))
-    dot = F.aggregate(F.zip_with("centre", "centre2", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    length = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, v: s + v * v))
-    # |q||x| too bounds the product; the lesser of both counts.
-    reach = F.least(dot + F.col("radius") * length("centre2") + F.col("radius2") * length("centre") + F.col("radius") * F.col("radius2"), F.col("norm") * F.col("norm2"))
-    pairs = scratch.put(f"pairs{dim}", q.join(x, "slice").where(reach >= F.col("least") - SLACK * (1 + F.abs("least"))).select("block", "block2"))
+    q = heads.where("query").drop("query").withColumn("slice", F.pmod(F.xxhash64("block"), F.lit(SLICES)))
+    x = heads.where("not query").select(F.col("block").alias("block2"), F.floor(F.col("block") / GROUP).alias("group"), F.col("centre").alias("centre2"), F.col("radius").alias("radius2"), F.col("norm").alias("norm2"))
+    members = x.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("block2", "centre2", "radius2", "norm2"))).alias("m"))  # at most GROUP
+    middle = F.get("m", 0)["centre2"]
+    wide = F.array_max(F.transform("m", lambda v: _length(F.zip_with(v["centre2"], F.col("centre2"), lambda a, b: a - b)) + v["radius2"]))
+    groups = members.withColumn("centre2", middle).select("group", "centre2", wide.alias("radius2"), F.array_max(F.transform("m", lambda v: v["norm2"])).alias("norm2"))
+    groups = groups.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)).cast("array<bigint>")))
+    reached = _reach() >= F.col("least") - SLACK * (1 + F.abs("least"))
+    some = q.join(groups, "slice").where(reached).select("block", "centre", "radius", "norm", "least", "group")
+    pairs = scratch.put(f"pairs{dim}", some.join(x, "group").where(reached).select("block", "block2"))
     payload = blocks.select("block", "ids", "vecs", "bounds")
-    both = pairs.join(payload, "block").join(payload.select(F.col("block").alias("block2"), F.col("ids").alias("ids2"), F.col("vecs").alias("vecs2")), "block2")
-    more = scratch.put(f"more{dim}", both.mapInArrow(_meet(k), _FOUND_SQL))
+    both = pairs.join(payload.select(F.col("block").alias("block2"), F.col("ids").alias("ids2"), F.col("vecs").alias("vecs2")), "block2").join(payload, "block")
+    more = scratch.put(f"more{dim}", both.mapInArrow(_meet(k, single), _FOUND_SQL))
+    scratch.drop(f"blocks{dim}", f"pairs{dim}")
     seen = near.select("query_id", F.explode("hits").alias("hit")).select("query_id", F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.minus")).alias("score"))
     return _merged(seen.unionAll(more), k)
 
 
 def op4_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"))
+
+
+#: The same rows in SQL: every query against every row. Vectors that take no part are filtered as ``usable`` does. Products
+#: are added as ``products`` does it for up to 128 components, a multiple of eight: every eighth, then these eight in pairs.
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, min(CAST(embedding AS DOUBLE[])) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY vec_id
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_transform(list_zip(q.e, c.e), lambda x: x[1] * x[2]) AS p FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+), t AS (
+  SELECT query_id, vec_id, list_transform([1, 2, 3, 4, 5, 6, 7, 8], lambda j: list_reduce(p[j:len(p):8], lambda a, b: a + b)) AS p FROM s
+), u AS (
+  SELECT query_id, vec_id, ((p[1] + p[2]) + (p[3] + p[4])) + ((p[5] + p[6]) + (p[7] + p[8])) AS score FROM t
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM u
+)
+SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INTEGER) AS rank, CAST(vec_id AS BIGINT) AS vec_id, score FROM r WHERE rank <= 20
+"""
