@@ -33,6 +33,8 @@ an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +47,8 @@ CURVES, DIMS, LEVELS = 4, 8, 7
 #: Rows before and after a query in key order; rows of a block, queries of a block, row blocks of a group, and into how
 #: many slices the groups are dealt when they meet query blocks.
 WINDOW, BLOCK, QUERIES, GROUP, SLICES = 128, 1024, 4096, 64, 64
+#: Copies of a query block, among which the row blocks that it meets are dealt.
+COPIES = 8
 SEED, SLACK = 11, 1e-9
 
 
@@ -283,7 +287,7 @@ def _search_one(scratch: Scratch, rows: DataFrame, dim: int, k: int, every: int,
     square = F.aggregate("vec", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
     vec_type = rows.schema["vec"].dataType.simpleString()
     single = vec_type == "array<float>"
-    got = rows.select(square.alias("s")).agg(F.max("s"), F.avg("s")).first()
+    got = rows.select(square.alias("s")).agg(F.max("s"), F.avg("s"), F.count("*")).first()
     places = Curves(dim, float(np.sqrt(got[0])), float(np.sqrt(got[1] / dim)) or 1.0, curves)
 
     def keyed(batches):
@@ -306,8 +310,12 @@ def _search_one(scratch: Scratch, rows: DataFrame, dim: int, k: int, every: int,
         return near
     bound = F.when(F.size("hits") >= k, -F.element_at("hits", k)["minus"]).otherwise(F.lit(float("-inf")))
     one = dealt.where("curve = 0").join(near.select(F.col("query_id").alias("vec_id"), bound.alias("bound"), F.lit(True).alias("query")), ["vec_id", "query"], "left")
-    one = one.select("key", "query", "vec_id", "vec", F.coalesce("bound", F.lit(float("-inf"))).alias("bound")).repartitionByRange(parts, "key", "vec_id", "query").sortWithinPartitions("key", "vec_id", "query")
-    blocks = scratch.put(f"blocks{dim}", one.select("query", "vec_id", "vec", "bound").mapInArrow(_blocks(single), _BLOCK_SQL))
+    one = one.select("key", "query", "vec_id", "vec", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
+    # Queries are dealt into few partitions, so that their blocks are full.
+    few = math.ceil(got[2] / every / QUERIES)
+    sides = [one.where(side).repartitionByRange(n, "key", "vec_id").sortWithinPartitions("key", "vec_id") for side, n in (("query", few), ("not query", parts))]
+    packed = [d.select("query", "vec_id", "vec", "bound").mapInArrow(_blocks(single), _BLOCK_SQL) for d in sides]
+    blocks = scratch.put(f"blocks{dim}", packed[0].unionAll(packed[1]))
     # What the bounds rule out goes before any vector moves. Groups of row blocks come first: a group's head is
     # copied once a slice of query blocks, then an equi-join.
     heads = blocks.select("block", "query", "centre", "radius", "norm", "least")
@@ -321,8 +329,9 @@ def _search_one(scratch: Scratch, rows: DataFrame, dim: int, k: int, every: int,
     reached = _reach() >= F.col("least") - SLACK * (1 + F.abs("least"))
     some = q.join(groups, "slice").where(reached).select("block", "centre", "radius", "norm", "least", "group")
     pairs = scratch.put(f"pairs{dim}", some.join(x, "group").where(reached).select("block", "block2"))
-    payload = blocks.select("block", "ids", "vecs", "bounds")
-    both = pairs.join(payload.select(F.col("block").alias("block2"), F.col("ids").alias("ids2"), F.col("vecs").alias("vecs2")), "block2").join(payload, "block")
+    payload = blocks.where("not query").select(F.col("block").alias("block2"), F.col("ids").alias("ids2"), F.col("vecs").alias("vecs2"))
+    asked = blocks.where("query").select("block", "ids", "vecs", "bounds", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)).cast("array<bigint>")).alias("copy"))
+    both = pairs.join(payload, "block2").withColumn("copy", F.pmod(F.xxhash64("block2"), F.lit(COPIES))).join(asked, ["block", "copy"])
     more = scratch.put(f"more{dim}", both.mapInArrow(_meet(k, single), _FOUND_SQL))
     scratch.drop(f"blocks{dim}", f"pairs{dim}")
     seen = near.select("query_id", F.explode("hits").alias("hit")).select("query_id", F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.minus")).alias("score"))
