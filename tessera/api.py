@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.predicates import page, where_given
+from tessera.functions.templates import NO_ROW
 from tessera.functions.text import masked
 from tessera.operators.lifecycle import STATES
 
@@ -18,6 +19,21 @@ def get(df: DataFrame, key: int) -> DataFrame:
     return df.where(F.col("id") == key)
 
 
+def found(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of the ids in ``wanted`` (id), and for an id without a row ``error``."""
+    out = wanted.select("id").join(df.withColumn("_there", F.lit(True)), "id", "left")
+    return out.withColumn("error", F.when(F.col("_there").isNull(), F.lit(NO_ROW))).drop("_there")
+
+
+def systems_with_repositories(df: DataFrame, repositories_: DataFrame) -> DataFrame:
+    return df.join(repositories_.select(F.col("system_id").alias("id")), "id", "left_semi")
+
+
+def snapshots(df: DataFrame, task_id: int) -> DataFrame:
+    """A task's file snapshots in the order of their ids."""
+    return df.where(F.col("task_id") == task_id).orderBy("id")
+
+
 def systems(df: DataFrame, name: str | None = None, current: int = 1, size: int = 10) -> DataFrame:
     return _newest(where_given(df, contains={"name": name}), current, size)
 
@@ -55,9 +71,14 @@ def chunks(df: DataFrame, task_id: int) -> DataFrame:
     return df.where(F.col("task_id") == task_id).orderBy("id")
 
 
+def drafts_of(drafts: DataFrame) -> DataFrame:
+    """(workspace_id, drafts): the drafts of each workspace by id."""
+    return drafts.groupBy("workspace_id").agg(F.array_sort(F.collect_list(F.struct("id", "module_name", "file_path", "status"))).alias("drafts"))
+
+
 def workspace(workspaces: DataFrame, drafts: DataFrame, task_id: int) -> DataFrame:
     """The task's workspace with its drafts as an array."""
-    d = drafts.groupBy("workspace_id").agg(F.array_sort(F.collect_list(F.struct("id", "module_name", "file_path", "status"))).alias("drafts"))
+    d = drafts_of(drafts)
     return workspaces.where(F.col("task_id") == task_id).join(d, F.col("id") == F.col("workspace_id"), "left").drop("workspace_id")
 
 

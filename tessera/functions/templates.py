@@ -98,3 +98,14 @@ SOURCE_ERRORS = ["请选择系统和代码库", "所选系统不存在", "所选
 # Status log lines.
 LOG_DRAFT, LOG_RUNNING, LOG_RESULT, LOG_NO_SYSTEM, LOG_NO_REASON = "[next] 启动任务后将进入执行队列", "[worker] 执行管道运行中，进度正在刷新", "[result] Markdown 草稿已生成，可进入复核或版本推送", "正在加载系统元数据", "未知失败"
 EMPTY_DRAFT = "# 空文档"
+# Remark of a save without one, the default text of an empty item, and errors.
+SAVED, UNNAMED_ITEM, NO_DRAFT, NO_ROW = "保存修改", "未命名待确认事项", "草稿不存在", "记录不存在"
+VERSION_ERRORS = ["未找到反编译任务", "未找到关联的代码库配置", "草稿工作区不存在", "没有可导出的确认草稿"]
+STAND_IN_COMMIT = "MOCK_PUSH_COMMIT_"
+# Further publication pages.
+ARCHITECTURE = ("# 系统整体架构设计说明\n\n## 系统划分\n目前平台将代码仓库划分为 ", " 个主要业务模块：\n\n", "\n## 技术决策与原则\n1. 前后端分离设计\n2. 引入 Token 审计拦截与操作追踪日志\n")
+FRONT_END = "# 前端子系统架构设计 (React)\n\n## 核心组件与库\n- 核心框架: React 18\n- 构建工具: Vite\n- 状态库: Zustand\n- 组件库: Ant Design 5\n"
+BACK_END = "# 后端服务系统架构设计 (Java 17)\n\n## 核心框架\n- 基础框架: Spring Boot 3.x\n- 持久层: MyBatis-Plus / PostgreSQL\n- 缓存: Redis\n- 工作流: 任务状态机\n"
+# Patterns and words of trial runs.
+SAMPLE_CLASS, SAMPLE_METHOD = r"(?:public\s+)?(?:abstract\s+|final\s+)?(?:class|interface|enum)\s+(\w+)", r"(?:public|protected|private|static|final|synchronized|\s)+\s+[\w<>\[\],.?\s]+\s+(\w+)\s*\("
+NOT_METHODS, NO_CLASS, NO_METHOD = ["if", "for", "while", "switch", "class", "synchronized", "catch"], "MockTestClass", "mockExecute"

@@ -79,11 +79,18 @@ def capitalised(c: Column) -> Column:
 
 
 def string_hash(c: Column) -> Column:
-    """The 32-bit polynomial hash (base 31) of a string of BMP characters, as a signed integer."""
-    wrapped = F.aggregate(F.split(c, ""), F.lit(0).cast("bigint"), lambda h, ch: F.when(ch == "", h).otherwise((h * 31 + _code_point(ch)) % F.lit(4294967296)))
+    """The 32-bit polynomial hash (base 31) of a string's UTF-16 units, as a signed integer."""
+    wrapped = F.aggregate(F.split(c, ""), F.lit(0).cast("bigint"), lambda h, ch: F.when(ch == "", h).otherwise(_hashed(h, _code_point(ch))))
     return F.when(wrapped >= 2147483648, wrapped - 4294967296).otherwise(wrapped)
 
 
+def _hashed(h: Column, point: Column) -> Column:
+    """A character beyond the BMP counts as its two surrogates."""
+    one = lambda x, unit: (x * 31 + unit) % F.lit(4294967296)
+    high, low = F.lit(0xD800) + F.floor((point - 0x10000) / 1024), F.lit(0xDC00) + (point - 0x10000) % 1024
+    return F.when(point < 0x10000, one(h, point)).otherwise(one(one(h, high), low)).cast("bigint")
+
+
 def _code_point(ch: Column) -> Column:
     # ``ascii`` gives the code point of the first character, beyond ASCII too.
     return F.ascii(ch).cast("bigint")

@@ -50,7 +50,9 @@ def system_ranking(usage: DataFrame, systems: DataFrame, n: int = 10) -> DataFra
 def daily_trend(usage: DataFrame, as_of: Column | str, days: int = 7) -> DataFrame:
     """(day yyyy-MM-dd, tokens) of the last ``days`` calendar days, zero-filled. ``as_of``: a date literal."""
     spine = usage.sparkSession.range(1).select(F.explode(F.sequence(F.date_sub(F.to_date(as_of), days - 1), F.to_date(as_of))).alias("day"))
-    recent = usage.where((F.to_date("created_at") > F.date_sub(F.to_date(as_of), days)) & (F.to_date("created_at") <= F.to_date(as_of)))
+    # Bounds on the stored time itself, so that the scan can use them.
+    first, after = (F.date_add(F.to_date(as_of), k).cast("timestamp_ntz") for k in (1 - days, 1))
+    recent = usage.where((F.col("created_at") >= first) & (F.col("created_at") < after))
     sums = recent.groupBy(F.to_date("created_at").alias("day")).agg(F.sum("total_tokens").alias("t"))
     return spine.join(sums, "day", "left").select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.coalesce("t", F.lit(0)).cast("bigint").alias("tokens"))
 
@@ -64,14 +66,31 @@ def month_to_date(usage: DataFrame, as_of: Column) -> DataFrame:
     return usage.where(F.col("created_at") >= start).groupBy("system_id").agg(F.sum("total_tokens").cast("bigint").alias("used"))
 
 
-def quota_gate(usage: DataFrame, keys: list[str], limit: int, estimate: str = "estimate", order: tuple = ("created_at", "id")) -> DataFrame:
+def quota_gate(usage: DataFrame, keys: list[str], limit: int, estimate: str = "estimate", order: tuple = ("created_at", "id"), step: str = "hour") -> DataFrame:
     """Adds used (before the call), blocked, and first_violation; rows after the first violation are calls
-    that a caller who stops there never makes."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    used = F.coalesce(F.sum("total_tokens").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    out = usage.withColumn("used", used.cast("bigint")).withColumn("blocked", F.col("used") + F.col(estimate) > limit)
-    before = F.coalesce(F.max(F.col("blocked").cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return out.withColumn("first_violation", F.col("blocked") & (before == 0))
+    that a caller who stops there never makes.
+
+    Two levels: sums run within a key's ``step`` of the first order column, and on top comes what the key's steps
+    before have used, so a hot key is as many groups as it has steps; only its steps' sums meet in one."""
+    timed = usage.schema[order[0]].dataType.typeName().startswith(("timestamp", "date"))
+    usage = usage.withColumn("_step", F.date_trunc(step, F.col(order[0])) if timed else F.floor(F.col(order[0]) / 4096))
+    sums = usage.groupBy(*keys, "_step").agg(F.sum("total_tokens").alias("_sum"))
+    over = W.partitionBy(*keys).orderBy("_step").rowsBetween(W.unboundedPreceding, -1)
+    before = sums.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_step").alias("_of"), F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_before"))
+    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)] + [F.col("_step").eqNullSafe(F.col("_of"))]
+    within = W.partitionBy(*keys, "_step").orderBy(*order)
+    out = usage.withColumn("_own", F.coalesce(F.sum("total_tokens").over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    out = out.join(before, same).withColumn("used", (F.col("_own") + F.col("_before")).cast("bigint")).withColumn("blocked", F.col("used") + F.col(estimate) > limit)
+    out = out.drop("_step", "_own", "_of", "_before")
+    first = out.where("blocked").groupBy(*[F.col(f"_key{i}").alias(f"_first{i}") for i in range(len(keys))]).agg(F.min(F.struct(*order)).alias("_at"))
+    out = out.join(first, [F.col(f"_key{i}").eqNullSafe(F.col(f"_first{i}")) for i in range(len(keys))], "left")
+    mine = F.col("blocked") & (F.struct(*order) == F.col("_at"))
+    return out.withColumn("first_violation", F.coalesce(mine, F.lit(False))).drop("_at", *[f"_{n}{i}" for i in range(len(keys)) for n in ("key", "first")])
+
+
+def ranking_reversed(ranking: DataFrame) -> DataFrame:
+    """The ranking as it is shown: least tokens first."""
+    return ranking.orderBy("tokens", F.desc("system_id"))
 
 
 def statistics(usage: DataFrame, systems: DataFrame, as_of: Column | str, system_id: int | None = None) -> dict[str, DataFrame]:

@@ -121,10 +121,18 @@ def _diff_lines(c: Column) -> Column:
     return F.split(t, r"\r\n|\n|\r", -1)
 
 
+def _only(x: Column, y: Column) -> Column:
+    """How many of x's lines y lacks: both sorted together, y's first among equals, and walked once."""
+    known, mine = F.transform(F.array_distinct(y), lambda v: F.struct(v.alias("v"), F.lit(0).alias("k"))), F.transform(x, lambda v: F.struct(v.alias("v"), F.lit(1).alias("k")))
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).cast("bigint").alias("n"))
+    step = lambda s, r: F.when(r["k"] == 0, F.struct(r["v"].alias("last"), s["n"].alias("n"))).otherwise(F.struct(s["last"].alias("last"), (s["n"] + F.when(s["last"].eqNullSafe(r["v"]), 0).otherwise(1)).cast("bigint").alias("n")))
+    return F.aggregate(F.array_sort(F.concat(known, mine)), start, step, lambda s: s["n"])
+
+
 def diff_counts(old: Column, new: Column) -> Column:
     """struct(added, deleted): lines of one text that the other lacks, repeats counted."""
     a, b = _diff_lines(old), _diff_lines(new)
-    only = lambda x, y: (F.size(x) - F.size(F.filter(x, lambda v: F.array_contains(y, v)))).cast("bigint")
+    only = _only
     return F.struct(only(b, a).alias("added"), only(a, b).alias("deleted"))
 
 
@@ -142,6 +150,11 @@ def confidence(module: Column, string_hash: Column) -> Column:
     return F.when(F.contains(module, F.lit("CoreModule")) | (string_hash % 3 == 0), F.lit(0.70)).otherwise(F.lit(0.85))
 
 
+def dashboard_counts(tasks: DataFrame) -> DataFrame:
+    """(running, pending) of the tasks given."""
+    return tasks.agg(F.count_if(F.col("status").isin(RUNNING)).alias("running"), F.count_if(F.col("status") == "PENDING_REVIEW").alias("pending"))
+
+
 def reordered(df: DataFrame, order: list[Column], weight: str = "sort_order") -> DataFrame:
     """Rows whose weight (place * 10) changes: (id, old, new). One project's list of models, so one window."""
     w = W.orderBy(*order)

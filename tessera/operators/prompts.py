@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import templates as T
 from tessera.functions.codetext import FIELD
 from tessera.functions.templates import CLASS_SUMMARIES, DEFAULT_PROMPT, METHOD_SUMMARIES
 from tessera.functions.text import has_text, redact
@@ -109,14 +110,14 @@ def exclusive_default(df: DataFrame, chosen: int, yes: object = "true", no: obje
 
 
 def sample_class(code: Column) -> Column:
-    found = F.regexp_extract(code, r"(?:public\s+)?(?:abstract\s+|final\s+)?(?:class|interface|enum)\s+(\w+)", 1)
-    return F.when(has_text(code) & (found != ""), found).otherwise(F.lit("MockTestClass"))
+    found = F.regexp_extract(code, T.SAMPLE_CLASS, 1)
+    return F.when(has_text(code) & (found != ""), found).otherwise(F.lit(T.NO_CLASS))
 
 
 def sample_method(code: Column) -> Column:
-    found = F.regexp_extract_all(code, F.lit(r"(?:public|protected|private|static|final|synchronized|\s)+\s+[\w<>\[\],.?\s]+\s+(\w+)\s*\("), F.lit(1))
-    good = F.filter(found, lambda x: ~x.isin("if", "for", "while", "switch", "class", "synchronized", "catch"))
-    return F.when(has_text(code), F.coalesce(F.get(good, F.lit(0)), F.lit("mockExecute"))).otherwise(F.lit("mockExecute"))
+    found = F.regexp_extract_all(code, F.lit(T.SAMPLE_METHOD), F.lit(1))
+    good = F.filter(found, lambda x: ~x.isin(T.NOT_METHODS))
+    return F.when(has_text(code), F.coalesce(F.get(good, F.lit(0)), F.lit(T.NO_METHOD))).otherwise(F.lit(T.NO_METHOD))
 
 
 def sample_dependencies(code: Column) -> Column:

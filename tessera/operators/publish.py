@@ -10,6 +10,7 @@ from tessera.functions import templates as T
 from tessera.functions.text import all_lines, extension, file_name, has_text, lines, string_hash
 from tessera.operators.lifecycle import confidence
 from tessera.operators.prompts import mock_summary
+from tessera.operators.review import VERSION_STATES
 
 
 def _text(rows: DataFrame, key: str, order: list[str], line: Column, name: str) -> DataFrame:
@@ -104,7 +105,8 @@ def pending_items_loose(documents: DataFrame) -> DataFrame:
     """(module_name, line_no, item) by the looser pattern of the review screen."""
     box = r"^\s*[-*]\s*\[\s*\]\s*(.*)$"
     ln = documents.select("module_name", F.posexplode(all_lines(F.col("content"))).alias("pos", "line")).where(F.col("line").rlike(box))
-    return ln.select("module_name", (F.col("pos") + 1).alias("line_no"), F.regexp_extract("line", box, 1).alias("item"))
+    item = F.trim(F.regexp_extract("line", box, 1))
+    return ln.select("module_name", (F.col("pos") + 1).alias("line_no"), F.when(item == "", F.lit(T.UNNAMED_ITEM)).otherwise(item).alias("item"))
 
 
 def push_gate(documents: DataFrame, version_col: str = "version_id") -> DataFrame:
@@ -116,8 +118,9 @@ def push_gate(documents: DataFrame, version_col: str = "version_id") -> DataFram
 
 
 def publication(drafts_: DataFrame, ref: DataFrame, product: str = "平台", folder: str = "docs/knowledge") -> DataFrame:
-    """(path, content) of the index files and modules of ``drafts_`` (id, module_name, file_path, content).
-    ``product`` is named in the pages, ``folder`` in the module map."""
+    """(path, content) of the index files and modules of ``drafts_`` (id, module_name, file_path, content; with a status
+    only those that a version takes). ``product`` is named in the pages, ``folder`` in the module map."""
+    drafts_ = drafts_.where(F.col("status").isin(VERSION_STATES)) if "status" in drafts_.columns else drafts_
     spark, one = drafts_.sparkSession, F.lit(1)
     name = file_name(F.col("module_name"))
     d = drafts_.withColumn("_file", F.concat(name, F.lit(".md"))).withColumn("_k", one)
@@ -129,8 +132,9 @@ def publication(drafts_: DataFrame, ref: DataFrame, product: str = "平台", fol
 
     cells = lambda *c: F.concat(F.lit("| "), F.concat_ws(" | ", *c), F.lit(" |\n"))
     tick = lambda c: F.concat(F.lit("`"), F.col(c), F.lit("`"))
-    out = spark.createDataFrame([("index.md", T.MAIN_INDEX.replace("{product}", product))], "path string, content string")
+    out = spark.createDataFrame([("index.md", T.MAIN_INDEX.replace("{product}", product)), ("frontend-overview.md", T.FRONT_END), ("backend-overview.md", T.BACK_END)], "path string, content string")
     parts = [
+        architecture(d),
         document("module-index.md", T.MODULE_INDEX.replace("{product}", product), d, ["id"], F.concat(F.lit("- ["), "module_name", F.lit("](modules/"), "_file", F.lit(")\n"))),
         document("meta/module-map.yaml", "modules:\n", d, ["id"], F.concat(F.lit('  - name: "'), "module_name", F.lit(f'"\n    path: "{folder}/modules/'), "_file", F.lit('"\n'))),
         document("api-index.md", "# 系统接口路由索引 (API Index)\n\n", api_index(ref), ["draft_id", "reference_id", "place"], cells("module_name", tick("url"), tick("http_method"), tick("method")), T.NO_API),
@@ -144,6 +148,25 @@ def publication(drafts_: DataFrame, ref: DataFrame, product: str = "平台", fol
     return out
 
 
+def architecture(drafts_: DataFrame) -> DataFrame:
+    """(path, content) of the overview: how many modules there are, and each with its file."""
+    begin, middle, end = (F.lit(x) for x in T.ARCHITECTURE)
+    line = F.concat(F.lit("- **"), "module_name", F.lit("**: "), F.coalesce("file_path", F.lit("null")), F.lit("\n"))
+    rows = drafts_.agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("id", line.alias("_line")))).alias("l"))
+    return rows.select(F.lit("architecture-overview.md").alias("path"), F.concat(begin, F.col("n").cast("string"), middle, F.array_join(F.transform("l", lambda x: x["_line"]), ""), end).alias("content"))
+
+
+def publication_metadata(versions: DataFrame) -> DataFrame:
+    """(version_num, path, content): what a publication tells of itself, from version rows (version_num, system_id, task_id,
+    source_commit, prompt_version, model_name, confirmed_by, created_at)."""
+    at = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    keep = {"pretty": "true", "ignoreNullFields": "false"}
+    version = F.struct(F.col("version_num").alias("version"), F.col("system_id").alias("systemId"), F.col("source_commit").alias("commitId"), at.alias("generatedAt"), F.col("confirmed_by").alias("confirmedBy"))
+    prompt = F.struct(F.col("task_id").alias("taskId"), F.coalesce("prompt_version", F.lit(1)).alias("promptVersion"), F.col("model_name").alias("modelName"), at.alias("appliedAt"))
+    both = F.array(*[F.struct(F.lit(f"meta/{n}.json").alias("path"), F.to_json(c, keep).alias("content")) for n, c in (("knowledge-version", version), ("prompt-used", prompt))])
+    return versions.select("version_num", F.explode(both).alias("d")).select("version_num", "d.*")
+
+
 def version_metadata(versions: DataFrame) -> DataFrame:
     """(path, content): pretty JSON of each version row."""
     return versions.select(F.concat(F.lit("meta/version-"), F.col("id").cast("string"), F.lit(".json")).alias("path"), F.to_json(F.struct("*"), {"pretty": "true"}).alias("content"))

@@ -14,13 +14,14 @@ from tessera.functions.text import capitalised, has_text
 def by_pattern(files: DataFrame, patterns: DataFrame) -> DataFrame:
     """(path, module): the first pattern, in the order of (module_ord, path_ord), that the path contains.
 
-    ``patterns`` (module_ord, path_ord, module, pattern) is one project's map file; the join keeps one
-    row a path by an aggregate that runs before the shuffle.
+    ``patterns`` (module_ord, path_ord, module, pattern) is one project's map file. It becomes one array, a scalar
+    that goes with the plan, and each distinct path walks it: no join, and no row a hit.
     """
     slash = lambda c: F.replace(c, F.lit("\\"), F.lit("/"))
-    p = patterns.select("module_ord", "path_ord", "module", slash(F.col("pattern")).alias("pattern"))
-    hit = files.select("path").join(p, F.contains(slash(F.col("path")), F.col("pattern")))
-    return hit.groupBy("path").agg(F.min_by("module", F.struct("module_ord", "path_ord")).alias("module"))
+    all_ = patterns.agg(F.array_sort(F.collect_list(F.struct("module_ord", "path_ord", slash(F.col("pattern")).alias("pattern"), "module"))).alias("m")).scalar()
+    paths = files.select("path").distinct().withColumn("_map", all_)
+    hit = F.get(F.filter("_map", lambda p: F.contains(slash(F.col("path")), p["pattern"])), 0)
+    return paths.select("path", hit["module"].alias("module")).where("module is not null")
 
 
 def by_knowledge(paths: DataFrame, workspaces: DataFrame, drafts: DataFrame, references: DataFrame, statuses: list[str] | None = None) -> DataFrame:

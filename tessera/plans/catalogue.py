@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from tessera.functions import codetext as X
 from tessera.functions import predicates as P
 from tessera.functions import text as T
-from tessera.operators import audit, chunking, lifecycle, prompts, publish, routing
+from tessera import api
+from tessera.operators import audit, chunking, lifecycle, prompts, publish, review, routing
 from tessera.sources import files as source_files
 from tessera.sources import tables
 
@@ -139,7 +140,8 @@ def in_list(spark, sf):
 
 @_query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def systems_with_repos(spark, sf):
-    return tables.read(spark, sf, "customer").join(tables.read(spark, sf, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey", "c_name")
+    c = tables.read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), "c_name")
+    return api.systems_with_repositories(c, tables.read(spark, sf, "orders").select(F.col("o_custkey").alias("system_id"))).select(F.col("id").alias("c_custkey"), "c_name")
 
 
 _SRC = "', '".join(lifecycle.T.SOURCE_ERRORS)
@@ -175,7 +177,7 @@ def short_commit(spark, sf):
   FROM (SELECT %s[CAST(o_orderkey %% 15 AS INTEGER) + 1] AS status FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 6)""" % _STATES)
 def dashboard_counts(spark, sf):
     latest = P.page(tables.tasks(spark, sf), [F.desc("created_at"), F.desc("id")], 1, 6)
-    return latest.agg(F.count_if(F.col("status").isin(lifecycle.RUNNING)).alias("running"), F.count_if(F.col("status") == "PENDING_REVIEW").alias("pending"))
+    return lifecycle.dashboard_counts(latest)
 
 
 # --- scan, chunks, text ----------------------------------------------------------
@@ -265,7 +267,7 @@ _MAP = "# map\nLatin:\n  - 'src1/fr'\n  - src1/es\nNordic: # x\n  - \"de/doc_1\"
   SELECT DISTINCT path, module FROM h WHERE k = 1""")
 def route_pattern_join(spark, sf):
     p = source_files.patterns(spark, source_files.module_map_yaml(_MAP))
-    return routing.by_pattern(tables.files(spark, sf), F.broadcast(p))  # four rows of a literal
+    return routing.by_pattern(tables.files(spark, sf), p)
 
 
 @_query("SELECT p_partkey, CASE WHEN contains(p_name, 'controller') THEN '接口访问层 (Controller)' WHEN contains(p_name, 'service') THEN '业务逻辑层 (Service)' WHEN contains(p_name, 'mapper') THEN '数据访问层 (Mapper)' WHEN contains(p_name, 'entity') OR contains(p_name, 'dto') THEN '数据实体定义 (Entity)' ELSE 'CoreModule' END AS module FROM (SELECT p_partkey, p_name || CASE p_size % 6 WHEN 0 THEN 'controller' WHEN 1 THEN 'service' WHEN 2 THEN 'mapper' WHEN 3 THEN 'dto' WHEN 4 THEN 'entity' ELSE '' END AS p_name FROM part)")
@@ -456,8 +458,8 @@ def dependency_index(spark, sf):
 
 @_query("""SELECT o_custkey AS workspace_id, list(o_orderkey ORDER BY o_orderkey) AS drafts FROM orders GROUP BY 1""")
 def workspace_drafts(spark, sf):
-    o = tables.read(spark, sf, "orders")
-    return o.groupBy(F.col("o_custkey").alias("workspace_id")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("drafts"))
+    o = tables.read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("workspace_id"), F.lit("M").alias("module_name"), F.lit("f").alias("file_path"), F.col("o_orderstatus").alias("status"))
+    return api.drafts_of(o).select("workspace_id", F.transform("drafts", lambda d: d["id"]).alias("drafts"))
 
 
 # --- lifecycle -----------------------------------------------------------------------
@@ -594,9 +596,12 @@ def autosave_latest(spark, sf):
     o = tables.read(spark, sf, "orders")
     as_of = F.lit(o.agg(F.max("o_orderdate")).first()[0])
     w = o.select(F.col("o_custkey").alias("draft_id"), F.col("o_orderkey").alias("k"), F.concat(F.lit("t"), F.col("o_orderkey").cast("string")).alias("content"), F.col("o_orderdate").alias("at"))
-    live = w.where(F.col("at") > as_of - F.expr("INTERVAL 700 DAYS"))
-    has = live.groupBy("draft_id").agg(F.bool_or(F.col("k") % 4 == 0).alias("has"))
-    return lifecycle.autosaves(w.select("draft_id", "content", "at"), as_of, 700).select("draft_id").join(has, "draft_id").join(live.groupBy("draft_id").agg(F.max_by("content", "k").alias("content")), "draft_id")
+    # Of the live writes the one with the greatest key is to be the last.
+    start = as_of - F.expr("INTERVAL 700 DAYS")
+    at = F.when(F.col("at") > start, F.timestamp_add("SECOND", F.col("k"), start)).otherwise(F.col("at"))
+    saves = lifecycle.autosaves(w.withColumn("at", at), as_of, 700)
+    flags = w.where(F.col("at") > as_of - F.expr("INTERVAL 700 DAYS")).groupBy("draft_id").agg(F.bool_or(F.col("k") % 4 == 0).alias("has"))
+    return saves.select("draft_id", "content").join(flags, "draft_id")
 
 
 @_query("""SELECT p_partkey, CASE WHEN p_size > 0 THEN printf('%.1fs', p_size * 100 / 1000) ELSE '-' END AS shown, p_size IN (0, 1) AS ok FROM part""")
@@ -631,14 +636,171 @@ def changed_files(spark, sf):
 
 @_query("""SELECT s_suppkey AS id, s_name AS name, CAST(s_suppkey % 5 AS INTEGER) AS sort_order FROM supplier ORDER BY sort_order, id DESC LIMIT 10""")
 def model_order(spark, sf):
-    from tessera import api
-
     m = tables.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 5).cast("int").alias("sort_order"))
     return api.models(m).limit(10)
 
 
 @_query("""SELECT s_suppkey AS id, s_name AS name, CAST(s_suppkey % 5 AS INTEGER) AS sort_order FROM supplier ORDER BY sort_order, id DESC""")
 def model_list(spark, sf):
-    from tessera import api
-
     return api.models(tables.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 5).cast("int").alias("sort_order")))
+
+
+# --- review and versions ------------------------------------------------------------------
+
+
+def _review(spark, sf):
+    """Drafts are orders, workspaces customers, repositories nations, edits and decisions come from orders of some keys."""
+    o, c, n = (tables.read(spark, sf, t) for t in ("orders", "customer", "nation"))
+    k = F.col("o_orderkey")
+    text = F.concat(F.lit("a\nb\n"), F.col("o_orderpriority"))
+    drafts = o.select(
+        k.alias("id"), F.col("o_custkey").alias("workspace_id"), F.concat(F.lit("m"), (k % 9).cast("string")).alias("module_name"), F.lit("uri").alias("content_uri"), text.alias("content"), F.md5(text).alias("hash"),
+        F.when(F.col("o_orderstatus") == "F", "CONFIRMED").when(F.col("o_orderstatus") == "O", "AI_GENERATED").otherwise("PENDING_REVIEW").alias("status"), F.col("o_orderdate").alias("updated_at"),
+    )
+    ws = c.select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("task_id"), F.col("c_nationkey").cast("bigint").alias("repository_id"), F.lit("OPEN").alias("status"), F.lit(None).cast("timestamp_ntz").alias("updated_at"))
+    repos = n.where("n_nationkey % 5 <> 0").select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("git_url"), F.lit("main").alias("branch"), F.concat(F.lit("c"), F.col("n_nationkey").cast("string")).alias("last_commit_id"))
+    return drafts, ws, repos
+
+
+_DRAFTS = """drafts AS (SELECT o_orderkey AS id, o_custkey AS workspace_id, 'a' || chr(10) || 'b' || chr(10) || o_orderpriority AS content,
+  CASE o_orderstatus WHEN 'F' THEN 'CONFIRMED' WHEN 'O' THEN 'AI_GENERATED' ELSE 'PENDING_REVIEW' END AS status, o_orderdate AS updated_at FROM orders)"""
+
+
+def _edits(spark, sf):
+    o, k = tables.read(spark, sf, "orders"), F.col("o_orderkey")
+    text = F.concat(F.lit("b\n"), F.col("o_orderstatus"), F.lit("\nx\nx"))
+    return o.where(k % 3 == 0).select(F.when(k % 2 == 0, -k - 1).otherwise(k).alias("draft_id"), text.alias("content"), F.lit("u").alias("author"), F.when(k % 5 == 0, F.lit("r")).alias("remark"), F.col("o_orderdate").alias("at"))
+
+
+@_query(f"""WITH {_DRAFTS} SELECT d.id, CASE WHEN d.id % 6 = 3 THEN 'REVISED' ELSE d.status END AS status, md5(CASE WHEN d.id % 6 = 3 THEN 'b' || chr(10) || o_orderstatus || chr(10) || 'x' || chr(10) || 'x' ELSE d.content END) AS hash
+  FROM drafts d JOIN orders ON o_orderkey = d.id""")
+def draft_saved(spark, sf):
+    return review.saved(_review(spark, sf)[0], _edits(spark, sf))[0].select("id", "status", "hash")
+
+
+@_query("""SELECT o_orderkey AS draft_id, 'uri' AS content_uri, 'u' AS author, CASE WHEN o_orderkey % 5 = 0 THEN 'r' ELSE '保存修改' END || ' [新增 3 行, 删除 2 行]' AS remark, o_orderdate AS created_at FROM orders WHERE o_orderkey % 6 = 3""")
+def draft_revisions(spark, sf):
+    return review.saved(_review(spark, sf)[0], _edits(spark, sf))[1]
+
+
+@_query("SELECT -o_orderkey - 1 AS draft_id, '草稿不存在' AS error FROM orders WHERE o_orderkey % 6 = 0")
+def draft_missing(spark, sf):
+    return review.missing(_edits(spark, sf), _review(spark, sf)[0]).select("draft_id", "error")
+
+
+def _decided(spark, sf):
+    drafts, ws, _ = _review(spark, sf)
+    k = F.col("id")
+    decisions = drafts.where(k % 4 != 0).select(k.alias("draft_id"), (k % 7 != 0).alias("confirmed"), F.lit("u").alias("author"), F.concat(F.lit("why "), k.cast("string")).alias("comment"), F.col("updated_at").alias("at"))
+    return review.decided(drafts, ws, decisions)
+
+
+_AFTER = f"{_DRAFTS}, after AS (SELECT *, CASE WHEN id % 4 = 0 THEN status WHEN id % 7 = 0 THEN 'REJECTED' ELSE 'CONFIRMED' END AS now FROM drafts)"
+
+
+@_query(f"WITH {_AFTER} SELECT id, now AS status FROM after")
+def draft_decisions(spark, sf):
+    return _decided(spark, sf)[0].select("id", "status")
+
+
+@_query(f"""WITH {_AFTER}, w AS (SELECT workspace_id, bool_and(now = 'CONFIRMED') AS done, max(CASE WHEN id % 4 <> 0 AND id % 7 <> 0 THEN updated_at END) AS last FROM after GROUP BY 1)
+  SELECT c_custkey AS id, CASE WHEN done AND last IS NOT NULL THEN 'COMPLETED' ELSE 'OPEN' END AS status, CASE WHEN done THEN last END AS updated_at FROM customer LEFT JOIN w ON workspace_id = c_custkey""")
+def workspace_completion(spark, sf):
+    return _decided(spark, sf)[1].select("id", "status", "updated_at")
+
+
+@_query("SELECT o_orderkey AS draft_id, 'u' AS author, 'why ' || o_orderkey AS comment, o_orderdate AS created_at FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderkey % 7 = 0")
+def review_comments(spark, sf):
+    return _decided(spark, sf)[2]
+
+
+@_query("""SELECT o_orderkey AS draft_id, o_custkey AS workspace_id, CAST(c_nationkey AS BIGINT) AS repository_id, CASE WHEN n_nationkey % 5 <> 0 THEN n_name END AS git_url
+  FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey""")
+def draft_repository(spark, sf):
+    return review.draft_repositories(*_review(spark, sf))
+
+
+_ERRORS = "', '".join(lifecycle.T.VERSION_ERRORS)
+
+
+@_query(f"""WITH {_DRAFTS}, d AS (SELECT workspace_id, count(*) AS n FROM drafts WHERE status IN ('CONFIRMED', 'REVISED', 'AI_GENERATED') GROUP BY 1), q AS (SELECT c_custkey + (c_custkey % 2) * 100000 AS task_id FROM customer),
+  t AS (SELECT q.task_id, c_nationkey, n_nationkey, coalesce(n, 0) AS n, c_custkey FROM q LEFT JOIN customer ON c_custkey = q.task_id LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey % 5 <> 0 LEFT JOIN d ON workspace_id = c_custkey AND c_custkey % 4 = 0)
+  SELECT task_id, 'v1' AS version_num, CASE WHEN n_nationkey IS NOT NULL THEN 'c' || n_nationkey END AS source_commit, 'docs' AS target_branch, 'DRAFT' AS status, CAST(n AS BIGINT) AS drafts,
+    CASE WHEN c_custkey IS NULL THEN ['{_ERRORS}'][1] WHEN n_nationkey IS NULL THEN ['{_ERRORS}'][2] WHEN c_custkey % 4 <> 0 THEN ['{_ERRORS}'][3] WHEN n = 0 THEN ['{_ERRORS}'][4] END AS error FROM t""")
+def version_requests(spark, sf):
+    drafts, ws, repos = _review(spark, sf)
+    tasks = ws.select("id", F.lit(1).alias("system_id"), "repository_id", F.lit(None).cast("int").alias("prompt_version"))
+    requests = ws.select((F.col("id") + (F.col("id") % 2) * 100_000).alias("task_id"), F.lit("v1").alias("version_num"), F.lit("u").alias("confirmed_by"), F.lit(None).cast("timestamp_ntz").alias("at"))
+    out = review.new_versions(requests, tasks, repos, ws.where("id % 4 = 0"), drafts, "docs", "model")
+    return out.select("task_id", "version_num", "source_commit", "target_branch", "status", "drafts", "error")
+
+
+@_query("""WITH g AS (SELECT o_custkey AS id, CAST(CASE WHEN bool_or(o_orderstatus <> 'F') THEN 1 WHEN bool_or(o_orderkey % 7 = 0) THEN 2 ELSE 0 END AS INTEGER) AS gate, max(o_orderdate) AS last FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1)
+  SELECT c_custkey AS id, CASE WHEN gate = 0 THEN 'PUSHED' ELSE 'DRAFT' END AS status, CASE WHEN gate = 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'k' || c_custkey ELSE 'MOCK_PUSH_COMMIT_' || c_custkey END END AS target_commit, gate FROM customer LEFT JOIN g ON g.id = c_custkey""")
+def version_push(spark, sf):
+    k = F.col("o_orderkey")
+    d = tables.read(spark, sf, "orders").where(k % 5 == 0).select(F.col("o_custkey").alias("version_id"), F.when(F.col("o_orderstatus") == "F", "CONFIRMED").otherwise("REVISED").alias("status"), F.when(k % 7 == 0, "a\n- [ ] x").otherwise("a").alias("content"), F.lit("m").alias("module_name"))
+    v = tables.read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.lit("DRAFT").alias("status"), F.lit(None).cast("string").alias("target_commit"), F.lit(None).cast("timestamp_ntz").alias("pushed_at"))
+    commits = v.where("id % 2 = 0").select(F.col("id").alias("version_id"), F.concat(F.lit("k"), F.col("id").cast("string")).alias("commit"), F.lit("2024-01-01").cast("timestamp_ntz").alias("at"))
+    return review.pushed(v, publish.push_gate(d), commits).select("id", "status", "target_commit", "gate")
+
+
+@_query(f"""WITH t AS (SELECT n_nationkey AS k, n_name, n_regionkey FROM nation) SELECT 'architecture-overview.md' AS path, '{lifecycle.T.ARCHITECTURE[0]}' || count(*) || '{lifecycle.T.ARCHITECTURE[1]}' || string_agg('- **' || n_name || '**: f' || k || chr(10), '' ORDER BY k) || '{lifecycle.T.ARCHITECTURE[2]}' AS content
+  FROM t WHERE n_regionkey % 2 = 0 UNION ALL SELECT 'frontend-overview.md', '{lifecycle.T.FRONT_END}' UNION ALL SELECT 'backend-overview.md', '{lifecycle.T.BACK_END}' UNION ALL SELECT 'index.md', '{lifecycle.T.MAIN_INDEX.replace("{product}", "X")}'""")
+def publication_pages(spark, sf):
+    key = F.col("n_nationkey")
+    d = tables.read(spark, sf, "nation").select(key.alias("id"), F.col("n_name").alias("module_name"), F.concat(F.lit("f"), key.cast("string")).alias("file_path"), F.lit("x").alias("content"), F.when(F.col("n_regionkey") % 2 == 0, "CONFIRMED").otherwise("REJECTED").alias("status"))
+    ref = publish.referenced(d, spark.createDataFrame([], "id bigint, draft_id bigint, file_path string"), _no_classes(spark))
+    return publish.publication(d, ref, "X").where(F.col("path").isin("architecture-overview.md", "frontend-overview.md", "backend-overview.md", "index.md"))
+
+
+def _no_classes(spark):
+    parsed = "struct<class_name:string,type:string,tables:array<string>,dependencies:array<string>,methods:array<struct<name:string,request_mapping:string,http_method:string>>>"
+    return spark.createDataFrame([], f"path string, parsed {parsed}")
+
+
+@_query("""WITH m AS (SELECT n_nationkey AS k, n_name AS v FROM nation) SELECT v AS version_num, 'meta/knowledge-version.json' AS path, '{' || chr(10) || '  "version" : "' || v || '",' || chr(10) || '  "systemId" : ' || k || ',' || chr(10) || '  "commitId" : "c",' || chr(10)
+  || '  "generatedAt" : "2024-01-02T03:04:05.000000",' || chr(10) || '  "confirmedBy" : null' || chr(10) || '}' AS content FROM m
+  UNION ALL SELECT v, 'meta/prompt-used.json', '{' || chr(10) || '  "taskId" : ' || (k * 2) || ',' || chr(10) || '  "promptVersion" : 1,' || chr(10) || '  "modelName" : "M",' || chr(10) || '  "appliedAt" : "2024-01-02T03:04:05.000000"' || chr(10) || '}' FROM m""")
+def publication_metadata(spark, sf):
+    k = F.col("n_nationkey")
+    v = tables.read(spark, sf, "nation").select(F.col("n_name").alias("version_num"), k.alias("system_id"), (k * 2).alias("task_id"), F.lit("c").alias("source_commit"), F.lit(None).cast("int").alias("prompt_version"), F.lit("M").alias("model_name"), F.lit(None).cast("string").alias("confirmed_by"), F.lit("2024-01-02 03:04:05").cast("timestamp_ntz").alias("created_at"))
+    return publish.publication_metadata(v)
+
+
+@_query(f"""WITH f AS (SELECT p_partkey, p_size, lower(replace(p_brand, '#', '')) AS b, {_PATHS} AS path FROM part)
+  SELECT p_partkey, CASE WHEN contains(path, 'brand1') THEN 'Mapped' WHEN p_partkey % 3 = 0 THEN 'Known' WHEN p_partkey % 3 = 1 AND p_partkey % 2 = 0 THEN 'Old'
+    WHEN p_size % 7 <> 0 THEN CASE WHEN p_size % 4 = 3 THEN 'DemoModule' WHEN p_size % 4 = 2 THEN 'AModule' ELSE upper(b[1]) || b[2:] || 'Module' END WHEN p_partkey % 5 = 0 THEN 'OrdersModule' ELSE 'CoreModule' END AS module FROM f""")
+def module_router(spark, sf):
+    f = _part_paths(spark, sf).withColumn("system_id", F.lit(1)).withColumn("chunk_type", F.lit("CLASS")).withColumn("class_type", F.when(F.col("p_partkey") % 5 == 0, "CONTROLLER").otherwise("SERVICE")).withColumn("request_mapping", F.lit("/api/orders/x"))
+    known = lambda cond, module: f.where(cond).select("system_id", "path", F.lit(module).alias("module"))
+    maps = source_files.patterns(spark, [(0, 0, "Mapped", "brand1")])
+    none = source_files.patterns(spark, [(0, 0, "Never", "no such path")])
+    out = routing.routed(f, maps, none, known("p_partkey % 3 = 0", "Known"), known("p_partkey % 2 = 0", "Old").where("path like '%X%'").join(f.where("p_partkey % 3 = 1").select("path"), "path", "left_semi").select("system_id", "path", "module"))
+    return out.select("p_partkey", "module")
+
+
+@_query("SELECT event_id AS id, event_type AS file_type FROM events WHERE user_id = 3 ORDER BY 1")
+def snapshot_list(spark, sf):
+    e = tables.read(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("task_id"), F.col("event_type").alias("file_type"))
+    return api.snapshots(e, 3).select("id", "file_type")
+
+
+@_query(f"""WITH {_USAGE}, t AS (SELECT system_id, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM usage GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)
+  SELECT system_id, tokens FROM t ORDER BY tokens, system_id DESC""")
+def ranking_reversed(spark, sf):
+    return audit.ranking_reversed(audit.system_ranking(tables.token_usage(spark, sf), tables.systems(spark, sf), 10)).select("system_id", "tokens")
+
+
+@_query("SELECT o_custkey * 2 AS id, c_name AS name, CASE WHEN c_custkey IS NULL THEN '记录不存在' END AS error FROM (SELECT DISTINCT o_custkey FROM orders) LEFT JOIN customer ON c_custkey = o_custkey * 2")
+def lookup_or_error(spark, sf):
+    wanted = tables.read(spark, sf, "orders").select((F.col("o_custkey") * 2).alias("id")).distinct()
+    return api.found(tables.read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), wanted)
+
+
+@_query("""WITH r AS (SELECT user_id AS id, arg_max(event_type, ts) AS c, max(ts) AS t FROM events GROUP BY 1) SELECT c_custkey AS id, coalesce(t, NULL) AS last_decompile_at, c IS NOT NULL AS stamped FROM customer LEFT JOIN r ON r.id = c_custkey""")
+def commit_stamp(spark, sf):
+    none = F.lit(None).cast("string")
+    c = tables.read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), none.alias("last_commit_id"), F.lit(None).cast("timestamp_ntz").alias("last_decompile_at"))
+    runs = tables.read(spark, sf, "events").select(F.col("user_id").alias("repository_id"), F.col("event_type").alias("commit_id"), F.col("ts").alias("at"))
+    return review.stamped(c, runs).select("id", "last_decompile_at", F.col("last_commit_id").isNotNull().alias("stamped"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import zipfile
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,9 +15,16 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def replace_by_key(df: DataFrame, path: str, key: str = "task_id") -> None:
-    """Replaces the rows of the keys in ``df`` and leaves those of other keys: one folder a key, overwritten dynamically."""
+def replace_by_key(df: DataFrame, path: str, key: str = "task_id", keys: Sequence | None = None) -> None:
+    """Replaces the rows of the keys in ``df`` and leaves those of other keys: one folder a key, overwritten dynamically.
+    ``keys``: all keys to replace; the folder of one that ``df`` has no rows of goes."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    if keys:
+        have = {r[0] for r in df.where(F.col(key).isin(list(keys))).select(key).distinct().collect()}  # at most ``keys``
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for k in set(keys) - have:
+            folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{key}={k}")
+            folder.getFileSystem(conf).delete(folder, True)
 
 
 def get_or_create(stored: DataFrame, wanted: DataFrame, key: str) -> DataFrame:

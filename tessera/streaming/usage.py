@@ -14,7 +14,8 @@ def daily_usage(stream: DataFrame, lateness: str = "1 day") -> DataFrame:
 
 
 def latest_autosaves(stream: DataFrame, ttl: str = "7 days") -> DataFrame:
-    """(draft_id, content, at): last write of a draft in the TTL; older state is dropped by the watermark."""
+    """(draft_id, content, at): last write of a draft in each span of ``ttl`` (spans follow each other, they do not slide: a draft
+    written on both sides of a border is told twice, the later row counts). A span is told once the watermark has passed it."""
     s = stream.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", ttl)
     return s.groupBy(F.window("at", ttl).alias("w"), "draft_id").agg(F.max_by("content", "at").alias("content"), F.max("at").alias("at")).select("draft_id", "content", "at")
 
