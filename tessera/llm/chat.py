@@ -1,10 +1,13 @@
 """Chat formatting by schema fingerprints, as DataFrame expressions only.
 
 A record's nested field paths, as far as the declared layouts know them, are
-sorted, joined and hashed; the hash selects the declarative mapping (``LAYOUTS``)
-that turns prompt, instruction or message records into canonical turns
-array<struct<role, text>>. A table's own columns are fingerprinted once from
-its schema; JSON records are fingerprinted row by row.
+sorted, joined and hashed; the hash alone selects the declarative mapping
+(``LAYOUTS``) that turns prompt, instruction or message records into canonical
+turns array<struct<role, text>>. Registered are the hashes of all sets of known
+paths that hold a layout: where a set holds several, the one declared first
+counts (``RANK``). A table's own columns are fingerprinted once from its
+schema; JSON records are fingerprinted row by row. A list's fields are one
+unit: it is there if any of its items has one of them, or if it has no items.
 
 Template: each turn is ``<s>role\\ntext</s>\\n``. In roles and texts ``&``, ``<``
 and ``[`` are written as ``&amp;``, ``&lt;`` and ``&lsqb;`` (and a line feed in
@@ -13,13 +16,14 @@ restores every text exactly. The loss mask covers the assistants' texts.
 
 Defined results: a null text or role is empty; turns are ordered by turn (null
 first), then role and text; null ids form one conversation; repeated rows are
-turns of their own; records of no known layout have null turns; an empty table
-gives an empty result; other columns are not read.
+turns of their own; records of no known layout have null turns, an empty list
+has none; items that are not records have empty texts; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,18 +66,53 @@ def layout_paths(layout: dict) -> list[str]:
     return sorted(p for _, paths in layout["fields"] for p in paths)
 
 
-KNOWN = sorted({p for layout in LAYOUTS.values() for p in layout_paths(layout)})
+#: Which layout counts where a record holds several: rows of turns, then lists, then those of most fields.
+RANK = sorted(LAYOUTS, key=lambda k: ("rows" not in LAYOUTS[k], "list" not in LAYOUTS[k], -len(layout_paths(LAYOUTS[k])), list(LAYOUTS).index(k)))
 
 
-def _hash(paths: list[str]) -> int:
-    """What xxhash64 gives for the joined paths, seed 42, as a signed number."""
+def units(layout: dict) -> list[str]:
+    """The layout's paths; those of a list are one."""
+    return [",".join(layout_paths(layout))] if "list" in layout else layout_paths(layout)
+
+
+#: All units, sorted: a fingerprint is the hash of those that are there, joined by commas.
+KNOWN = sorted({u for layout in LAYOUTS.values() for u in units(layout)})
+
+
+def _hash(found: list[str]) -> int:
+    """What xxhash64 gives for the joined units, seed 42, as a signed number."""
     import xxhash
 
-    h = xxhash.xxh64_intdigest(",".join(sorted(paths)).encode(), seed=42)
+    h = xxhash.xxh64_intdigest(",".join(sorted(found)).encode(), seed=42)
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-BY_FINGERPRINT = {_hash(layout_paths(v)): k for k, v in LAYOUTS.items()}
+@cache
+def by_fingerprint() -> dict[int, str]:
+    """Layout by fingerprint, for every set of units that holds one: 2 to the number of units at most."""
+    need = [(k, sum(1 << KNOWN.index(u) for u in units(LAYOUTS[k]))) for k in RANK]
+    out = {}
+    for mask in range(1 << len(KNOWN)):
+        layout = next((k for k, m in need if mask & m == m), None)
+        if layout:
+            out[_hash([u for i, u in enumerate(KNOWN) if mask >> i & 1])] = layout
+    return out
+
+
+def registry(spark: SparkSession) -> DataFrame:
+    """(fingerprint, layout): ``by_fingerprint`` as a table, made where it is used from the numbers of all sets of units."""
+    bit = lambda i: F.col("id").bitwiseAND(F.lit(1 << i)) != 0
+    found = F.filter(F.array(*[F.when(bit(i), F.lit(u)) for i, u in enumerate(KNOWN)]), lambda x: x.isNotNull())
+    layout = F.lit(None).cast("string")
+    for k in reversed(RANK):
+        mask = sum(1 << KNOWN.index(u) for u in units(LAYOUTS[k]))
+        layout = F.when(F.col("id").bitwiseAND(F.lit(mask)) == mask, F.lit(k)).otherwise(layout)
+    sets = spark.range(0, 1 << len(KNOWN), 1, 8)
+    return sets.select(F.xxhash64(F.array_join(found, ",")).alias("fingerprint"), layout.alias("layout")).where("layout is not null")
+
+
+#: The layouts' own fingerprints.
+BY_FINGERPRINT = {_hash(units(v)): k for k, v in LAYOUTS.items()}
 
 
 def schema_paths(schema: T.DataType, at: str = "") -> list[str]:
@@ -85,14 +124,12 @@ def schema_paths(schema: T.DataType, at: str = "") -> list[str]:
 
 
 def layout_of(df: DataFrame) -> str:
-    """Name of the layout that the table's columns fingerprint to; other columns do not count.
-    Columns that serve several layouts select the one with most paths."""
+    """Name of the layout that the hash of the table's own paths is registered for; other columns do not count."""
     have = set(schema_paths(df.schema))
-    found = [k for k, v in LAYOUTS.items() if set(layout_paths(v)) <= have]
-    if not found:
+    found = by_fingerprint().get(_hash([u for u in KNOWN if set(u.split(",")) <= have]))
+    if found is None:
         raise ValueError(f"no layout for the paths {sorted(have)}")
-    best = max(found, key=lambda k: (len(layout_paths(LAYOUTS[k])), k))
-    return BY_FINGERPRINT[_hash(layout_paths(LAYOUTS[best]))]
+    return found
 
 
 def _turn(role: Column, text: Column, canonical: bool = False) -> Column:
@@ -139,13 +176,18 @@ def json_to_turns(df: DataFrame, json_col: str, id_col: str) -> DataFrame:
     """(conv_id, fingerprint, layout, turns) of JSON records, each fingerprinted by its own paths."""
     v = df.select(F.col(id_col).alias("conv_id"), F.try_parse_json(json_col).alias("_v"))
 
-    def there(path: str) -> Column:
-        return F.try_variant_get("_v", "$." + path.replace("[]", "[0]"), "string").isNotNull()
-
-    paths = F.filter(F.array(*[F.when(there(p), F.lit(p)) for p in KNOWN]), lambda x: x.isNotNull())
-    v = v.withColumn("fingerprint", F.xxhash64(F.array_join(paths, ",")))
-    table_of = F.create_map(*[x for k, name in BY_FINGERPRINT.items() for x in (F.lit(k), F.lit(name))])
-    v = v.withColumn("layout", F.try_element_at(table_of, F.col("fingerprint")))
+    def there(unit: str) -> Column:
+        if "[]" not in unit:
+            return F.try_variant_get("_v", f"$.{unit}", "string").isNotNull()
+        path = unit.split("[]")[0]
+        items = F.try_variant_get("_v", f"$.{path}", "array<variant>")
+        fields = [p.split("[].")[1] for p in unit.split(",")]
+        some = F.exists(items, lambda x: reduce(lambda a, b: a | b, [F.try_variant_get(x, f"$.{f}", "string").isNotNull() for f in fields]))
+        return items.isNotNull() & ((F.size(items) == 0) | some)
+
+    found = F.filter(F.array(*[F.when(there(u), F.lit(u)) for u in KNOWN]), lambda x: x.isNotNull())
+    v = v.withColumn("fingerprint", F.xxhash64(F.array_join(found, ",")))
+    v = v.join(F.broadcast(registry(df.sparkSession)), "fingerprint", "left")  # at most 2 to the number of known units
     turns = F.lit(None).cast(TURNS)
     for name, layout in LAYOUTS.items():
         if "list" in layout:

@@ -135,7 +135,7 @@ def _long_line(text: str) -> tuple[np.ndarray, ...]:
         h, at = _word_hashes(data, inside)
         goes_on = inside > 0 and len(at) > 0 and at[0] == 0
         if goes_on:
-            h[0] += part
+            h[:1] += part  # wraps around like the sums of whole words
         elif inside:
             h, at = np.r_[part, h], np.r_[-1, at]
         part, inside, open_ = np.int64(0), inside if goes_on else 0, _CLASS[4][data[-1]] == 0
@@ -305,8 +305,9 @@ def stretches(lines: int, key: int) -> list[tuple[int, int]]:
     return [(s, s + STRETCH) for s in sorted(picked)]
 
 
-def groups(texts: list[str | None], most: int = AT_ONCE) -> Iterator[list[str | None]]:
-    part, size = [], 0
+def groups(texts: list[str | None], most: int | None = None) -> Iterator[list[str | None]]:
+    """Texts that together have at most ``most`` (AT_ONCE) characters, or one text."""
+    part, size, most = [], 0, most or AT_ONCE
     for t in texts:
         if part and size + len(t or "") > most:
             yield part
