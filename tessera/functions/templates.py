@@ -102,6 +102,8 @@ EMPTY_DRAFT = "# 空文档"
 SAVED, UNNAMED_ITEM, NO_DRAFT, NO_ROW = "保存修改", "未命名待确认事项", "草稿不存在", "记录不存在"
 VERSION_ERRORS = ["未找到反编译任务", "未找到关联的代码库配置", "草稿工作区不存在", "没有可导出的确认草稿"]
 STAND_IN_COMMIT = "MOCK_PUSH_COMMIT_"
+# Reason of a chunk marked as failed without one.
+CHUNK_FAILED = "Chunk analysis failed"
 # Further publication pages.
 ARCHITECTURE = ("# 系统整体架构设计说明\n\n## 系统划分\n目前平台将代码仓库划分为 ", " 个主要业务模块：\n\n", "\n## 技术决策与原则\n1. 前后端分离设计\n2. 引入 Token 审计拦截与操作追踪日志\n")
 FRONT_END = "# 前端子系统架构设计 (React)\n\n## 核心组件与库\n- 核心框架: React 18\n- 构建工具: Vite\n- 状态库: Zustand\n- 组件库: Ant Design 5\n"

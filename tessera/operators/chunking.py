@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import MAX_LINES, MAX_TOKENS, MIN_TOKENS, all_lines, content_hash, has_text, lines, token_estimate
+from tessera.functions.templates import CHUNK_FAILED
+from tessera.functions.text import MAX_LINES, MAX_TOKENS, MIN_TOKENS, content_hash, has_text, lines, token_estimate
 from tessera.operators.parser import parsed
 
 _PARTS = "array<struct<first:int,last:int,chars:bigint>>"
@@ -16,13 +17,18 @@ def too_large(content: Column, start: Column, end: Column) -> Column:
     return (count > MAX_LINES) | (token_estimate(content) > MAX_TOKENS)
 
 
+def _pieces(content: Column) -> Column:
+    """Lines of a chunk that is split: any line end counts, form feeds and Unicode's among them."""
+    return F.split(content, r"\R", -1)
+
+
 def split_parts(content: Column) -> Column:
     """Greedy parts array<struct<first, last (1-based line numbers), chars>>: a part closes before the line
     that would take it over a limit; one line is never cut.
 
     Blank parts are estimated as empty ones, as everywhere.
     """
-    pieces = all_lines(content)
+    pieces = _pieces(content)
     start = F.struct(F.array().cast(_PARTS).alias("done"), F.lit(1).alias("first"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("chars"), F.lit(True).alias("blank"))
 
     def step(s: Column, line: Column) -> Column:
@@ -87,7 +93,7 @@ def chunks(files: DataFrame) -> DataFrame:
     u = u.withColumn("content", text).withColumn("large", ~F.col("missing") & too_large(F.col("content"), F.col("start_line"), F.col("end_line")))
     whole_part = F.array(F.struct(F.lit(0).alias("first"), F.lit(0).alias("last"), F.length("content").cast("bigint").alias("chars")))
     u = u.select("*", F.posexplode(F.when(F.col("large"), split_parts(F.col("content"))).otherwise(whole_part)).alias("k", "part"))
-    piece = F.when(F.col("large"), F.array_join(F.slice(all_lines(F.col("content")), F.greatest(F.lit(1), F.col("part.first")), F.greatest(F.lit(0), F.col("part.last") - F.col("part.first") + 1)), "\n")).otherwise(F.col("content"))
+    piece = F.when(F.col("large"), F.array_join(F.slice(_pieces(F.col("content")), F.greatest(F.lit(1), F.col("part.first")), F.greatest(F.lit(0), F.col("part.last") - F.col("part.first") + 1)), "\n")).otherwise(F.col("content"))
     u = u.withColumn("piece", piece)
     return u.select(
         "path", "class_name", F.when(F.col("large") & F.col("method_name").isNotNull(), F.concat("method_name", F.lit("#part"), (F.col("k") + 1).cast("string"))).otherwise(F.col("method_name")).alias("method_name"),
@@ -100,9 +106,10 @@ def chunks(files: DataFrame) -> DataFrame:
 
 
 def mark(chunk_rows: DataFrame, ids: list[int], status: str, reason: str | None = None) -> DataFrame:
-    """Status and reason of the chosen chunks; a retry is PENDING without a reason."""
+    """Status and reason of the chosen chunks; a failure without a reason gets the default text, any other status none."""
     mine = F.col("id").isin(ids)
-    return chunk_rows.withColumn("status", F.when(mine, F.lit(status)).otherwise(F.col("status"))).withColumn("error_reason", F.when(mine, F.lit(reason)).otherwise(F.col("error_reason")))
+    why = F.lit(reason if reason and reason.strip() else CHUNK_FAILED) if status == "FAILED" else F.lit(None).cast("string")
+    return chunk_rows.withColumn("status", F.when(mine, F.lit(status)).otherwise(F.col("status"))).withColumn("error_reason", F.when(mine, why).otherwise(F.col("error_reason")))
 
 
 def chunk_content(chunk_rows: DataFrame, files: DataFrame) -> DataFrame:

@@ -5,9 +5,6 @@ Each query reads whole tables. ``_query`` takes the SQL beside the function it c
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,23 +13,12 @@ from tessera.functions import predicates as P
 from tessera.functions import text as T
 from tessera import api
 from tessera.operators import audit, chunking, lifecycle, prompts, publish, review, routing
+from tessera.plans import source_queries  # noqa: F401  registers its queries
+from tessera.plans.registry import ORACLES, QUERIES
+from tessera.plans.registry import query as _query
 from tessera.sources import files as source_files
 from tessera.sources import tables
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 # Usage rows in SQL, as sources.tables.token_usage makes them.
 _USAGE = """usage AS (SELECT event_id AS id, user_id AS system_id, event_id % 50 AS task_id, event_type AS model_name, CAST(floor(value * 10) AS BIGINT) AS input_tokens,
   CAST(floor(value * 3) AS BIGINT) AS output_tokens, CAST(floor(value * 10) AS BIGINT) + CAST(floor(value * 3) AS BIGINT) AS total_tokens,
@@ -210,12 +196,6 @@ def size_gate(spark, sf):
     return d.select("doc_id", chunking.too_large(F.col("text"), F.lit(1), F.size(T.lines(F.col("text")))).alias("large"))
 
 
-@_query()
-def chunk_parts(spark, sf):
-    d = tables.read(spark, sf, "documents").where("text is not null")
-    return d.select("doc_id", F.posexplode(chunking.split_parts(F.col("text"))).alias("part", "p")).select("doc_id", "part", "p.*")
-
-
 _SECRET_TEXT = "my password='%s' and bearer abc.def and jdbc:pg://h/d?user=u&password=%s and http://192.168.1.7/api secret=%s api-key: k%s"
 
 
