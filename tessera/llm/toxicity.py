@@ -1,7 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
 Input of a word: a learnt vector of the word (hashed) plus the mean of learnt
-vectors of its character n-grams, which include its beginnings and end. Windows
+vectors of its character n-grams, which include its beginnings and end; most
+words of a batch learn without the former (``WORD_DROP``). Windows
 of ``WINDOW`` words overlap by a quarter; a GRU reads each forwards and another
 backwards, attention weighs the word states, and a logistic unit scores the
 window. A document's score is that of its worst window, brought to scale by a
@@ -35,6 +36,9 @@ WINDOW, STRIDE = 32, 24
 WORDS, GRAMS, INPUT, STATE = 1 << 13, 1 << 13, 12, 8
 #: Labelled documents to fit on and windows of each of them; passes over them.
 SAMPLE, TRAIN_WINDOWS, EPOCHS = 3000, 120, 8
+#: Share of a batch's words that learn from their characters alone; the word table is weighed by the rest at the end,
+#: as in training on average. Words that fitting has not seen are then told by the characters they share.
+WORD_DROP = 0.5
 #: Words a worker remembers; windows scored at once; characters of a piece of a long text.
 MEMORY, AT_ONCE, PIECE, BATCH = 300_000, 2048, 1_000_000, 64
 #: Windows of a long text that are worked on together.
@@ -78,6 +82,7 @@ class Network:
         r = np.random.default_rng(seed)
         f = lambda *s, k=0.3: (r.normal(size=s) * k).astype(np.float32)
         self.e = f(WORDS + GRAMS, INPUT, k=0.1)
+        self.e[:WORDS] = 0  # a word without training adds nothing
         self.wf, self.uf, self.bf = f(INPUT, 3 * STATE), f(STATE, 3 * STATE), np.zeros(3 * STATE, np.float32)
         self.wb, self.ub, self.bb = f(INPUT, 3 * STATE), f(STATE, 3 * STATE), np.zeros(3 * STATE, np.float32)
         self.a, self.v = f(2 * STATE, STATE), f(STATE)
@@ -184,13 +189,13 @@ class Network:
             dx += dproj @ w.T
         return d, dx
 
-    def vectors(self, feats: list[list[int]]) -> np.ndarray:
-        """Word vectors, and the zero vector of "no word" at the end."""
+    def vectors(self, feats: list[list[int]], share: float | np.ndarray = 1.0) -> np.ndarray:
+        """Word vectors, and the zero vector of "no word" at the end; ``share``: weight of the word table's part."""
         x = np.zeros((len(feats) + 1, INPUT), np.float32)
         if feats:
             n = np.array([len(f) - 1 for f in feats])
             flat = np.concatenate([f[1:] for f in feats]).astype(int)
-            x[:-1] = np.add.reduceat(self.e[flat], np.cumsum(n) - n, axis=0) / n[:, None] + self.e[[f[0] for f in feats]]
+            x[:-1] = np.add.reduceat(self.e[flat], np.cumsum(n) - n, axis=0) / n[:, None] + np.float32(share) * self.e[[f[0] for f in feats]]
         return x
 
 
@@ -224,7 +229,7 @@ def fit_windows(texts: list[list[list[str]]], counts: list[int], labels: list[in
     for epoch in range(epochs):
         order, rate = rng.permutation(len(y)), 0.15 * (1 - epoch / epochs) + 0.01
         # The worst window of each document learns, and of clean documents one more at random.
-        logit = net.logits(net.project(net.vectors(feats)), ids)
+        logit = net.logits(net.project(net.vectors(feats, 1 - WORD_DROP)), ids)
         by = np.lexsort((logit if epoch else rng.random(len(owner)), owner))
         last = np.flatnonzero(np.r_[owner[by][1:] != owner[by][:-1], True])
         begin = np.r_[0, last[:-1] + 1]
@@ -236,7 +241,8 @@ def fit_windows(texts: list[list[list[str]]], counts: list[int], labels: list[in
             used = used if used[-1] == nothing else np.r_[used, nothing]
             local = local.reshape(len(pick), WINDOW)
             mine = [feats[i] for i in used[:-1]]
-            x = net.vectors(mine)
+            kept = (rng.random((len(mine), 1)) >= WORD_DROP).astype(np.float32)
+            x = net.vectors(mine, kept)
             tr: dict = {}
             p = _sigmoid(net.forward(net.project(x), local, tr))
             w = weight[owner[pick]]
@@ -245,7 +251,7 @@ def fit_windows(texts: list[list[list[str]]], counts: list[int], labels: list[in
                 rows_ = np.concatenate(mine).astype(int)
                 n = np.array([len(f) for f in mine])
                 part = np.repeat(dx[:-1] / (n[:, None] - 1), n, axis=0)
-                part[np.cumsum(n) - n] = dx[:-1]
+                part[np.cumsum(n) - n] = dx[:-1] * kept
                 at, inverse = np.unique(rows_, return_inverse=True)
                 de = np.zeros((len(at), INPUT), np.float32)
                 np.add.at(de, inverse, part)
@@ -255,6 +261,7 @@ def fit_windows(texts: list[list[list[str]]], counts: list[int], labels: list[in
                 value, s = getattr(net, name), grad2[name]
                 s += d[name] ** 2
                 value -= rate * d[name] / np.sqrt(s)
+    net.e[:WORDS] *= 1 - WORD_DROP
     # The curve of documents: the worst logit and the number of windows.
     logit = net.logits(net.project(net.vectors(feats)), ids)
     top = np.full(len(y), -1e9)
