@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -46,9 +47,37 @@ def request_url(base: Column) -> Column:
     return F.when(base.endswith("/chat/completions"), base).otherwise(F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/chat/completions")))
 
 
+def http_call(url: str, key: str, model: str, limit: float = 45, tries: int = 1, pause: float = 1) -> Callable[[str], tuple[int, str]]:
+    """A ``call`` for ``complete``: posts a chat completion, each try within ``limit`` seconds. Replies 429 and 5xx and lost
+    connections are tried again up to ``tries`` times in all, ``pause`` seconds apart; the calls at once are the tasks at once."""
+    target = url if url.endswith("/chat/completions") else url.rstrip("/") + "/chat/completions"
+
+    def call(prompt: str) -> tuple[int, str]:
+        import time
+        import urllib.error
+        import urllib.request
+
+        body = json.dumps({"model": model, "stream": False, "messages": [{"role": "user", "content": prompt}]}).encode()
+        for left in range(tries - 1, -1, -1):
+            request = urllib.request.Request(target, body, {"Authorization": f"Bearer {key}", "Content-Type": "application/json"})
+            try:
+                with urllib.request.urlopen(request, timeout=limit) as reply:
+                    return reply.status, reply.read().decode("utf-8", "replace")
+            except urllib.error.HTTPError as e:
+                if not left or e.code != 429 and e.code < 500:
+                    return e.code, e.read().decode("utf-8", "replace")
+            except OSError:
+                if not left:
+                    raise
+            time.sleep(pause)
+        raise ValueError("no try was allowed")
+
+    return call
+
+
 def complete(df: DataFrame, call: Callable[[str], tuple[int, str]] | None = None, prompt: str = "prompt", mock: str = "mock") -> DataFrame:
     """Adds ``reply`` struct. ``call`` takes a prompt and gives (status, JSON body) on executors; without it, and after
-    any error or other status, the mock text stands in, with ok false after an error."""
+    any error, other status or reply without a choice, the mock text stands in, with ok false."""
     estimate = lambda c: F.floor(F.length(c) / 3).cast("int")
     stand_in = lambda ok, error, ms: F.struct(F.col(mock).alias("text"), estimate(F.col(prompt)).alias("input_tokens"), estimate(F.col(mock)).alias("output_tokens"), ok.alias("ok"), error.alias("error"), ms.alias("duration_ms"))
     if call is None:
@@ -71,8 +100,9 @@ def complete(df: DataFrame, call: Callable[[str], tuple[int, str]] | None = None
             yield pd.DataFrame(rows, columns=["status", "body", "error", "ms"])
 
     out = df.withColumn("_r", ask(prompt)).withColumn("_c", parse_completion(F.col("_r.body")))
-    good = F.struct(F.col("_c.text").alias("text"), F.col("_c.input_tokens").alias("input_tokens"), F.col("_c.output_tokens").alias("output_tokens"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"), F.col("_r.ms").alias("duration_ms"))
-    return out.withColumn("reply", F.when(F.col("_r.error").isNull(), good).otherwise(stand_in(F.lit(False), F.col("_r.error"), F.col("_r.ms")))).drop("_r", "_c")
+    error = F.coalesce(F.col("_r.error"), F.when(F.get_json_object("_r.body", "$.choices[0]").isNull(), F.lit("no choice in the reply")))
+    good = F.struct(F.coalesce("_c.text", F.lit("")).alias("text"), F.col("_c.input_tokens").alias("input_tokens"), F.col("_c.output_tokens").alias("output_tokens"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"), F.col("_r.ms").alias("duration_ms"))
+    return out.withColumn("reply", F.when(error.isNull(), good).otherwise(stand_in(F.lit(False), error, F.col("_r.ms")))).drop("_r", "_c")
 
 
 def with_model(tasks: DataFrame, models: DataFrame, url: str, key: str) -> DataFrame:

@@ -5,12 +5,16 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import extension, line_count
 
+#: Files of a task and bytes of a batch that are read at once (one file at least).
+FILES_A_TASK, BYTES_AT_ONCE = 1000, 64 << 20
 #: Directories that a copy of a tree leaves out.
 NOT_COPIED = {".git", "target", "node_modules", ".idea", ".vscode"}
 
@@ -22,20 +26,38 @@ def tree(spark: SparkSession, root: str) -> DataFrame:
     for at, dirs, names in os.walk(root):
         dirs[:] = sorted(d for d in dirs if d not in NOT_COPIED)
         found += [(os.path.relpath(os.path.join(at, n), root).replace(os.sep, "/"), os.path.join(at, n)) for n in sorted(names)]
-    df = spark.createDataFrame(found, "path string, _file string").repartition(max(1, min(len(found), 64)))
+    df = spark.createDataFrame(found, "path string, _file string").repartition(max(1, min(len(found), 64), -(-len(found) // FILES_A_TASK)))
 
     def load(batches):
         for b in batches:
-            out = []
-            for f in b["_file"]:
+            paths, out, size = [], [], 0
+            for path, f in zip(b["path"], b["_file"], strict=True):
                 with open(f, "rb") as handle:
+                    paths.append(path)
                     out.append(handle.read())
-            yield b[["path"]].assign(bytes=out)
+                size += len(out[-1])
+                if size >= BYTES_AT_ONCE:
+                    yield pd.DataFrame({"path": paths, "bytes": out}, dtype=object)
+                    paths, out, size = [], [], 0
+            yield pd.DataFrame({"path": paths, "bytes": out}, dtype=object)
 
     raw = df.mapInPandas(load, "path string, bytes binary")
     return raw.select("path", F.expr("try_validate_utf8(cast(bytes as string))").alias("content"), "bytes")
 
 
+def tree_or_stand_in(spark: SparkSession, root: str, fetch: Callable[[str], str] | None = None) -> tuple[DataFrame, str | None]:
+    """((path, content), reason): the files below ``root``, or, where that is no local directory, below the one that ``fetch``
+    brings it to. Where ``fetch`` is missing or fails, the stand-in project, and why; a directory that cannot be read is an error."""
+    if os.path.isdir(root):
+        return tree(spark, root).select("path", "content"), None
+    try:
+        if fetch is None:
+            raise FileNotFoundError(f"not a directory: {root}")
+        return tree(spark, fetch(root)).select("path", "content"), None
+    except Exception as e:  # any failure to fetch, as a source that is away must not stop a task
+        return demo(spark), str(e)
+
+
 def remote_tree(spark: SparkSession, root: str) -> DataFrame:
     """(path, bytes) below a folder of any file system that Spark reads; hidden names are left out by Spark."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("content").alias("bytes"))

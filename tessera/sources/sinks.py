@@ -64,6 +64,14 @@ def call_records(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, r.select("system_id", "task_id", "model_name", F.lit(None).cast("int").alias("prompt_version"), "input_tokens", "output_tokens", "ok")
 
 
+def call_logs(replies: DataFrame) -> DataFrame:
+    """(path, content) of two files a call, for ``write_documents``: what was asked, and the text of the reply. A call is named by
+    its chunk and its time in milliseconds (``at_ms``), so that a task run again writes the same files."""
+    r = replies.select("chunk_id", "model_name", F.col("reply.text").alias("text"), F.concat(F.lit("ai_logs/task_"), F.col("task_id").cast("string"), F.lit("/call_"), F.col("chunk_id").cast("string"), F.lit("_"), F.col("at_ms").cast("string")).alias("base"))
+    asked = F.concat(F.lit('{"chunkId":'), F.col("chunk_id").cast("string"), F.lit(',"model":"'), F.col("model_name"), F.lit('"}'))  # a fixed form
+    return r.select(F.inline(F.array(F.struct(F.concat("base", F.lit("_req.json")).alias("path"), asked.alias("content")), F.struct(F.concat("base", F.lit("_resp.txt")).alias("path"), F.coalesce("text", F.lit("")).alias("content")))))
+
+
 def operation_log(entries: DataFrame) -> DataFrame:
     """Rows of the operation log from (system_id, task_id, action_type, detail, exception_msg, ok, created_at)."""
     return entries.select("system_id", "task_id", F.lit(1).cast("bigint").alias("user_id"), F.lit("Owner").alias("username"), "action_type", "detail", F.lit("127.0.0.1").alias("ip_address"), "exception_msg", F.col("ok").cast("smallint").alias("is_success"), "created_at")
