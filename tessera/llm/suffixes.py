@@ -458,9 +458,9 @@ OP11_SQL = """
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS t FROM documents
 ), s AS (
-  SELECT r, b * 1000 AS at, substr(t, 2000 * b + 1, 2398) AS p FROM (SELECT r, t, unnest(range((length(t) // 2 + 999) // 1000)) AS b FROM d)
+  SELECT r, b * 1000 AS base, substr(t, 2000 * b + 1, 2398) AS p FROM (SELECT r, t, unnest(range((length(t) // 2 + 999) // 1000)) AS b FROM d)
 ), w AS (
-  SELECT r, at + i AS i, md5(substr(p, 2 * i + 1, 400)) AS h FROM (SELECT r, at, p, unnest(range(length(p) // 2 - 199)) AS i FROM s WHERE length(p) >= 400)
+  SELECT r, base + i AS i, md5(substr(p, 2 * i + 1, 400)) AS h FROM (SELECT r, base, p, unnest(range(length(p) // 2 - 199)) AS i FROM s WHERE length(p) >= 400)
 ), m AS (
   SELECT h FROM w GROUP BY h HAVING count(*) > 1
 ), c AS (
