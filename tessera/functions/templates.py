@@ -111,3 +111,5 @@ BACK_END = "# 后端服务系统架构设计 (Java 17)\n\n## 核心框架\n- 基
 # Patterns and words of trial runs.
 SAMPLE_CLASS, SAMPLE_METHOD = r"(?:public\s+)?(?:abstract\s+|final\s+)?(?:class|interface|enum)\s+(\w+)", r"(?:public|protected|private|static|final|synchronized|\s)+\s+[\w<>\[\],.?\s]+\s+(\w+)\s*\("
 NOT_METHODS, NO_CLASS, NO_METHOD = ["if", "for", "while", "switch", "class", "synchronized", "catch"], "MockTestClass", "mockExecute"
+# What a refused change of state says, before "A -> B".
+REFUSED = "非法的状态流转: "

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.predicates import where_given
+from tessera.operators import scan
 
 #: USD a token in and out; tokens a task and a system in a month may use.
 PRICE_IN, PRICE_OUT = 2e-6, 6e-6
@@ -66,26 +66,16 @@ def month_to_date(usage: DataFrame, as_of: Column) -> DataFrame:
     return usage.where(F.col("created_at") >= start).groupBy("system_id").agg(F.sum("total_tokens").cast("bigint").alias("used"))
 
 
-def quota_gate(usage: DataFrame, keys: list[str], limit: int, estimate: str = "estimate", order: tuple = ("created_at", "id"), step: str = "hour") -> DataFrame:
-    """Adds used (before the call), blocked, and first_violation; rows after the first violation are calls
-    that a caller who stops there never makes.
-
-    Two levels: sums run within a key's ``step`` of the first order column, and on top comes what the key's steps
-    before have used, so a hot key is as many groups as it has steps; only its steps' sums meet in one."""
-    timed = usage.schema[order[0]].dataType.typeName().startswith(("timestamp", "date"))
-    usage = usage.withColumn("_step", F.date_trunc(step, F.col(order[0])) if timed else F.floor(F.col(order[0]) / 4096))
-    sums = usage.groupBy(*keys, "_step").agg(F.sum("total_tokens").alias("_sum"))
-    over = W.partitionBy(*keys).orderBy("_step").rowsBetween(W.unboundedPreceding, -1)
-    before = sums.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_step").alias("_of"), F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_before"))
-    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)] + [F.col("_step").eqNullSafe(F.col("_of"))]
-    within = W.partitionBy(*keys, "_step").orderBy(*order)
-    out = usage.withColumn("_own", F.coalesce(F.sum("total_tokens").over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    out = out.join(before, same).withColumn("used", (F.col("_own") + F.col("_before")).cast("bigint")).withColumn("blocked", F.col("used") + F.col(estimate) > limit)
-    out = out.drop("_step", "_own", "_of", "_before")
-    first = out.where("blocked").groupBy(*[F.col(f"_key{i}").alias(f"_first{i}") for i in range(len(keys))]).agg(F.min(F.struct(*order)).alias("_at"))
-    out = out.join(first, [F.col(f"_key{i}").eqNullSafe(F.col(f"_first{i}")) for i in range(len(keys))], "left")
-    mine = F.col("blocked") & (F.struct(*order) == F.col("_at"))
-    return out.withColumn("first_violation", F.coalesce(mine, F.lit(False))).drop("_at", *[f"_{n}{i}" for i in range(len(keys)) for n in ("key", "first")])
+def quota_gate(usage: DataFrame, keys: list[str], limit: int, estimate: str = "estimate", order: tuple = ("created_at", "id")) -> DataFrame:
+    """Adds used (the key's tokens before the call) and blocked. A hot key is summed in many partitions."""
+    out = scan.running(usage, keys, list(order), sums={"used": "total_tokens"}, inclusive=False)
+    return out.withColumn("blocked", F.col("used") + F.col(estimate) > limit)
+
+
+def first_violations(gated: DataFrame, keys: list[str], order: tuple = ("created_at", "id")) -> DataFrame:
+    """(keys, order): each key's first blocked call. A caller who stops there never makes the calls after it."""
+    first = gated.where("blocked").groupBy(*keys).agg(F.min(F.struct(*order)).alias("_at"))
+    return first.select(*keys, "_at.*")
 
 
 def ranking_reversed(ranking: DataFrame) -> DataFrame:

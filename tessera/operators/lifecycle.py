@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import templates as T
 from tessera.functions.text import has_text
+from tessera.operators import scan
 
 # States in order, and where each may go besides staying.
 STATES = ["DRAFT", "PENDING", "PULLING_CODE", "PARSING_CODE", "SPLITTING_TASK", "AI_ANALYZING", "GENERATING_DOC", "PENDING_REVIEW", "REVIEWING", "CONFIRMED", "PUSHING", "PUSHED", "FAILED", "CANCELLED", "ARCHIVED"]
@@ -64,6 +65,27 @@ def history(steps: DataFrame, key: str = "task_id", order: str = "at") -> DataFr
     return out.withColumn("duration_ms", F.expr("timestampdiff(MILLISECOND, started_at, ended_at)")).withColumn("previous", F.lag("status").over(w))
 
 
+def requested(requests: DataFrame, key: str = "task_id", order: tuple = ("at", "id"), target: str = "target", reason: str = "reason") -> DataFrame:
+    """Requests (key, order, target, reason) through the state machine, one after another for each key from DRAFT: adds state_before,
+    accepted, state_after, error (what a refusal says), and as each request leaves them progress, started_at, ended_at, duration_ms
+    and error_reason. A refused request leaves everything as it was. ``order``: a time, then what tells requests of one time apart."""
+    out = scan.states(requests, [key], list(order), target, STATES, EDGES, "DRAFT")
+    at, to, ok = F.col(order[0]), F.col(target), F.col("accepted")
+    # A start clears the reason of a failure, so both write it. Starts and ends keep their order, so that an end before the
+    # first start leaves no duration.
+    reasons = F.when(ok & to.isin(STARTING), F.struct(F.lit(None).cast("string").alias("r"))).when(ok & (to == "FAILED") & F.col(reason).isNotNull(), F.struct(F.col(reason).alias("r")))
+    when = F.struct(*order)
+    marked = out.withColumns({"_progress": F.when(ok, _lookup(PROGRESS, to, F.lit(None).cast("int"))), "_start": F.when(ok & to.isin(STARTING), when), "_end": F.when(ok & to.isin(FINAL), when), "_reason": reasons})
+    done = scan.running(marked, [key], list(order), firsts={"_first": "_start"}, lasts={"_progress": "_progress", "_last": "_end", "_reason": "_reason"})
+    started, ended = F.col("_first")[order[0]], F.col("_last")[order[0]]
+    refusal = F.concat(F.lit(T.REFUSED), F.col("state_before"), F.lit(" -> "), F.coalesce(to, F.lit("null")))
+    done = done.withColumns({
+        "error": F.when(~ok, refusal), "progress": F.coalesce("_progress", F.lit(0)), "started_at": started, "ended_at": ended,
+        "duration_ms": F.when(F.col("_last") > F.col("_first"), F.timestamp_diff("MILLISECOND", started, ended)), "error_reason": F.col("_reason.r"),
+    })
+    return done.drop("_progress", "_start", "_end", "_reason", "_first", "_last")
+
+
 def transition_text(current: Column, target: Column, reason: Column) -> Column:
     return F.concat(F.lit("任务状态变更: "), current, F.lit(" -> "), target, F.when(reason.isNotNull(), F.concat(F.lit("，原因: "), reason)).otherwise(F.lit("")))
 
@@ -156,9 +178,9 @@ def dashboard_counts(tasks: DataFrame) -> DataFrame:
 
 
 def reordered(df: DataFrame, order: list[Column], weight: str = "sort_order") -> DataFrame:
-    """Rows whose weight (place * 10) changes: (id, old, new). One project's list of models, so one window."""
-    w = W.orderBy(*order)
-    return df.select("id", F.col(weight).alias("old"), (F.row_number().over(w) * 10).alias("new")).where("old is distinct from new")
+    """Rows whose weight (place * 10) changes: (id, old, new)."""
+    placed = scan.numbered(df.select("*", F.col(weight).alias("_old")), [], order, "_place")
+    return placed.select("id", F.col("_old").alias("old"), (F.col("_place") * 10).cast("int").alias("new")).where("old is distinct from new")
 
 
 def status_domain(df: DataFrame, column: str = "status") -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import templates as T
 from tessera.functions.text import all_lines, extension, file_name, has_text, lines, string_hash
+from tessera.operators import scan
 from tessera.operators.lifecycle import confidence
 from tessera.operators.prompts import mock_summary
 from tessera.operators.review import VERSION_STATES
@@ -20,15 +21,16 @@ def _text(rows: DataFrame, key: str, order: list[str], line: Column, name: str)
 
 
 def class_list(chunks: DataFrame) -> DataFrame:
-    """(module, place, class_name, path): classes of a module, once each, in the order of chunk ids."""
+    """(module, place, class_name, path, previous): classes of a module, once each, in the order of chunk ids, each with the class before it."""
     named = chunks.where(has_text(F.col("class_name"))).groupBy("module", "class_name", "path").agg(F.min("id").alias("_first"))
-    return named.select("module", F.row_number().over(W.partitionBy("module").orderBy("_first", "class_name", "path")).alias("place"), "class_name", "path")
+    named = named.withColumn("_one", F.lit(1).cast("bigint"))
+    placed = scan.running(named, ["module"], ["_first", "class_name", "path"], sums={"_before": "_one"}, lasts={"previous": "class_name"}, inclusive=False)
+    return placed.select("module", (F.col("_before") + 1).cast("int").alias("place"), "class_name", "path", "previous")
 
 
 def flow_edges(classes: DataFrame) -> DataFrame:
-    """(module, place, source, target): consecutive classes of a module."""
-    w = W.partitionBy("module").orderBy("place")
-    return classes.select("module", "place", F.col("class_name").alias("source"), F.lead("class_name").over(w).alias("target")).where("target is not null")
+    """(module, place, source, target): consecutive classes of a module, by the place of the first."""
+    return classes.where("previous is not null").select("module", (F.col("place") - 1).alias("place"), F.col("previous").alias("source"), F.col("class_name").alias("target"))
 
 
 def endpoints(chunks: DataFrame, parsed: DataFrame, distinct: bool = False) -> DataFrame:
