@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.sources.scratch import stored
 
@@ -166,9 +167,10 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, st
         pick = {"sum": lambda x, y: x + y, "first": lambda x, y: y if x is None else x, "last": lambda x, y: x if y is None else y}
         return [pick[k](x, y) for k, x, y in zip(kinds, a, b, strict=True)]
 
-    carry = [(part, *g) for part, g in _before(tails, then)]
-    schema = ", ".join(["_part int", *[f"_c{i} {sql[c]}" for i, (_, c, _) in enumerate(wanted)]])
-    out = out.join(F.broadcast(df.sparkSession.createDataFrame(carry, schema)), "_part", "left")  # a row a partition at most
+    carry = _before(tails, then)
+    columns = [pa.array([g[i] for _, g in carry], to_arrow_type(typed.schema[f"_in{i}"].dataType)) for i in range(len(wanted))]
+    carried = pa.table([pa.array([part for part, _ in carry], pa.int32()), *columns], names=["_part", *[f"_c{i}" for i in range(len(wanted))]])
+    out = out.join(F.broadcast(df.sparkSession.createDataFrame(carried)), "_part", "left")  # a row a partition at most
     value = {}
     for i, (name, _, kind) in enumerate(wanted):
         came, own = F.when(F.col("_open"), F.col(f"_c{i}")), F.col(f"_v{i}")
@@ -227,8 +229,8 @@ def states(df: DataFrame, keys: list[str], order: list[str], target: str, names:
     begin = number[start]
     out, tails = _carried(coded, keys, order, lambda: _Machine(moves, begin), "_maps binary", ["_target"])
     came = dict(_before(tails, lambda a, b: tuple(b[x] for x in a)))
-    carry = [(part, came[part][begin] if part in came else begin) for part, _ in tails]
-    out = out.join(F.broadcast(df.sparkSession.createDataFrame(carry, "_part int, _from int")), "_part")  # a row a partition
+    carried = pa.table({"_part": pa.array([part for part, _ in tails], pa.int32()), "_from": pa.array([came[part][begin] if part in came else begin for part, _ in tails], pa.int32())})
+    out = out.join(F.broadcast(df.sparkSession.createDataFrame(carried)), "_part")  # a row a partition
     at = F.conv(F.hex(F.substring(F.col("_maps"), F.when(F.col("_open"), F.col("_from")).otherwise(F.lit(begin)) + 1, F.lit(1))), 16, 10).cast("int")
     listed = F.array(*[F.lit(s) for s in names])
     before = F.get(listed, at)

@@ -87,13 +87,14 @@ def _gate_sql(keys: str, limit: int) -> str:
 
 @_query(_gate_sql("task_id", 100_000))
 def task_quota_gate(spark, sf):
-    u = tables.token_usage(spark, sf).withColumn("estimate", F.col("input_tokens"))
+    # Rows are stored between the two steps of the gate, so only the columns in use go in.
+    u = tables.token_usage(spark, sf).select("id", "task_id", "created_at", "total_tokens", F.col("input_tokens").alias("estimate"))
     return audit.quota_gate(u, ["task_id"], audit.TASK_QUOTA).select("id", "used", "blocked")
 
 
 @_query(_gate_sql("system_id, date_trunc('month', created_at)", 1_000_000))
 def system_month_quota_gate(spark, sf):
-    u = tables.token_usage(spark, sf).withColumn("estimate", F.col("input_tokens")).withColumn("month", F.date_trunc("month", "created_at"))
+    u = tables.token_usage(spark, sf).select("id", "system_id", F.date_trunc("month", "created_at").alias("month"), "created_at", "total_tokens", F.col("input_tokens").alias("estimate"))
     return audit.quota_gate(u, ["system_id", "month"], audit.MONTH_QUOTA).select("id", "used", "blocked")
 
 
@@ -505,21 +506,6 @@ def mock_summaries(spark, sf):
     return tables.read(spark, sf, "part").select("p_partkey", prompts.mock_summary(kind, name, F.when(k == 2, F.lit("getX")).otherwise("saveY")).alias("summary"))
 
 
-@_query()
-def demo_chunks(spark, sf):
-    return chunking.chunks(source_files.demo(spark)).drop("content")
-
-
-@_query()
-def demo_drafts(spark, sf):
-    from tessera.operators import parser
-
-    f = source_files.demo(spark)
-    c = chunking.chunks(f).withColumn("module", routing.package_rule(F.col("path")))
-    c = c.withColumn("id", F.row_number().over(W.orderBy("path", "start_line", "chunk_type")))  # the demo tree's few chunks
-    return publish.drafts(c, parser.parse_files(f), 1)
-
-
 # --- further lookups, defaults and texts ------------------------------------------------
 
 
