@@ -25,10 +25,12 @@ Scores are inner products of the original vectors in double precision, summed
 in one fixed order, so equal vectors have equal scores; ties go to smaller ids.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
-components, and rows with a null id, take no part; vectors of another length
-than a query's are not compared with it; repeated rows with one id count once
-(the first in the order of their components); a query's own id is no candidate;
-an empty table gives an empty result; other columns are not read.
+components take no part; vectors of another length than a query's are not
+compared with it. Rows are told apart, not ids: each row of a repeated id is a
+candidate, also for another row of its own id, and each is a query if the id is
+divisible (so a repeated id has several lists). A row without an id is never a
+query but may be found, with a null vec_id; such rows come last among equals.
+An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -42,6 +44,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, table
 from tessera.llm.egojoin import matrix, usable
+from tessera.operators import scan
 
 CURVES, DIMS, LEVELS = 4, 8, 7
 #: Rows before and after a query in key order; rows of a block, queries of a block, row blocks of a group, and into how
@@ -259,8 +262,11 @@ def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     """(query_id, rank, vec_id, score): queries are the rows whose id is divisible by ``every``."""
     spark = df.sparkSession
     scratch = Scratch(spark, "hilbert")
-    good = usable(df, id_col, vec_col, None).where("ok and vec_id is not null")
-    rows = scratch.put("rows", good.groupBy("vec_id").agg(F.min("vec").alias("vec")))
+    good = usable(df, id_col, vec_col, None).where("ok").select("vec_id", "vec", F.monotonically_increasing_id().alias("_m"))
+    # Rows are known by their number in the order of ids (null last), so each row of a repeated id is a row of its own.
+    numbered = scan.numbered(good, [], [F.col("vec_id").asc_nulls_last(), F.col("vec"), F.col("_m")], "row")
+    names = numbered.select("row", F.col("vec_id").alias("name"))
+    rows = numbered.select(F.col("row").alias("vec_id"), "vec", F.coalesce(F.col("vec_id") % every == 0, F.lit(False)).alias("ask"))
     dims = [r.n for r in rows.select(F.size("vec").alias("n")).distinct().collect()]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = None
@@ -270,7 +276,9 @@ def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     if out is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     hit = out.select("query_id", F.posexplode("hits").alias("pos", "hit"))
-    return hit.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.minus")).alias("score"))
+    found = hit.select(F.col("query_id").alias("q"), (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("x"), (-F.col("hit.minus")).alias("score"))
+    asked, seen = names.select(F.col("row").alias("q"), F.col("name").alias("query_id")), names.select(F.col("row").alias("x"), F.col("name").alias("vec_id"))
+    return found.join(asked, "q").join(seen, "x").select("query_id", "rank", "vec_id", "score")
 
 
 def _length(c) -> Column:
@@ -295,14 +303,14 @@ def _search_one(scratch: Scratch, rows: DataFrame, dim: int, k: int, every: int,
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
-                ids, x = part.column(0).to_numpy(), matrix(part.column(1))
+                ids, x, ask = part.column(0).to_numpy(), matrix(part.column(1)), part.column(2).to_numpy(zero_copy_only=False)
                 for query in (False, True):
-                    m = np.flatnonzero(ids % every == 0) if query else np.arange(len(ids))
+                    m = np.flatnonzero(ask) if query else np.arange(len(ids))
                     keys = places.keys(x[m], np.full(len(m), query))
                     for c in range(curves):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), c, np.int32)), pa.array(keys[c]), pa.array(np.full(len(m), query)), pa.array(ids[m]), part.column(1).take(pa.array(m))], names=["curve", "key", "query", "vec_id", "vec"])
 
-    dealt = rows.select("vec_id", "vec").mapInArrow(keyed, f"curve int, key bigint, query boolean, vec_id bigint, vec {vec_type}")
+    dealt = rows.select("vec_id", "vec", "ask").mapInArrow(keyed, f"curve int, key bigint, query boolean, vec_id bigint, vec {vec_type}")
     order = ["curve", "key", "vec_id", "query"]
     sorted_rows = dealt.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     near = scratch.put(f"near{dim}", _merged(sorted_rows.select("curve", "query", "vec_id", "vec").mapInArrow(_windows(k), _FOUND_SQL), k))
@@ -346,17 +354,17 @@ def op4_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: are added as ``products`` does it for up to 128 components, a multiple of eight: every eighth, then these eight in pairs.
 OP4_SQL = """
 WITH v AS (
-  SELECT vec_id, min(CAST(embedding AS DOUBLE[])) AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY vec_id
+  SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_transform(list_zip(q.e, c.e), lambda x: x[1] * x[2]) AS p FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+  SELECT q.r, q.vec_id AS query_id, c.vec_id AS vec_id, list_transform(list_zip(q.e, c.e), lambda x: x[1] * x[2]) AS p FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.r <> c.r AND len(q.e) = len(c.e)
 ), t AS (
-  SELECT query_id, vec_id, list_transform([1, 2, 3, 4, 5, 6, 7, 8], lambda j: list_reduce(p[j:len(p):8], lambda a, b: a + b)) AS p FROM s
+  SELECT r, query_id, vec_id, list_transform([1, 2, 3, 4, 5, 6, 7, 8], lambda j: list_reduce(p[j:len(p):8], lambda a, b: a + b)) AS p FROM s
 ), u AS (
-  SELECT query_id, vec_id, ((p[1] + p[2]) + (p[3] + p[4])) + ((p[5] + p[6]) + (p[7] + p[8])) AS score FROM t
-), r AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM u
+  SELECT r, query_id, vec_id, ((p[1] + p[2]) + (p[3] + p[4])) + ((p[5] + p[6]) + (p[7] + p[8])) AS score FROM t
+), w AS (
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM u
 )
-SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INTEGER) AS rank, CAST(vec_id AS BIGINT) AS vec_id, score FROM r WHERE rank <= 20
+SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INTEGER) AS rank, CAST(vec_id AS BIGINT) AS vec_id, score FROM w WHERE rank <= 20
 """

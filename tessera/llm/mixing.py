@@ -18,8 +18,8 @@ larger documents are settled first, so what is left is small. All random
 numbers are hashes of ids, so reruns agree.
 
 Defined results: a null text has size 0; documents of size 0 take 0 words;
-null sources form one source; repeated rows are rounded as rows of their own
-(rows that agree in id, source and size are interchangeable); an empty table
+null sources form one source; repeated rows and rows without an id are rounded
+as rows of their own (rows that agree in id, source and size are interchangeable); an empty table
 gives an empty result; other columns are not read.
 """
 
@@ -39,6 +39,8 @@ from tessera.llm.common import Scratch, table
 FAN = 400
 #: Documents of a source's root group that may change sides to close the last gap.
 SWAPS = 3
+#: Equal rows that travel as one.
+SAME = 50
 WEIGHTS = (5, 2, 1)
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -47,7 +49,7 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.size(F.regexp_extract_all(text_col, F.lit(WORDS), F.lit(0))), F.lit(0)).cast("bigint").alias("size"),
+        F.coalesce(F.regexp_count(text_col, F.lit(WORDS)), F.lit(0)).cast("bigint").alias("size"),
     )
 
 
@@ -131,12 +133,14 @@ def pivot(ids: np.ndarray, sizes: np.ndarray, p: np.ndarray, seed: int = 0) -> n
 _ROW = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("source", T.StringType()), T.StructField("size", T.LongType()),
     T.StructField("base", T.LongType()), T.StructField("p", T.DoubleType()), T.StructField("bucket", T.LongType()),
-    T.StructField("buckets", T.LongType()),
+    T.StructField("buckets", T.LongType()), T.StructField("same", T.LongType()),
 ])
 
 
 def _group(pdf: pd.DataFrame) -> pd.DataFrame:
     ids = pdf["doc_id"].fillna(-1).astype("int64")
+    if "same" in pdf:  # rows of one id differ; the product wraps
+        ids += pdf["same"].astype("int64") * 0x9E3779B97F4A7C
     pdf = pdf.assign(_i=ids).sort_values(["size", "_i", "p"], ascending=[False, True, True], kind="stable")
     pdf["p"] = pivot(pdf["_i"].to_numpy(), pdf["size"].to_numpy(), pdf["p"].to_numpy(dtype=float))
     return pdf.drop(columns="_i")
@@ -166,6 +170,11 @@ def _root(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
     """A source's last group is closed at the level where that source has one bucket, whatever the others have."""
+    if "n" in pdf:  # ``n`` equal rows, numbered from ``same`` on
+        n = pdf["n"].to_numpy()
+        own = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        pdf = pdf.loc[pdf.index.repeat(n)].drop(columns="n").reset_index(drop=True)
+        pdf["same"] += own
     return _root(pdf) if pdf["buckets"].iloc[0] <= 1 else _group(pdf)
 
 
@@ -176,12 +185,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     goal = scratch.put("goal", targets(rows, scratch, share, most, weights))
     # One row a source against all rows; both inputs of the join are scans, so a hot source's partition can be split.
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    with_goal = rows.join(goal.withColumnRenamed("source", "source2"), F.col("source").eqNullSafe(F.col("source2"))).drop("source2")
+    equal = rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("all"))
+    equal = equal.withColumn("same", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("all") - 1, F.lit(SAME).cast("bigint")))).withColumn("n", F.least(F.col("all") - F.col("same"), F.lit(SAME)).cast("bigint")).drop("all")
+    with_goal = equal.join(goal.withColumnRenamed("source", "source2"), F.col("source").eqNullSafe(F.col("source2"))).drop("source2")
     fractional = with_goal.withColumn("ratio", ratio).withColumn("base", F.floor("ratio").cast("bigint"))
     buckets = F.greatest(F.lit(1), F.ceil(F.col("docs") / FAN)).cast("bigint")
+    # Rows that agree in id, source and size travel as one row for every SAME of them, each in a bucket of its own, so that
+    # neither rows without an id nor those of one id fill a bucket.
+    at = F.when(F.col("same") == 0, F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("bucket"))).otherwise(F.xxhash64("doc_id", "size", "same", F.lit("bucket")))
     level = fractional.select(
         "doc_id", "source", "size", "base", F.when(F.col("size") > 0, F.col("ratio") - F.col("base")).otherwise(0.0).alias("p"),
-        F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("bucket")), buckets).cast("bigint").alias("bucket"), buckets.alias("buckets"),
+        F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("size", "same", F.lit("bucket"))).otherwise(at), buckets).cast("bigint").alias("bucket"), buckets.alias("buckets"), "same", "n",
     )
     most_buckets = math.ceil((goal.agg(F.max("docs")).first()[0] or 0) / FAN)
     settled, k = [], 0

@@ -2,10 +2,11 @@
 
 import math
 
+import duckdb
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from tessera.llm import egojoin, simhash
+from tessera.llm import egojoin, hilbert, mixing, simhash
 from tessera.llm.common import Scratch
 
 
@@ -55,3 +56,50 @@ def test_many_copies_of_one_vector_are_one_node(spark):
     df = spark.range(n + 3).selectExpr("id AS vec_id", f"CASE WHEN id < {n} THEN array(1f, 0f, 0.5f) WHEN id = {n} THEN array(1f, 0.01f, 0.5f) WHEN id = {n + 1} THEN array(0f, 1f, 0f) END AS embedding", "1 AS label")
     got = egojoin.near_duplicates(df).groupBy("n_links", "component_id", "kept").count().collect()
     assert {tuple(r) for r in got} == {(n, 0, True, 1), (n, 0, False, n), (0, n + 1, True, 1), (0, n + 2, True, 1)}
+
+
+def test_near_duplicates_decide_by_row(spark):
+    """Rows of one id with different texts stay or go each for its own text."""
+    a, b, p, q = (" ".join(f"{c}{i}" for i in range(40)) for c in "abpq")
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in [(3, a), (7, a), (7, b), (9, p), (9, q), (9, q)]], SCHEMA)
+    got = sorted((r.doc_id, r.text) for r in pipeline.near_duplicate_stage(spark, docs, "").collect())
+    assert got == [(3, a), (7, b), (9, p), (9, q)]
+
+
+def test_no_bucket_of_the_mixture_holds_an_id(spark, monkeypatch):
+    """Rows without an id, and rows of one id, spread over the buckets; the mix still reaches its targets."""
+    for key in ("CAST(NULL AS BIGINT)", "5L"):
+        docs = spark.range(50_000).selectExpr(f"{key} AS doc_id", "repeat('w ', 1 + CAST(id % 7 AS INT)) AS text", "'s' AS source")
+        real = mixing.pivot
+        folder = spark.sparkContext.accumulator(0)
+
+        def pivot(ids, *rest, real=real, folder=folder):
+            folder.add(len(ids) > 2 * mixing.FAN)
+            return real(ids, *rest)
+
+        monkeypatch.setattr(mixing, "pivot", pivot)
+        rows = mixing.mix(docs, share=1.3).selectExpr("sum(size) a", "sum(taken) b", "max(target) t", "count(*) n").first()
+        monkeypatch.undo()
+        assert rows.n == 50_000 and abs(rows.b - rows.t) <= 7 and folder.value == 0
+
+
+def test_a_very_long_text_in_the_mixture(spark):
+    docs = spark.createDataFrame([(1, "w " * 300_000, "a"), (2, "w w", "a"), (3, "w", "b")], "doc_id bigint, text string, source string")
+    got = {r.doc_id: (r["size"], r.taken) for r in mixing.mix(docs).collect()}
+    assert got[1][0] == 300_000 and all(taken <= 2 * size for size, taken in got.values())
+
+
+def test_every_row_is_a_candidate(spark):
+    """The second vector of a repeated id and a row without an id are found; a repeated query id has two lists."""
+    rows = [(0, [1.0, 0.0]), (5, [0.9, 0.0]), (5, [2.0, 0.0]), (7, [0.1, 0.1]), (None, [1.5, 0.0]), (20, [0.5, 0.5]), (20, [0.0, 3.0]), (9, None), (8, [0.0, 0.0])]
+    rows = [(i, v and v + [0.0] * 6) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = hilbert.search(df, k=3).collect()
+    lists = sorted(((r.query_id, r.rank, r.vec_id, r.score) for r in got), key=str)
+    assert [x for x in lists if x[0] == 0] == [(0, 1, 5, 2.0), (0, 2, None, 1.5), (0, 3, 5, 0.9)]
+    assert len([r for r in got if r.query_id == 20]) == 6
+    con = duckdb.connect()
+    con.execute("create table embeddings(vec_id bigint, embedding double[])")
+    con.executemany("insert into embeddings values (?, ?)", rows)
+    want = sorted(con.execute(hilbert.OP4_SQL).fetchall(), key=str)
+    assert sorted(((r.query_id, r.rank, r.vec_id, r.score) for r in hilbert.search(df).collect()), key=str) == want
