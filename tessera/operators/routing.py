@@ -9,19 +9,17 @@ from pyspark.sql import functions as F
 
 from tessera.functions.templates import FALLBACK_MODULES
 from tessera.functions.text import capitalised, has_text
+from tessera.operators import matching
 
 
 def by_pattern(files: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(path, module): the first pattern, in the order of (module_ord, path_ord), that the path contains.
-
-    ``patterns`` (module_ord, path_ord, module, pattern) is one project's map file. It becomes one array, a scalar
-    that goes with the plan, and each distinct path walks it: no join, and no row a hit.
-    """
-    slash = lambda c: F.replace(c, F.lit("\\"), F.lit("/"))
-    all_ = patterns.agg(F.array_sort(F.collect_list(F.struct("module_ord", "path_ord", slash(F.col("pattern")).alias("pattern"), "module"))).alias("m")).scalar()
-    paths = files.select("path").distinct().withColumn("_map", all_)
-    hit = F.get(F.filter("_map", lambda p: F.contains(slash(F.col("path")), p["pattern"])), 0)
-    return paths.select("path", hit["module"].alias("module")).where("module is not null")
+    """(path, module): the first pattern, in the order of (module_ord, path_ord), that the path contains. Backslashes count as slashes.
+
+    ``patterns``: (module_ord, path_ord, module, pattern), of any number; a path is walked once for all of them."""
+    slash = lambda c: F.replace(F.col(c), F.lit("\\"), F.lit("/"))
+    paths = files.select("path").distinct().withColumn("_path", slash("path"))
+    found = matching.first_pattern(paths, "_path", patterns.withColumn("pattern", slash("pattern")), ["module_ord", "path_ord"], "pattern", "module", "module")
+    return found.select("path", "module").where("module is not null")
 
 
 def by_knowledge(paths: DataFrame, workspaces: DataFrame, drafts: DataFrame, references: DataFrame, statuses: list[str] | None = None) -> DataFrame:
