@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.predicates import where_given
@@ -87,3 +88,34 @@ def statistics(usage: DataFrame, systems: DataFrame, as_of: Column | str, system
     """All parts of the statistics over one filtered scan."""
     u = where_given(usage, {"system_id": system_id})
     return {"totals": totals(u), "ranking": system_ranking(u, systems), "models": by_model(u), "trend": daily_trend(u, as_of)}
+
+
+def statistics_table(usage: DataFrame, systems: DataFrame, as_of: Column | str, system_id: int | None = None, n: int = 10, days: int = 7) -> DataFrame:
+    """All parts of the statistics as one result of one scan of the usage: (part, place, key, name, input_tokens, output_tokens,
+    tokens, cost). Parts: ``totals`` (one row, zeros for no usage), ``ranking`` (the ``n`` systems of most tokens, ties by id),
+    ``models`` (most tokens first, ties by name) and ``trend`` (the last ``days`` days, oldest first, zeros for none)."""
+    u = where_given(usage, {"system_id": system_id})
+    first, after = (F.date_add(F.to_date(as_of), k).cast("timestamp_ntz") for k in (1 - days, 1))
+    u = u.select("system_id", "model_name", F.when((F.col("created_at") >= first) & (F.col("created_at") < after), F.to_date("created_at")).alias("day"), "input_tokens", "output_tokens", "total_tokens", "cost")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    sums = [total("input_tokens").cast("bigint").alias("input_tokens"), total("output_tokens").cast("bigint").alias("output_tokens"), total("total_tokens").cast("bigint").alias("tokens"), F.round(total("cost"), 4).cast("decimal(18,4)").alias("cost")]
+    cube = u.groupingSets([[], ["system_id"], ["model_name"], ["day"]], "system_id", "model_name", "day").agg(F.grouping_id().alias("gid"), *sums)
+    gid = F.col("gid")
+    # Bits of the grouping id are set for columns that a set leaves out.
+    part = F.when(gid == 0b111, "totals").when(gid == 0b011, "ranking").when(gid == 0b101, "models").otherwise("trend")
+    rows = cube.withColumn("part", part).where("part <> 'trend' or day is not null").drop("gid")
+    zero = [F.lit(0).cast("bigint").alias(c) for c in ("input_tokens", "output_tokens", "tokens")] + [F.lit(0).cast("decimal(18,4)").alias("cost")]
+    one = usage.sparkSession.range(1)
+    none = [F.lit(None).cast(usage.schema[c].dataType).alias(c) for c in ("system_id", "model_name")]
+    spine = one.select(*none, F.explode(F.sequence(F.to_date(F.lit(first)), F.date_sub(F.to_date(F.lit(after)), 1))).alias("day"), *zero, F.lit("trend").alias("part"))
+    empty = one.select(*none, F.lit(None).cast("date").alias("day"), *zero, F.lit("totals").alias("part"))
+    added = rows.unionByName(spine).unionByName(empty).groupBy("part", "system_id", "model_name", "day").agg(*[F.sum(c).cast("bigint").alias(c) for c in ("input_tokens", "output_tokens", "tokens")], F.sum("cost").cast("decimal(18,4)").alias("cost"))
+    # Systems alone meet in one order; their window keeps n of each task before anything moves.
+    ranks = W.partitionBy("part", "model_name", "day").orderBy(F.desc("tokens"), "system_id")
+    top = added.withColumn("_r", F.row_number().over(ranks)).where(F.col("_r") <= n).drop("_r")
+    order = W.partitionBy("part").orderBy("day", F.desc("tokens"), "system_id", "model_name")
+    names = systems.groupBy(F.col("id").alias("system_id")).agg(F.min("name").alias("_name"))
+    named = top.withColumn("place", F.row_number().over(order)).join(names, "system_id", "left")
+    key = F.when(F.col("part") == "ranking", F.col("system_id").cast("string")).when(F.col("part") == "models", F.col("model_name")).when(F.col("part") == "trend", F.date_format("day", "yyyy-MM-dd"))
+    name = F.when(F.col("part") == "ranking", F.coalesce("_name", F.concat(F.lit("系统ID: "), F.col("system_id").cast("string"))))
+    return named.select("part", "place", key.alias("key"), name.alias("name"), "input_tokens", "output_tokens", "tokens", "cost")

@@ -67,6 +67,20 @@ def daily_trend_7d(spark, sf):
     return audit.daily_trend(u, F.lit(as_of))
 
 
+@_query(f"""WITH {_USAGE}, a AS (SELECT CAST(max(created_at) AS DATE) AS d FROM usage), p AS (
+    SELECT 'totals' AS part, NULL AS key, NULL AS name, sum(input_tokens) AS i, sum(output_tokens) AS o, sum(total_tokens) AS t, sum(cost) AS c, 1 AS place FROM usage
+    UNION ALL SELECT * FROM (SELECT 'ranking', CAST(system_id AS VARCHAR), coalesce(any_value(s_name), '系统ID: ' || system_id), sum(input_tokens), sum(output_tokens), sum(total_tokens), sum(cost), row_number() OVER (ORDER BY sum(total_tokens) DESC, system_id)
+      FROM usage LEFT JOIN supplier ON s_suppkey = system_id GROUP BY system_id QUALIFY row_number() OVER (ORDER BY sum(total_tokens) DESC, system_id) <= 10)
+    UNION ALL SELECT 'models', model_name, NULL, sum(input_tokens), sum(output_tokens), sum(total_tokens), sum(cost), row_number() OVER (ORDER BY sum(total_tokens) DESC, model_name) FROM usage GROUP BY model_name
+    UNION ALL SELECT 'trend', strftime(d - CAST(k AS INTEGER), '%Y-%m-%d'), NULL, coalesce(sum(input_tokens), 0), coalesce(sum(output_tokens), 0), coalesce(sum(total_tokens), 0), coalesce(sum(cost), 0), 7 - k FROM a CROSS JOIN range(7) r(k)
+      LEFT JOIN usage ON CAST(created_at AS DATE) = d - CAST(k AS INTEGER) GROUP BY d, k)
+  SELECT part, CAST(place AS INTEGER) AS place, key, name, CAST(i AS BIGINT) AS input_tokens, CAST(o AS BIGINT) AS output_tokens, CAST(t AS BIGINT) AS tokens, CAST(c AS DECIMAL(18,4)) AS cost FROM p""")
+def usage_statistics(spark, sf):
+    u = tables.token_usage(spark, sf)
+    as_of = u.agg(F.max("created_at")).first()[0]  # one value
+    return audit.statistics_table(u, tables.systems(spark, sf), F.lit(as_of))
+
+
 @_query(f"WITH {_USAGE} SELECT task_id, CAST(sum(total_tokens) AS BIGINT) AS used FROM usage GROUP BY 1")
 def task_cumulative(spark, sf):
     return audit.task_cumulative(tables.token_usage(spark, sf))

@@ -138,3 +138,23 @@ def test_classes_and_weights(spark):
     assert sorted(tuple(r) for r in publish.flow_edges(classes).collect()) == [("m", 1, "A", "B"), ("m", 2, "B", "C")]
     w = spark.createDataFrame([(1, 10), (2, 10), (3, 5), (4, None)], "id int, sort_order int")
     assert sorted(tuple(r) for r in lifecycle.reordered(w, [F.col("sort_order"), F.desc("id")]).collect()) == [(1, 10, 40), (2, 10, 30), (3, 5, 20), (4, None, 10)]
+
+
+def test_statistics_in_one_scan(spark):
+    """One scan of the usage in the plan; no usage gives zeros; the parts equal those computed one by one."""
+    u = spark.read.parquet("/root/testdata/sf0.001/events.parquet").selectExpr(
+        "event_id AS id", "user_id AS system_id", "event_type AS model_name", "cast(value AS bigint) AS input_tokens", "cast(1 AS bigint) AS output_tokens", "cast(value AS bigint) + 1 AS total_tokens", "cast(value AS decimal(10,4)) AS cost", "ts AS created_at"
+    )
+    systems = spark.createDataFrame([(1, "one"), (2, "two")], "id bigint, name string")
+    day = F.lit(u.agg(F.max("created_at")).first()[0])
+    for system in (None, 2, -1):
+        got = audit.statistics_table(u, systems, day, system)
+        assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("FileScan parquet") == 1
+        rows = {}
+        for r in sorted(got.collect(), key=lambda r: (r.part, r.place)):
+            rows.setdefault(r.part, []).append((r.key, r.tokens))
+        parts = audit.statistics(u, systems, day, system)
+        assert rows["totals"] == [(None, parts["totals"].first().total_tokens)]
+        assert rows.get("ranking", []) == [(str(r.system_id), r.tokens) for r in sorted(parts["ranking"].collect(), key=lambda r: (-r.tokens, r.system_id))]
+        assert sorted(rows.get("models", [])) == sorted(tuple(r) for r in parts["models"].collect())
+        assert rows["trend"] == sorted(tuple(r) for r in parts["trend"].collect()) and len(rows["trend"]) == 7
