@@ -113,3 +113,5 @@ SAMPLE_CLASS, SAMPLE_METHOD = r"(?:public\s+)?(?:abstract\s+|final\s+)?(?:class|
 NOT_METHODS, NO_CLASS, NO_METHOD = ["if", "for", "while", "switch", "class", "synchronized", "catch"], "MockTestClass", "mockExecute"
 # What a refused change of state says, before "A -> B".
 REFUSED = "非法的状态流转: "
+# Heads of the route index and of the module map.
+API_INDEX, MODULE_MAP = "# 系统接口路由索引 (API Index)\n\n", "modules:\n"

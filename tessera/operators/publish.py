@@ -172,3 +172,62 @@ def publication_metadata(versions: DataFrame) -> DataFrame:
 def version_metadata(versions: DataFrame) -> DataFrame:
     """(path, content): pretty JSON of each version row."""
     return versions.select(F.concat(F.lit("meta/version-"), F.col("id").cast("string"), F.lit(".json")).alias("path"), F.to_json(F.struct("*"), {"pretty": "true"}).alias("content"))
+
+
+# --- many publications at once ---------------------------------------------------
+
+
+def with_placeholders(rows: DataFrame, placeholders: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows``, and of ``placeholders`` those whose keys have no rows."""
+    return rows.unionByName(placeholders.join(rows.select(*keys).distinct(), keys, "left_anti"))
+
+
+def publication_lines(drafts_: DataFrame, references: DataFrame, parsed: DataFrame, product: str = "平台", folder: str = "docs/knowledge") -> DataFrame:
+    """(version_id, path, place, line): all pages of all versions, line after line (with its line feed; a draft's text is one line).
+
+    ``drafts_``: (version_id, id, module_name, file_path, content, status); a version takes drafts of the states that it may take, and
+    a version without any has no pages. Lines are numbered by a scan over range partitions, so no page is ever in one row or task."""
+    d = drafts_.where(F.col("status").isin(VERSION_STATES)).withColumn("_file", F.concat(file_name(F.col("module_name")), F.lit(".md")))
+    versions = d.groupBy("version_id").agg(F.count("*").alias("n"))
+    of = d.select(F.col("id").alias("draft_id"), "version_id")
+    ref = referenced(d, references, parsed)
+    HEAD, ROWS, TAIL = 0, 1, 2
+    none = F.lit(None).cast("bigint")
+
+    def lines_(rows: DataFrame, path: Column | str, line: Column, section: int = ROWS, a: Column = none, b: Column = none, c: Column = none, text: Column | None = None) -> DataFrame:
+        path = F.lit(path) if isinstance(path, str) else path
+        order = [x.cast("bigint").alias(k) for k, x in (("_a", a), ("_b", b), ("_c", c))]
+        return rows.select("version_id", path.alias("path"), F.lit(section).alias("_section"), (F.lit(None).cast("string") if text is None else text).alias("_text"), *order, line.alias("line"))
+
+    def table(path: str, rows: DataFrame, empty: str, line: Column, **order) -> DataFrame:
+        return with_placeholders(lines_(rows, path, line, **order), lines_(versions, path, F.lit(empty)), ["version_id"])
+
+    cells = lambda *x: F.concat(F.lit("| "), F.concat_ws(" | ", *x), F.lit(" |\n"))
+    tick = lambda x: F.concat(F.lit("`"), F.col(x), F.lit("`"))
+    by_reference = {"a": F.col("draft_id"), "b": F.col("reference_id")}
+    pages = "index.md", "frontend-overview.md", "backend-overview.md", "architecture-overview.md", "module-index.md", "meta/module-map.yaml", "api-index.md", "database-index.md", "dependency-index.md", "pending-confirmation.md"
+    begin, middle, end = T.ARCHITECTURE
+    heads = {
+        "index.md": F.lit(T.MAIN_INDEX.replace("{product}", product)), "frontend-overview.md": F.lit(T.FRONT_END), "backend-overview.md": F.lit(T.BACK_END),
+        "architecture-overview.md": F.concat(F.lit(begin), F.col("n").cast("string"), F.lit(middle)), "module-index.md": F.lit(T.MODULE_INDEX.replace("{product}", product)), "meta/module-map.yaml": F.lit(T.MODULE_MAP),
+        "api-index.md": F.lit(T.API_INDEX), "database-index.md": F.lit(T.DATABASE_INDEX), "dependency-index.md": F.lit(T.DEPENDENCY_INDEX), "pending-confirmation.md": F.lit(T.PENDING_INDEX),
+    }
+    head = versions.select("version_id", F.explode(F.array(*[F.struct(F.lit(p).alias("path"), heads[p].alias("line")) for p in pages])).alias("h"))
+    items = pending_items(d.withColumn("module_name", F.struct("version_id", "id", "module_name"))).select("module_name.*", "line_no", "item")
+    with_version = lambda rows: rows.join(of, "draft_id")
+    parts = [
+        lines_(head, F.col("h.path"), F.col("h.line"), HEAD),
+        lines_(d, "architecture-overview.md", F.concat(F.lit("- **"), "module_name", F.lit("**: "), F.coalesce("file_path", F.lit("null")), F.lit("\n")), a=F.col("id")),
+        lines_(versions, "architecture-overview.md", F.lit(end), TAIL),
+        lines_(d, "module-index.md", F.concat(F.lit("- ["), "module_name", F.lit("](modules/"), "_file", F.lit(")\n")), a=F.col("id")),
+        lines_(d, "meta/module-map.yaml", F.concat(F.lit('  - name: "'), "module_name", F.lit(f'"\n    path: "{folder}/modules/'), "_file", F.lit('"\n')), a=F.col("id")),
+        table("api-index.md", with_version(api_index(ref)), T.NO_API, cells("module_name", tick("url"), tick("http_method"), tick("method")), **by_reference, c=F.col("place")),
+        table("database-index.md", with_version(database_index(ref)), T.NO_ROWS, cells(tick("table"), "module_name", F.concat("class_type", F.lit(" 类操作"))), **by_reference, c=F.col("place")),
+        table("dependency-index.md", with_version(dependency_index(ref)), T.NO_ROWS, cells(tick("class_name"), "module_name", tick("dependencies")), **by_reference),
+        table("pending-confirmation.md", items, T.NO_PENDING, F.concat(F.lit("- 模块 "), tick("module_name"), F.lit(": "), "item", F.lit("\n")), text=F.col("module_name"), a=F.col("line_no"), b=F.col("id")),
+        lines_(d, F.concat(F.lit("modules/"), "_file"), F.coalesce("content", F.concat(F.lit("# "), "module_name")), a=F.col("id")),
+    ]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return scan.numbered(every, ["version_id", "path"], ["_section", "_text", "_a", "_b", "_c", "line"], "place").select("version_id", "path", "place", "line")

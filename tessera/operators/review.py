@@ -29,12 +29,13 @@ def saved(drafts: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(drafts, revisions) after ``edits`` (draft_id, content, author, remark, at), one a draft, its last.
 
     A saved draft (id, content, content_uri, hash, status, updated_at, ...) takes the new content and its MD5 and is revised;
-    a revision's remark ends with the lines added and deleted. Autosaves of saved drafts go: ``without_saved``."""
-    e = _last(edits).select(F.col("draft_id").alias("id"), F.col("content").alias("_new"), F.col("author").alias("_author"), F.col("remark").alias("_remark"), F.col("at").alias("_at"))
+    a revision's remark ends with the lines added and deleted. An edit without a time comes before those with one and leaves the
+    draft's time as it was. Autosaves of saved drafts go: ``without_saved``."""
+    e = _last(edits).select(F.col("draft_id").alias("id"), F.col("content").alias("_new"), F.col("author").alias("_author"), F.col("remark").alias("_remark"), F.col("at").alias("_at"), F.lit(True).alias("_edit"))
     both = drafts.join(e, "id", "left")
-    done = F.col("_at").isNotNull()
+    done = F.col("_edit").isNotNull()
     text = F.coalesce("_new", F.lit(""))
-    new = {"content": text, "hash": F.md5(text), "status": F.lit(REVISED), "updated_at": F.col("_at")}
+    new = {"content": text, "hash": F.md5(text), "status": F.lit(REVISED), "updated_at": F.coalesce("_at", "updated_at")}
     after = both.select(*[F.when(done, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in drafts.columns])
     remark = F.concat(F.coalesce("_remark", F.lit(T.SAVED)), diff_remark(F.coalesce("content", F.lit("")), text))
     revisions = both.where(done).select(F.col("id").alias("draft_id"), "content_uri", F.col("_author").alias("author"), remark.alias("remark"), F.col("_at").alias("created_at"))
@@ -50,19 +51,20 @@ def without_saved(autosaves: DataFrame, edits: DataFrame) -> DataFrame:
 def decided(drafts: DataFrame, workspaces: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(drafts, workspaces, comments) after ``decisions`` (draft_id, confirmed, author, comment, at), one a draft, its last.
 
-    A rejection leaves a comment. A workspace is completed where a draft of it was confirmed and all its drafts now are."""
-    d = _last(decisions).select(F.col("draft_id").alias("id"), F.col("confirmed").alias("_yes"), F.col("author").alias("_author"), F.col("comment").alias("_comment"), F.col("at").alias("_at"))
+    A rejection leaves a comment. A workspace is completed where a draft of it was confirmed and all its drafts now are. A row whose
+    ``confirmed`` is null decides nothing; one without a time comes before those with one and leaves times as they were."""
+    d = _last(decisions.where("confirmed is not null")).select(F.col("draft_id").alias("id"), F.col("confirmed").alias("_yes"), F.col("author").alias("_author"), F.col("comment").alias("_comment"), F.col("at").alias("_at"))
     both = drafts.join(d, "id", "left")
-    done = F.col("_at").isNotNull()
-    new = {"status": F.when(F.col("_yes"), CONFIRMED).otherwise(REJECTED), "updated_at": F.col("_at")}
+    done = F.col("_yes").isNotNull()
+    new = {"status": F.when(F.col("_yes"), CONFIRMED).otherwise(REJECTED), "updated_at": F.coalesce("_at", "updated_at")}
     columns = [F.when(done, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in drafts.columns]
     after = both.select(*columns)
     comments = both.where(done & ~F.col("_yes")).select(F.col("id").alias("draft_id"), F.col("_author").alias("author"), F.col("_comment").alias("comment"), F.col("_at").alias("created_at"))
     touched = both.where(done & F.col("_yes")).groupBy("workspace_id").agg(F.max("_at").alias("_at"))
-    complete = all_confirmed(after).where("completed").join(touched, "workspace_id").select(F.col("workspace_id").alias("id"), "_at")
+    complete = all_confirmed(after).where("completed").join(touched, "workspace_id").select(F.col("workspace_id").alias("id"), "_at", F.lit(True).alias("_all"))
     ws = workspaces.join(complete, "id", "left")
-    state = {"status": F.lit(COMPLETED), "updated_at": F.col("_at")}
-    ws = ws.select(*[F.when(F.col("_at").isNotNull(), state[c]).otherwise(F.col(c)).alias(c) if c in state else F.col(c) for c in workspaces.columns])
+    state = {"status": F.lit(COMPLETED), "updated_at": F.coalesce("_at", "updated_at")}
+    ws = ws.select(*[F.when(F.col("_all").isNotNull(), state[c]).otherwise(F.col(c)).alias(c) if c in state else F.col(c) for c in workspaces.columns])
     return after, ws, comments
 
 

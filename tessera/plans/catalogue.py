@@ -13,7 +13,7 @@ from tessera.functions import predicates as P
 from tessera.functions import text as T
 from tessera import api
 from tessera.operators import audit, chunking, lifecycle, prompts, publish, review, routing
-from tessera.plans import fold_queries, routing_queries, source_queries  # noqa: F401  they register their queries
+from tessera.plans import fold_queries, publication_queries, routing_queries, source_queries  # noqa: F401  they register their queries
 from tessera.plans.registry import ORACLES, QUERIES
 from tessera.plans.registry import query as _query
 from tessera.sources import files as source_files

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import scan
+
 
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
@@ -75,3 +77,49 @@ def call_logs(replies: DataFrame) -> DataFrame:
 def operation_log(entries: DataFrame) -> DataFrame:
     """Rows of the operation log from (system_id, task_id, action_type, detail, exception_msg, ok, created_at)."""
     return entries.select("system_id", "task_id", F.lit(1).cast("bigint").alias("user_id"), F.lit("Owner").alias("username"), "action_type", "detail", F.lit("127.0.0.1").alias("ip_address"), "exception_msg", F.col("ok").cast("smallint").alias("is_success"), "created_at")
+
+
+def write_lines(lines: DataFrame, root: str) -> None:
+    """Writes the files of (path, place, line), each line at its own offset, below a folder that all executors share.
+
+    Where a line begins is the sum of the bytes before it, so the tasks of one file write side by side, and a task that is run again
+    writes the same bytes to the same places. Files that are there already are replaced."""
+    sized = lines.select("path", "place", F.col("line").cast("binary").alias("bytes")).withColumn("length", F.octet_length("bytes").cast("bigint"))
+    placed = scan.running(sized, ["path"], ["place"], sums={"offset": "length"}, inclusive=False)
+    ends = placed.groupBy("path").agg(F.sum("length").alias("size"))
+
+    def inside(path: str) -> str:
+        target = os.path.normpath(os.path.join(root, path))
+        if not target.startswith(os.path.normpath(root) + os.sep):
+            raise ValueError(f"path outside of the folder: {path}")
+        return target
+
+    def make(rows) -> None:
+        for r in rows:
+            os.makedirs(os.path.dirname(inside(r.path)), exist_ok=True)
+            with open(inside(r.path), "wb") as f:
+                f.truncate(r.size)
+
+    def write(rows) -> None:
+        open_, f = None, None
+        for r in rows:
+            if r.path != open_:
+                if f:
+                    f.close()
+                open_, f = r.path, open(inside(r.path), "r+b")  # noqa: SIM115
+            f.seek(r.offset)
+            f.write(r.bytes)
+        if f:
+            f.close()
+
+    ends.foreachPartition(make)
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed.repartitionByRange(parts, "path", "place").sortWithinPartitions("path", "place").foreachPartition(write)
+
+
+def mirrored(documents: DataFrame, source: str, folder: str = "docs/code-insight/drafts") -> bool:
+    """Writes (path, content) into a folder of the source tree too, where that is a local directory; whether it was."""
+    if not os.path.isdir(source):
+        return False
+    write_documents(documents, os.path.join(source, folder))
+    return True
