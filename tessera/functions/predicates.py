@@ -70,4 +70,10 @@ def scanned(files: DataFrame, exclude_dirs: str | None = None, exclude_types: st
     return out
 
 
-__all__ = ["directory", "directory_excluded", "given", "has_text", "hidden_or_built", "page", "page_envelope", "scanned", "type_excluded", "where_given"]
+def field_errors(rules: list[tuple[Column, str]]) -> Column:
+    """The messages of the rules (broken, message) that a row breaks, in their order, joined by a comma and a space; null if none."""
+    said = F.concat_ws(", ", *[F.when(broken, F.lit(message)) for broken, message in rules])
+    return F.when(said != "", said)
+
+
+__all__ = ["directory", "directory_excluded", "field_errors", "given", "has_text", "hidden_or_built", "page", "page_envelope", "scanned", "type_excluded", "where_given"]

@@ -67,18 +67,27 @@ def month_to_date(usage: DataFrame, as_of: Column) -> DataFrame:
     return usage.where(F.col("created_at") >= start).groupBy("system_id").agg(F.sum("total_tokens").cast("bigint").alias("used"))
 
 
-def quota_gate(usage: DataFrame, keys: list[str], limit: int, estimate: str = "estimate", order: tuple = ("created_at", "id")) -> DataFrame:
+def quota_used(usage: DataFrame, keys: list[str], limit: int, estimate: str = "estimate", order: tuple = ("created_at", "id")) -> DataFrame:
     """Adds used (the key's tokens before the call) and blocked. A hot key is summed in many partitions."""
     out = scan.running(usage, keys, list(order), sums={"used": "total_tokens"}, inclusive=False)
     return out.withColumn("blocked", F.col("used") + F.col(estimate) > limit)
 
 
 def first_violations(gated: DataFrame, keys: list[str], order: tuple = ("created_at", "id")) -> DataFrame:
-    """(keys, order): each key's first blocked call. A caller who stops there never makes the calls after it."""
+    """(keys, order): each key's first blocked call."""
     first = gated.where("blocked").groupBy(*keys).agg(F.min(F.struct(*order)).alias("_at"))
     return first.select(*keys, "_at.*")
 
 
+def quota_gate(usage: DataFrame, keys: list[str], limit: int, estimate: str = "estimate", order: tuple = ("created_at", "id")) -> DataFrame:
+    """``quota_used`` with first_violation; rows after the first violation are calls that a caller who stops there never makes."""
+    out = quota_used(usage, keys, limit, estimate, order)
+    first = first_violations(out, keys, order).select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.struct(*order).alias("_at"))
+    out = out.join(first, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)], "left")
+    mine = F.col("blocked") & (F.struct(*order) == F.col("_at"))
+    return out.withColumn("first_violation", F.coalesce(mine, F.lit(False))).drop("_at", *[f"_key{i}" for i in range(len(keys))])
+
+
 def ranking_reversed(ranking: DataFrame) -> DataFrame:
     """The ranking as it is shown: least tokens first."""
     return ranking.orderBy("tokens", F.desc("system_id"))

@@ -13,7 +13,7 @@ from tessera.functions import predicates as P
 from tessera.functions import text as T
 from tessera import api
 from tessera.operators import audit, chunking, lifecycle, prompts, publish, review, routing
-from tessera.plans import fold_queries, publication_queries, routing_queries, source_queries  # noqa: F401  they register their queries
+from tessera.plans import fold_queries, publication_queries, routing_queries, row_queries, source_queries  # noqa: F401  they register their queries
 from tessera.plans.registry import ORACLES, QUERIES
 from tessera.plans.registry import query as _query
 from tessera.sources import files as source_files
@@ -23,8 +23,13 @@ from tessera.sources import tables
 _USAGE = """usage AS (SELECT event_id AS id, user_id AS system_id, event_id % 50 AS task_id, event_type AS model_name, CAST(floor(value * 10) AS BIGINT) AS input_tokens,
   CAST(floor(value * 3) AS BIGINT) AS output_tokens, CAST(floor(value * 10) AS BIGINT) + CAST(floor(value * 3) AS BIGINT) AS total_tokens,
   CAST(CAST(floor(value * 10) * 2e-6 + floor(value * 3) * 6e-6 AS DECIMAL(18,6)) AS DECIMAL(10,4)) AS cost, ts AS created_at FROM events)"""
-_STATES = "['" + "','".join(lifecycle.STATES) + "']"
-_EDGES = ", ".join(f"('{a}','{b}')" for a, targets in lifecycle.EDGES.items() for b in targets)
+# States, edges, progress and steps are written out here, so that a wrong constant of the operators shows.
+_STATES = "['DRAFT','PENDING','PULLING_CODE','PARSING_CODE','SPLITTING_TASK','AI_ANALYZING','GENERATING_DOC','PENDING_REVIEW','REVIEWING','CONFIRMED','PUSHING','PUSHED','FAILED','CANCELLED','ARCHIVED']"
+_EDGES = """('DRAFT','PENDING'), ('DRAFT','CANCELLED'), ('PENDING','PULLING_CODE'), ('PENDING','CANCELLED'), ('PENDING','FAILED'), ('PULLING_CODE','PARSING_CODE'), ('PULLING_CODE','FAILED'), ('PULLING_CODE','CANCELLED'),
+  ('PARSING_CODE','SPLITTING_TASK'), ('PARSING_CODE','FAILED'), ('PARSING_CODE','CANCELLED'), ('SPLITTING_TASK','AI_ANALYZING'), ('SPLITTING_TASK','FAILED'), ('SPLITTING_TASK','CANCELLED'), ('AI_ANALYZING','GENERATING_DOC'), ('AI_ANALYZING','FAILED'),
+  ('AI_ANALYZING','CANCELLED'), ('GENERATING_DOC','PENDING_REVIEW'), ('GENERATING_DOC','FAILED'), ('GENERATING_DOC','CANCELLED'), ('PENDING_REVIEW','REVIEWING'), ('PENDING_REVIEW','CONFIRMED'), ('PENDING_REVIEW','FAILED'), ('PENDING_REVIEW','CANCELLED'),
+  ('REVIEWING','CONFIRMED'), ('REVIEWING','PENDING_REVIEW'), ('REVIEWING','CANCELLED'), ('CONFIRMED','PUSHING'), ('CONFIRMED','ARCHIVED'), ('CONFIRMED','CANCELLED'), ('PUSHING','PUSHED'), ('PUSHING','FAILED'), ('PUSHING','CANCELLED'),
+  ('FAILED','PENDING'), ('FAILED','ARCHIVED'), ('CANCELLED','PENDING'), ('CANCELLED','ARCHIVED')"""
 _RED = [(p.replace("\\/", "/").replace("\\&", "&").replace("'", "''"), r.replace("$1", "\\1")) for p, r in T.REDACTIONS]
 
 
@@ -103,13 +108,13 @@ def _gate_sql(keys: str, limit: int) -> str:
 def task_quota_gate(spark, sf):
     # Rows are stored between the two steps of the gate, so only the columns in use go in.
     u = tables.token_usage(spark, sf).select("id", "task_id", "created_at", "total_tokens", F.col("input_tokens").alias("estimate"))
-    return audit.quota_gate(u, ["task_id"], audit.TASK_QUOTA).select("id", "used", "blocked")
+    return audit.quota_used(u, ["task_id"], audit.TASK_QUOTA).select("id", "used", "blocked")
 
 
 @_query(_gate_sql("system_id, date_trunc('month', created_at)", 1_000_000))
 def system_month_quota_gate(spark, sf):
     u = tables.token_usage(spark, sf).select("id", "system_id", F.date_trunc("month", "created_at").alias("month"), "created_at", "total_tokens", F.col("input_tokens").alias("estimate"))
-    return audit.quota_gate(u, ["system_id", "month"], audit.MONTH_QUOTA).select("id", "used", "blocked")
+    return audit.quota_used(u, ["system_id", "month"], audit.MONTH_QUOTA).select("id", "used", "blocked")
 
 
 # --- predicates, pages, lookups -------------------------------------------------
@@ -145,7 +150,7 @@ def systems_with_repos(spark, sf):
     return api.systems_with_repositories(c, tables.read(spark, sf, "orders").select(F.col("o_custkey").alias("system_id"))).select(F.col("id").alias("c_custkey"), "c_name")
 
 
-_SRC = "', '".join(lifecycle.T.SOURCE_ERRORS)
+_SRC = "请选择系统和代码库', '所选系统不存在', '所选系统已停用', '所选代码库不存在', '所选代码库不属于当前系统"
 
 
 @_query(f"""WITH q AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_custkey END AS system_id, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey + 1 ELSE o_custkey END * 10 AS repository_id FROM orders),
@@ -470,8 +475,8 @@ def transition_check(spark, sf):
     return lifecycle.checked(s).select("id", "current", "target", "valid")
 
 
-_PROGRESS_SQL = " ".join(f"WHEN '{k}' THEN {v}" for k, v in lifecycle.PROGRESS.items())
-_STEPS_SQL = " ".join(f"WHEN '{k}' THEN {v}" for k, v in lifecycle.STEPS.items())
+_PROGRESS_SQL = "WHEN 'PENDING' THEN 0 WHEN 'PULLING_CODE' THEN 10 WHEN 'PARSING_CODE' THEN 30 WHEN 'SPLITTING_TASK' THEN 50 WHEN 'AI_ANALYZING' THEN 70 WHEN 'GENERATING_DOC' THEN 90 WHEN 'PENDING_REVIEW' THEN 100 WHEN 'CONFIRMED' THEN 100 WHEN 'PUSHED' THEN 100"
+_STEPS_SQL = "WHEN 'PENDING' THEN 0 WHEN 'PULLING_CODE' THEN 1 WHEN 'PARSING_CODE' THEN 2 WHEN 'SPLITTING_TASK' THEN 3 WHEN 'AI_ANALYZING' THEN 4 WHEN 'GENERATING_DOC' THEN 5 WHEN 'PENDING_REVIEW' THEN 6 WHEN 'REVIEWING' THEN 6 WHEN 'CONFIRMED' THEN 6 WHEN 'PUSHING' THEN 6 WHEN 'PUSHED' THEN 6 WHEN 'ARCHIVED' THEN 6"
 
 
 @_query(f"""WITH {_TASKS} SELECT id, CAST(CASE status {_PROGRESS_SQL} ELSE 42 END AS INTEGER) AS progress, CAST(CASE status {_STEPS_SQL} ELSE -1 END AS INTEGER) AS step FROM tasks""")
