@@ -105,10 +105,12 @@ def labelled_sample(labels: DataFrame, id_col: str, label_col: str, keep, bound:
     return first.unionAll(rest).select("_id", "_y").distinct().limit(bound)
 
 
-def labelled_texts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def labelled_texts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str, label_col: str | None = None) -> DataFrame:
     """(_y, t): the whole text of each id of ``sample``, which is bounded, so it may be broadcast.
-    An id that many rows share gives one text, the least of them; null texts are empty."""
-    few = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).join(F.broadcast(sample), "_id")
+    An id that many rows share gives one text, the least of them; null texts are empty. ``label_col``: where the labels are a column
+    of ``docs``, so that a text comes from a row that has the label."""
+    own = [F.col(label_col).alias("_y")] if label_col else []
+    few = docs.select(F.col(id_col).cast("bigint").alias("_id"), *own, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).join(F.broadcast(sample), ["_id", *(["_y"] if own else [])])
     return few.groupBy("_id").agg(F.min(F.struct("_y", "t")).alias("r")).select("r._y", "r.t")
 
 

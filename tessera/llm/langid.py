@@ -7,8 +7,9 @@ texts of every language stands for a text's place; one-versus-rest kernel ridge
 regression in that space gives a score for each language, and both steps fold
 into one matrix. Texts are scored by two matrix products a batch.
 
-Fitting takes at most ``SAMPLE`` documents with a language; scoring takes whole
-texts, a very long text piece by piece into the same presence row.
+Fitting takes at most ``SAMPLE`` documents with a language, each text from a row
+that has the language it stands for (of several rows of an id the greatest
+language, and of its texts the least); scoring takes whole texts, a very long text piece by piece into the same presence row.
 
 Defined results: texts that are null or hold no letter (``\\p{L}``) are ``und``
 with score 0; of languages with one score the first by name is told; with no row
@@ -134,7 +135,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 p = presence(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.flatnonzero(r).astype("<u2").tobytes() for r in p], pa.binary())], names=["y", "grams"])
 
-    few = labelled_texts(docs.where(F.col(text_col).rlike(_LETTER)), sample, id_col, text_col)
+    few = labelled_texts(docs.where(F.col(text_col).rlike(_LETTER)), sample, id_col, text_col, lang_col)
     rows = few.select("_y", "t").mapInArrow(work, "y string, grams binary").collect()
     rows = sorted((r.y, bytes(r.grams)) for r in rows)
     return Language.fit([np.frombuffer(g, dtype="<u2").astype(np.int64) for _, g in rows], [y for y, _ in rows])

@@ -6,8 +6,8 @@ import duckdb
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from tessera.llm import egojoin, hilbert, mixing, simhash
-from tessera.llm.common import Scratch
+from tessera.llm import egojoin, hilbert, langid, mixing, simhash
+from tessera.llm.common import Scratch, labelled_sample, labelled_texts
 
 
 def test_a_null_id_joins_its_neighbours_fingerprints(spark):
@@ -103,3 +103,15 @@ def test_every_row_is_a_candidate(spark):
     con.executemany("insert into embeddings values (?, ?)", rows)
     want = sorted(con.execute(hilbert.OP4_SQL).fetchall(), key=str)
     assert sorted(((r.query_id, r.rank, r.vec_id, r.score) for r in hilbert.search(df).collect()), key=str) == want
+
+
+def test_a_language_is_learnt_from_its_own_rows(spark):
+    """Rows of one id with several languages, or with none: text and language come from one row."""
+    rows = [(1, "zz bonjour", "fr"), (1, "aa hello", "en"), (3, "mm tekst", None), (3, "nn guten", "de"), (4, None, "es")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    sample = labelled_sample(docs, "doc_id", "lang", F.lit(True), 100)
+    got = sorted((r._y, r.t) for r in labelled_texts(docs.where("text is not null"), sample, "doc_id", "text", "lang").collect())
+    assert got == [("de", "nn guten"), ("fr", "zz bonjour")]
+    model = langid.train(docs)
+    assert model.names == ["de", "fr"]
+    assert {r.lang_pred for r in langid.identify(docs, model).where("score > 0").collect()} == {"de", "fr"}
