@@ -1,13 +1,17 @@
 """Chat formatting by schema fingerprints, as DataFrame expressions only.
 
 A record's nested field paths, as far as the declared layouts know them, are
-sorted, joined and hashed; the hash alone selects the declarative mapping
-(``LAYOUTS``) that turns prompt, instruction or message records into canonical
-turns array<struct<role, text>>. Registered are the hashes of all sets of known
-paths that hold a layout: where a set holds several, the one declared first
-counts (``RANK``). A table's own columns are fingerprinted once from its
-schema; JSON records are fingerprinted row by row. A list's fields are one
-unit: it is there if any of its items has one of them, or if it has no items.
+sorted, joined and hashed: its fingerprint. Registered is the hash of each
+layout's own paths. Of a record's paths those that a layout names are hashed,
+and where that is the layout's registered hash it selects the declarative
+mapping (``LAYOUTS``) that turns prompt, instruction or message records into
+canonical turns array<struct<role, text>>; of several such layouts the first by
+``RANK`` counts. So the registry has one hash a layout. A table's own columns
+are fingerprinted once from its schema; JSON records are fingerprinted row by
+row. A list's fields are one unit: it is there if any of its items has one of
+them, or if it has no items. A text that is a list, or a record with a list of
+``parts``, is the texts of its items (strings, or records with a ``text``)
+joined by line feeds; any other record is its JSON text.
 
 Template: each turn is ``<s>role\\ntext</s>\\n``. In roles and texts ``&``, ``<``
 and ``[`` are written as ``&amp;``, ``&lt;`` and ``&lsqb;`` (and a line feed in
@@ -15,7 +19,8 @@ a role as ``&nl;``), so no text can hold a control string, and ``read_back``
 restores every text exactly. The loss mask covers the assistants' texts.
 
 Defined results: a null text or role is empty; turns are ordered by turn (null
-first), then role and text; null ids form one conversation; repeated rows are
+first), then role and text, so turns of one number come by role; null ids form
+one conversation, which is one row like any other; repeated rows are
 turns of their own; records of no known layout have null turns, an empty list
 has none; items that are not records have empty texts; an empty table gives an
 empty result; other columns are not read.
@@ -23,7 +28,7 @@ empty result; other columns are not read.
 
 from __future__ import annotations
 
-from functools import cache, reduce
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +51,7 @@ LAYOUTS: dict[str, dict] = {
     "messages": {"list": ("messages", "role", "content")},
     "conversations": {"list": ("conversations", "from", "value")},
     "chosen": {"list": ("chosen", "role", "content")},
+    "data_messages": {"list": ("data.messages", "role", "content")},
     "prompt_completion": {"fields": [("user", ["prompt"]), ("assistant", ["completion"])]},
     "prompt_response": {"fields": [("user", ["prompt"]), ("assistant", ["response"])]},
     "system_prompt_response": {"fields": [("system", ["system"]), ("user", ["prompt"]), ("assistant", ["response"])]},
@@ -87,32 +93,18 @@ def _hash(found: list[str]) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-@cache
-def by_fingerprint() -> dict[int, str]:
-    """Layout by fingerprint, for every set of units that holds one: 2 to the number of units at most."""
-    need = [(k, sum(1 << KNOWN.index(u) for u in units(LAYOUTS[k]))) for k in RANK]
-    out = {}
-    for mask in range(1 << len(KNOWN)):
-        layout = next((k for k, m in need if mask & m == m), None)
-        if layout:
-            out[_hash([u for i, u in enumerate(KNOWN) if mask >> i & 1])] = layout
-    return out
+#: The registry: each layout by the hash of its own paths.
+BY_FINGERPRINT = {_hash(units(v)): k for k, v in LAYOUTS.items()}
 
 
-def registry(spark: SparkSession) -> DataFrame:
-    """(fingerprint, layout): ``by_fingerprint`` as a table, made where it is used from the numbers of all sets of units."""
-    bit = lambda i: F.col("id").bitwiseAND(F.lit(1 << i)) != 0
-    found = F.filter(F.array(*[F.when(bit(i), F.lit(u)) for i, u in enumerate(KNOWN)]), lambda x: x.isNotNull())
-    layout = F.lit(None).cast("string")
-    for k in reversed(RANK):
-        mask = sum(1 << KNOWN.index(u) for u in units(LAYOUTS[k]))
-        layout = F.when(F.col("id").bitwiseAND(F.lit(mask)) == mask, F.lit(k)).otherwise(layout)
-    sets = spark.range(0, 1 << len(KNOWN), 1, 8)
-    return sets.select(F.xxhash64(F.array_join(found, ",")).alias("fingerprint"), layout.alias("layout")).where("layout is not null")
+def by_fingerprint() -> dict[int, str]:
+    return BY_FINGERPRINT
 
 
-#: The layouts' own fingerprints.
-BY_FINGERPRINT = {_hash(units(v)): k for k, v in LAYOUTS.items()}
+def registry(spark: SparkSession) -> DataFrame:
+    """(fingerprint, layout): the registry as a table, hashed by Spark."""
+    rows = [F.struct(F.xxhash64(F.lit(",".join(units(v)))).alias("fingerprint"), F.lit(k).alias("layout")) for k, v in LAYOUTS.items()]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def schema_paths(schema: T.DataType, at: str = "") -> list[str]:
@@ -124,12 +116,12 @@ def schema_paths(schema: T.DataType, at: str = "") -> list[str]:
 
 
 def layout_of(df: DataFrame) -> str:
-    """Name of the layout that the hash of the table's own paths is registered for; other columns do not count."""
+    """Name of the layout that the hash of the table's own paths selects; other columns do not count."""
     have = set(schema_paths(df.schema))
-    found = by_fingerprint().get(_hash([u for u in KNOWN if set(u.split(",")) <= have]))
-    if found is None:
-        raise ValueError(f"no layout for the paths {sorted(have)}")
-    return found
+    for name in RANK:
+        if BY_FINGERPRINT.get(_hash([u for u in units(LAYOUTS[name]) if set(u.split(",")) <= have])) == name:
+            return name
+    raise ValueError(f"no layout for the paths {sorted(have)}")
 
 
 def _turn(role: Column, text: Column, canonical: bool = False) -> Column:
@@ -169,7 +161,14 @@ def to_turns(df: DataFrame, id_col: str | None = None) -> DataFrame:
 
 
 def _of_item(role: str, text: str):
-    return lambda x: _turn(F.try_variant_get(x, f"$.{role}", "string"), F.try_variant_get(x, f"$.{text}", "string"))
+    def joined(items: Column) -> Column:
+        return F.array_join(F.transform(items, lambda i: F.coalesce(F.try_variant_get(i, "$.text", "string"), F.try_variant_get(i, "$", "string"))), "\n")
+
+    def said(x: Column) -> Column:
+        lists = [F.try_variant_get(x, f"$.{text}{more}", "array<variant>") for more in ("", ".parts")]
+        return F.coalesce(*[joined(c) for c in lists], F.try_variant_get(x, f"$.{text}", "string"))
+
+    return lambda x: _turn(F.try_variant_get(x, f"$.{role}", "string"), said(x))
 
 
 def json_to_turns(df: DataFrame, json_col: str, id_col: str) -> DataFrame:
@@ -186,8 +185,12 @@ def json_to_turns(df: DataFrame, json_col: str, id_col: str) -> DataFrame:
         return items.isNotNull() & ((F.size(items) == 0) | some)
 
     found = F.filter(F.array(*[F.when(there(u), F.lit(u)) for u in KNOWN]), lambda x: x.isNotNull())
-    v = v.withColumn("fingerprint", F.xxhash64(F.array_join(found, ",")))
-    v = v.join(F.broadcast(registry(df.sparkSession)), "fingerprint", "left")  # at most 2 to the number of known units
+    v = v.withColumn("_found", found).withColumn("fingerprint", F.xxhash64(F.array_join("_found", ",")))
+    layout = F.lit(None).cast("string")
+    for name in reversed(RANK):
+        own = F.array_intersect("_found", F.array(*[F.lit(u) for u in units(LAYOUTS[name])]))
+        layout = F.when(F.xxhash64(F.array_join(own, ",")) == F.lit(_hash(units(LAYOUTS[name]))), F.lit(name)).otherwise(layout)
+    v = v.withColumn("layout", layout)
     turns = F.lit(None).cast(TURNS)
     for name, layout in LAYOUTS.items():
         if "list" in layout:

@@ -42,3 +42,21 @@ def test_a_very_long_conversation(spark):
     back = chat.read_back(chat.format_turns(chat.to_turns(df))).first()
     assert len(back.turns) == n and back.turns[777].text == "t777<"
     assert [back.formatted[m.start : m.end] for m in back.loss_mask[:2]] == ["t1&lt;", "t3&lt;"] and len(back.loss_mask) == n // 2
+
+
+def test_the_registry_grows_with_the_layouts(spark):
+    assert chat.registry(spark).count() == len(chat.LAYOUTS)
+
+
+def test_parents_and_structured_texts(spark):
+    records = [
+        ({"data": {"messages": [{"role": "user", "content": "q"}, {"role": "gpt", "content": "a"}]}}, "data_messages", [("user", "q"), ("assistant", "a")]),
+        ({"messages": [{"role": "user", "content": [{"type": "text", "text": "one"}, "two", {"type": "image"}]}]}, "messages", [("user", "one\ntwo\n{\"type\":\"image\"}")]),
+        ({"messages": [{"role": "user", "content": {"parts": ["x", "y"]}}, {"role": "user", "content": {"k": 1}}]}, "messages", [("user", "x\ny"), ("user", "{\"k\":1}")]),
+        ({"messages": [{"role": "user", "content": []}, {"role": "user", "content": 5}]}, "messages", [("user", ""), ("user", "5")]),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, (r, *_) in enumerate(records)], "id int, j string")
+    got = {r.conv_id: r for r in chat.json_to_turns(df, "j", "id").collect()}
+    assert [(got[i].layout, [(t.role, t.text) for t in got[i].turns]) for i in range(len(records))] == [(layout, turns) for _, layout, turns in records]
+    nested = spark.createDataFrame([(1, ([("user", "q")],))], "k bigint, data struct<messages: array<struct<role:string,content:string>>>")
+    assert chat.layout_of(nested) == "data_messages" and chat.to_turns(nested, "k").first().turns[0].text == "q"
