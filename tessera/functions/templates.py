@@ -115,3 +115,5 @@ NOT_METHODS, NO_CLASS, NO_METHOD = ["if", "for", "while", "switch", "class", "sy
 REFUSED = "非法的状态流转: "
 # Heads of the route index and of the module map.
 API_INDEX, MODULE_MAP = "# 系统接口路由索引 (API Index)\n\n", "modules:\n"
+# Log text of a change of state: before it, between the states, before the reason.
+TRANSITION = ("任务状态变更: ", " -> ", "，原因: ")

@@ -87,7 +87,8 @@ def requested(requests: DataFrame, key: str = "task_id", order: tuple = ("at", "
 
 
 def transition_text(current: Column, target: Column, reason: Column) -> Column:
-    return F.concat(F.lit("任务状态变更: "), current, F.lit(" -> "), target, F.when(reason.isNotNull(), F.concat(F.lit("，原因: "), reason)).otherwise(F.lit("")))
+    head, between, why = (F.lit(x) for x in T.TRANSITION)
+    return F.concat(head, current, between, target, F.when(reason.isNotNull(), F.concat(why, reason)).otherwise(F.lit("")))
 
 
 def log_lines(task: DataFrame) -> DataFrame:

@@ -27,6 +27,7 @@ _C = {k: re.compile(v, re.ASCII) for k, v in {
     "inserted": X.INSERTED, "updated": X.UPDATED, "conditions": X.CONDITIONS, "condition": X.CONDITION_FIELD, "alias": X.ALIAS,
     **{f"sql_{k}": v for k, v in X.SQL_TABLES.items()},
 }.items()}
+# Annotations of routes and their verbs.
 _VERBS = {"@RequestMapping": "ALL", "@GetMapping": "GET", "@PostMapping": "POST", "@PutMapping": "PUT", "@DeleteMapping": "DELETE"}
 _TRIM = "".join(map(chr, range(33)))
 

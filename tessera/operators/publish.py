@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,10 +64,9 @@ def drafts(chunks: DataFrame, parsed: DataFrame, task_id: int) -> DataFrame:
     for p in parts:
         out = out.join(p, "module", "left")
     empty = {"classes": "", "flow": T.NO_FLOW, "urls": T.NO_URLS, "tables": T.NO_TABLES, "methods": "", "sources": ""}
-    body = F.lit(T.DRAFT)
-    for k, v in empty.items():
-        body = F.replace(body, F.lit("{%s}" % k), F.coalesce(k, F.lit(v)))
-    body = F.replace(body, F.lit("{m}"), F.col("module"))
+    # Filled in one pass, so that what is filled in is never looked through.
+    fill = {"m": F.col("module")} | {k: F.coalesce(k, F.lit(v)) for k, v in empty.items()}
+    body = F.concat(*[fill[x[1:-1]] if x[:1] == "{" and x[1:-1] in fill else F.lit(x) for x in re.split(r"(\{\w+\})", T.DRAFT)])
     out = out.select("module", F.concat(F.lit(f"task_{task_id}/"), file_name(F.col("module")), F.lit(".md")).alias("file_path"), body.alias("content"))
     sure = confidence(F.col("module"), string_hash(F.col("module")))
     return out.withColumn("hash", F.md5("content")).withColumn("confidence", sure).withColumn("status", F.when(sure < 0.75, "PENDING_REVIEW").otherwise("AI_GENERATED"))

@@ -15,7 +15,7 @@ from tessera.functions.text import extension, line_count
 
 #: Files of a task and bytes of a batch that are read at once (one file at least).
 FILES_A_TASK, BYTES_AT_ONCE = 1000, 64 << 20
-#: Directories that a copy of a tree leaves out.
+# Directories that a copy of a tree leaves out.
 NOT_COPIED = {".git", "target", "node_modules", ".idea", ".vscode"}
 
 
@@ -107,6 +107,7 @@ def patterns(spark: SparkSession, rows: list[tuple[int, int, str, str]]) -> Data
 
 def demo(spark: SparkSession) -> DataFrame:
     """(path, content) of a small stand-in project: a controller, a service, a mapper and an entity."""
+    # The project's files.
     base = "src/main/java/com/demo"
     head = "package com.demo.{0};\n\n"
     rows = [

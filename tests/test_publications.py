@@ -81,3 +81,10 @@ def test_field_errors(spark):
     df = spark.createDataFrame([(1, None), (None, "x"), (None, None)], "a int, b string")
     rules = [(F.col("a").isNull(), "a: missing"), (F.col("b").isNull(), "b: missing")]
     assert [r[0] for r in df.select(predicates.field_errors(rules)).collect()] == ["b: missing", "a: missing", "a: missing, b: missing"]
+
+
+def test_what_a_draft_is_filled_with_is_not_filled(spark):
+    chunks = spark.createDataFrame([(1, "M{m}", "a/{flow}.java", "C{urls}", "m", "CLASS", 1, 2)], "id int, module string, path string, class_name string, method_name string, chunk_type string, start_line int, end_line int")
+    parsed = spark.createDataFrame([], f"path string, parsed {PARSED}")
+    text = publish.drafts(chunks, parsed, 1).first().content
+    assert "- `C{urls} (a/{flow}.java)`\n" in text and text.startswith("# M{m} ") and "{classes}" not in text
