@@ -619,12 +619,6 @@ def changed_files(spark, sf):
     return source_files.changed_files(new, old).select(F.col("path").cast("bigint").alias("page_id"), "change")
 
 
-@_query("""SELECT s_suppkey AS id, s_name AS name, CAST(s_suppkey % 5 AS INTEGER) AS sort_order FROM supplier ORDER BY sort_order, id DESC LIMIT 10""")
-def model_order(spark, sf):
-    m = tables.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 5).cast("int").alias("sort_order"))
-    return api.models(m).limit(10)
-
-
 @_query("""SELECT s_suppkey AS id, s_name AS name, CAST(s_suppkey % 5 AS INTEGER) AS sort_order FROM supplier ORDER BY sort_order, id DESC""")
 def model_list(spark, sf):
     return api.models(tables.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 5).cast("int").alias("sort_order")))
