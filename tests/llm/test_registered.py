@@ -42,7 +42,7 @@ def test_contract(spark, name):
         assert all(r.predicted == int(r.score >= LEAST[name]) for r in rows if name in LEAST)
     if name in registry.ORACLES:
         con = duckdb.connect()
-        for t in ("embeddings", "conversations"):
+        for t in ("documents", "embeddings", "conversations"):
             con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
         got = con.execute(registry.ORACLES[name])
         names = [d[0] for d in got.description]
