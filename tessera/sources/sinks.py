@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import scan
+from tessera.sources.scratch import stored
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -19,7 +20,9 @@ def append(df: DataFrame, path: str) -> None:
 
 def replace_by_key(df: DataFrame, path: str, key: str = "task_id", keys: Sequence | None = None) -> None:
     """Replaces the rows of the keys in ``df`` and leaves those of other keys: one folder a key, overwritten dynamically.
-    ``keys``: all keys to replace; the folder of one that ``df`` has no rows of goes."""
+    ``keys``: all keys to replace; the folder of one that ``df`` has no rows of goes. ``df`` is worked out once, so that what is written
+    and what goes are of one state; the steps are not one commit, a reader may see the folders change one by one."""
+    df = stored(df, "replacement") if keys else df
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
     if keys:
         have = {r[0] for r in df.where(F.col(key).isin(list(keys))).select(key).distinct().collect()}  # at most ``keys``
