@@ -16,7 +16,7 @@ Defined results: rows whose vector is null or holds a null or non-finite
 component are left out; an empty table gives an empty result. Rows that repeat
 an id each count and each get a row. The starting entries are the 16 smallest
 by (vec_id, vector), rows without an id last; with fewer rows there are fewer
-entries. Vectors must have one length, divisible by the number of parts, and
+entries. Empty vectors have codes of zeros. Vectors must have one length, divisible by the number of parts, and
 components below 2**15 in size (their squares fill 64 bits); otherwise an error
 says so. Columns other than the id, vector and label are not read.
 """
@@ -47,7 +47,8 @@ def integers(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """Rows x components; ``column`` has no nulls and vectors of one length."""
-    return column.flatten().to_numpy().reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.int64)
+    values = column.flatten().to_numpy()
+    return values.reshape(len(column), -1) if len(values) else np.zeros((len(column), 0), np.int64)
 
 
 def nearest_entries(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -79,6 +79,7 @@ def test_masks_drop_only_what_cannot_win():
 def test_empty_and_clashing_columns(spark):
     assert codes.compress(table(spark, [])).collect() == []
     assert codes.compress(table(spark, [(1, None, 2)])).collect() == []
+    assert [tuple(r)[:4] for r in codes.compress(table(spark, [(1, [], 2), (2, [], 2)])).orderBy("vec_id").collect()] == [(1, "00" * 8, 0, 0), (2, "00" * 8, 0, 0)]
     rows = rows_of(20)
     named = spark.createDataFrame([(*r, "a", "b", 1) for r in rows], "vec_id bigint, embedding array<float>, label int, code string, v string, error int")
     assert sorted(map(tuple, codes.compress(named).collect())) == sorted(plain(rows))
