@@ -34,7 +34,10 @@ with the number of texts). In a bucket, rows whose signatures differ in at
 most ``bits`` bits are joined by their forest of least distances, so a group of
 near copies proposes about one pair a text and never all its pairs; each
 proposed pair within the fingerprint's distance is decided by its exact
-similarity. Texts with the same set are one node.
+similarity. Texts with the same set are one node. What the fingerprints found
+are groups; every link between groups that they missed, and no other, is then
+found by prefix filtering over the sets (``overlap``), so the components are
+those of all pairs of the least similarity.
 
 Defined results: repeated rows each get their row; rows whose id is null take
 part like all others and get the smallest id of their component (null if none
@@ -53,6 +56,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import overlap
 from tessera.llm.common import Scratch, connected_components, table
 
 BITS, SEED = 64, 42
@@ -157,24 +161,26 @@ def _set_key(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes(), seed=SEED)
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str, shingle: int, long: int) -> DataFrame:
-    """(doc_id, fp, key, s0..s3, w0..): key stands for the set of ``long``-word shingles, s0..s3 are its signature,
-    w0.. the words of fingerprint bits, of which the first is fp."""
+def keyed(docs: DataFrame, id_col: str, text_col: str, shingle: int, long: int, least: float) -> DataFrame:
+    """(doc_id, fp, key, s0..s3, w0.., need, head): key stands for the set of ``long``-word shingles, s0..s3 are its signature,
+    w0.. the words of fingerprint bits, of which the first is fp; head and need see ``overlap.head`` for ``least``."""
     names = ["key", *SIGNATURE, *WIDE_BITS]
 
     def work(batches):
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                out = np.zeros((part.num_rows, len(names)), dtype=np.uint64)
+                out, heads = np.zeros((part.num_rows, len(names)), dtype=np.uint64), []
                 for i, t in enumerate(part.column(1).to_pylist()):
                     found = shingle_set(t, long)
                     out[i, 0], out[i, 1 : 1 + len(SIGNATURE)] = _set_key(found), _majority((found[k : k + AT_ONCE] for k in range(0, len(found), AT_ONCE)), len(SIGNATURE))
                     out[i, 1 + len(SIGNATURE) :] = signature(t, shingle, WORDS64)
+                    heads.append(overlap.head(found, least))
                 cols = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in out.T]
-                yield pa.RecordBatch.from_arrays([part.column(0), cols[1 + len(SIGNATURE)], *cols], names=["doc_id", "fp", *names])
+                more = [pa.array([n for _, n in heads], pa.int64()), pa.array([h for h, _ in heads], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), cols[1 + len(SIGNATURE)], *cols, *more], names=["doc_id", "fp", *names, "need", "head"])
 
-    schema = "".join(f", {c} bigint" for c in names)
+    schema = "".join(f", {c} bigint" for c in [*names, "need"]) + ", head binary"
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, f"doc_id bigint, fp bigint{schema}")
 
 
@@ -556,8 +562,9 @@ def links(nodes: DataFrame, distance: int, scratch: Scratch, bits: int | None =
     return found.where("u is not null").select("u", "v").unionAll(met)
 
 
-def similar(docs: DataFrame, text_col: str, nodes: DataFrame, distance: int, verify: tuple[int, int, float], scratch: Scratch) -> DataFrame:
-    """(u, v): links between nodes (fp, rep, signature, words), rep being the set's key, of a Jaccard similarity of verify[2]."""
+def similar(docs: DataFrame, text_col: str, rows: DataFrame, nodes: DataFrame, distance: int, verify: tuple[int, int, float], scratch: Scratch) -> DataFrame:
+    """(u, v): links between nodes (fp, rep, signature, words, need) of ``rows``, rep being the set's key, that join all of a
+    Jaccard similarity of verify[2] or more and no others."""
     shingle, bits, least = verify
     found = links(nodes, distance, scratch, bits, least)
     pairs = scratch.put("pairs", found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
@@ -571,7 +578,16 @@ def similar(docs: DataFrame, text_col: str, nodes: DataFrame, distance: int, ver
     near = pairs.join(a, "u").join(b, "v").where(both + 1e-9 >= least * (F.size("u_set") + F.size("v_set") - both))
     near = scratch.put("near", near.select("u", "v"))
     scratch.drop("pairs", "needed", "sets")
-    return near
+    # What the fingerprints joined is a group; links that they missed are looked for between groups alone.
+    known = scratch.put("known", connected_components(near, scratch).toDF("key", "component"))
+    group = F.coalesce("component", "key").alias("grp")
+    heads = rows.join(known, "key", "left").select("key", group, "head")
+    open_ = overlap.suspects(heads, nodes.select(F.col("rep").alias("key"), "need"))
+    open_ = scratch.put("open", open_.join(known, "key", "left").select("key", group))
+    sets = shingle_sets(docs, text_col, shingle).join(open_, "key").groupBy("key").agg(F.first("grp").alias("grp"), F.first("shingles").alias("shingles"))
+    further = overlap.links(scratch.put("sets", sets), least, scratch)
+    scratch.drop("open", "sets", "near")
+    return known.select(F.col("key").alias("u"), F.col("component").alias("v")).unionAll(further)
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, verify: tuple | None = None) -> DataFrame:
@@ -579,12 +595,12 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = Scratch(docs.sparkSession, "simhash")
     many = [F.min("doc_id").alias("least"), F.count("*").alias("n")]
     if verify and len(verify) == 3:
-        rows = scratch.put("rows", keyed(docs, id_col, text_col, shingle, verify[0]))
+        rows = scratch.put("rows", keyed(docs, id_col, text_col, shingle, verify[0], verify[2]))
         # A node is a set of shingles; rows that share it may differ in their fingerprints, of which the least counts.
         first = F.min(F.struct("fp", *WIDE_BITS)).alias("w")
-        nodes = rows.groupBy("key", *SIGNATURE).agg(first, *many).select(F.col("key").alias("rep"), *SIGNATURE, "w.*", "least", "n")
+        nodes = rows.groupBy("key", *SIGNATURE).agg(first, F.min("need").alias("need"), *many).select(F.col("key").alias("rep"), *SIGNATURE, "w.*", "need", "least", "n")
         nodes = scratch.put("nodes", nodes)
-        return _told(rows.select("doc_id", "fp", F.col("key").alias("rep")), nodes, similar(docs, text_col, nodes, distance, verify, scratch), scratch)
+        return _told(rows.select("doc_id", "fp", F.col("key").alias("rep")), nodes, similar(docs, text_col, rows, nodes, distance, verify, scratch), scratch)
     rows = scratch.put("rows", fingerprints(docs, id_col, text_col, shingle, verify[0] if verify else None))
     # A node is a fingerprint, or a fingerprint and a signature.
     more = [c for c in SIGNATURE if c in rows.columns]

@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import egojoin, hilbert, simhash
+from tessera.llm import egojoin, hilbert, overlap, simhash
 from tessera.llm.common import Scratch, connected_components
 
 from .helpers import cosine_groups, groups, nearest, simhash_groups
@@ -215,3 +215,50 @@ def test_pipeline_rule_is_the_exact_one(spark):
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     kept = {x.doc_id for x in pipeline.near_duplicate_stage(spark, df, "").collect()}
     assert {i for i in range(120) if i % 4 != 3} <= kept and len(kept) <= 91
+
+
+@pytest.mark.parametrize("cell", [2048, 4])
+def test_no_similar_pair_is_left_out(spark, monkeypatch, cell):
+    """Few words, phrases said often or once, one template for all: components are those of all pairs of 0.8 and more."""
+    monkeypatch.setattr(overlap, "CELL", cell)
+    r = np.random.default_rng(21)
+
+    def words(n):
+        return [f"w{int(k)}" for k in r.integers(0, 10**6, n)]
+
+    texts, form = [], words(150)
+    for _ in range(12):
+        t, phrase = words(60), words(5)
+        texts += [t + phrase * 2, t + phrase * 150]  # nearly the same set, unlike fingerprints
+    for _ in range(60):
+        t = words(int(r.integers(5, 14)))
+        texts += [t, [*t, *words(1)]]  # 0.8 is four of five shingles
+    for k in range(60):
+        texts.append(form + words(25 + k % 20))  # similarities on both sides of 0.8
+    texts = [" ".join(t) for t in texts]
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    near = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    df = spark.createDataFrame([*enumerate(texts), (900, ""), (901, None), (902, texts[0]), (None, texts[0])], "doc_id bigint, text string")
+    got = {x.doc_id: x.component_id for x in simhash.components(df, shingle=2, distance=16, verify=(5, 80, 0.8)).collect()}
+    want = groups(list(range(len(texts))), near)
+    assert 60 < len(set(want.values())) < 190 and {i for i in want if got[i] != want[i]} == set()
+    assert got[901] == got[900] == 900 and got[902] == got[None] == got[0]
+
+
+def test_every_missed_link_is_found(spark):
+    """Sets of all sizes in groups given beforehand: the links between groups are those of all pairs."""
+    r = np.random.default_rng(22)
+    sets = []
+    for k in range(260):
+        own = r.integers(-(2**62), 2**62, int(r.integers(1, 90)))
+        part = r.choice(own, int(np.ceil(len(own) * r.uniform(0.75, 1))), replace=False)
+        sets += [own, np.r_[part, r.integers(-(2**62), 2**62, int(r.integers(0, 3)))]]
+    sets = [np.unique(np.r_[x, 7, 8].view(np.uint64)).view(np.int64) for x in sets]
+    grp = [int(r.integers(0, 30)) for _ in sets]
+    want = {(a, b) for b in range(len(sets)) for a in range(b) if grp[a] != grp[b] and (n := len(np.intersect1d(sets[a], sets[b]))) >= 0.8 * (len(sets[a]) + len(sets[b]) - n)}
+    heads = [overlap.head(x.view(np.uint64), 0.8) for x in sets]
+    df = spark.createDataFrame([(k, g, s.tolist(), *h) for k, (g, s, h) in enumerate(zip(grp, sets, heads, strict=True))], "key bigint, grp bigint, shingles array<bigint>, head binary, need bigint")
+    some = {x.key for x in overlap.suspects(df, df.select("key", "need")).collect()}
+    assert {k for pair in want for k in pair} <= some
+    got = overlap.links(df.where(F.col("key").isin(sorted(some))), 0.8, Scratch(spark, "t")).collect()
+    assert len(want) > 80 and {(x.u, x.v) for x in got} == want and len(got) == len(want)
