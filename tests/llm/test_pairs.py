@@ -229,7 +229,7 @@ def test_no_similar_pair_is_left_out(spark, monkeypatch, cell):
     texts, form = [], words(150)
     for _ in range(12):
         t, phrase = words(60), words(5)
-        texts += [t + phrase * 2, t + phrase * 150]  # nearly the same set, unlike fingerprints
+        texts += [t + phrase * 2, t + phrase * 150 + words(1)]  # nearly the same set, unlike fingerprints
     for _ in range(60):
         t = words(int(r.integers(5, 14)))
         texts += [t, [*t, *words(1)]]  # 0.8 is four of five shingles
