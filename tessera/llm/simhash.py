@@ -64,6 +64,8 @@ BITS, SEED = 64, 42
 BLOCK, SMALL, AT_ONCE = 4096, 24, 1 << 15
 #: Search by exact similarity: rows of a block, words of fingerprint bits, and the chance to find a pair of just the least similarity.
 WIDE, WORDS64, FOUND = 2048, 8, 0.995
+#: A sieve's bits for each id, its bits at most, and how many of them an id sets.
+SIEVE, SIEVE_MOST, SIEVE_SET = 12, 1 << 25, 4
 #: Bytes above which a text's words are found one after the other instead of all at once.
 LONG = 1 << 22
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -184,17 +186,46 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, shingle: int, long: int,
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, f"doc_id bigint, fp bigint{schema}")
 
 
-def shingle_sets(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """(key, shingles) of each row."""
+def _places(ids: np.ndarray, size: int) -> np.ndarray:
+    """The bits of a sieve of ``size`` bits that each id sets, a row for each of them."""
+    return np.stack([_mixed(ids.view(np.uint64), k) for k in range(1, SIEVE_SET + 1)]) & np.uint64(size - 1)
+
+
+def sieve(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of the ids of a table of one column, null ones left out. It has at most SIEVE_MOST bits, 4 MB: up to two
+    million ids one other in a hundred passes at most, with more of them more pass; none of the ids is ever held back."""
+    ids = ids.toDF("id").where("id is not null")
+    size = min(SIEVE_MOST, 1 << max(6, (SIEVE * ids.count() - 1).bit_length()))
 
     def work(batches):
         for b in batches:
+            at = _places(b.column(0).to_numpy(zero_copy_only=False), size).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).view(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "bits"])
+
+    words = ids.mapInArrow(work, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(size // 64, dtype=np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def passes(held: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = _places(ids, len(held) * 64)
+    return ((held[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=0)
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, held: np.ndarray) -> DataFrame:
+    """(key, shingles) of each row whose id passes the sieve ``held`` or is null."""
+
+    def work(batches):
+        for b in batches:
+            ids = b.column(0)
+            b = b.filter(pa.array(passes(held, ids.fill_null(0).to_numpy(zero_copy_only=False)) | ids.is_null().to_numpy(zero_copy_only=False)))
             for at in range(0, b.num_rows, 1000):
-                sets = [shingle_set(t, shingle) for t in b.slice(at, 1000).column(0).to_pylist()]
+                sets = [shingle_set(t, shingle) for t in b.slice(at, 1000).column(1).to_pylist()]
                 keys = np.array([_set_key(x) for x in sets], dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["key", "shingles"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(work, "key bigint, shingles array<bigint>")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, "key bigint, shingles array<bigint>")
 
 
 # --- partitions and thresholds -------------------------------------------------
@@ -562,16 +593,21 @@ def links(nodes: DataFrame, distance: int, scratch: Scratch, bits: int | None =
     return found.where("u is not null").select("u", "v").unionAll(met)
 
 
-def similar(docs: DataFrame, text_col: str, rows: DataFrame, nodes: DataFrame, distance: int, verify: tuple[int, int, float], scratch: Scratch) -> DataFrame:
-    """(u, v): links between nodes (fp, rep, signature, words, need) of ``rows``, rep being the set's key, that join all of a
-    Jaccard similarity of verify[2] or more and no others."""
+def similar(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame, nodes: DataFrame, distance: int, verify: tuple[int, int, float], scratch: Scratch) -> DataFrame:
+    """(u, v): links between nodes (fp, rep, signature, words, need, least) of ``rows``, rep being the set's key, that join all of
+    a Jaccard similarity of verify[2] or more and no others. The table ``rows`` is deleted once it has been read."""
     shingle, bits, least = verify
     found = links(nodes, distance, scratch, bits, least)
     pairs = scratch.put("pairs", found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     scratch.drop("found")
+
+    def sets_of(keys: DataFrame) -> DataFrame:
+        # Only texts that a sieve of the keys' least ids lets pass are worked out and travel, one for each key and few others.
+        held = sieve(nodes.join(keys.select(F.col("key").alias("rep")), "rep", "left_semi").select("least"))
+        return shingle_sets(docs, id_col, text_col, shingle, held)
+
     needed = scratch.put("needed", pairs.select(F.col("u").alias("key")).unionAll(pairs.select("v")).distinct())
-    # Sets travel only for texts that have a candidate; once for each text, not for its copies.
-    sets = shingle_sets(docs, text_col, shingle).join(needed, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
+    sets = sets_of(needed).join(needed, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
     sets = scratch.put("sets", sets)
     a, b = (sets.select(F.col("key").alias(k), F.col("shingles").alias(f"{k}_set")) for k in "uv")
     both = F.size(F.array_intersect("u_set", "v_set"))
@@ -584,14 +620,16 @@ def similar(docs: DataFrame, text_col: str, rows: DataFrame, nodes: DataFrame, d
     heads = rows.join(known, "key", "left").select("key", group, "head")
     open_ = overlap.suspects(heads, nodes.select(F.col("rep").alias("key"), "need"))
     open_ = scratch.put("open", open_.join(known, "key", "left").select("key", group))
-    sets = shingle_sets(docs, text_col, shingle).join(open_, "key").groupBy("key").agg(F.first("grp").alias("grp"), F.first("shingles").alias("shingles"))
+    scratch.drop("rows")
+    sets = sets_of(open_).join(open_, "key").groupBy("key").agg(F.first("grp").alias("grp"), F.first("shingles").alias("shingles"))
     further = overlap.links(scratch.put("sets", sets), least, scratch)
     scratch.drop("open", "sets", "near")
     return known.select(F.col("key").alias("u"), F.col("component").alias("v")).unionAll(further)
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, verify: tuple | None = None) -> DataFrame:
-    """(doc_id, fp, component_id) of each row; component_id is the smallest id reachable by links."""
+    """(doc_id, fp, component_id) of each row; component_id is the smallest id reachable by links. With a least similarity
+    ``docs`` is read three times, so a text must have the same id each time."""
     scratch = Scratch(docs.sparkSession, "simhash")
     many = [F.min("doc_id").alias("least"), F.count("*").alias("n")]
     if verify and len(verify) == 3:
@@ -600,7 +638,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         first = F.min(F.struct("fp", *WIDE_BITS)).alias("w")
         nodes = rows.groupBy("key", *SIGNATURE).agg(first, F.min("need").alias("need"), *many).select(F.col("key").alias("rep"), *SIGNATURE, "w.*", "need", "least", "n")
         nodes = scratch.put("nodes", nodes)
-        return _told(rows.select("doc_id", "fp", F.col("key").alias("rep")), nodes, similar(docs, text_col, rows, nodes, distance, verify, scratch), scratch)
+        told = scratch.put("ids", rows.select("doc_id", "fp", F.col("key").alias("rep")))
+        return _told(told, nodes, similar(docs, id_col, text_col, rows, nodes, distance, verify, scratch), scratch)
     rows = scratch.put("rows", fingerprints(docs, id_col, text_col, shingle, verify[0] if verify else None))
     # A node is a fingerprint, or a fingerprint and a signature.
     more = [c for c in SIGNATURE if c in rows.columns]

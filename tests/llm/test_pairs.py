@@ -262,3 +262,51 @@ def test_every_missed_link_is_found(spark):
     assert {k for pair in want for k in pair} <= some
     got = overlap.links(df.where(F.col("key").isin(sorted(some))), 0.8, Scratch(spark, "t")).collect()
     assert len(want) > 80 and {(x.u, x.v) for x in got} == want and len(got) == len(want)
+
+
+def test_a_sieve_misses_no_id(spark, monkeypatch):
+    ids = [*range(0, 3000, 2), -5, -(2**63), 2**63 - 1]
+    table = spark.createDataFrame([(i,) for i in [*ids, None]], "least bigint")
+    others = np.arange(1, 60001, 2)
+    held = simhash.sieve(table)
+    assert simhash.passes(held, np.array(ids)).all() and simhash.passes(held, others).mean() < 0.02
+    monkeypatch.setattr(simhash, "SIEVE_MOST", 1024)  # too few bits let more pass
+    held = simhash.sieve(table)
+    assert len(held) == 16 and simhash.passes(held, np.array(ids)).all()
+    assert not simhash.passes(simhash.sieve(table.limit(0)), others).any()
+
+
+def test_only_sets_in_question_travel(spark, monkeypatch):
+    """Sets of texts without a candidate stay where they are, also where the keys are too many to be broadcast; of rows
+    with one id and rows without, those in question are among the ones that travel."""
+    seen, made = [], simhash.shingle_sets
+    monkeypatch.setattr(simhash, "shingle_sets", lambda *a: seen.append(made(*a)) or seen[-1])
+    r = np.random.default_rng(23)
+
+    def words(n):
+        return [f"w{int(k)}" for k in r.integers(0, 10**6, n)]
+
+    rows = [(i, " ".join(words(60))) for i in range(400)]
+    for i in range(400, 440, 2):
+        t = words(10)
+        rows += [(i, " ".join(t)), (i + 1, " ".join([*t, *words(1)]))]  # five of six shingles and more
+    one, two, other = " ".join(words(40)), words(60), " ".join(words(50))
+    rows += [(7, one), (7, " ".join(two)), (500, " ".join([*two, "x"])), (None, other), (None, other + " y"), (501, other + " z")]
+    texts = [t for _, t in rows]
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    near = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    found = groups(list(range(len(rows))), near)
+    least = {}
+    for k, c in found.items():
+        if rows[k][0] is not None:
+            least[c] = min(least.get(c, 1 << 62), rows[k][0])
+    want = sorted((str(rows[k][0]), least[c]) for k, c in found.items())
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame(rows, "doc_id bigint, text string")
+        got = simhash.components(df, shingle=2, distance=16, verify=(5, 80, 0.8)).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((str(x.doc_id), x.component_id) for x in got) == want and len(near) >= 20
+    assert len(seen) == 2 and all(s.count() <= 80 for s in seen), [s.count() for s in seen]
