@@ -213,6 +213,16 @@ def passes(held: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return ((held[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=0)
 
 
+def in_sieve(held: np.ndarray):
+    """A predicate on an id column: whether the id passes the sieve; null ones count as 0."""
+
+    @F.arrow_udf("boolean")
+    def told(ids: pa.Array) -> pa.Array:
+        return pa.array(passes(held, ids.fill_null(0).to_numpy(zero_copy_only=False)))
+
+    return told
+
+
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, held: np.ndarray) -> DataFrame:
     """(key, shingles) of each row whose id passes the sieve ``held`` or is null."""
 
@@ -617,7 +627,10 @@ def similar(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame, nodes:
     # What the fingerprints joined is a group; links that they missed are looked for between groups alone.
     known = scratch.put("known", connected_components(near, scratch).toDF("key", "component"))
     group = F.coalesce("component", "key").alias("grp")
-    heads = rows.join(known, "key", "left").select("key", group, "head")
+    # Heads of sets outside of any group, most of them, need no join.
+    some = in_sieve(sieve(known.select("key")))
+    heads = rows.where(some("key")).join(known, "key", "left").select("key", group, "head")
+    heads = rows.where(~some("key")).select("key", F.col("key").alias("grp"), "head").unionAll(heads)
     open_ = overlap.suspects(heads, nodes.select(F.col("rep").alias("key"), "need"))
     open_ = scratch.put("open", open_.join(known, "key", "left").select("key", group))
     scratch.drop("rows")

@@ -270,6 +270,10 @@ def test_a_sieve_misses_no_id(spark, monkeypatch):
     others = np.arange(1, 60001, 2)
     held = simhash.sieve(table)
     assert simhash.passes(held, np.array(ids)).all() and simhash.passes(held, others).mean() < 0.02
+    some = simhash.in_sieve(held)
+    rows = spark.createDataFrame([(i,) for i in [*ids, *others[:2000].tolist(), None]], "id bigint")
+    through, rest = ([x.id for x in rows.where(c).collect()] for c in (some("id"), ~some("id")))
+    assert set(ids) <= set(through) and len(through) + len(rest) == rows.count() and len(rest) > 1900
     monkeypatch.setattr(simhash, "SIEVE_MOST", 1024)  # too few bits let more pass
     held = simhash.sieve(table)
     assert len(held) == 16 and simhash.passes(held, np.array(ids)).all()
