@@ -10,6 +10,7 @@ temporary folder, recorded in the session; on a cluster that is an error.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import tempfile
 import uuid
@@ -19,6 +20,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _ROOTS: dict[str, str] = {}
+#: Whether an execution's shuffle files go as soon as it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -52,6 +55,18 @@ def remove(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+@contextlib.contextmanager
+def shuffles_go(spark: SparkSession):
+    """Within it, the shuffle files of a write go when the write ends. Else they stay until the driver happens to collect
+    its garbage, so that those of many writes may lie on disk at once."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+
+
 class Scratch:
     """Tables of one operator call. ``put`` writes one and returns it reread;
     ``drop`` deletes those no longer needed. What a returned result still reads
@@ -66,7 +81,8 @@ class Scratch:
         return f"{self.base}/{name}"
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        with shuffles_go(self.spark):
+            df.write.mode("overwrite").parquet(self.path(name))
         self.schemas[name] = df.schema
         return self.get(name)
 

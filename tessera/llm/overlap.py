@@ -20,6 +20,7 @@ are joined already cost next to nothing. No step leaves a link out:
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch
 
-#: Rows of a hash that meet in one cell; words of a bitmap.
-CELL, MAP64 = 2048, 8
+#: Rows of a hash that meet in one cell; words of a bitmap; parts in which the hashes of more than FEW sets are counted.
+CELL, MAP64, SLICES, FEW = 2048, 8, 4, 20_000
 _MAPS = [f"m{k}" for k in range(MAP64)]
 _ENTRY = "token bigint, key bigint, grp bigint, size bigint, place bigint" + "".join(f", {c} bigint" for c in _MAPS)
 
@@ -50,15 +51,21 @@ def head(found: np.ndarray, least: float) -> tuple[bytes, int]:
     return found[: len(found) - a + spare(len(found), least)].tobytes(), max(1, spare(a, least))
 
 
-def _spread(batches):
-    """(token, grp, key) of each hash of (key, grp, hashes as bytes)."""
-    for b in batches:
-        for at in range(0, b.num_rows, 500):
-            part = b.slice(at, 500)
-            key, grp = (part.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            hashes = [np.frombuffer(x, dtype="<i8") for x in part.column(2).to_pylist()]
-            n = np.array([len(x) for x in hashes])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(grp.repeat(n)), pa.array(key.repeat(n))], names=["token", "grp", "key"])
+def _spread(at: int, slices: int):
+    """(token, grp, key) of each hash of (key, grp, hashes as bytes) that is in slice ``at``."""
+
+    def work(batches):
+        for b in batches:
+            for start in range(0, b.num_rows, 500):
+                part = b.slice(start, 500)
+                key, grp = (part.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+                hashes = [np.frombuffer(x, dtype="<i8") for x in part.column(2).to_pylist()]
+                n = np.array([len(x) for x in hashes])
+                cols = [np.concatenate(hashes), grp.repeat(n), key.repeat(n)]
+                mine = cols[0] % slices == at
+                yield pa.RecordBatch.from_arrays([pa.array(c[mine]) for c in cols], names=["token", "grp", "key"])
+
+    return work
 
 
 def _counted(batches):
@@ -96,17 +103,26 @@ def _counted(batches):
     yield from told(waiting)
 
 
-def shared(tokens: DataFrame) -> DataFrame:
-    """(key, n) of (token, grp, key): see ``_counted``; n may be too high, never too low."""
-    parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = tokens.repartitionByRange(parts, "token", "grp", "key").sortWithinPartitions("token", "grp", "key")
-    return rows.mapInArrow(_counted, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+def shared(tokens, scratch: Scratch | None = None) -> DataFrame:
+    """(key, n) of ``tokens(at, slices)``, (token, grp, key) of a slice of the hashes: see ``_counted``; n may be too high, never too
+    low. With ``scratch`` the slices are counted one after the other, so that a part of all hashes is on disk at once."""
+
+    def count(tokens: DataFrame) -> DataFrame:
+        parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = tokens.repartitionByRange(parts, "token", "grp", "key").sortWithinPartitions("token", "grp", "key")
+        return rows.mapInArrow(_counted, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+
+    if scratch is None:
+        return count(tokens(0, 1))
+    each = [scratch.put(f"shared{k}", count(tokens(k, SLICES))) for k in range(SLICES)]
+    return reduce(DataFrame.unionAll, each).groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def suspects(heads: DataFrame, needs: DataFrame) -> DataFrame:
+def suspects(heads: DataFrame, needs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(key) of the sets that may have a partner in another group; heads (key, grp, head), needs (key, need)."""
-    tokens = heads.select("key", "grp", "head").mapInArrow(_spread, "token bigint, grp bigint, key bigint")
-    return shared(tokens).join(needs, "key").where("n >= need").select("key")
+    heads = heads.select("key", "grp", "head")
+    n = shared(lambda at, slices: heads.mapInArrow(_spread(at, slices), "token bigint, grp bigint, key bigint"), scratch if needs.count() > FEW else None)
+    return n.join(needs, "key").where("n >= need").select("key")
 
 
 def _entries(least: float):
@@ -180,7 +196,8 @@ def _met(least: float):
 def links(sets: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     """(u, v): every link between sets (key, grp, shingles) of different groups; shingles in the order of ``shingle_set``."""
     size = F.size("shingles")
-    n = shared(sets.select(F.explode("shingles").alias("token"), "grp", "key"))
+    tokens = sets.select(F.explode("shingles").alias("token"), "grp", "key")
+    n = shared(lambda at, slices: tokens.where(F.pmod("token", F.lit(slices)) == at), scratch if sets.count() > FEW else None)
     enough = n.join(sets.select("key", size.alias("size")), "key").where(F.col("n") >= F.ceil(least * F.col("size") - 1e-6))
     kept = scratch.put("kept", sets.join(scratch.put("enough", enough.select("key")), "key", "left_semi").select("key", "grp", "shingles"))
     rows = scratch.put("entries", kept.mapInArrow(_entries(least), _ENTRY))
@@ -196,5 +213,5 @@ def links(sets: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     both = F.size(F.array_intersect("u_set", "v_set"))
     near = pairs.join(a, "u").join(b, "v").where(both + 1e-9 >= least * (F.size("u_set") + F.size("v_set") - both))
     near = scratch.put("further", near.select("u", "v"))
-    scratch.drop("enough", "kept", "entries", "many", "met")
+    scratch.drop("enough", "kept", "entries", "many", "met", *[f"shared{k}" for k in range(SLICES)])
     return near

@@ -48,8 +48,9 @@ their names, are not read. Texts of any length take bounded memory, but for the
 from __future__ import annotations
 
 import re
-from functools import partial
+from functools import partial, reduce
 from itertools import islice, tee
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +65,9 @@ BITS, SEED = 64, 42
 BLOCK, SMALL, AT_ONCE = 4096, 24, 1 << 15
 #: Search by exact similarity: rows of a block, words of fingerprint bits, and the chance to find a pair of just the least similarity.
 WIDE, WORDS64, FOUND = 2048, 8, 0.995
+#: Probes a text that are on disk at once in that search (or so many in all, if that is more), blocks of a bucket that meet in one
+#: cell, and proposed pairs for each text that are decided at once.
+PROBES, PROBES_LEAST, TOGETHER, PART = 8, 2_000_000, 8, 1 / 8
 #: A sieve's bits for each id, its bits at most, and how many of them an id sets.
 SIEVE, SIEVE_MOST, SIEVE_SET = 12, 1 << 25, 4
 #: Bytes above which a text's words are found one after the other instead of all at once.
@@ -331,7 +335,7 @@ def differing(least: float) -> float:
 def plan_wide(n: int, both: list[np.ndarray], share: float, found: float = FOUND) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each partition to search, bits numbered over all words: of least estimated cost such that
     two texts whose bits differ with chance ``share`` come together in some partition with chance ``found``."""
-    from math import ceil, comb, log, log1p
+    from math import comb, log, log1p
 
     need, unit = -log(1 - found), -log(1 - found) / 200
     best: tuple[float, list] = (np.inf, [])
@@ -564,23 +568,61 @@ def _first_pass(rule: Rule):
 
 
 def _second_pass(rule: Rule):
-    """Pairs of blocks of one bucket."""
-
-    def work(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                fp = np.concatenate([np.frombuffer(row[k], dtype="<u8") for k in ("fps", "fps2")])
-                rep = np.concatenate([np.frombuffer(row[k], dtype="<i8") for k in ("reps", "reps2")])
-                home = np.concatenate([np.unpackbits(np.frombuffer(row[k], dtype=np.uint8))[: len(row[f]) // 8].astype(bool) for k, f in (("homes", "fps"), ("homes2", "fps2"))])
-                sig = np.concatenate([np.frombuffer(row[k], dtype="<u8").reshape(len(row[f]) // 8, -1) for k, f in (("sigs", "fps"), ("sigs2", "fps2"))])
-                links = spanning(fp, rep, home, sig, rule)
+    """Over blocks sorted by (part, bits, low, high, block), low and high being a cell's two shares: pairs of blocks of one
+    bucket, each in one cell."""
+
+    def met(cell: list[dict]):
+        for k, one in enumerate(cell):
+            for other in cell[k + 1 :]:
+                if one["low"] != one["high"] and one["share"] == other["share"]:
+                    continue  # they meet in the cell of their own share
+                links = spanning(*(np.concatenate(x) for x in zip(one["cols"], other["cols"], strict=True)), rule)
                 if links:
                     u, v = np.concatenate(links, axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
+    def work(batches):
+        cell: list[dict] = []
+        for b in batches:
+            for at in range(b.num_rows):
+                row = b.slice(at, 1).to_pylist()[0]
+                n = len(row["fps"]) // 8
+                fp, rep, sig = np.frombuffer(row["fps"], dtype="<u8"), np.frombuffer(row["reps"], dtype="<i8"), np.frombuffer(row["sigs"], dtype="<u8").reshape(n, -1)
+                cols = (fp, rep, np.unpackbits(np.frombuffer(row["homes"], dtype=np.uint8))[:n].astype(bool), sig)
+                row = {k: row[k] for k in ("part", "bits", "low", "high", "share")} | {"cols": cols}
+                if cell and any(cell[0][k] != row[k] for k in ("part", "bits", "low", "high")):
+                    yield from met(cell)
+                    cell = []
+                cell.append(row)
+        yield from met(cell)
+
     return work
 
 
+def _at_once(searched: list[tuple[list[int], int]], n: int) -> list[list[tuple[list[int], int]]]:
+    """The partitions in groups of at most PROBES probes a row, or PROBES_LEAST of all ``n`` rows; one partition at least."""
+    groups, probes, most = [[]], 0, max(PROBES, PROBES_LEAST // n)
+    for bits, t in searched:
+        more = len(ball(len(bits), t))
+        if groups[-1] and probes + more > most:
+            groups.append([])
+            probes = 0
+        groups[-1].append((bits, t))
+        probes += more
+    return groups
+
+
+def _block_pairs(blocks: DataFrame, rule: Rule) -> DataFrame:
+    """(u, v): links across the blocks of a bucket. A bucket's blocks are dealt into shares of about TOGETHER, and a cell holds
+    two shares, so a block travels once for each share and not for each other block."""
+    shares = blocks.groupBy("part", "bits").agg(F.count("*").alias("n")).where("n > 1").select("part", "bits", F.ceil(F.col("n") / TOGETHER).alias("shares"))
+    rows = blocks.join(shares, ["part", "bits"]).withColumn("share", F.pmod(F.xxhash64("block", F.lit("share")), F.col("shares")).cast("bigint"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1)))
+    rows = rows.select("part", "bits", F.least("share", "other").alias("low"), F.greatest("share", "other").alias("high"), "block", "share", "fps", "reps", "homes", "sigs")
+    cells = rows.repartition("part", "bits", "low", "high").sortWithinPartitions("part", "bits", "low", "high", "block")
+    return cells.mapInArrow(_second_pass(rule), "u bigint, v bigint")
+
+
 def links(nodes: DataFrame, distance: int, scratch: Scratch, bits: int | None = None, least: float | None = None) -> DataFrame:
     """(u, v): links between nodes (fp, rep) that join all within ``distance``; with ``bits``, nodes also have a signature,
     and linked ones differ in at most so many of its bits; with ``least`` proposals for pairs of at least that similarity."""
@@ -592,15 +634,17 @@ def links(nodes: DataFrame, distance: int, scratch: Scratch, bits: int | None =
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     searched = plan_wide(n, both, differing(least)) if least else plan(n, both[0], distance)
     rule = Rule(distance, bits, least is not None)
-    rows = entries(nodes, searched, words).repartitionByRange(parts, "part", "bits", "fp", "home").sortWithinPartitions("part", "bits", "fp", "home")
-    found = scratch.put("found", rows.mapInArrow(_first_pass(rule), _FOUND_SQL))
-    blocks = found.where("block is not null").select("part", "bits", "block", "fps", "reps", "homes", "sigs")
-    heads = blocks.select("part", "bits", "block")
-    pairs = heads.join(heads.withColumnRenamed("block", "block2"), ["part", "bits"]).where("block < block2").select("block", "block2")
-    payload = blocks.select("block", "fps", "reps", "homes", "sigs")
-    both_blocks = pairs.join(payload, "block").join(payload.toDF("block2", "fps2", "reps2", "homes2", "sigs2"), "block2")
-    met = both_blocks.mapInArrow(_second_pass(rule), "u bigint, v bigint")
-    return found.where("u is not null").select("u", "v").unionAll(met)
+    out = []
+    # The search by exact similarity takes a few partitions after the other: entries and blocks of all at once would be many times the texts.
+    for k, some in enumerate(_at_once(searched, n) if least else [searched]):
+        rows = entries(nodes, some, words).repartitionByRange(parts, "part", "bits", "fp", "home").sortWithinPartitions("part", "bits", "fp", "home")
+        found = scratch.put(f"found{k}", rows.mapInArrow(_first_pass(rule), _FOUND_SQL))
+        met = _block_pairs(found.where("block is not null").select("part", "bits", "block", "fps", "reps", "homes", "sigs"), rule)
+        out.append(found.where("u is not null").select("u", "v").unionAll(met))
+        if least:
+            out[-1] = scratch.put(f"linked{k}", out[-1].select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+            scratch.drop(f"found{k}")
+    return reduce(DataFrame.unionAll, out)
 
 
 def similar(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame, nodes: DataFrame, distance: int, verify: tuple[int, int, float], scratch: Scratch) -> DataFrame:
@@ -608,22 +652,28 @@ def similar(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame, nodes:
     a Jaccard similarity of verify[2] or more and no others. The table ``rows`` is deleted once it has been read."""
     shingle, bits, least = verify
     found = links(nodes, distance, scratch, bits, least)
-    pairs = scratch.put("pairs", found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    scratch.drop("found")
+    pairs = scratch.put("pairs", found.distinct())
+    scratch.drop(*[n for n in scratch.schemas if n.startswith("linked")])
 
     def sets_of(keys: DataFrame) -> DataFrame:
         # Only texts that a sieve of the keys' least ids lets pass are worked out and travel, one for each key and few others.
         held = sieve(nodes.join(keys.select(F.col("key").alias("rep")), "rep", "left_semi").select("least"))
         return shingle_sets(docs, id_col, text_col, shingle, held)
 
-    needed = scratch.put("needed", pairs.select(F.col("u").alias("key")).unionAll(pairs.select("v")).distinct())
-    sets = sets_of(needed).join(needed, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
-    sets = scratch.put("sets", sets)
-    a, b = (sets.select(F.col("key").alias(k), F.col("shingles").alias(f"{k}_set")) for k in "uv")
-    both = F.size(F.array_intersect("u_set", "v_set"))
-    near = pairs.join(a, "u").join(b, "v").where(both + 1e-9 >= least * (F.size("u_set") + F.size("v_set") - both))
-    near = scratch.put("near", near.select("u", "v"))
-    scratch.drop("pairs", "needed", "sets")
+    # Sets are larger than texts, and each travels once a pair: the pairs are decided slice by slice.
+    slices, found = max(1, ceil(pairs.count() / (PART * max(1, nodes.count())))), []
+    for k in range(slices):
+        mine = pairs.where(F.pmod(F.xxhash64("u", F.lit("slice")), F.lit(slices)) == k)
+        needed = scratch.put(f"needed{k}", mine.select(F.col("u").alias("key")).unionAll(mine.select("v")).distinct())
+        sets = sets_of(needed).join(needed, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
+        sets = scratch.put(f"sets{k}", sets)
+        a, b = (sets.select(F.col("key").alias(x), F.col("shingles").alias(f"{x}_set")) for x in "uv")
+        both = F.size(F.array_intersect("u_set", "v_set"))
+        near = mine.join(a, "u").join(b, "v").where(both + 1e-9 >= least * (F.size("u_set") + F.size("v_set") - both))
+        found.append(scratch.put(f"near{k}", near.select("u", "v")))
+        scratch.drop(f"needed{k}", f"sets{k}")
+    near = reduce(DataFrame.unionAll, found)
+    scratch.drop("pairs")
     # What the fingerprints joined is a group; links that they missed are looked for between groups alone.
     known = scratch.put("known", connected_components(near, scratch).toDF("key", "component"))
     group = F.coalesce("component", "key").alias("grp")
@@ -631,12 +681,12 @@ def similar(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame, nodes:
     some = in_sieve(sieve(known.select("key")))
     heads = rows.where(some("key")).join(known, "key", "left").select("key", group, "head")
     heads = rows.where(~some("key")).select("key", F.col("key").alias("grp"), "head").unionAll(heads)
-    open_ = overlap.suspects(heads, nodes.select(F.col("rep").alias("key"), "need"))
+    open_ = overlap.suspects(heads, nodes.select(F.col("rep").alias("key"), "need"), scratch)
     open_ = scratch.put("open", open_.join(known, "key", "left").select("key", group))
     scratch.drop("rows")
     sets = sets_of(open_).join(open_, "key").groupBy("key").agg(F.first("grp").alias("grp"), F.first("shingles").alias("shingles"))
     further = overlap.links(scratch.put("sets", sets), least, scratch)
-    scratch.drop("open", "sets", "near")
+    scratch.drop("open", "sets", *[f"near{k}" for k in range(slices)])
     return known.select(F.col("key").alias("u"), F.col("component").alias("v")).unionAll(further)
 
 

@@ -314,3 +314,54 @@ def test_only_sets_in_question_travel(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert sorted((str(x.doc_id), x.component_id) for x in got) == want and len(near) >= 20
     assert len(seen) == 2 and all(s.count() <= 80 for s in seen), [s.count() for s in seen]
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    """What a scratch table's write has shuffled is gone from the disk when the next begins."""
+    import glob
+    import time
+
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]
+    files = lambda: set(glob.glob(f"{local}/*/shuffle_*"))
+    before, setting = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(setting)
+    s = Scratch(spark, "t")
+    kept = s.put("a", spark.range(50_000).withColumn("k", F.col("id") % 999).groupBy("k").count())
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and kept.count() == 999 and spark.conf.get(setting) == was
+
+
+def test_search_in_parts(spark, monkeypatch):
+    """Few probes a text are on disk at once, blocks of a bucket meet in cells of several, pairs are decided in slices and hashes
+    counted in slices: the components are those of all pairs, and of no table is there more than a part."""
+    monkeypatch.setattr(simhash, "WIDE", 8)
+    monkeypatch.setattr(simhash, "PROBES", 3)
+    monkeypatch.setattr(simhash, "PROBES_LEAST", 0)
+    monkeypatch.setattr(simhash, "TOGETHER", 2)
+    monkeypatch.setattr(overlap, "FEW", 0)
+    monkeypatch.setattr(simhash, "plan_wide", lambda *a: [(list(range(64 * k, 64 * k + 3)), 0) for k in range(6)])
+    put, sizes = Scratch.put, {}
+
+    def counted(self, name, df):
+        out = put(self, name, df)
+        sizes[name] = out.count()
+        return out
+
+    entries, probes = simhash.entries, []
+    monkeypatch.setattr(Scratch, "put", counted)
+    monkeypatch.setattr(simhash, "entries", lambda nodes, searched, words: probes.append(sum(len(simhash.ball(len(b), t)) for b, t in searched)) or entries(nodes, searched, words))
+    r = np.random.default_rng(31)
+    texts = []
+    for _ in range(12):
+        t = [f"w{int(k)}" for k in r.integers(0, 10**6, 120)]
+        for _ in range(12):
+            texts.append(" ".join([*t[: int(r.integers(90, 120))], *[f"x{int(k)}" for k in r.integers(0, 10**6, int(r.integers(0, 12)))]]))
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    near = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = {x.doc_id: x.component_id for x in simhash.components(spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string"), shingle=2, distance=16, verify=(5, 80, 0.8)).collect()}
+    assert got == groups(list(range(len(texts))), near) and len(near) > 300
+    assert probes == [3, 3]
+    assert sizes["pairs"] / sum(n.startswith("near") for n in sizes) <= len(texts) / 8 + 1
+    assert {f"shared{k}" for k in range(overlap.SLICES)} <= sizes.keys()
