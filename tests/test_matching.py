@@ -55,3 +55,16 @@ def test_twenty_thousand_patterns(spark):
 def test_patterns_that_hold_an_earlier_one_go():
     kept = dict((p, r) for p, r in matching.automaton([(0, "b"), (1, "abc"), (2, "c"), (3, "cd"), (4, "xy"), (5, "x")]).items())
     assert kept == {"b": 0, "c": 2, "xy": 4, "x": 5}
+
+
+def test_patterns_past_an_automaton_stay_a_table(spark, monkeypatch):
+    """More patterns than an automaton takes are neither collected nor dealt into automata; bytes and ends of texts are right."""
+    monkeypatch.setattr(matching, "AUTOMATON", 50)
+    monkeypatch.setattr(matching, "AT_ONCE", 30)
+    monkeypatch.setattr(matching, "first_rank", None)
+    patterns = [(i % 7, i, f"m{i}", p) for i, p in enumerate(["é", "aé", "日本", "本/", "x" * 40, "zz", "/z", "a", "b" * 9, "src/é/日", "\ufffd", "q\\q", *[f"p{k}" for k in range(30)]])]
+    paths = ["é", "é/日本/z", "src/é/日本", "aéa", "x" * 39, "y" + "x" * 40, "z", "zzz", "b" * 8, "", "q/q", "q\\q", "日", "p1", "p12", "xp29p3", None, *[f"f{k}/p{k}" for k in range(60)]]
+    for more in ([], [(2, 0, "all", "")]):
+        df = spark.createDataFrame(patterns + more, "module_ord int, path_ord int, module string, pattern string")
+        got = {r.path: r.module for r in routing.by_pattern(spark.createDataFrame([(p,) for p in paths], "path string"), df).collect()}
+        assert got == {p: m for p in set(paths) if (m := naive(p, patterns + more)) is not None}
